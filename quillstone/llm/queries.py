@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown import score_documents
 from .common import work_path
 from .exact_dedup import content_sort_dedup
+from .language_id import identify
 from .media import media_columns
 from .mixing import mix
 from .warc import read_warc, write_warc
@@ -17,6 +19,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, root)
 
 
+def op3_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp_times", "fp_codes")
 
@@ -29,7 +39,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("draws", "source")
 
 
-QUERIES = {"op2_warc": op2_warc, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
     "op2_warc": r"""
