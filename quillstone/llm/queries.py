@@ -10,6 +10,7 @@ from .exact_dedup import content_sort_dedup
 from .language_id import identify
 from .media import media_columns
 from .mixing import mix
+from .pieces import encode, ids_digest
 from .warc import read_warc, write_warc
 
 
@@ -27,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("ids_sha256", ids_digest()).drop("ids")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp_times", "fp_codes")
 
@@ -39,7 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("draws", "source")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op6_pieces": op6_pieces, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
     "op2_warc": r"""
