@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .brown import score_documents
 from .common import work_path
 from .exact_dedup import content_sort_dedup
+from .jaccard import jaccard_components
 from .language_id import identify
 from .media import media_columns
 from .mixing import mix
@@ -14,6 +15,10 @@ from .pieces import encode, ids_digest
 from .warc import read_warc, write_warc
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
@@ -44,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("draws", "source")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op6_pieces": op6_pieces, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op6_pieces": op6_pieces, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
     "op2_warc": r"""
