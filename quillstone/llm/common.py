@@ -25,9 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex[:12]}"
+#: Paths of work tables of this process that drop_written() removes.
+_made: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, which drop_written() removes unless it is to be kept."""
+    path = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex[:12]}"
+    if not keep:
+        _made.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove the work tables made so far; results that still read them must have been written before."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
