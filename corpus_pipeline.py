@@ -1,4 +1,77 @@
-STAGES = []
+"""A corpus pipeline: language ID, exact dedup, near dedup, mixing, pieces.
+
+Each stage takes (spark, docs, sf_dir) and reads ``docs`` whole; all but the last return the columns of documents.
+A stage's result is to be written before the next stage is called, as run() does: a stage begins by removing the
+tables that earlier stages left in the shared folder. Rows that repeat an id share its fate in filters by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm.common import drop_written, work_path
+from quillstone.llm.exact_dedup import content_sort_dedup
+from quillstone.llm.jaccard import jaccard_components
+from quillstone.llm.language_id import identify
+from quillstone.llm.mixing import mix
+from quillstone.llm.pieces import encode, ids_digest
+
+#: A document whose language has less than this pooled probability is rejected.
+LEAST_SCORE = 0.4
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = ids.select(F.col("doc_id").alias("stays"))
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.stays), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters, or without a likely language, go."""
+    drop_written(spark)
+    found = identify(docs)
+    return _only(docs, found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, one document stays."""
+    drop_written(spark)
+    return _only(docs, content_sort_dedup(docs).filter("kept"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar sets of 5-word shingles (80 % or more), the one with the smallest id stays."""
+    drop_written(spark)
+    return _only(docs, jaccard_components(docs, k=5, per=80).filter("doc_id <=> component_id"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document, shuffled inside output shards; documents it doesn't take go. A document that it takes in part is a row of its own whole text."""
+    drop_written(spark)
+    draws = mix(docs).select(F.col("doc_id").alias("taken"), F.explode("draws").alias("d")).distinct().select("taken", "d.shard", "d.pass")
+    rows = docs.join(draws, docs.doc_id.eqNullSafe(draws.taken))
+    order = F.xxhash64("doc_id", "pass", F.lit(20))
+    return rows.repartitionByRange("shard", order).sortWithinPartitions("shard", order, "pass").select(docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document's best segmentation, with its score, those of the N best, and a digest of the ids."""
+    drop_written(spark)
+    return encode(docs).withColumn("ids_sha256", ids_digest())
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+
+#: SQL can't express the trained language model, so the pipeline is tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        path = work_path(spark, f"stage-{name}", keep=True)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
