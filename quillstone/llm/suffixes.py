@@ -209,10 +209,10 @@ def _runs(splitters: list[bytes], limit: int = 20_000):
     return run
 
 
-def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], more: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], more: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each member of groups with equal cores: bytes before the core at which the first repeated string begins, and the last; -1 where none does.
 
-    With the core left out, the strings around it are the substrings of ``more`` bytes of what is before and behind.
+    ``times`` counts members with the same bytes around. With the core left out, the strings around it are the substrings of ``more`` bytes of what is before and behind.
     """
     n = len(left)
     x = np.frombuffer(b"".join(a.rjust(more, b"\0") + b.ljust(more, b"\0") for a, b in zip(left, right)), np.uint8).reshape(n, 2 * more)
@@ -223,12 +223,12 @@ def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], more: int)
     salt = mix(group.astype(np.uint64) + np.uint64(1))
     for a in range(more + 1):
         fits = np.flatnonzero((before >= a) & (behind >= more - a))
-        if len(fits) < 2:
+        if not len(fits):
             continue
         h = mix((sums[fits, 2 * more - a] - sums[fits, more - a]) * down[more - a] ^ salt[fits])
         order = np.argsort(h)
         same = h[order[1:]] == h[order[:-1]]
-        again = np.zeros(len(fits), bool)
+        again = times[fits] > 1
         again[order[1:][same]] = again[order[:-1][same]] = True
         hit = fits[again]
         high[hit] = a
@@ -257,13 +257,17 @@ def _combine(table: pa.Table) -> pa.Table:
         return text[a:b], text[b : int(at[place + 1])]
 
     def settle(waiting: list, core: int):
-        group, where = zip(*waiting)
-        sides = [around_of(*w) for w in where]
-        low, high = repeats(np.array(group), [s[0] for s in sides], [s[1] for s in sides], LENGTH - core)
-        for (run, place), a, b in zip(where, low, high):
+        # Members with the same bytes around share one row, as there may be very many of them.
+        rows: dict[tuple, list] = {}
+        for number, where in waiting:
+            rows.setdefault((number, *around_of(*where)), []).append(where)
+        group, left, right = zip(*rows)
+        low, high = repeats(np.array(group), left, right, LENGTH - core, np.array([len(x) for x in rows.values()]))
+        for places, a, b in zip(rows.values(), low, high):
             if b >= 0:
-                q = members[run][2][place]
-                found.append((members[run][1][place], q - int(b), q - int(a) + LENGTH))
+                for run, place in places:
+                    q = members[run][2][place]
+                    found.append((members[run][1][place], q - int(b), q - int(a) + LENGTH))
 
     waiting: dict[int, list] = {CORE: [], CORE + SPAN // 2: []}
     last, same, number = b"", {}, 0
