@@ -5,10 +5,12 @@ size; any order gives the same links). Only the first 15 % of a set are posted t
 one of these. A list is ordered by set size, and an entry carries its shingle's position, which bounds the overlap.
 
 The answer looked for is the component a set belongs to, and answers are derived along set relations. First each entry
-of a list is compared with the one before it, of most similar size. Sets found to link take over one another's
-answer. Then lists whose entries all have one answer are skipped; the rest are cut into blocks of 256 entries,
-ordered by answer and size, and pairs of blocks of one answer, of sizes too far apart, or with positions too far
-behind, are skipped whole. What is left is verified on full sets, so no link between different answers is lost.
+of a list is compared with the one before it, of most similar size, and with the list's pivot: the entry whose shingle
+comes earliest in it, so with fewest shingles of its own. Sets that link take over one another's answer, and a set keeps
+how it differs from one similar pivot, that with most sets around it. Of two sets with one pivot the overlap then follows from the differences
+alone. What is left are lists, or families of one pivot, with several answers: these are cut into blocks of 256
+entries, ordered by pivot, answer and size, and pairs of blocks of one answer, of sizes too far apart, or with positions
+too far behind are skipped whole; bitmaps of the sets bound the overlap of single pairs. No link between different answers is lost.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, written
+from .common import batches_of, byte_slices, written
 from .components import components
 from .shingles import shingle_sets
 
 SLOTS, PIECES, BLOCK = 1 << 22, 64, 256
+SKETCH_BITS = 1024
 BITS = 1 << 26
 
 
@@ -32,6 +35,13 @@ def vertex_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def bits_of(s: np.ndarray) -> bytes:
+    """A bitmap of the set: two sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[(s & np.uint64(SKETCH_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _each(batches, k: int):
     """(row values, sets, vertices) of slices of the batches, whose last column is the text."""
     for batch in batches:
@@ -41,6 +51,9 @@ def _each(batches, k: int):
             yield batch.slice(a, b - a), sets, [vertex_of(s) if len(s) else None for s in sets]
 
 
+DESCRIBED = ["doc_id", "vertex", "n_shingles", "piece", "counts", "bits"]
+
+
 def _describe(k: int):
     """A row for each document, and at the end of a task its sketch of shingle frequencies in pieces."""
 
@@ -49,11 +62,11 @@ def _describe(k: int):
         for batch, sets, vertices in _each(batches, k):
             np.add.at(sketch, (np.concatenate(sets) >> np.uint64(42)).astype(np.int64), 1)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vertices, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "vertex", "n_shingles", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vertices, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(map(bits_of, sets), pa.binary())], DESCRIBED)
         if sketch.any():
             raw = [x.tobytes() for x in sketch.reshape(PIECES, -1)]
             none = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(PIECES), pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "vertex", "n_shingles", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(PIECES), pa.int32()), pa.array(raw, pa.binary()), pa.nulls(PIECES, pa.binary())], DESCRIBED)
 
     return run
 
@@ -128,32 +141,85 @@ def _sets(bitmap, k: int):
     return run
 
 
-def _links(per: int):
+PAIR = "u long, v long, both long, links boolean, u_less binary, v_less binary"
+
+
+def _compare(per: int):
+    """Overlaps of full sets and, for similar ones, what each has beyond the other."""
+
     def run(batches):
         for batch in batches:
-            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(u), bool)
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+            rows = []
+            for u, v, a, b in zip(*(batch.column(i) for i in range(4))):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                keep[i] = 100 * both >= per * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
+                hit = b[at] == a
+                both = int(hit.sum())
+                union = len(a) + len(b) - both
+                near = 2 * both >= union
+                other = np.ones(len(b), bool)
+                other[at[hit]] = False
+                rows.append((u.as_py(), v.as_py(), both, 100 * both >= per * union, a[~hit].tobytes() if near else None, b[other].tobytes() if near else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], [f.split()[0] for f in PAIR.split(", ")])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, per: int) -> DataFrame:
-    """Those of (u, v) that link, on the full sets. A bitmap of fixed size keeps most other sets from being sent."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int, per: int) -> DataFrame:
+    """(u, v) with their overlap, in the columns of PAIR. A bitmap of fixed size keeps most other sets from being sent."""
     spark = pairs.sparkSession
     pairs = written(pairs, "jaccard-pairs")
+    if pairs.isEmpty():
+        return spark.createDataFrame([], PAIR)
     ends = pairs.select("u").union(pairs.select("v"))
     bitmap = spark.sparkContext.broadcast(merged(ends.mapInArrow(_bitmap, "piece int, counts binary"), np.uint8, np.bitwise_or, BITS // 8).tobytes())
     sets = docs.mapInArrow(_sets(bitmap, k), "vertex long, shingles binary").join(ends.distinct().withColumnRenamed("u", "vertex"), "vertex", "left_semi").dropDuplicates(["vertex"])
-    sets = written(sets, "jaccard-sets")
     both = pairs.join(sets.select(F.col("vertex").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("a")), "u")
-    return written(both.select("u", "v", "a", "b").mapInArrow(_links(per), "u long, v long"), "jaccard-links")
+    with batches_of(spark, 500):  # full texts and pairs of full sets
+        return written(both.select("u", "v", "a", "b").mapInArrow(_compare(per), PAIR), "jaccard-compared")
+
+
+def _incidence(rows: list, columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for i, r in enumerate(rows):
+        out[i, np.searchsorted(columns, r)] = 1
+    return out
+
+
+def _shared(xs: list, ys: list, step: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted arrays."""
+    columns = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    total = np.zeros((len(xs), len(ys)), np.float32)
+    for at in range(0, len(columns), step):
+        some = columns[at : at + step]
+        cut = lambda rows: [r[np.isin(r, some, assume_unique=True)] for r in rows]
+        total += _incidence(cut(xs), some) @ _incidence(cut(ys), some).T
+    return total
+
+
+def _family_links(per: int):
+    """Links between two blocks of sets with one pivot p, from their differences to it: |x and y| = |p| - |p-x| - |p-y| + |(p-x) and (p-y)| + |(x-p) and (y-p)|. One link for each set and answer is enough."""
+
+    def run(batches):
+        for batch in batches:
+            us, vs = [], []
+            for left, right in zip(batch.column(0), batch.column(1)):
+                x, y = _columns(left, "vertex", "n", "comp", "pivot_n"), _columns(right, "vertex", "n", "comp", "pivot_n")
+                less = [[np.frombuffer(r.as_buffer(), np.uint64) for r in side.values.field("gone")] for side in (left, right)]
+                more = [[np.frombuffer(r.as_buffer(), np.uint64) for r in side.values.field("own")] for side in (left, right)]
+                both = x["pivot_n"][:, None] - np.array([len(r) for r in less[0]])[:, None] - np.array([len(r) for r in less[1]])[None] + _shared(*less) + _shared(*more)
+                ok = (x["comp"][:, None] != y["comp"][None]) & (100 * both >= per * (x["n"][:, None] + y["n"][None] - both))
+                a, b = np.nonzero(ok)
+                for i, q in ((a, y["comp"][b]), (b, x["comp"][a])):
+                    _, keep = np.unique(np.stack([i, q]), axis=1, return_index=True)
+                    us.append(x["vertex"][a[keep]])
+                    vs.append(y["vertex"][b[keep]])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return run
 
 
 def _block_pairs(per: int):
@@ -163,14 +229,20 @@ def _block_pairs(per: int):
         for batch in batches:
             us, vs = [], []
             for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                x, y = _columns(left), _columns(right)
+                x, y = (_columns(side, "vertex", "n", "pos", "comp", "pivot") for side in (left, right))
                 n, m = x["n"][:, None].astype(np.int64), y["n"][None].astype(np.int64)
                 i, j = x["pos"][:, None], y["pos"][None]
                 need = -(-per * (n + m) // (100 + per))
-                ok = (x["comp"][:, None] != y["comp"][None]) & (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need) & (np.minimum(n, m) >= need)
+                ok = (x["comp"][:, None] != y["comp"][None]) & (x["pivot"][:, None] != y["pivot"][None]) & (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need) & (np.minimum(n, m) >= need)
                 if same:
                     ok = np.triu(ok, 1)
                 a, b = np.nonzero(ok)
+                if not len(a):
+                    continue
+                maps = [np.frombuffer(b"".join(side.values.field("bits").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for side in (left, right)]
+                apart = np.bitwise_count(maps[0][a] ^ maps[1][b]).sum(axis=1, dtype=np.int64)
+                near = (n[a, 0] + m[0, b] - apart) // 2 >= need[a, b]
+                a, b = a[near], b[near]
                 us.append(np.minimum(x["vertex"][a], y["vertex"][b]))
                 vs.append(np.maximum(x["vertex"][a], y["vertex"][b]))
             if us:
@@ -179,9 +251,25 @@ def _block_pairs(per: int):
     return run
 
 
-def _columns(block) -> dict[str, np.ndarray]:
-    s = block.values
-    return {f: s.field(f).to_numpy() for f in ("vertex", "n", "pos", "comp")}
+def _columns(block, *names: str) -> dict[str, np.ndarray]:
+    return {f: block.values.field(f).to_numpy() for f in names}
+
+
+def _blocks(rows: DataFrame, key: str, order: list, entry: list[str], bits: DataFrame | None = None) -> DataFrame:
+    """Rows of a key in blocks of BLOCK entries, in order. Keys whose entries have one answer have no blocks."""
+    open_ = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(key)
+    rows = rows.join(open_, key, "left_semi")
+    if bits is not None:
+        rows = rows.join(bits, "vertex")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / BLOCK).cast("int"))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("n", "comp", "pivot") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return written(rows.groupBy(key, "block").agg(*ends, F.collect_list(F.struct(*entry)).alias("entries")), f"jaccard-{key}-blocks")
+
+
+def _block_join(blocks: DataFrame, key: str, per: int, more: str) -> DataFrame:
+    rule = f"x.{key} = y.{key} AND x.block <= y.block AND NOT (x.lo_comp = x.hi_comp AND y.lo_comp = y.hi_comp AND x.lo_comp = y.lo_comp) AND 100 * x.hi_n >= {per} * y.lo_n AND 100 * y.hi_n >= {per} * x.lo_n"
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr(rule + more))
+    return pairs.select(F.col("x.entries").alias("a"), F.col("y.entries").alias("b"), F.expr("x.block = y.block").alias("same"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, per: int = 85) -> DataFrame:
@@ -194,30 +282,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    described = written(rows.mapInArrow(_describe(k), "doc_id long, vertex long, n_shingles long, piece int, counts binary"), "jaccard-documents")
+    with batches_of(spark, 1000):
+        described = written(rows.mapInArrow(_describe(k), "doc_id long, vertex long, n_shingles long, piece int, counts binary, bits binary"), "jaccard-documents")
     sketch = merged(described.filter("piece IS NOT NULL").select("piece", "counts"), np.uint32, np.add, SLOTS)
     level = spark.sparkContext.broadcast(np.minimum(255, np.rint(8 * np.log2(np.maximum(1, sketch)))).astype(np.uint8).tobytes())
     posted = rows.select("text").mapInArrow(_post(level, k, per), "token long, vertex long, n int, pos int")
     line = Window.partitionBy("token").orderBy("n", "vertex")
-    before = lambda c: F.lag(c).over(line)
-    lists = posted.select("*", before("vertex").alias("u"), before("n").alias("m"), before("pos").alias("i"), F.lead("vertex").over(line).alias("next"))
-    lists = written(lists.filter("(u IS NOT NULL AND u <> vertex) OR (next IS NOT NULL AND next <> vertex)").drop("next"), "jaccard-lists")
+    early = Window.partitionBy("token").orderBy("pos", "n", "vertex")
+    before = F.lag(F.struct("vertex", "n", "pos")).over(line)
+    lists = posted.select("*", before.alias("last"), F.lead("vertex").over(line).alias("next"))
+    lists = lists.filter("last.vertex <> vertex OR next <> vertex").drop("next")
+    with batches_of(spark, 1000):
+        lists = written(lists.withColumn("pivot", F.first(F.struct("vertex", "n", "pos")).over(early)), "jaccard-lists")
+    near = lists.select("vertex", "n", "pos", F.explode(F.array("last", "pivot")).alias("o")).select("vertex", "n", "pos", F.col("o.vertex").alias("u"), F.col("o.n").alias("m"), F.col("o.pos").alias("i"))
     need = f"CEIL({per} * (m + n) / {100 + per}D - 1e-9)"
-    near = lists.filter(f"u <> vertex AND m >= {need} AND LEAST(pos, i) + 1 + LEAST(n - pos - 1, m - i - 1) >= {need}")
-    links = verified(near.select(F.least("u", "vertex").alias("u"), F.greatest("u", "vertex").alias("v")).distinct(), rows.select("text"), k, per)
+    near = near.filter(f"u <> vertex AND LEAST(m, n) >= {need} AND LEAST(pos, i) + 1 + LEAST(n - pos - 1, m - i - 1) >= {need}")
+    known = compared(near.select(F.least("u", "vertex").alias("u"), F.greatest("u", "vertex").alias("v")).distinct(), rows.select("text"), k, per)
+    links = known.filter("links").select("u", "v")
+    answers = written(components(links).select(F.col("u").alias("vertex"), F.col("v").alias("comp")), "jaccard-answers")
+    # Of each set's pivots that with most similar sets, and the differences to it.
+    pivots = lists.select(F.col("pivot.vertex").alias("p"), F.col("pivot.n").alias("pivot_n")).distinct()
+    ways = known.filter("u_less IS NOT NULL")
+    ways = ways.select(F.col("u").alias("p"), F.col("v").alias("vertex"), "both", F.col("u_less").alias("gone"), F.col("v_less").alias("own")).unionByName(ways.select(F.col("v").alias("p"), F.col("u").alias("vertex"), "both", F.col("v_less").alias("gone"), F.col("u_less").alias("own")))
+    ways = ways.join(pivots, "p")
+    best = ways.join(ways.groupBy("p").agg(F.count(F.lit(1)).alias("around")), "p").groupBy("vertex").agg(F.max(F.struct("around", "both", "p", "pivot_n", "gone", "own")).alias("w"))
+    family = best.select("vertex", F.col("w.p").alias("pivot"), F.col("w.pivot_n").alias("pivot_n"), (F.col("w.both") + F.octet_length("w.own") / 8).cast("int").alias("n"), "w.gone", "w.own")
+    family = written(family.join(answers, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex")), "jaccard-families")
+    blocks = _blocks(family, "pivot", ["comp", "n", "vertex"], ["vertex", "n", "comp", "pivot_n", "gone", "own"])
+    with batches_of(spark, 32):
+        kin = written(_block_join(blocks, "pivot", per, "").drop("same").mapInArrow(_family_links(per), "u long, v long").distinct(), "jaccard-kin")
+    links = links.unionByName(kin)
     answers = written(components(links).select(F.col("u").alias("vertex"), F.col("v").alias("comp")), "jaccard-answers")
+    # Pairs without a common pivot, by the lists.
     lists = lists.select("token", "vertex", "n", "pos").join(answers, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
-    open_ = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    lists = lists.join(open_, "token", "left_semi").dropDuplicates(["token", "vertex"])
-    order = Window.partitionBy("token").orderBy("comp", "n", "vertex")
-    lists = lists.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocks = written(lists.groupBy("token", "block").agg(
-        F.min("n").alias("small"), F.max("n").alias("large"), F.min("pos").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_list(F.struct("vertex", "n", "pos", "comp")).alias("entries"),
-    ), "jaccard-blocks")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    pairs = x.join(y, F.expr(f"x.token = y.token AND x.block <= y.block AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo) AND 100 * x.large >= {per} * y.small AND 100 * y.large >= {per} * x.small"))
-    pairs = pairs.select(F.col("x.entries").alias("a"), F.col("y.entries").alias("b"), F.expr("x.block = y.block").alias("same")).mapInArrow(_block_pairs(per), "u long, v long").distinct()
-    more = verified(pairs, rows.select("text"), k, per)
+    lists = lists.join(family.select("vertex", "pivot"), "vertex", "left").withColumn("pivot", F.coalesce("pivot", "vertex")).dropDuplicates(["token", "vertex"])
+    bits = described.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.first("bits").alias("bits"))
+    blocks = _blocks(lists, "token", ["pivot", "comp", "n", "vertex"], ["vertex", "n", "pos", "comp", "pivot", "bits"], bits)
+    other = " AND NOT (x.lo_pivot = x.hi_pivot AND y.lo_pivot = y.hi_pivot AND x.lo_pivot = y.lo_pivot)"
+    with batches_of(spark, 100):
+        pairs = written(_block_join(blocks, "token", per, other).mapInArrow(_block_pairs(per), "u long, v long").distinct(), "jaccard-open")
+    pairs = pairs.join(known.select("u", "v"), ["u", "v"], "left_anti")
+    more = compared(pairs, rows.select("text"), k, per).filter("links").select("u", "v")
     answers = components(links.unionByName(more)).select(F.col("u").alias("vertex"), F.col("v").alias("comp"))
     found = described.filter("piece IS NULL").select("doc_id", "vertex", "n_shingles")
     with_set = found.filter("vertex IS NOT NULL").join(answers, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
