@@ -28,7 +28,7 @@ from .common import byte_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, second_ids_sha256 string, decoded_sha256 string, round_trip boolean"
-KEPT = 200_000
+KEPT = 700_000
 
 
 def load(path: str = MODEL) -> tuple[list, list, list]:
