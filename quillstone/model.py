@@ -13,4 +13,4 @@ MESSAGES = {
 CELLS = "path string, sheet_idx int, sheet string, part string, is_1904 boolean, row_num int, col_idx int, coordinate string, cell_type string, raw string, formula string, style_idx int, number_format string"
 #: Merged areas and formula ranges.
 REGIONS = "path string, sheet_idx int, kind string, ref string, c1 int, r1 int, c2 int, r2 int, formula string"
-SHEETS = "path string, sheet_idx int, sheet string, state string, part string, has_data boolean"
+SHEETS = "path string, sheet_idx int, sheet string, state string, part string, is_1904 boolean, has_data boolean"

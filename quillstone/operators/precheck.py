@@ -52,4 +52,4 @@ def overlaps(regions: DataFrame, heads: DataFrame, key: tuple = KEY) -> DataFram
     on = [F.col(f"r.{k}") == F.col(f"h.{k}") for k in key] + [F.col("h.col_idx").between(F.col("r.c1"), F.col("r.c2")), F.col("r.r2") >= 2]
     both = r.join(h, on)
     text = F.when(F.col("r.kind") == "merge", MESSAGES["MERGED"]).otherwise(MESSAGES["FORMULA_RANGE"])
-    return both.select(*(F.col(f"r.{k}") for k in key), "h.field", "h.col_idx", F.greatest(F.lit(2), F.col("r.r1")).alias("row_num"), "r.kind", F.concat(text, F.lit("（"), F.col("r.ref"), F.lit("）")).alias("message"))
+    return both.select(*(F.col(f"r.{k}") for k in key), "h.field", "h.col_idx", F.greatest(F.lit(2), F.col("r.r1")).alias("row_num"), "r.kind", "r.formula", F.concat(text, F.lit("（"), F.col("r.ref"), F.lit("）")).alias("message"))

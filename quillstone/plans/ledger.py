@@ -72,7 +72,7 @@ heads AS (SELECT sheet_idx, raw AS field, max(col_idx) AS col_idx, min(col_idx)
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.filter("l_linenumber = 1").select(F.lit("b").alias("path"), (F.col("l_orderkey") % 5).cast("int").alias("sheet_idx"), F.when(F.col("l_orderkey") % 2 == 0, "merge").otherwise("formula").alias("kind"), F.concat(F.lit("R"), F.col("l_orderkey").cast("string")).alias("ref"), (F.col("l_partkey") % 25).cast("int").alias("c1"), (F.col("l_partkey") % 25 + F.col("l_suppkey") % 4).cast("int").alias("c2"), (F.col("l_suppkey") % 3).cast("int").alias("r1"), (F.col("l_suppkey") % 3 + F.col("l_partkey") % 3).cast("int").alias("r2"))
+    return l.filter("l_linenumber = 1").select(F.lit("b").alias("path"), (F.col("l_orderkey") % 5).cast("int").alias("sheet_idx"), F.when(F.col("l_orderkey") % 2 == 0, "merge").otherwise("formula").alias("kind"), F.concat(F.lit("R"), F.col("l_orderkey").cast("string")).alias("ref"), (F.col("l_partkey") % 25).cast("int").alias("c1"), (F.col("l_partkey") % 25 + F.col("l_suppkey") % 4).cast("int").alias("c2"), (F.col("l_suppkey") % 3).cast("int").alias("r1"), (F.col("l_suppkey") % 3 + F.col("l_partkey") % 3).cast("int").alias("r2"), F.lit(None).cast("string").alias("formula"))
 
 
 DUCK_REGIONS = """, regions AS (SELECT l_orderkey % 5 AS sheet_idx, CASE WHEN l_orderkey % 2 = 0 THEN 'merge' ELSE 'formula' END AS kind, concat('R', CAST(l_orderkey AS VARCHAR)) AS ref, l_partkey % 25 AS c1, l_partkey % 25 + l_suppkey % 4 AS c2, l_suppkey % 3 AS r1, l_suppkey % 3 + l_partkey % 3 AS r2 FROM lineitem WHERE l_linenumber = 1)
