@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import KEY as JSON_KEY
 from ..functions.codes import normalize_device_code
 from ..functions.dates import normalize_date
 from ..model import CODE, DATES, DEVICE, MESSAGES, NAME, TARGETS
@@ -20,8 +22,9 @@ COUNTERS = ("subcategory_filled", "dates_converted", "dates_cleared", "codes_for
 
 @dataclass
 class Conversion:
-    """issues in order (sheet_idx, phase, row_num, field_ord); changes of workbooks without issues; statistics, one row per workbook that has a business sheet."""
+    """issues in order (sheet_idx, phase, row_num, field_ord); changes of workbooks without issues; statistics, one row per workbook that has a business sheet. rows, which these three read, are persisted until rows.unpersist()."""
 
+    rows: DataFrame
     issues: DataFrame
     changes: DataFrame
     statistics: DataFrame
@@ -98,7 +101,7 @@ def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
     """Give the entries as a written table: they are read several times. The mapping must have passed mapping.problems()."""
     cells, sheets, regions = W.cells(entries), W.sheets(entries), W.regions(entries)
     heads = precheck.headers(cells)
-    rows = _rows(cells, heads, sheets, mapping)
+    rows = _rows(cells, heads, sheets, mapping).persist()
     issues = _structure_issues(cells, heads, regions).unionByName(_row_issues(rows)).join(sheets.select(*KEY, "sheet"), KEY)
     blocked = issues.select("path").unionByName(W.errors(entries).select("path")).distinct()
     change = lambda at, value: F.struct(at.alias("coordinate"), value.alias("new_value"))
@@ -117,7 +120,7 @@ def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
     stats = listed.join(sums, "path", "left").join(by_path, "path", "left")
     keep = lambda c: F.when(F.col("blocked").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
     stats = stats.select("path", "sheets", "skipped_sheets", F.coalesce("rows", F.lit(0)).alias("rows"), *map(keep, COUNTERS), F.col("blocked").isNull().alias("success"))
-    return Conversion(issues, changes, stats)
+    return Conversion(rows, issues, changes, stats)
 
 
 def ordered(issues: DataFrame) -> DataFrame:
@@ -127,6 +130,30 @@ def ordered(issues: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).drop("phase_group", "row_key")
 
 
+def sample_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each thousand of customer keys: names, and keys to be formatted as device codes."""
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("b"), F.floor(F.col("c_custkey") / 1000).cast("string")).alias("path"), "c_custkey", "c_name")
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c_custkey")
+        filled = [(str(k), n) for k, n in zip(rows["c_custkey"], rows["c_name"].fillna(""), strict=True)]
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [W.new_package([(DEVICE, "备注"), *filled])]})
+
+    return t.groupBy("path").applyInPandas(build, "path string, content binary")
+
+
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the sample workbooks after conversion, read back from the rewritten packages."""
+    packages = sample_packages(spark, sf_dir)
+    done = convert(W.entries(packages).persist(), spark.createDataFrame([], "name string, code string"))
+    return W.cells(W.entries(results(packages, done))).select("path", "coordinate", "raw")
+
+
+ROUNDTRIP_SQL = f"""WITH r AS (SELECT concat('b', CAST(c_custkey // 1000 AS VARCHAR)) AS path, c_custkey, c_name, 1 + row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) AS n FROM customer)
+SELECT path, concat('A', CAST(n AS VARCHAR)) AS coordinate, concat('{{"{JSON_KEY}":"', CAST(c_custkey AS VARCHAR), '"}}') AS raw FROM r UNION ALL SELECT path, concat('B', CAST(n AS VARCHAR)), c_name FROM r
+UNION ALL SELECT DISTINCT path, 'A1', '{DEVICE}' FROM r UNION ALL SELECT DISTINCT path, 'B1', '备注' FROM r"""
+
+
 def results(packages: DataFrame, done: Conversion) -> DataFrame:
     """path, content of the converted packages: only of workbooks that succeed."""
     return W.rewritten(packages.join(done.statistics.filter("success").select("path"), "path", "left_semi"), done.changes)

@@ -256,6 +256,29 @@ def rewrite_package(content: bytes, changes: dict[str, dict[str, str | None]]) -
     return out.getvalue()
 
 
+def new_package(rows: list[tuple]) -> bytes:
+    """A workbook of one sheet of texts, for tables that are to go out as a workbook; empty texts have no cell."""
+    space = MAIN[1:-1]
+    name = lambda j: (name(j // 26 - 1) if j >= 26 else "") + chr(65 + j % 26)
+    line = lambda i, row: "".join(f'<c r="{name(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(row) if v)
+    body = "".join(f'<row r="{i}">{line(i, row)}</row>' for i, row in enumerate(rows, 1))
+    package = "http://schemas.openxmlformats.org/package/2006"
+    office, kind = RELATION[1:].partition("}")[0], "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    link = lambda to, target: f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/{to}" Target="{target}"/></Relationships>'
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": link("officeDocument", "xl/workbook.xml"), "xl/_rels/workbook.xml.rels": link("worksheet", "worksheets/sheet1.xml"),
+        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for part, xml in parts.items():
+            z.writestr(part, xml)
+    return out.getvalue()
+
+
 def rewritten(packages: DataFrame, changes: DataFrame) -> DataFrame:
     """path, content of the packages that pass: changes are (path, part, coordinate, new_value). A package without changes comes back as it is."""
 

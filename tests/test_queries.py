@@ -7,8 +7,10 @@ import duckdb
 import pytest
 
 from quillstone.operators import convert, mapping
-from quillstone.plans.ledger import ORACLE_SQL, QUERIES
+from quillstone.plans import ledger, workbook
 
+QUERIES = ledger.QUERIES | {"xlsx_roundtrip": workbook.roundtrip}
+ORACLE_SQL = ledger.ORACLE_SQL | {"xlsx_roundtrip": workbook.ROUNDTRIP_SQL}
 SF = "/root/testdata/sf0.001"
 
 
