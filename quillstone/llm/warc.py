@@ -2,8 +2,8 @@
 
 Records are range-sorted by payload digest: digests are uniform, so equal-width ranges are exact splitters that
 depend on nothing but the number of shards, and equal payloads lie side by side. A payload that holds over
-1/1000 of all rows (1,000 such at most) is salted, its first page known beforehand. A task writes each shard as
-gzip members, rolls files by compressed size, and regenerates headers and digests. Files get their names by an
+1/1000 of all rows (1,000 such at most) is salted, its first page known beforehand. One task writes all of a shard
+and salt as gzip members, rolls files by compressed size, and regenerates headers and digests. Files get their names by an
 atomic rename from a name of the attempt; contents are deterministic, so a repeated attempt changes nothing.
 The manifest table is the commit: readers open only what it lists.
 """
@@ -78,10 +78,21 @@ class Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temp, f"{self.root}/{self.name}")
+            self.place(f"{self.root}/{self.name}")
             self.done.append((self.name, self.records, self.size, self.sha.hexdigest()))
             self.out, self.seq = None, self.seq + 1
 
+    def place(self, to: str) -> None:
+        """Give the file its name. A file that an earlier attempt left there must hold the same bytes."""
+        if self.fs.get_file_info(to).type != pafs.FileType.NotFound:
+            sha = hashlib.sha256()
+            with self.fs.open_input_stream(to, compression=None) as stream:
+                while data := stream.read(1 << 20):
+                    sha.update(data)
+            if sha.digest() != self.sha.digest():
+                raise ValueError(f"{to} holds other records")
+        self.fs.move(self.temp, to)
+
 
 def _writer(root: str, limit: int):
     def run(batches):
@@ -122,7 +133,8 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
     rows = rows.withColumn("salt", F.when(F.col("hot_first").isNull() | (F.col("page_id") == F.col("hot_first")), 0).otherwise(F.pmod(F.xxhash64("page_id"), F.lit(333))).cast("int"))
     # Copies of a hot payload needn't carry it.
     rows = rows.withColumn("payload", F.when((F.col("page_id") != F.col("hot_first")) & (F.col("n") >= LEAST_REVISIT), F.lit(None)).otherwise(F.col("payload")))
-    rows = rows.repartitionByRange("shard", "salt", "digest")
+    # Not by digest too: files are numbered within a shard and salt, so no bound may part one.
+    rows = rows.repartitionByRange("shard", "salt")
     order = Window.partitionBy("shard", "salt", "digest").orderBy(F.asc_nulls_last("page_id"), F.asc_nulls_last("url"))
     first = F.coalesce("hot_first", F.first("page_id").over(order))
     rows = rows.select("shard", "salt", "digest", "page_id", "url", "n", "payload", F.when(F.col("n") >= LEAST_REVISIT, first).alias("first"))

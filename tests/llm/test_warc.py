@@ -2,7 +2,9 @@ import glob
 import gzip
 import hashlib
 
-from quillstone.llm.warc import parse, read_warc, write_warc
+import pytest
+
+from quillstone.llm.warc import Roller, parse, read_warc, write_warc
 
 PAGES = "page_id long, url string, html string, n int, digest string, shard string"
 
@@ -52,3 +54,33 @@ def test_repeats_nulls_and_empty_table(spark, tmp_path):
     assert got == [(0, "revisit", 5), (5, "response", None), (5, "revisit", 5), (6, "response", None), (6, "response", None)]
     write_warc(pages(spark, [(1, "u", "x")]).limit(0), f"file://{tmp_path}/e")
     assert read_warc(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_a_shard_stays_in_one_task(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 20) for i in range(3000)]
+    confs = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        root = f"file://{tmp_path}/f"
+        manifest = write_warc(pages(spark, rows), root, shard_bytes=200_000, roll_bytes=20_000).collect()
+        got = sorted(map(tuple, read_warc(spark, root).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.file for r in manifest}) == len(manifest) and sum(r.records for r in manifest) == 3000
+    assert got == [(i, len(h), hashlib.sha256(h.encode()).hexdigest(), "response", None) for i, _, h in rows]
+
+
+def test_a_file_of_other_contents_is_not_replaced(tmp_path):
+    def write(data):
+        roller = Roller(f"file://{tmp_path}", 100)
+        roller.put("000000-000", data)
+        roller.close()
+        return roller.done
+
+    assert write(b"x" * 10) == write(b"x" * 10)  # a repeated attempt
+    with pytest.raises(ValueError):
+        write(b"y" * 10)
+    assert (tmp_path / "part-000000-000-00000.warc.gz").read_bytes() == b"x" * 10
