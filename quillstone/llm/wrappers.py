@@ -4,8 +4,8 @@ A page is a stream of slots: the open elements (with their classes) around each
 union-free regular expression over slots. It starts as one page's stream with adjacent repeats folded into groups;
 every further page is aligned with it, and each mismatch makes what only one side has optional. Every slot also adds
 up its text, linked text and pages. All pages take part: tasks fold their own pages, and the wrappers of a host, at
-most one from each task, are aligned in two rounds. The wrapper's slots under the article, or else under the main
-part, or else those that are mostly plain text, are extracted from all pages of the host.
+most one from each task, are aligned in two rounds. From each page the wrapper's slots under the article are extracted,
+or, where the page has none, those under the main part, or else those that are mostly plain text on the host.
 """
 
 from __future__ import annotations
@@ -161,13 +161,23 @@ def is_noise(slot: str) -> bool:
     return False
 
 
-def kept_slots(wrapper: list, sums: dict) -> list[str]:
-    """The slots of the main text; sums: characters, linked characters and blocks by slot."""
+def containers(wrapper: list, sums: dict) -> tuple[list[str], ...]:
+    """Slots that can hold the main text: in an article, in a main part, mostly plain. Sums: characters, linked characters and blocks by slot."""
     clean = [s for s in slots(wrapper) if not is_noise(s)]
     in_article = [s for s in clean if any(p.split(".")[0] == "article" for p in s.split("/"))]
     in_main = [s for s in clean if any(p.split(".")[0] == "main" or MAIN_WORDS & set(p.split(".")[1:]) for p in s.split("/"))]
     plain = [s for s in clean if 2 * sums[s][1] < sums[s][0]]
-    return in_article or in_main or plain
+    return in_article, in_main, plain
+
+
+def kept_slots(wrapper: list, sums: dict) -> list[str]:
+    """The slots of the first container that has any."""
+    return next(filter(None, containers(wrapper, sums)), [])
+
+
+def main_blocks(found: list[tuple], choices: tuple) -> list[tuple]:
+    """Blocks of one page in the first container that this page has: a host's pages can be of several templates."""
+    return next(filter(None, ([b for b in found if b[0] in c] for c in choices)), [])
 
 
 class Host:
@@ -238,9 +248,9 @@ def _extract(batches):
     for batch in batches:
         out = []
         for source, wrapper, sums in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            if last[0] != wrapper:
-                last = (wrapper, set(kept_slots(json.loads(wrapper), json.loads(sums))))
-            out.append("\n".join(t for s, t, _ in blocks(source or "") if s in last[1]))
+            if last[0] != (wrapper, sums):
+                last = ((wrapper, sums), tuple(map(set, containers(json.loads(wrapper), json.loads(sums)))))
+            out.append("\n".join(t for _, t, _ in main_blocks(blocks(source or ""), last[1])))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

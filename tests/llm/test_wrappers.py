@@ -56,3 +56,13 @@ def test_given_pages_equal_their_article(spark):
 def test_empty_table_and_repeats(spark):
     t = spark.createDataFrame([(1, "u", "<p>a</p>", "h", "t")] * 2, PAGES)
     assert [r.text for r in extract(t).collect()] == ["a", "a"] and extract(t.limit(0)).count() == 0
+
+
+def test_a_host_with_mixed_templates(spark):
+    rows = [
+        (1, "http://m.com/1", page("<p>new</p>")), (2, "http://m.com/2", "<main><p>in main</p></main><div><p>beside</p></div>"),
+        (3, "http://m.com/3", "<div class=post><p>older</p></div>"), (4, "http://m.com/4", "<div><a href=1>Menu one</a></div><p>plain</p>"),
+        (5, None, "<article><p>no host</p></article>"), (6, None, "<p>no host, plain</p>"), (7, "http://m.com/7", "<nav>n</nav>"),
+    ]
+    want = {1: "new", 2: "in main", 3: "older", 4: "plain", 5: "no host", 6: "no host, plain", 7: ""}
+    assert {k: r.text for k, r in run(spark, rows).items()} == want
