@@ -5,11 +5,15 @@ union-free regular expression over slots. It starts as one page's stream with ad
 every further page is aligned with it, and each mismatch makes what only one side has optional. Every slot also adds
 up its text, linked text and pages. All pages take part: tasks fold their own pages, and the wrappers of a host, at
 most one from each task, are aligned in two rounds. From each page the wrapper's slots under the article are extracted,
-or, where the page has none, those under the main part, or else those that are mostly plain text on the host.
+or, where the page has none, those under the main part, or else those that are mostly plain text on the host. Left out
+are blocks whose text is the same on every page of the host that has their slot: they are template, not text slots.
+Which slots are kept is decided by elements and words of classes; the order and the optional and repeated marks of the
+wrapper describe the host and take no part in this.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -30,6 +34,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 NOISE_TAGS = set("head nav footer aside form menu dialog".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored banner breadcrumb breadcrumbs comment comments respond replies disqus cookie cookies consent gdpr notice notices alert footer masthead menu menus modal popup nav navbar navigation newsletter pagination promo related recommended share sharing sidebar sidebars social subscribe toolbar widget widgets contentinfo complementary search".split())
 MAIN_WORDS = set("articlebody main content post entry story".split())
+#: Different pages that must have a slot before what they all have in it counts as template.
+DISTINCT = 5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]).*?>|</{t}>|\Z", re.S | re.I) for t in RAW}
@@ -175,23 +181,53 @@ def kept_slots(wrapper: list, sums: dict) -> list[str]:
     return next(filter(None, containers(wrapper, sums)), [])
 
 
-def main_blocks(found: list[tuple], choices: tuple) -> list[tuple]:
-    """Blocks of one page in the first container that this page has: a host's pages can be of several templates."""
-    return next(filter(None, ([b for b in found if b[0] in c] for c in choices)), [])
+def main_blocks(found: list[tuple], choices: tuple, template: set) -> list[tuple]:
+    """Blocks of one page in the first container that this page has: a host's pages can be of several templates.
+
+    Template texts are left out, unless the page would have no other text.
+    """
+    kept = next(filter(None, ([b for b in found if b[0] in c] for c in choices)), [])
+    if not template:
+        return kept
+    own = [b for b in kept if (b[0], mark(b[1])) not in template]
+    return own or kept
+
+
+def mark(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def template_texts(sums: dict) -> set[tuple[str, str]]:
+    """(slot, mark) of the blocks that are equal on all pages with the slot, where DISTINCT different pages have it."""
+    return {(slot, m) for slot, s in sums.items() if len(s[4]) >= DISTINCT for m in s[3]}
 
 
 class Host:
-    """A wrapper as it grows, with the sums of its slots."""
+    """A wrapper as it grows, with the sums of its slots: characters, linked characters, blocks, marks of the texts
+    that all pages with the slot have, marks of up to DISTINCT different pages with the slot."""
 
     def __init__(self, wrapper=None, sums=None):
         self.wrapper, self.sums, self.known = wrapper, sums or {}, set()
 
     def page(self, found: list[tuple]) -> None:
+        texts: dict[str, list[str]] = {}
         for slot, text, linked in found:
-            s = self.sums.setdefault(slot, [0, 0, 0])
+            texts.setdefault(slot, []).append(text)
+            s = self.sums.setdefault(slot, [0, 0, 0, None, []])
             s[0] += len(text)
             s[1] += linked
             s[2] += 1
+        whole = None
+        for slot, of in texts.items():
+            s = self.sums[slot]
+            if s[3] is None:
+                s[3] = sorted(set(map(mark, of)))
+            elif s[3]:
+                s[3] = sorted(set(map(mark, of)).intersection(s[3]))
+            if s[3] and len(s[4]) < DISTINCT:
+                whole = whole or mark(json.dumps(found))
+                if whole not in s[4]:
+                    s[4].append(whole)
         items = fold([s for s, _, _ in found])
         shape = json.dumps(items)
         if shape not in self.known:  # pages of a known shape change nothing
@@ -201,7 +237,12 @@ class Host:
 
     def merge(self, other: Host) -> None:
         for slot, s in other.sums.items():
-            self.sums[slot] = [a + b for a, b in zip(self.sums.get(slot, [0, 0, 0]), s)]
+            if (mine := self.sums.get(slot)) is None:
+                self.sums[slot] = s
+            else:
+                same = sorted(set(mine[3]).intersection(s[3]))
+                pages = sorted({*mine[4], *s[4]})[:DISTINCT] if same else []
+                self.sums[slot] = [*(a + b for a, b in zip(mine[:3], s[:3])), same, pages]
         self.wrapper = other.wrapper if self.wrapper is None else self.wrapper if self.wrapper == other.wrapper else align(self.wrapper, other.wrapper)
 
 
@@ -220,11 +261,13 @@ def _infer(batches):
         yield rows(hosts)
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, last: bool = False) -> pa.Table:
     total = Host()
     order = sorted(zip(table.column("wrapper").to_pylist(), table.column("sums").to_pylist()))
     for w, s in order:
         total.merge(Host(json.loads(w), json.loads(s)))
+    if last:  # marks that no page will be matched with
+        total.sums = {slot: s if len(s[4]) >= DISTINCT else [*s[:3], [], []] for slot, s in total.sums.items()}
     return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(total.wrapper)], "sums": [json.dumps(total.sums)]})
 
 
@@ -240,17 +283,18 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """host, wrapper and sums (both JSON) from all pages; pages without a host share the empty one."""
     parts = pages.select(host_of(url_col).alias("host"), F.col(html_col)).mapInArrow(_infer, WRAPPERS)
     parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("host", "salt").applyInArrow(lambda t: _merge(t), WRAPPERS)
-    return parts.groupBy("host").applyInArrow(lambda t: _merge(t), WRAPPERS)
+    return parts.groupBy("host").applyInArrow(lambda t: _merge(t, True), WRAPPERS)
 
 
 def _extract(batches):
-    last: tuple = (None, None)
+    last: tuple = (None, (), set())
     for batch in batches:
         out = []
         for source, wrapper, sums in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             if last[0] != (wrapper, sums):
-                last = ((wrapper, sums), tuple(map(set, containers(json.loads(wrapper), json.loads(sums)))))
-            out.append("\n".join(t for _, t, _ in main_blocks(blocks(source or ""), last[1])))
+                of = json.loads(sums)
+                last = ((wrapper, sums), tuple(map(set, containers(json.loads(wrapper), of))), template_texts(of))
+            out.append("\n".join(t for _, t, _ in main_blocks(blocks(source or ""), *last[1:])))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

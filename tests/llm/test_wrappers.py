@@ -66,3 +66,13 @@ def test_a_host_with_mixed_templates(spark):
     ]
     want = {1: "new", 2: "in main", 3: "older", 4: "plain", 5: "no host", 6: "no host, plain", 7: ""}
     assert {k: r.text for k, r in run(spark, rows).items()} == want
+
+
+def test_text_that_all_pages_repeat_is_template(spark):
+    rows = [(i, f"http://t.com/{i}", page(f"<p>By our staff</p><p>story {i}</p><p>only {i}</p>" + "<p>Tell your friends</p>")) for i in range(12)]
+    rows += [(20 + i, f"http://few.com/{i}", page(f"<p>Same</p><p>{i}</p>")) for i in range(4)]  # too few to tell
+    rows += [(30 + i, "http://copies.com/", page("<p>A copy</p>")) for i in range(12)]  # copies are one page
+    rows += [(50 + i, f"http://mirror.com/{i}", page("<p>All the text</p>") + f"<p>{i}</p>") for i in range(6)]
+    want = {i: f"story {i}\nonly {i}" for i in range(12)} | {20 + i: f"Same\n{i}" for i in range(4)}
+    want |= {30 + i: "A copy" for i in range(12)} | {50 + i: "All the text" for i in range(6)}
+    assert {k: r.text for k, r in run(spark, rows).items()} == want
