@@ -18,6 +18,7 @@ import html
 import json
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: What isn't the article: elements, and words of classes, ids and roles.
 NOISE_TAGS = set("head nav footer aside form menu dialog".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored banner breadcrumb breadcrumbs comment comments respond replies disqus cookie cookies consent gdpr notice notices alert footer masthead menu menus modal popup nav navbar navigation newsletter pagination promo related recommended share sharing sidebar sidebars social subscribe toolbar widget widgets contentinfo complementary search".split())
+#: Those of them that name lists of items.
+ITEM_WORDS = set("comment comments respond replies related recommended".split())
 MAIN_WORDS = set("articlebody main content post entry story".split())
 #: Different pages that must have a slot before what they all have in it counts as template.
 DISTINCT = 5
@@ -102,7 +105,8 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
                 break
         if tag in VOID or m[3].endswith("/"):
             continue
-        marks = sorted({w.lower() for a in ATTRIBUTE.findall(m[3]) for w in re.findall(r"[A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(a[1:])) if a[0].lower() != "itemprop" else "".join(a[1:]).lower())}) if m[3] else []
+        # Without digits: numbered names must not part the slots of a host's pages.
+        marks = sorted({w for a in ATTRIBUTE.findall(m[3]) for w in re.sub(r"[./0-9]+", "_", "".join(a[1:]) if a[0].lower() != "itemprop" else "".join(a[1:]).lower()).split()}) if m[3] else []
         names.append(tag)
         stack.append(".".join([tag, *marks]))
         links[0] += tag == "a"
@@ -157,11 +161,24 @@ def slots(wrapper: list) -> list[str]:
     return list(found)
 
 
+@lru_cache(1 << 16)
+def words_of(name: str) -> tuple[str, ...]:
+    """The words of one class, id or role, parted at hyphens, capitals and the like."""
+    return tuple(w.lower() for w in re.findall(r"[A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name)))
+
+
+def is_named(names: list[str], listed: set) -> bool:
+    """Whether one of the names is of listed words alone: `sidebar` and `cookie-notice` are, `has-sidebar` isn't."""
+    return any((w := words_of(n)) and listed.issuperset(w) for n in names)
+
+
 def is_noise(slot: str) -> bool:
-    inside = False
-    for part in slot.split("/"):
-        tag, *words = part.split(".")
-        if tag in NOISE_TAGS or (tag == "header" and not inside) or (tag not in ("body", "html") and NOISE_WORDS & set(words)):
+    """Whether the slot is in a part that isn't the article. A name says nothing where an article or main part lies below it, unless it is of a list of other items, which can be articles themselves."""
+    inside, parts = False, [part.split(".") for part in slot.split("/")]
+    for i, (tag, *names) in enumerate(parts):
+        if tag in NOISE_TAGS or (tag == "header" and not inside):
+            return True
+        if tag not in ("body", "html") and is_named(names, NOISE_WORDS) and (is_named(names, ITEM_WORDS) or not any(p[0] in ("article", "main") for p in parts[i + 1 :])):
             return True
         inside = inside or tag in ("article", "main")
     return False
@@ -171,7 +188,7 @@ def containers(wrapper: list, sums: dict) -> tuple[list[str], ...]:
     """Slots that can hold the main text: in an article, in a main part, mostly plain. Sums: characters, linked characters and blocks by slot."""
     clean = [s for s in slots(wrapper) if not is_noise(s)]
     in_article = [s for s in clean if any(p.split(".")[0] == "article" for p in s.split("/"))]
-    in_main = [s for s in clean if any(p.split(".")[0] == "main" or MAIN_WORDS & set(p.split(".")[1:]) for p in s.split("/"))]
+    in_main = [s for s in clean if any(p.split(".")[0] == "main" or any(MAIN_WORDS.intersection(words_of(n)) for n in p.split(".")[1:]) for p in s.split("/"))]
     plain = [s for s in clean if 2 * sums[s][1] < sums[s][0]]
     return in_article, in_main, plain
 

@@ -76,3 +76,19 @@ def test_text_that_all_pages_repeat_is_template(spark):
     want = {i: f"story {i}\nonly {i}" for i in range(12)} | {20 + i: f"Same\n{i}" for i in range(4)}
     want |= {30 + i: "A copy" for i in range(12)} | {50 + i: "All the text" for i in range(6)}
     assert {k: r.text for k, r in run(spark, rows).items()} == want
+
+
+def test_names_that_contain_a_noise_word(spark):
+    rows = [
+        (1, "http://n1.com/", "<div class='container has-sidebar'><article><p>one</p></article></div>"),
+        (2, "http://n2.com/", "<div class='site no-sidebar'><p>two</p></div>"),
+        (3, "http://n3.com/", "<div class='widget Blog'><article><p>three</p></article></div>"),
+        (4, "http://n4.com/", "<article><div class='elementor-widget-container'><p>four</p></div><div class=widget><p>no</p></div></article>"),
+        (5, "http://n5.com/", "<article class='category-social'><p>five</p><div class='cookie-notice'>no</div><div id=shareBar><p>bar</p></div></article>"),
+        (6, "http://n6.com/", "<main><p>six</p></main><section id=comments><article><p>no</p></article></section>"),
+        (8, "http://n8.com/", "<div itemprop=articleBody id=post-812><p>eight</p></div><p>no</p>"),
+        (7, "http://n7.com/", "<article class='md:w-1/2 p-1.5'><p>seven</p></article><div class=Sidebar><p>no</p></div>"),
+    ]
+    want = {1: "one", 2: "two", 3: "three", 4: "four", 5: "five\nbar", 6: "six", 7: "seven", 8: "eight"}
+    assert blocks(rows[6][2])[0][0] == "div.articlebody.post-_/p"
+    assert {k: r.text for k, r in run(spark, rows).items()} == want
