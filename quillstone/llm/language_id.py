@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, byte_slices
@@ -161,18 +161,22 @@ def document_probabilities(m: dict, texts: list[bytes], chunk: int = 1024) -> np
 
 
 def fit(docs: DataFrame, per_lang: int = 400) -> tuple[list[str], dict | None]:
-    """Languages and model. Needs text, lang and train; a hash of the text picks about ``per_lang`` texts of each language, 1.5 times that at most, and four stretches of each go to the driver."""
+    """Languages and model. Needs text, lang and train; a hash of the text picks about ``per_lang`` different texts of each language, 1.5 times that at most, and four stretches of each go to the driver."""
     rows = docs.filter("train AND lang IS NOT NULL AND length(text) > 0")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # Copies count once: they must not take the places of other texts.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(5))).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return [], None
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, per_lang / n)])
-    luck = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
+    luck = F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30)
     raw = F.col("text").cast("binary")
     at = lambda i: (1 + F.greatest(F.lit(0), F.octet_length(raw) - STRETCH) * i / 3).cast("int")
     cut = F.array(*[F.substring(raw, at(i), STRETCH) for i in range(4)])
-    sample = rows.filter(luck < share[F.col("lang")]).select("lang", cut.alias("cut"), luck.alias("luck")).orderBy("luck").limit(int(1.5 * per_lang * len(langs))).collect()
+    picked = rows.withColumn("h", F.xxhash64("text", F.lit(5))).filter(luck < share[F.col("lang")]).select("lang", "h", luck.alias("luck"), cut.alias("cut"))
+    picked = picked.groupBy("lang", "h", "luck").agg(F.first("cut").alias("cut"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("luck", "h"))
+    sample = picked.withColumn("nth", nth).filter(F.col("nth") <= int(1.5 * per_lang)).orderBy("luck", "h", "lang").collect()
     texts, y = zip(*[(bytes(c), langs.index(r.lang)) for r in sample for c in sorted(set(map(bytes, r.cut)))])
     x, size, _ = stretches(list(texts))
     return langs, train(x, size, np.array(y), len(langs))

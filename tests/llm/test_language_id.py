@@ -45,3 +45,14 @@ def test_edges(spark):
     assert L.identify(docs(spark, ["a"]).limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify(docs(spark, ["a", "b"])).collect()} == {"und"}
     assert L.identify(docs(spark, ["a", "b"], ids=[None, None], langs=["en", "en"])).filter("NOT held_out AND lang_pred = 'en'").count() == 2
+
+
+def test_copies_do_not_displace_a_language(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train", lambda x, size, y, n: seen.extend(zip(map(bytes, x), y.tolist())))
+    luck = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
+    some = [r.text for r in spark.range(200).select(F.format_string("text %d", "id").alias("text")).orderBy(luck).collect()]
+    texts, langs = some[:1] * 100 + some[1:12] + some[-3:], ["en"] * 111 + ["es"] * 3
+    L.fit(docs(spark, texts, langs=langs).select("text", "lang", F.lit(True).alias("train")), per_lang=4)
+    count = lambda i: len([x for x, y in seen if y == i])
+    assert count(1) == 3 and 1 < count(0) <= 6 and len(set(seen)) == len(seen)
