@@ -1,8 +1,9 @@
 """Media columns: texts stored as 8-bit WAV samples, and spectral-peak pair fingerprints of them.
 
-Python's wave module writes and reads the container. Windows of 256 samples, half overlapping, go through a
-short-time Fourier transform; the strongest bin of each of four bands is a peak, and each window's loudest peak
-is paired with those of the following windows. A fingerprint is the time-coded pair of arrays (window, code).
+Python's wave module writes and reads the container. Windows of 256 samples, half overlapping, the last filled up
+with silence, go through a short-time Fourier transform; the strongest bin of each of four bands is a peak. Each
+window's loudest peak, and no other of its peaks, is paired with the loudest ones of the three following windows.
+A fingerprint is the time-coded pair of arrays (window, code).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT = 576
-WINDOW, HOP, AHEAD, RATE = 256, 128, 3, 8000
+WINDOW, HOP, AHEAD, RATE, SILENCE = 256, 128, 3, 8000, 128
 #: Bins at which the four bands begin and end.
 BANDS = (2, 12, 28, 60, 129)
 TAPER = np.hanning(WINDOW).astype(np.float32)
@@ -41,12 +42,13 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    """(windows, 4): the strongest bin of each band, the loudest band's first. Windows are transformed in chunks."""
+    """(windows, 5): the loudest band's strongest bin, then that of each band. Windows are transformed in chunks."""
+    samples = np.pad(samples, (0, -(len(samples) - WINDOW) % HOP), constant_values=SILENCE)
     wave_ = np.lib.stride_tricks.sliding_window_view(samples, WINDOW)[::HOP]
     out = np.empty((len(wave_), 5), dtype=np.int64)
     for at in range(0, len(wave_), chunk):
         part = wave_[at : at + chunk].astype(np.float32)
-        part -= 128
+        part -= SILENCE
         part *= TAPER
         spectrum = np.fft.rfft(part, axis=1)
         power = spectrum.real**2 + spectrum.imag**2

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from quillstone.llm.media import fingerprint, media_columns, peaks
+from quillstone.llm.media import fingerprint, media_columns, media_row, peaks
 
 from .data import by_id, docs
 
@@ -46,3 +46,11 @@ def test_direct_transform_gives_the_same_peaks():
         assert list(row[1:]) == best and row[0] == max(best, key=lambda k: power[k])
     times, codes = fingerprint(x.tobytes())
     assert len(times) == 7 + 6 + 5 and (np.diff(times) >= 0).all()
+
+
+def test_the_last_bytes_are_in_a_window():
+    for units in (1, 3):
+        start = "a" * (576 * units - 64)
+        one, other = (media_row((start + end).encode()) for end in ("a" * 64, "az" * 32))
+        assert one[6] != other[6]
+    assert len(peaks(np.zeros(576, np.uint8))) == 4 and len(peaks(np.zeros(1152, np.uint8))) == 8
