@@ -39,9 +39,10 @@ def family(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "part"), [(256, 1 << 16), (3, 5)])
+def test_equals_brute_force(spark, monkeypatch, block, part):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "PART", part)
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(40)]
     texts = [None, "", " \t", "one", "One", "a b c", "A  b\nc", "a b c d", "é É a b", "long " * 20_000, "w1 " * 5]
@@ -53,6 +54,26 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert got == brute(texts)
 
 
+def test_a_shingle_in_every_set(spark, monkeypatch):
+    """Lists of all sets, in several parts and blocks, with many answers in each."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "PART", 7)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(50)]
+    texts = ["k l m n " + t for t in family(rng, base, 70, 9)] + ["k l m n"] * 3 + ["k l m n o"]
+    assert sorted(map(tuple, J.jaccard_components(docs(spark, texts), k=4, per=80).collect())) == brute(texts, per=80)
+
+
+def test_a_pair_comes_once_for_all_equal_lists(spark, monkeypatch):
+    """Shingles that the same sets have are one list."""
+    kept = {}
+    plain = J.written
+    monkeypatch.setattr(J, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    base = [f"w{i}" for i in range(400)]
+    J.jaccard_components(docs(spark, [" ".join(base), " ".join(base[:395] + ["x"]), " ".join(f"y{i}" for i in range(30))])).collect()
+    assert kept["jaccard-postings"].count() > 50 and kept["jaccard-lists"].count() == 2
+
+
 def test_small_table_equals_brute_force(spark):
     t = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in t.select("doc_id", "text").collect())
