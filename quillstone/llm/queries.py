@@ -36,7 +36,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

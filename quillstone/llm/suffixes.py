@@ -1,12 +1,16 @@
 """Removal of repeated byte strings by a distributed merge sort of suffixes.
 
 Sorting every suffix isn't needed: in any string of LENGTH bytes the rarest-hashed of its first SPAN + 1 positions is an
-anchor, chosen by content alone, so equal strings have anchors at equal places. Suffixes at anchors are cut after CORE
-bytes. Those whose core's hash occurs once in the corpus can't be part of a repeat and are left out. The rest are
-sorted: tasks sort runs, split them by sampled splitters and exchange them front-coded, each string as the length of
-the prefix it shares with the one before it and what follows. Loser trees combine the runs and compare two strings
-only behind the prefix they are known to share. Strings that come out equal form a group, and each carries the SPAN
-bytes before and behind its core, which decide which of the LENGTH-byte strings around it occur again.
+anchor, chosen by content alone, so equal strings have anchors at equal places. An anchor whose first CORE bytes have
+a hash that occurs once in the corpus can't be part of a repeat and is left out. Suffixes at the other anchors, cut
+after LENGTH bytes, are sorted: tasks sort runs, split them by sampled splitters and exchange them front-coded, each as
+the length of the prefix it shares with the one before it and what follows. Loser trees combine the runs and compare
+two suffixes only behind the prefix they are known to share.
+
+The common prefixes of neighbours that come out of the trees decide. A string of LENGTH bytes that begins ``a`` bytes
+before an anchor occurs again if another suffix shares LENGTH - a bytes with this one, and the bytes before it share a:
+so neighbours that share so much form groups, for each ``a``, and those of a group whose SPAN bytes before the anchor,
+sorted from behind, share a bytes are repeats. All of this compares bytes; hashes only left candidates out.
 
 Anchors of cores that occur more than HOT times are replaced by two longer cores, one half a span further to the left
 and one to the right; any repeat around the anchor contains one of them. They are as rare as repeats themselves.
@@ -58,17 +62,27 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor(batches):
-    """A row for each document; its anchors, unless the task has seen its text before."""
+    """A row for each document without a core, and one for each of its cores with the places, unless the task has seen its text before."""
     seen: set[int] = set()
     for batch in batches:
-        out = []
+        keys, cores, places = [], [], []
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at, core = (None, None) if key in seen else anchors(raw)
+            keys.append(key)
+            cores.append(None)
+            places.append(None)
+            if key in seen:
+                continue
             if len(seen) < 300_000:
                 seen.add(key)
-            out.append((None, None) if at is None or not len(at) else (at.astype(np.int32), core.view(np.int64)))
-        if out:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.list_(pa.int32()), pa.list_(pa.int64()))))], ["key", "at", "core"])
+            at, core = anchors(raw)
+            if len(at):
+                core, of = np.unique(core.view(np.int64), return_inverse=True)
+                order = np.argsort(of, kind="stable")
+                keys += [key] * len(core)
+                cores += core.tolist()
+                places += np.split(at[order].astype(np.int32), np.cumsum(np.bincount(of))[:-1])
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cores, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["key", "core", "at"])
 
 
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -153,7 +167,7 @@ def merge_runs(runs: list):
         winner = i
 
 
-RUN = "part int, cores binary, around binary, key array<long>, place array<int>"
+RUN = "part int, suffixes binary, before binary, key array<long>, place array<int>"
 
 
 def _pack(*parts) -> bytes:
@@ -167,21 +181,25 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([8 * n, *ends], ends)]
 
 
+def core_of(part: int) -> int:
+    """Ranges of the longer cores have odd numbers."""
+    return CORE + part % 2 * (SPAN // 2)
+
+
 def _runs(splitters: list[bytes], limit: int = 20_000):
-    """Sorted, front-coded runs for each range of strings."""
+    """Sorted, front-coded runs for each range of suffixes."""
 
     def emit(held):
         held.sort()
         out, at = [], 0
-        cuts = [bisect_right(splitters, s[:GRAM]) for s, *_ in held]
         while at < len(held):
-            end = at
-            while end < len(held) and cuts[end] == cuts[at]:
+            end, kind = at, held[at][0]
+            cut = bisect_right(splitters, held[at][1][:GRAM])
+            while end < len(held) and held[end][0] == kind and (cut == len(splitters) or held[end][1][:GRAM] < splitters[cut]):
                 end += 1
             some = held[at:end]
-            left, right = zip(*[(x[1], x[2]) for x in some])
-            lens = np.array([[len(a), len(b)] for a, b in zip(left, right)], np.uint16)
-            out.append((cuts[at], _pack(*front_code([x[0] for x in some])), _pack(lens, b"".join(a + b for a, b in zip(left, right))), [x[3] for x in some], [x[4] for x in some]))
+            left = [x[2] for x in some]
+            out.append((2 * cut + kind, _pack(*front_code([x[1] for x in some])), _pack(np.array([len(a) for a in left], np.uint16), b"".join(left)), [x[3] for x in some], [x[4] for x in some]))
             at = end
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))], [f.split()[0] for f in RUN.split(", ")])
 
@@ -195,41 +213,40 @@ def _runs(splitters: list[bytes], limit: int = 20_000):
                 if len(seen) < 300_000:
                     seen.add(key)
                 for p, is_hot in zip(places, hot):
-                    half = SPAN // 2
-                    for q, m in ((p, CORE + half), (p - half, CORE + half)) if is_hot else ((p, CORE),):
-                        if q >= 0 and q + m <= len(raw):
-                            more = LENGTH - m
-                            held.append((raw[q : q + m], raw[max(0, q - more) : q], raw[q + m : q + m + more], key, q))
-                if len(held) >= limit:
-                    yield emit(held)
-                    held = []
+                    for q, kind in ((p, 1), (p - SPAN // 2, 1)) if is_hot else ((p, 0),):
+                        if q >= 0 and q + core_of(kind) <= len(raw):
+                            held.append((kind, raw[q : q + LENGTH], raw[max(0, q + core_of(kind) - LENGTH) : q], key, q))
+                    if len(held) >= limit:
+                        yield emit(held)
+                        held = []
         if held:
             yield emit(held)
 
     return run
 
 
-def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], more: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each member of groups with equal cores: bytes before the core at which the first repeated string begins, and the last; -1 where none does.
+def repeats(shared: np.ndarray, size: np.ndarray, left: list[bytes], times: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sorted suffixes: bytes before it at which the first repeated string begins, and the last; -1 where none does.
 
-    ``times`` counts members with the same bytes around. With the core left out, the strings around it are the substrings of ``more`` bytes of what is before and behind.
+    ``shared`` is the prefix that a suffix shares with the one before it, ``size`` its length, ``left`` the bytes before
+    it, ``times`` how many places have just these bytes. A string begins ``most`` bytes before a suffix at most.
     """
     n = len(left)
-    x = np.frombuffer(b"".join(a.rjust(more, b"\0") + b.ljust(more, b"\0") for a, b in zip(left, right)), np.uint8).reshape(n, 2 * more)
-    up, down = _power(2 * more + 1)
-    sums = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(_BYTE[x] * up[: 2 * more], axis=1)], axis=1)
-    before, behind = np.array([len(a) for a in left]), np.array([len(b) for b in right])
-    low, high = np.full(n, -1), np.full(n, -1)
-    salt = mix(group.astype(np.uint64) + np.uint64(1))
-    for a in range(more + 1):
-        fits = np.flatnonzero((before >= a) & (behind >= more - a))
+    back = [x[::-1] for x in left]
+    order = sorted(range(n), key=back.__getitem__)
+    left_shared = np.array([0, *(shared_prefix(back[i], back[j]) for i, j in zip(order, order[1:]))])
+    before = np.array([len(x) for x in left])
+    low, high, row = np.full(n, -1), np.full(n, -1), np.empty(n, np.int64)
+    for a in range(most + 1):
+        fits = np.flatnonzero((before >= a) & (size >= LENGTH - a))
         if not len(fits):
             continue
-        h = mix((sums[fits, 2 * more - a] - sums[fits, more - a]) * down[more - a] ^ salt[fits])
-        order = np.argsort(h)
-        same = h[order[1:]] == h[order[:-1]]
+        row[order] = np.cumsum(left_shared < a)
+        group = (np.cumsum(shared < LENGTH - a) * (n + 1) + row)[fits]
+        by = np.argsort(group)
+        same = group[by[1:]] == group[by[:-1]]
         again = times[fits] > 1
-        again[order[1:][same]] = again[order[:-1][same]] = True
+        again[by[1:][same]] = again[by[:-1][same]] = True
         hit = fits[again]
         high[hit] = a
         low[hit] = np.where(low[hit] < 0, a, low[hit])
@@ -237,63 +254,60 @@ def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], more: int,
 
 
 def _combine(table: pa.Table) -> pa.Table:
-    """Merge a range's runs, and find repeats around equal cores: (key, from, to). Copies that came by other tasks count once."""
+    """Merge a range's runs, and find repeats by the prefixes that neighbours share: (key, from, to). Copies that came by other tasks count once."""
     runs, members = [], []
-    for cores, around, keys, places in zip(*(table.column(c) for c in ("cores", "around", "key", "place"))):
-        shared, lengths, rests = _unpack(cores.as_py(), 3)
+    core = core_of(table.column("part")[0].as_py())
+    for suffixes, before, keys, places in zip(*(table.column(c) for c in ("suffixes", "before", "key", "place"))):
+        shared, lengths, rests = _unpack(suffixes.as_py(), 3)
         runs.append(front_decode(np.frombuffer(shared, np.uint16).tolist(), np.frombuffer(lengths, np.uint16).tolist(), rests))
-        members.append((around.as_py(), keys.values.to_pylist(), places.values.to_pylist()))
+        members.append((before.as_py(), keys.values.to_pylist(), places.values.to_pylist()))
     found: list = []
     opened: dict[int, tuple] = {}
 
-    def around_of(run: int, place: int) -> tuple[bytes, bytes]:
+    def before_of(run: int, place: int) -> bytes:
         if run not in opened:
             lens, text = _unpack(members[run][0], 2)
-            lens = np.frombuffer(lens, np.uint16).reshape(-1, 2)
-            opened[run] = lens, np.concatenate([[0], lens.sum(axis=1, dtype=np.int64).cumsum()]), text
-        lens, at, text = opened[run]
-        a = int(at[place])
-        b = a + int(lens[place, 0])
-        return text[a:b], text[b : int(at[place + 1])]
-
-    def settle(waiting: list, core: int):
-        # Members with the same bytes around share one row, as there may be very many of them.
-        rows: dict[tuple, list] = {}
-        for number, where in waiting:
-            rows.setdefault((number, *around_of(*where)), []).append(where)
-        group, left, right = zip(*rows)
-        low, high = repeats(np.array(group), left, right, LENGTH - core, np.array([len(x) for x in rows.values()]))
-        for places, a, b in zip(rows.values(), low, high):
-            if b >= 0:
-                for run, place in places:
-                    q = members[run][2][place]
-                    found.append((members[run][1][place], q - int(b), q - int(a) + LENGTH))
-
-    waiting: dict[int, list] = {CORE: [], CORE + SPAN // 2: []}
-    last, same, number = b"", {}, 0
+            opened[run] = np.concatenate([[0], np.frombuffer(lens, np.uint16).cumsum(dtype=np.int64)]), text
+        at, text = opened[run]
+        return text[int(at[place]) : int(at[place + 1])]
+
+    #: Distinct suffixes of groups that share a core: [shared prefix, length, {bytes before: places}].
+    waiting: list = []
+
+    def settle():
+        rows = [(k if not i else n, n, left, at) for k, n, lefts in waiting for i, (left, at) in enumerate(lefts.items())]
+        if rows:
+            shared, size, left, where = zip(*rows)
+            low, high = repeats(np.array(shared), np.array(size), left, np.array([len(x) for x in where]), LENGTH - core)
+            for places, a, b in zip(where, low, high):
+                if b >= 0:
+                    for key, q in places:
+                        found.append((key, q - int(b), q - int(a) + LENGTH))
+        waiting.clear()
+
+    group: list = []
+    last = b""
 
     def close():
-        nonlocal number
-        if len(same) > 1:
-            waiting[len(last)] += [(number, w) for w in same.values()]
-            number += 1
-            if len(waiting[len(last)]) >= 4096:
-                settle(waiting[len(last)], len(last))
-                waiting[len(last)] = []
+        if len(group) > 1 or any(len(at) > 1 for _, _, lefts in group for at in lefts.values()) or (group and len(group[0][2]) > 1):
+            waiting.extend(group)
+            if len(waiting) >= 4096:
+                settle()
+        group.clear()
 
     for s, shared, run, place in merge_runs(runs):
-        if not (shared == len(s) == len(last)):
+        if shared < core:
             close()
-            same, last = {}, s
-        same[members[run][1][place], members[run][2][place]] = run, place
+        if not group or not shared == len(s) == len(last):
+            group.append((shared if group else 0, len(s), {}))
+            last = s
+        group[-1][2].setdefault(before_of(run, place), {})[members[run][1][place], members[run][2][place]] = None
     close()
-    for core, some in waiting.items():
-        if some:
-            settle(some, core)
+    settle()
     return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["key", "from", "to"])
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_chars long, spans array<struct<from:long,to:long>>"
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -314,13 +328,14 @@ def _remove(batches):
         for raw, copied, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             raw = raw or b""
             runs = [(0, len(raw))] if copied and len(raw) >= LENGTH else joined([(s["from"], s["to"]) for s in spans or ()])
-            kept, at = hashlib.sha256(), 0
+            kept, at = [], 0
             for a, b in runs:
-                kept.update(raw[at:a])
+                kept.append(raw[at:a])
                 at = b
-            kept.update(raw[at:])
-            out.append((len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"from": a, "to": b} for a, b in runs]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            kept = b"".join([*kept, raw[at:]])
+            text = kept.decode("utf-8", "replace")
+            out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), text, len(text), [{"from": a, "to": b} for a, b in runs]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), kind)))], ["doc_id", *(f.split()[0] for f in OUT.split(", ")[1:-1]), "spans"])
 
 
 def splitters_of(docs: DataFrame, parts: int) -> list[bytes]:
@@ -334,22 +349,26 @@ def splitters_of(docs: DataFrame, parts: int) -> list[bytes]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte runs removed).
-
-    A byte goes if a string of 400 bytes that covers it also starts anywhere else, in the same text or another. A null
-    text is empty; texts under 400 bytes keep all. Repeated rows count as copies of each other; null ids pass through.
-    Equal texts are compared by 64-bit hashes of the whole, all other strings byte by byte up to their core and by
-    64-bit hashes around it. Other columns are not read.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, n_chars, spans.
+
+    A byte goes if a string of 400 bytes that covers it also starts anywhere else, in the same text or another; spans
+    are the runs of bytes that went. text is what remains, a character that was cut in two shown as U+FFFD, and
+    n_chars its code points; n_bytes is of the text before. A null text is empty; texts under 400 bytes keep all.
+    Repeated rows count as copies of each other; null ids pass through. A very long text is read whole in one task. An
+    empty table gives an empty table. Equal whole texts are told by 64-bit hashes, all other strings are compared byte
+    by byte. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("key", F.xxhash64("text"))
-    found = written(rows.select("key", "text").mapInArrow(_anchor, "key long, at array<int>, core array<long>"), "suffix-anchors")
+    found = written(rows.select("key", "text").mapInArrow(_anchor, "key long, core long, at array<int>"), "suffix-anchors")
     # A copy of a whole text is no second place: places are told apart by text and offset.
-    texts = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    each = found.filter("at IS NOT NULL").select("key", F.explode(F.arrays_zip("at", "core")).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.core").alias("core"))
-    place = F.xxhash64("key", "at")
-    again = each.groupBy("core").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("core", (F.col("k") > HOT).alias("hot"))
-    places = each.join(again, "core").groupBy("key").agg(F.collect_set(F.struct("at", "hot")).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.hot").alias("hot"))
+    texts = found.filter("core IS NULL").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    each = found.filter("core IS NOT NULL")
+    again = each.groupBy("core").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max(F.size("at")).alias("most"), F.sum(F.size("at")).alias("k"))
+    again = again.filter("lo <> hi OR most > 1").select("core", (F.col("k") > HOT).alias("hot"))
+    places = each.join(again, "core").groupBy("key").agg(F.collect_set(F.struct("hot", "at")).alias("x"))
+    places = places.select("key", F.flatten(F.transform("x", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("at"), x["hot"].alias("hot"))))).alias("x"))
+    places = places.select("key", F.col("x.at").alias("at"), F.col("x.hot").alias("hot"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = rows.select("key", "text").join(places, "key").mapInArrow(_runs(splitters_of(rows, parts)), RUN)
     spans = runs.groupBy("part").applyInArrow(lambda t: _combine(t), "key long, from long, to long")
