@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,32 +20,56 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; a local one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: that of spark.checkpoint.dir, or the context's. In local mode one is made where there is none; a cluster without one is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-#: Paths of work tables of this process that drop_written() removes.
-_made: list[str] = []
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+#: Paths of work tables by owner.
+_made: dict[str, list[str]] = {}
 
 
-def work_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A fresh path in the shared folder, which drop_written() removes unless it is to be kept."""
+@contextmanager
+def owned(owner: str):
+    """Work tables made meanwhile are the owner's, and go with drop_owned()."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder. What has no owner stays as long as the folder: results that are lazy still read it."""
     path = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex[:12]}"
-    if not keep:
-        _made.append(path)
+    if owner := _owner.get():
+        _made.setdefault(owner, []).append(path)
     return path
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Remove the work tables made so far; results that still read them must have been written before."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+def drop_path(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_owned(spark: SparkSession, owner: str) -> None:
+    """Remove an owner's work tables; its results that still read them must have been written before."""
+    for path in _made.pop(owner, []):
+        drop_path(spark, path)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -193,22 +193,25 @@ def _predictor(langs: list[str], model: dict):
                 best = p.argmax(axis=1)
                 names += [langs[i] if t else "und" for i, t in zip(best, texts[a:b])]
                 scores += np.clip(p[np.arange(len(p)), best], 0, 1).tolist()
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [f.split()[0] for f in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, held, pa.array(names, pa.string()), pa.array(scores, pa.float64()), batch.column(4)], [*(f.split()[0] for f in SCHEMA.split(", ")), "row"])
 
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score; and row, if ``row_col`` names a column of row numbers.
 
     Rows whose crc32(id as text) mod 4 is 2 are held out of training; a null id is not. A text that is null or
     has no letter gets `und` and 0, as all do where nothing can be learned. Equal texts get equal predictions.
-    The whole of each text is read. ``per_lang`` bounds the training sample.
+    The whole of each text is read, however long. Ties go to the language that sorts first. Repeated rows are rows of
+    their own, and count once in the training sample, which ``per_lang`` bounds. One count per language comes to the
+    driver. An empty table gives an empty table. Other columns, whatever their names, are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     held = F.coalesce(bucket_of(F.col("doc_id")) % 4 == 2, F.lit(False))
     langs, model = fit(rows.withColumn("train", ~held), per_lang)
     if not langs:
-        return rows.select("doc_id", held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *(["row"] if row_col else []))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return rows.select("doc_id", held.alias("held_out"), F.col("text").cast("binary"), letter.alias("letter")).mapInArrow(_predictor(langs, model), SCHEMA)
+    out = rows.select("doc_id", held.alias("held_out"), F.col("text").cast("binary"), letter.alias("letter"), "row").mapInArrow(_predictor(langs, model), f"{SCHEMA}, row long")
+    return out if row_col else out.drop("row")

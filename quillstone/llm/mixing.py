@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Every source is cut into blocks by a hash of the id. A source's quota is a number of whole passes over its
+Every source is cut into blocks by a hash of the id, about 512 of its rows each. A source's quota is a number of whole passes over its
 blocks and a rest; the rest is a prefix of the source's permuted blocks, of which the last is cut to the word.
 A splitting tree deals the block draws among output shards: at every node the draws of the left half are a
 multivariate-hypergeometric sample of the node's, so that all quotas stay exact and any leaf can be derived
@@ -17,12 +17,14 @@ from .common import WORD, no_null, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
+#: Beyond so many blocks a source, blocks hold more rows; draws of all sources must stay under 10^9 for numpy's sampler.
+MOST_BLOCKS = 1 << 22
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target: ``share`` of all sizes by weight, each at most ``most`` times its source.
 
-    Works on one row per source. What is cut off at a cap is shared by weight among the others, until none is
+    Works on one row per source, put in order in one task. What is cut off at a cap is shared by weight among the others, until none is
     above; that is the level at which caps and weighted shares add up, found by sorting by cap over weight.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -60,17 +62,23 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 4096, shards: int = 64, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, draws.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64, seed: int = 17, block_rows: int = 512, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, draws, source; and row, if ``row_col`` names a column of row numbers.
 
     size counts words (null text: 0); null is a source of its own, the last. draws is an array of
-    (pass, shard, words): the shard that takes the document in that pass, and how many of its words. Rows with
-    a null or repeated id are dealt like others. Empty tables give empty tables; sources without words take none.
-    One row per source, and ``blocks`` rows per source, pass through small tables; documents don't.
+    (pass, shard, words): the shard that takes the document in that pass, and how many of its words. The number of
+    blocks grows with the table, so that no task puts more than some blocks' rows in order. Rows with a null id are
+    dealt by their text; repeated rows are in one block, and rows that tie in all but their number are interchangeable.
+    Empty tables give empty tables; sources without words take none. A very long text counts whole; it is taken in part
+    where a quota ends in it. One row per source comes to the driver, its draws and name. Other columns, whatever their
+    names, are not read.
     """
     spark = docs.sparkSession
-    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(no_null(text_col), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
-    sizes = sizes.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int"))
+    luck = F.when(F.col(id_col).isNull(), F.xxhash64(text_col, F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed)))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(no_null(text_col), F.lit(WORD)).cast("long").alias("size"), luck.alias("luck"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
+    sizes = written(sizes, "mix-sizes")
+    blocks = min(max(64, sizes.count() // block_rows), MOST_BLOCKS)
+    sizes = sizes.withColumn("block", F.pmod("luck", F.lit(blocks)).cast("int"))
     in_block = sizes.groupBy("source", "block").agg(F.sum("size").alias("words"))
     shuffled = Window.partitionBy("source").orderBy(F.xxhash64("block", "source", F.lit(seed + 1)), "block")
     place = in_block.withColumn("place", F.row_number().over(shuffled) - 1).withColumn("before", F.sum("words").over(shuffled.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
@@ -96,15 +104,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is_cut = F.exists("plan", lambda d: d["limit"].isNotNull())
     take = lambda words: F.transform("plan", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["limit"].isNull(), F.col("size")).otherwise(words(d["limit"])).alias("words")))
     whole = rows.filter(~is_cut).withColumn("draws", take(lambda _: F.col("size")))
-    # One block of each source is cut: 1/blocks of its documents, put in order to find where the quota ends.
-    order = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    # One block of each source is cut: its rows are put in order to find where the quota ends.
+    order = Window.partitionBy("source", "block").orderBy(F.xxhash64("luck", F.lit(seed + 2)), F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
     part = rows.filter(is_cut).withColumn("ahead", F.coalesce(F.sum("size").over(order), F.lit(0)))
     part = part.withColumn("draws", take(lambda limit: F.greatest(F.lit(0), F.least(F.col("size"), limit - F.col("ahead"))))).drop("ahead")
     out = whole.unionByName(part).withColumn("draws", F.filter("draws", lambda d: d["words"] > 0))
-    return out.select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws", "source")
+    return out.select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws", "source", *(["row"] if row_col else []))
 
 
-def local_order(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """A row per document and draw, dealt by shard and shuffled inside it: shard, doc_id, pass, words."""
-    rows = mixed.select("doc_id", F.explode("draws").alias("d")).select("d.shard", "doc_id", "d.pass", "d.words")
-    return rows.repartitionByRange("shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "pass", F.lit(seed + 3)), "doc_id", "pass")
+def local_order(rows: DataFrame, shard: str = "shard", nth: str = "pass", key: str = "doc_id", seed: int = 17) -> DataFrame:
+    """Rows dealt by shard and shuffled inside it: the order is by a seeded hash of the key and the pass."""
+    return rows.repartitionByRange(shard, F.xxhash64(key, nth, F.lit(seed + 3))).sortWithinPartitions(shard, F.xxhash64(key, nth, F.lit(seed + 3)), key, nth)

@@ -44,7 +44,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp_times", "fp_codes")
+    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("draws", "source")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
 
 
 QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_pieces": op6_pieces, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op9_html_extraction": op9_html_extraction, "op10_mixing": op10_mixing}

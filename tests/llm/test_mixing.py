@@ -44,7 +44,8 @@ def test_targets_and_quotas(spark):
         assert all(abs(r.target - target) < 1e-6 * (1 + target) and r.source_size == sizes[s] for r in mine)
         assert abs(sum(r.taken for r in mine) - target) <= 1
     assert sorted(map(tuple, mix(docs(spark, texts, sources).repartition(5), shards=8).collect()), key=str) == sorted(map(tuple, got), key=str)
-    order = local_order(rows).groupBy("shard").agg(F.sum("words").alias("n")).collect()
+    dealt = rows.select("doc_id", F.explode("draws").alias("d")).select("d.shard", "doc_id", "d.pass", "d.words")
+    order = local_order(dealt).groupBy("shard").agg(F.sum("words").alias("n")).collect()
     assert sum(r.n for r in order) == sum(r.taken for r in got)
 
 
@@ -56,6 +57,26 @@ def test_tree_is_exact_and_spread():
     assert abs(table[:, 0] - 62.5).max() < 25 and (split_quotas(q, 16, seed=3) == table).all()
 
 
+def test_draws_follow_the_tree(spark, monkeypatch):
+    """Blocks drawn by each shard are what the tree dealt; another tree gives other draws."""
+    texts, sources = ["w " * 10] * 300, ["a", "b", "c"] * 100
+    words = lambda: sorted((r.shard, r.source, r.n) for r in mix(docs(spark, texts, sources), shards=4, block_rows=1).select("source", F.explode("draws").alias("d")).groupBy("source", "d.shard").agg(F.sum("d.words").alias("n")).collect())
+    spread = words()
+    assert len({s for s, _, _ in spread}) == 4
+    seen = []
+
+    def to_first(quotas, shards, seed=0):
+        seen.append(split_quotas(quotas, shards, seed))
+        out = np.zeros((shards, len(quotas)), np.int64)
+        out[0] = quotas
+        return out
+
+    monkeypatch.setattr("quillstone.llm.mixing.split_quotas", to_first)
+    assert {s for s, _, _ in words()} == {0} and sum(n for *_, n in words()) == sum(n for *_, n in spread)
+    drawn = {(s, "abc"[i]) for s in range(4) for i in range(3) if seen[0][s, i]}
+    assert {(s, name) for s, name, _ in spread} == drawn
+
+
 def test_edges(spark):
     assert mix(docs(spark, ["a"]).limit(0)).count() == 0
     assert [r.taken for r in mix(docs(spark, [None, ""], ["a", None])).collect()] == [0, 0]

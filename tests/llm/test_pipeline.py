@@ -2,6 +2,8 @@ import importlib
 
 import pytest
 
+from quillstone.llm.jaccard import jaccard_components
+
 from .data import SF, docs
 from .test_jaccard import brute
 
@@ -45,4 +47,27 @@ def test_run_and_edges(spark):
     odd = docs(spark, [None, "", "12 34", "hello there", "hello  there"], langs=["en"] * 5, ids=[0, 1, None, None, 4])
     assert sorted(r.text for r in pipeline.language_id(spark, odd, SF).collect())[-2:] == ["hello  there", "hello there"]
     assert [r.doc_id for r in pipeline.exact_dedup(spark, odd.filter("n_chars IS NULL AND text LIKE 'h%'"), SF).collect()] == [4]
-    assert pipeline.mixing(spark, odd.limit(0), SF).count() == 0
+    assert [s(spark, odd.limit(0), SF).count() for _, s in pipeline.STAGES] == [0] * 5
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark, tmp_path):
+    """Each row has its own fate, and columns named like a stage's own are carried along."""
+    text = "some words of a text that is long enough to be cut into several shingles"
+    rows = [(7, text, 1), (7, text, 1), (None, text, 2), (None, "another text without any copy in here at all, really", 3), (None, "and one more that is alone, with a null id as well", 4)]
+    docs_ = spark.createDataFrame([(i, t, "en", "s", n, 5, 6, 7, "x", 8) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, shard int, pass int, taken long, row string, component_id long")
+    docs_.write.parquet(f"{tmp_path}/odd")
+    docs_ = spark.read.parquet(f"{tmp_path}/odd")
+    left = {n: sorted(r.n_chars for r in s(spark, docs_, SF).collect()) for n, s in pipeline.STAGES[:4]}
+    assert left["language_id"] == [1, 1, 2, 3, 4]
+    assert left["exact_dedup"] == left["ngram_jaccard_join"] == [1, 3, 4]
+    assert set(left["mixing"]) <= {1, 2, 3, 4} and len(left["mixing"]) >= 5
+    assert pipeline.mixing(spark, docs_, SF).columns == docs_.columns
+
+
+def test_results_of_others_keep_their_tables(spark):
+    """A stage removes the tables of its own pipeline's stages alone."""
+    mine = jaccard_components(docs(spark, ["a b c d e"] * 2))
+    pipeline.exact_dedup(spark, docs(spark, ["x"]), SF)
+    other = pipeline.mixing(spark, docs(spark, ["a b", "c"], ["s", "s"]), "another folder")
+    pipeline.sentencepiece(spark, docs(spark, ["x"]), SF)
+    assert mine.count() == 2 and other.count() > 0
