@@ -91,7 +91,9 @@ class Roller:
                     sha.update(data)
             if sha.digest() != self.sha.digest():
                 raise ValueError(f"{to} holds other records")
-        self.fs.move(self.temp, to)
+            self.fs.delete_file(self.temp)  # not every store lets a name be taken over
+        else:
+            self.fs.move(self.temp, to)
 
 
 def _writer(root: str, limit: int):
@@ -142,6 +144,9 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
     fs.create_dir(path, recursive=True)
     manifest = rows.sortWithinPartitions("shard", "salt", "digest", F.asc_nulls_last("page_id"), F.asc_nulls_last("url")).mapInArrow(_writer(root, roll_bytes), MANIFEST)
     manifest.write.parquet(f"{root}/manifest")
+    for left in fs.get_file_info(pafs.FileSelector(path)):  # of attempts that were lost
+        if left.base_name.startswith("_tmp-"):
+            fs.delete_file(left.path)
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
@@ -171,6 +176,19 @@ def parse(data: bytes) -> tuple[dict, bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
+class Counted:
+    """A stream that counts and digests what is read."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sha.update(data)
+        return data
+
+
 def _reader(root: str):
     def row(data: bytes) -> tuple:
         h, payload = parse(data)
@@ -185,14 +203,17 @@ def _reader(root: str):
         fs, path = pafs.FileSystem.from_uri(root)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, *listed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
-                    rows = []
+                    rows, records, stream = [], 0, Counted(stream)
                     for data in members(stream):
                         rows.append(row(data))
+                        records += 1
                         if len(rows) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in ROWS.split(", ")])
                             rows = []
+                    if [records, stream.size, stream.sha.hexdigest()] != listed:
+                        raise ValueError(f"{name} isn't the file that the manifest lists")
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in ROWS.split(", ")])
 
@@ -200,6 +221,6 @@ def _reader(root: str):
 
 
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record the manifest lists."""
-    files = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("file")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record the manifest lists. Records, bytes and SHA-256 of each file are held against the manifest."""
+    files = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     return files.repartition(F.col("file")).mapInArrow(_reader(root), ROWS)

@@ -1,6 +1,7 @@
 import glob
 import gzip
 import hashlib
+import shutil
 
 import pytest
 
@@ -56,9 +57,10 @@ def test_repeats_nulls_and_empty_table(spark, tmp_path):
     assert read_warc(spark, f"file://{tmp_path}/e").count() == 0
 
 
-def test_a_shard_stays_in_one_task(spark, tmp_path):
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 20) for i in range(3000)]
-    confs = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+@pytest.mark.parametrize(("parts", "coalesce"), [("1", "false"), ("8", "true"), ("24", "false"), ("211", "false")])
+def test_a_shard_stays_in_one_task(spark, tmp_path, parts, coalesce):
+    rows = [(i, f"http://h/{i}", "hot" * 50 if i % 3 == 0 else f"<p>{i}</p>" * 20) for i in range(3000)]
+    confs = {"spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.shuffle.partitions": parts}
     before = {k: spark.conf.get(k) for k in confs}
     try:
         for k, v in confs.items():
@@ -70,7 +72,23 @@ def test_a_shard_stays_in_one_task(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len({r.file for r in manifest}) == len(manifest) and sum(r.records for r in manifest) == 3000
-    assert got == [(i, len(h), hashlib.sha256(h.encode()).hexdigest(), "response", None) for i, _, h in rows]
+    hot = [i for i, _, h in rows if h.startswith("hot")]
+    assert got == [(i, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if i in hot[1:] else "response", 0 if i in hot[1:] else None) for i, _, h in rows]
+
+
+def test_attempts_that_were_lost(spark, tmp_path):
+    """What a lost attempt left is taken over or removed; a file that isn't as listed isn't read."""
+    rows, root = [(i, "u", f"<p>{i}</p>" * 30) for i in range(50)], f"file://{tmp_path}/g"
+    first = write_warc(pages(spark, rows), root, roll_bytes=500).collect()
+    shutil.rmtree(tmp_path / "g" / "manifest")
+    (tmp_path / "g" / "_tmp-0").write_bytes(b"half a record")
+    assert sorted(write_warc(pages(spark, rows), root, roll_bytes=500).collect()) == sorted(first)
+    assert not glob.glob(f"{tmp_path}/g/_tmp*") and read_warc(spark, root).count() == 50
+    name = glob.glob(f"{tmp_path}/g/*.gz")[0]
+    data = open(name, "rb").read()
+    open(name, "wb").write(data + gzip.compress(gzip.decompress(data)))
+    with pytest.raises(Exception, match="isn't the file that the manifest lists"):
+        read_warc(spark, root).collect()
 
 
 def test_a_file_of_other_contents_is_not_replaced(tmp_path):
