@@ -1,14 +1,18 @@
 """Main text of web pages by wrappers inferred from each host's pages.
 
 A page is a stream of slots: the open elements (with their classes) around each text block. A host's wrapper is a
-union-free regular expression over slots. It starts as one page's stream with adjacent repeats folded into groups;
-every further page is aligned with it, and each mismatch makes what only one side has optional. Every slot also adds
-up its text, linked text and pages. All pages take part: tasks fold their own pages, and the wrappers of a host, at
-most one from each task, are aligned in two rounds. From each page the wrapper's slots under the article are extracted,
-or, where the page has none, those under the main part, or else those that are mostly plain text on the host. Left out
-are blocks whose text is the same on every page of the host that has their slot: they are template, not text slots.
-Which slots are kept is decided by elements and words of classes; the order and the optional and repeated marks of the
-wrapper describe the host and take no part in this.
+union-free regular expression over slots, a list of leaves. It starts as one page's stream with adjacent repeats folded
+into repeated groups. Every further page is aligned with it: each mismatch makes what only one side has optional, and
+texts that differ at a place make it a text slot, while a text that all pages have at that place is the template's own.
+A leaf so has its place in the order of the wrapper, and adds up its text, linked text and pages. All pages take part:
+tasks fold their own pages, and the wrappers of a host, at most one from each task, are aligned in two rounds.
+
+A page is then matched with its host's wrapper, and what its leaves are decides about its blocks. Elements that HTML
+itself sets apart (navigation, footers, forms and so on) go. Of the rest, leaves inside an article element are kept, or,
+where the page has none, inside a main element, or else those of the region that holds most of the varying, unlinked
+text of the leaves that the page has: from the root, the element that holds two thirds of it is entered again and again.
+Template texts of kept leaves go. Class names decide only what alignment can't know: lists of comments and the like are
+never kept, and an element named as an advert, notice and so on isn't, unless it holds most of the page's text itself.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style textarea title noscript template iframe svg select button xmp noembed".split()
@@ -36,9 +42,9 @@ NOISE_TAGS = set("head nav footer aside form menu dialog".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored banner breadcrumb breadcrumbs comment comments respond replies disqus cookie cookies consent gdpr notice notices alert footer masthead menu menus modal popup nav navbar navigation newsletter pagination promo related recommended share sharing sidebar sidebars social subscribe toolbar widget widgets contentinfo complementary search".split())
 #: Those of them that name lists of items.
 ITEM_WORDS = set("comment comments respond replies related recommended".split())
-MAIN_WORDS = set("articlebody main content post entry story".split())
 #: Different pages that must have a slot before what they all have in it counts as template.
 DISTINCT = 5
+SALTS = 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]).*?>|</{t}>|\Z", re.S | re.I) for t in RAW}
@@ -115,50 +121,99 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def fold(stream: list, longest: int = 8) -> list:
-    """The stream as items [body, optional, repeated]: adjacent repeats of up to ``longest`` items become one group."""
-    items = [[s, False, False] for s in stream]
+class Leaf:
+    """A place in a wrapper: its slot, whether pages can lack it, whether it is in a repeated group, and sums over all pages.
+
+    Sums: characters, linked characters, blocks, marks of the texts that all pages have here (None before the first page),
+    marks of up to DISTINCT different pages.
+    """
+
+    __slots__ = ("slot", "optional", "repeated", "sums", "ahead")
+
+    def __init__(self, slot, optional=False, repeated=False, sums=None):
+        self.slot, self.optional, self.repeated, self.sums, self.ahead = slot, optional, repeated, sums or [0, 0, 0, None, []], None
+
+    def here(self) -> Leaf:
+        """The leaf that this one has become part of."""
+        return self if self.ahead is None else self.ahead.here()
+
+    def take(self, other: Leaf) -> None:
+        self.optional |= other.optional
+        self.repeated |= other.repeated
+        mine, its = self.sums, other.sums
+        if its[3] is not None:
+            same = its[3] if mine[3] is None else sorted(set(mine[3]).intersection(its[3]))
+            self.sums = [*(a + b for a, b in zip(mine[:3], its[:3])), same, sorted({*mine[4], *its[4]})[:DISTINCT] if same else []]
+        other.ahead = self
+
+    def is_fixed(self) -> bool:
+        """Whether the template has a text of its own here."""
+        return bool(self.sums[3]) and len(self.sums[4]) >= DISTINCT
+
+    def plain(self) -> int:
+        """Characters of varying text, if most of it isn't linked."""
+        chars, linked = self.sums[:2]
+        return 0 if 2 * linked >= chars or (self.is_fixed() and len(self.sums[3]) == 1 and not self.repeated) else chars
+
+
+def fold(stream: list[str], longest: int = 8) -> list[tuple[str, bool, list[int]]]:
+    """(slot, repeated, numbers of its blocks) of a page's leaves: adjacent repeats of up to ``longest`` units become one."""
+    units = [[(s, False, [i])] for i, s in enumerate(stream)]
+    name = lambda unit: tuple(x[0] for x in unit)
     for width in range(1, longest + 1):
-        out, i = [], 0
-        while i < len(items):
-            body = [x[0] for x in items[i : i + width]]
-            j = i + width
-            while len(body) == width and [x[0] for x in items[j : j + width]] == body:
+        out, i, names = [], 0, [name(u) for u in units]
+        while i < len(units):
+            body, j = names[i : i + width], i + width
+            while len(body) == width and names[j : j + width] == body:
                 j += width
             if j > i + width:
-                out.append([body[0] if width == 1 else items[i : i + width], any(x[1] for x in items[i:j]) and width == 1, True])
+                rounds = [[x for u in units[k : k + width] for x in u] for k in range(i, j, width)]
+                out.append([(same[0][0], True, [n for x in same for n in x[2]]) for same in zip(*rounds)])
                 i = j
             else:
-                out.append(items[i])
+                out.append(units[i])
                 i += 1
-        items = out
-    return items
+        units = out
+    return [x for u in units for x in u]
+
 
+def matching(a: list[str], b: list[str]) -> list[tuple]:
+    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
-def align(a: list, b: list) -> list:
-    """One wrapper for two: what both have stays, in order; what one has becomes optional."""
-    key = lambda x: json.dumps(x[0])
-    out: list = []
-    for kind, i, j, k, m in SequenceMatcher(None, [key(x) for x in a], [key(x) for x in b], autojunk=False).get_opcodes():
+
+def align(a: list[Leaf], b: list[Leaf]) -> list[Leaf]:
+    """One wrapper for two: what both have stays, in order, and adds up; what one has becomes optional."""
+    out: list[Leaf] = []
+    for kind, i, j, k, m in matching([x.slot for x in a], [x.slot for x in b]):
         if kind == "equal":
-            out += [[x[0], x[1] or y[1], x[2] or y[2]] for x, y in zip(a[i:j], b[k:m])]
+            for x, y in zip(a[i:j], b[k:m]):
+                x.take(y)
+            out += a[i:j]
         else:
-            out += [[x[0], True, x[2]] for x in (*a[i:j], *b[k:m])]
+            for x in (*a[i:j], *b[k:m]):
+                x.optional = True
+                out.append(x)
     seen = out[:1]
     for x in out[1:]:  # a slot next to itself is a repeat
-        if x[0] == seen[-1][0]:
-            seen[-1] = [x[0], x[1] and seen[-1][1], True]
+        if x.slot == seen[-1].slot:
+            seen[-1].take(x)
+            seen[-1].repeated = True
         else:
             seen.append(x)
     return seen
 
 
-def slots(wrapper: list) -> list[str]:
-    """Slots of a wrapper in order, without repeats."""
-    found: dict = {}
-    for body, _, _ in wrapper:
-        found |= dict.fromkeys([body] if isinstance(body, str) else slots(body))
-    return list(found)
+def places(wrapper: list[Leaf], page: list[tuple]) -> list[Leaf]:
+    """The wrapper's leaf for each leaf of a page. One out of order belongs to the leaf of its slot with most text."""
+    found: list = [None] * len(page)
+    for kind, i, j, k, _ in matching([x.slot for x in wrapper], [x[0] for x in page]):
+        if kind == "equal":
+            found[k : k + j - i] = wrapper[i:j]
+    most: dict[str, Leaf] = {}
+    for x in wrapper:
+        if x.slot not in most or x.sums[0] > most[x.slot].sums[0]:
+            most[x.slot] = x
+    return [f or most.get(x[0]) or Leaf(x[0]) for f, x in zip(found, page)]
 
 
 @lru_cache(1 << 16)
@@ -172,100 +227,104 @@ def is_named(names: list[str], listed: set) -> bool:
     return any((w := words_of(n)) and listed.issuperset(w) for n in names)
 
 
-def is_noise(slot: str) -> bool:
-    """Whether the slot is in a part that isn't the article. A name says nothing where an article or main part lies below it, unless it is of a list of other items, which can be articles themselves."""
-    inside, parts = False, [part.split(".") for part in slot.split("/")]
+def nature(slot: str) -> str:
+    """`out`: elements that HTML sets apart, and named lists of other items. `named`: has a name of noise, with no article or main element below. Otherwise the container: `article`, `main` or `open`."""
+    inside, found, parts = "open", "", [part.split(".") for part in slot.split("/")]
     for i, (tag, *names) in enumerate(parts):
-        if tag in NOISE_TAGS or (tag == "header" and not inside):
-            return True
-        if tag not in ("body", "html") and is_named(names, NOISE_WORDS) and (is_named(names, ITEM_WORDS) or not any(p[0] in ("article", "main") for p in parts[i + 1 :])):
-            return True
-        inside = inside or tag in ("article", "main")
-    return False
-
-
-def containers(wrapper: list, sums: dict) -> tuple[list[str], ...]:
-    """Slots that can hold the main text: in an article, in a main part, mostly plain. Sums: characters, linked characters and blocks by slot."""
-    clean = [s for s in slots(wrapper) if not is_noise(s)]
-    in_article = [s for s in clean if any(p.split(".")[0] == "article" for p in s.split("/"))]
-    in_main = [s for s in clean if any(p.split(".")[0] == "main" or any(MAIN_WORDS.intersection(words_of(n)) for n in p.split(".")[1:]) for p in s.split("/"))]
-    plain = [s for s in clean if 2 * sums[s][1] < sums[s][0]]
-    return in_article, in_main, plain
-
-
-def kept_slots(wrapper: list, sums: dict) -> list[str]:
-    """The slots of the first container that has any."""
-    return next(filter(None, containers(wrapper, sums)), [])
-
-
-def main_blocks(found: list[tuple], choices: tuple, template: set) -> list[tuple]:
-    """Blocks of one page in the first container that this page has: a host's pages can be of several templates.
-
-    Template texts are left out, unless the page would have no other text.
-    """
-    kept = next(filter(None, ([b for b in found if b[0] in c] for c in choices)), [])
-    if not template:
-        return kept
-    own = [b for b in kept if (b[0], mark(b[1])) not in template]
-    return own or kept
+        if tag in NOISE_TAGS or (tag == "header" and inside == "open"):
+            return "out"
+        if tag not in ("body", "html") and is_named(names, NOISE_WORDS):
+            if is_named(names, ITEM_WORDS):
+                return "out"
+            if not any(p[0] in ("article", "main") for p in parts[i + 1 :]):
+                found = "named"
+        if tag == "article" or (tag == "main" and inside == "open"):
+            inside = tag
+    return found or inside
+
+
+def region(leaves: list[Leaf]) -> list[Leaf]:
+    """The leaves of the smallest element that holds two thirds of the varying plain text at each step from the root."""
+    some, depth = [x for x in leaves if x.plain()], 0
+    while some:
+        by: dict = {}
+        for x in some:
+            parts = x.slot.split("/")
+            if len(parts) > depth + 1:  # the last part is the block itself
+                by[parts[depth]] = by.get(parts[depth], 0) + x.plain()
+        best = max(by, key=by.get, default=None)
+        if best is None or 3 * by[best] < 2 * sum(x.plain() for x in some):
+            return some
+        some, depth = [x for x in some if len(p := x.slot.split("/")) > depth + 1 and p[depth] == best], depth + 1
+    return some
+
+
+def chosen(leaves: list[Leaf]) -> set[int]:
+    """Numbers of a page's leaves that hold its main text."""
+    of = [nature(x.slot) for x in leaves]
+    for container in ("article", "main"):
+        if container in of:
+            return {i for i, n in enumerate(of) if n == container}
+    mass = lambda kind: sum(x.plain() for x, n in zip(leaves, of) if n in kind)
+    kinds = ("open", "named") if mass(("named",)) > mass(("open",)) else ("open",)
+    kept = {id(x) for x in region([x for x, n in zip(leaves, of) if n in kinds])}
+    return {i for i, (x, n) in enumerate(zip(leaves, of)) if id(x) in kept and n in kinds}
+
+
+def main_blocks(found: list[tuple], page: list[tuple], leaves: list[Leaf], kept: set[int]) -> list[int]:
+    """Numbers of one page's main blocks. Template texts are left out, unless the page would have no other text."""
+    mine = sorted((n, i) for i in kept for n in page[i][2])
+    own = [n for n, i in mine if not (leaves[i].is_fixed() and mark(found[n][1]) in leaves[i].sums[3])]
+    return own or [n for n, _ in mine]
 
 
 def mark(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def template_texts(sums: dict) -> set[tuple[str, str]]:
-    """(slot, mark) of the blocks that are equal on all pages with the slot, where DISTINCT different pages have it."""
-    return {(slot, m) for slot, s in sums.items() if len(s[4]) >= DISTINCT for m in s[3]}
-
-
 class Host:
-    """A wrapper as it grows, with the sums of its slots: characters, linked characters, blocks, marks of the texts
-    that all pages with the slot have, marks of up to DISTINCT different pages with the slot."""
+    """A wrapper as it grows. Pages of a shape that was seen add to the leaves that the first of them was aligned with."""
 
-    def __init__(self, wrapper=None, sums=None):
-        self.wrapper, self.sums, self.known = wrapper, sums or {}, set()
+    def __init__(self):
+        self.wrapper, self.known = [], {}
 
     def page(self, found: list[tuple]) -> None:
-        texts: dict[str, list[str]] = {}
-        for slot, text, linked in found:
-            texts.setdefault(slot, []).append(text)
-            s = self.sums.setdefault(slot, [0, 0, 0, None, []])
-            s[0] += len(text)
-            s[1] += linked
-            s[2] += 1
+        page = fold([s for s, _, _ in found])
+        shape = tuple(x[:2] for x in page)
+        leaves = self.known.get(shape)
+        if leaves is None:
+            leaves = [Leaf(s, repeated=r) for s, r, _ in page]
+            # An empty page says that everything is optional, as any other that lacks it does.
+            self.wrapper = align(self.wrapper, leaves) if self.wrapper or self.known else leaves
+            if len(self.known) >= 1000:
+                self.known.clear()
+            self.known[shape] = leaves
         whole = None
-        for slot, of in texts.items():
-            s = self.sums[slot]
-            if s[3] is None:
-                s[3] = sorted(set(map(mark, of)))
-            elif s[3]:
-                s[3] = sorted(set(map(mark, of)).intersection(s[3]))
-            if s[3] and len(s[4]) < DISTINCT:
-                whole = whole or mark(json.dumps(found))
-                if whole not in s[4]:
-                    s[4].append(whole)
-        items = fold([s for s, _, _ in found])
-        shape = json.dumps(items)
-        if shape not in self.known:  # pages of a known shape change nothing
-            if len(self.known) < 1000:
-                self.known.add(shape)
-            self.wrapper = items if self.wrapper is None else align(self.wrapper, items)
-
-    def merge(self, other: Host) -> None:
-        for slot, s in other.sums.items():
-            if (mine := self.sums.get(slot)) is None:
-                self.sums[slot] = s
-            else:
-                same = sorted(set(mine[3]).intersection(s[3]))
-                pages = sorted({*mine[4], *s[4]})[:DISTINCT] if same else []
-                self.sums[slot] = [*(a + b for a, b in zip(mine[:3], s[:3])), same, pages]
-        self.wrapper = other.wrapper if self.wrapper is None else self.wrapper if self.wrapper == other.wrapper else align(self.wrapper, other.wrapper)
+        for leaf, (_, _, numbers) in zip(leaves, page):
+            s = leaf.here().sums
+            s[0] += sum(len(found[n][1]) for n in numbers)
+            s[1] += sum(found[n][2] for n in numbers)
+            s[2] += len(numbers)
+            if s[3] is None or s[3]:
+                of = {mark(found[n][1]) for n in numbers}
+                s[3] = sorted(of if s[3] is None else of.intersection(s[3]))
+                if s[3] and len(s[4]) < DISTINCT:
+                    whole = whole or mark(json.dumps(found))
+                    if whole not in s[4]:
+                        s[4].append(whole)
+
+
+def dump(wrapper: list[Leaf]) -> str:
+    return json.dumps([[x.slot, x.optional, x.repeated, x.sums] for x in wrapper])
+
+
+def load(raw: str) -> list[Leaf]:
+    return [Leaf(*x) for x in json.loads(raw)]
 
 
 def _infer(batches):
     def rows(hosts):
-        return pa.RecordBatch.from_arrays([pa.array(list(hosts)), pa.array([json.dumps(h.wrapper) for h in hosts.values()]), pa.array([json.dumps(h.sums) for h in hosts.values()])], ["host", "wrapper", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(list(hosts)), pa.array([dump(h.wrapper) for h in hosts.values()])], ["host", "wrapper"])
 
     hosts: dict[str, Host] = {}
     for batch in batches:
@@ -279,16 +338,17 @@ def _infer(batches):
 
 
 def _merge(table: pa.Table, last: bool = False) -> pa.Table:
-    total = Host()
-    order = sorted(zip(table.column("wrapper").to_pylist(), table.column("sums").to_pylist()))
-    for w, s in order:
-        total.merge(Host(json.loads(w), json.loads(s)))
+    first, *rest = map(load, sorted(table.column("wrapper").to_pylist(), key=lambda w: (-len(w), w)))
+    for other in rest:
+        first = align(first, other)
     if last:  # marks that no page will be matched with
-        total.sums = {slot: s if len(s[4]) >= DISTINCT else [*s[:3], [], []] for slot, s in total.sums.items()}
-    return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(total.wrapper)], "sums": [json.dumps(total.sums)]})
+        for x in first:
+            if not x.is_fixed():
+                x.sums[3:] = [[], []]
+    return pa.table({"host": table.column("host")[:1], "wrapper": [dump(first)]})
 
 
-WRAPPERS = "host string, wrapper string, sums string"
+WRAPPERS = "host string, wrapper string"
 
 
 def host_of(url: str):
@@ -297,33 +357,57 @@ def host_of(url: str):
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper and sums (both JSON) from all pages; pages without a host share the empty one."""
+    """host and wrapper (JSON) from all pages; pages without a host share the empty one."""
     parts = pages.select(host_of(url_col).alias("host"), F.col(html_col)).mapInArrow(_infer, WRAPPERS)
     parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("host", "salt").applyInArrow(lambda t: _merge(t), WRAPPERS)
     return parts.groupBy("host").applyInArrow(lambda t: _merge(t, True), WRAPPERS)
 
 
-def _extract(batches):
-    last: tuple = (None, (), set())
-    for batch in batches:
-        out = []
-        for source, wrapper, sums in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            if last[0] != (wrapper, sums):
-                of = json.loads(sums)
-                last = ((wrapper, sums), tuple(map(set, containers(json.loads(wrapper), of))), template_texts(of))
-            out.append("\n".join(t for _, t, _ in main_blocks(blocks(source or ""), *last[1:])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _extract(wrappers):
+    """Text of pages. ``wrappers``: by host, broadcast, or None if each row brings its own."""
+
+    def run(batches):
+        parsed: dict[str, tuple] = {}
+        for batch in batches:
+            out = []
+            own = batch.column(4).to_pylist() if wrappers is None else None
+            for i, (source, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if host not in parsed:
+                    if len(parsed) >= 2000:
+                        parsed.clear()
+                    parsed[host] = load((own[i] if wrappers is None else wrappers.value.get(host)) or "[]"), {}
+                wrapper, known = parsed[host]
+                found = blocks(source or "")
+                page = fold([s for s, _, _ in found])
+                shape = tuple(x[:2] for x in page)
+                if shape not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    leaves = places(wrapper, page)
+                    known[shape] = leaves, chosen(leaves)
+                out.append("\n".join(found[n][1] for n in main_blocks(found, page, *known[shape])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
     Blocks of the main text in page order, parted by a line feed; inside a block white space becomes one blank and
     character references are decoded; a line break element counts as white space. Null or empty html, and pages
     without main text, give the empty text. Null urls share a host. Repeated rows give repeated results. Pages are
-    read whole, a page at a time.
+    read whole, a page at a time, however long. Wrappers of ``most_bytes`` in all are broadcast, and pages stay where
+    they are; more are joined by host and a salt, so that no host is one task. Ties of regions go to the first on the
+    page. An empty table gives an empty table. Other columns, whatever their names, are not read.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = infer_wrappers(rows, "url", "html")
-    rows = rows.withColumn("host", host_of("url")).join(found, "host", "left")
-    return rows.select("page_id", "url", "html", F.coalesce("wrapper", F.lit("[]")), F.coalesce("sums", F.lit("{}"))).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    found = written(infer_wrappers(rows, "url", "html"), "wrappers")
+    rows, out = rows.withColumn("host", host_of("url")), "page_id long, url string, text string, n_chars long"
+    size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    if size <= most_bytes:
+        return rows.mapInArrow(_extract(spark.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()})), out)
+    salt, salts = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rows = rows.withColumn("salt", salt).join(found.withColumn("salt", salts), ["host", "salt"], "left")
+    return rows.select("page_id", "url", "html", "host", "wrapper").mapInArrow(_extract(None), out)

@@ -1,6 +1,7 @@
+import random
 import re
 
-from quillstone.llm.wrappers import align, blocks, extract, fold, kept_slots, slots
+from quillstone.llm.wrappers import Leaf, align, blocks, extract, fold, nature, places
 
 from .data import SF, by_id
 
@@ -32,14 +33,50 @@ def test_article_without_noise(spark):
 
 
 def test_wrapper_inference():
-    assert fold(list("abababc")) == [[[["a", False, False], ["b", False, False]], False, True], ["c", False, False]]
-    assert fold(list("aab")) == [["a", False, True], ["b", False, False]]
-    w = align(fold(list("abc")), fold(list("accd")))
-    assert w == [["a", False, False], ["b", True, False], ["c", False, True], ["d", True, False]] or slots(w) == ["a", "b", "c", "d"]
-    assert slots(align(w, fold(list("xa")))) == ["x", "a", "b", "c", "d"]
+    assert fold(list("abababc")) == [("a", True, [0, 2, 4]), ("b", True, [1, 3, 5]), ("c", False, [6])]
+    assert fold(list("aab")) == [("a", True, [0, 1]), ("b", False, [2])]
+    leaf = lambda text: [Leaf(s, repeated=r) for s, r, _ in fold(list(text))]
+    shown = lambda w: " ".join(x.slot + "+" * x.repeated + "?" * x.optional for x in w)
+    assert shown(w := align(leaf("abc"), leaf("accd"))) == "a b? c+ d?"
+    assert shown(align(w, leaf("xa"))) == "x? a b? c+? d?"
+    assert shown(align(leaf("ahphpf"), leaf("ahpf"))) == "a h+ p+ f"
+    assert [x.slot for x in places(align(leaf("aba"), leaf("aca")), fold(list("aba")))] == ["a", "b", "a"]
     found = blocks("<body><nav><a>m</a></nav><article><p>x</p></article></body>")
     assert [s for s, _, _ in found] == ["body/nav", "body/article/p"] and found[0][2] == 1
-    assert kept_slots(fold([s for s, _, _ in found]), {s: [1, 0, 1] for s, _, _ in found}) == ["body/article/p"]
+    assert [nature(s) for s, _, _ in found] == ["out", "article"]
+
+
+def test_the_place_in_the_wrapper_decides(spark):
+    """Slots are alike, without names or main elements: only alignment tells the template's place from a text slot that says the same once."""
+    story = lambda i: "Tell your friends" if i == 3 else f"A story of number {i} and more"
+    rows = [(i, f"http://s.com/{i}", f"<body><div><p>Tell your friends</p></div><div><h2>T{i}</h2><p>{story(i)}</p></div></body>") for i in range(9)]
+    assert {k: r.text for k, r in run(spark, rows).items()} == {i: f"T{i}\n{story(i)}" for i in range(9)}
+
+
+def test_pages_of_known_templates_equal_brute_force(spark):
+    """Three templates, dealt over hosts and with optional and repeated parts; the main text is known."""
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(120):
+        host, kind = f"k{i % 4}.com", rng.randrange(3)
+        word = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(8, 20)))
+        body = [word() for _ in range(rng.randint(1, 5))]
+        inner = "".join(f"<p>{b}</p>" for b in body)
+        links = "".join(f"<li><a href=/{n}>{word()}</a>" for n in range(rng.randint(0, 4)))
+        text = {0: f"<article class='post ad-free'>{inner}</article>", 1: f"<main>{inner}</main>", 2: f"<div class=c><div class=has-sidebar>{inner}</div></div>"}[kind]
+        rows.append((i, f"http://{host}/{i}", f"<body><div><p>{host} is a place to read at</p></div><ul>{links}</ul>{text}<div class=comments><p>{word()}</p></div><footer>{i}</footer></body>"))
+        want[i] = "\n".join(body)
+    assert {k: r.text for k, r in run(spark, rows).items()} == want
+
+
+def test_many_wrappers_are_joined_with_salt(spark):
+    rows = [(i, f"http://j{i % 3}.com/{i}", page(f"<p>{i}</p>")) for i in range(30)] + [(99, None, None)]
+    t = spark.createDataFrame([(*r, "h", "t") for r in rows], PAGES).repartition(3)
+    assert sorted(map(tuple, extract(t, most_bytes=0).collect())) == sorted(map(tuple, extract(t).collect()))
+
+
+def test_one_article_page_on_a_host_of_main_pages(spark):
+    rows = [(i, f"http://x.com/{i}", f"<main><p>in main {i}</p></main>") for i in range(5)] + [(9, "http://x.com/9", "<article><p>in article</p></article>")]
+    assert {k: r.text for k, r in run(spark, rows).items()} == {i: f"in main {i}" for i in range(5)} | {9: "in article"}
 
 
 def test_given_pages_equal_their_article(spark):
