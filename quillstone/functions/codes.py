@@ -12,12 +12,13 @@ KEY = "注册代码"
 _WRAPPED = r"\A[ \t\n\r]*\{[ \t\n\r]*" + f'"{KEY}"' + r'[ \t\n\r]*:[ \t\n\r]*"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"[ \t\n\r]*\}[ \t\n\r]*\z'
 
 
-def json_escape(c: Column) -> Column:
+def json_escape(text: Column) -> Column:
+    c = text
     for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         c = F.replace(c, F.lit(raw), F.lit(shown))
     for i in set(range(32)) - {8, 9, 10, 12, 13}:
         c = F.replace(c, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
-    return c
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), c).otherwise(text)
 
 
 def is_empty(c: Column) -> Column:
@@ -25,7 +26,8 @@ def is_empty(c: Column) -> Column:
 
 
 def normalize_device_code(value: Column, numeric: Column | None = None, number_format: Column | None = None) -> Column:
-    numeric = F.coalesce(numeric, F.lit(False)) if numeric is not None else F.lit(False)
+    only_text = numeric is None
+    numeric = F.lit(False) if only_text else F.coalesce(numeric, F.lit(False))
     fmt = F.coalesce(number_format, F.lit("")) if number_format is not None else F.lit("")
 
     def as_text(plain: Column) -> Column:
@@ -36,5 +38,8 @@ def normalize_device_code(value: Column, numeric: Column | None = None, number_f
         return F.when(whole & fmt.rlike(r"\A0+\z") & (F.length(digits) < width), F.concat(sign, F.repeat(F.lit("0"), width - F.length(digits)), digits)).otherwise(shown)
 
     unwrapped = F.when(value.rlike(_WRAPPED), F.get_json_object(value, f"$.{KEY}")).otherwise(value)
+    wrapped = lambda t: F.when(~is_empty(t), F.concat(F.lit('{"' + KEY + '":"'), json_escape(t), F.lit('"}')))
+    if only_text:
+        return F.when(~is_empty(value), wrapped(unwrapped))
     text = F.when(numeric, let(plain_decimal(strip(value)), as_text)).otherwise(unwrapped)
-    return F.when(~is_empty(value), let(text, lambda t: F.when(~is_empty(t), F.concat(F.lit('{"' + KEY + '":"'), json_escape(t), F.lit('"}')))))
+    return F.when(~is_empty(value), let(text, wrapped))

@@ -19,17 +19,17 @@ def _tag(status: str, value: Column | None = None) -> Column:
 
 
 def _found(value: Column) -> Column:
-    return let(value, lambda v: F.when(v.isNull(), _tag("CLEARED")).otherwise(_tag("OK", v)))
+    return F.struct(F.when(value.isNull(), "CLEARED").otherwise("OK").alias("status"), value.alias("value"))
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     """ISO text of a calendar date, null if there is none or the year is 0."""
-    return F.when(y != "0000", F.date_format(F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-M-d")), "yyyy-MM-dd"))
+    return F.when(y != "0000", F.concat_ws("-", y, m, d).try_cast("date").cast("string"))
 
 
 def _year_month_day(t: Column) -> Column:
-    g = lambda n: F.regexp_extract(t, _YMD, n)
-    return _date(g(1), g(3), F.when(g(4) == "", "1").otherwise(g(4)))
+    part = lambda n: F.split_part(F.translate(t, "/.", "--"), F.lit("-"), F.lit(n))
+    return _date(part(1), part(2), F.when(part(3) == "", "1").otherwise(part(3)))
 
 
 def _iso(t: Column) -> Column:
@@ -38,7 +38,9 @@ def _iso(t: Column) -> Column:
     fourth = F.to_date(F.concat(F.when(g(_WEEK, 1).isin("", "0000"), "0001").otherwise(g(_WEEK, 1)), F.lit("-01-04")))
     d = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7 + day - 1)
     by_week = F.when((year >= 1) & week.between(1, 53) & (F.extract(F.lit("YEAROFWEEK"), d) == year) & d.between("0001-01-01", "9999-12-31"), F.date_format(d, "yyyy-MM-dd"))
-    return F.when(t.rlike(_DAY), _date(g(_DAY, 1), g(_DAY, 3), g(_DAY, 4))).when(t.rlike(_WEEK), by_week)
+    dashed = F.substring(t, 5, 1) == "-"
+    at = lambda with_dash, without: F.when(dashed, F.substring(t, with_dash, 2)).otherwise(F.substring(t, without, 2))
+    return F.when(t.rlike(_DAY), _date(F.substring(t, 1, 4), at(6, 5), at(9, 7))).when(t.contains("W") & t.rlike(_WEEK), by_week)
 
 
 def _serial(x: Column, is_1904: Column) -> Column:
@@ -52,11 +54,12 @@ def _serial(x: Column, is_1904: Column) -> Column:
 
 
 def normalize_date(value: Column, numeric: Column | None = None, number_format: Column | None = None, is_1904: Column | None = None) -> Column:
-    """The rules in order: trailing-zero restore, blank, year only, year-month(-day), ISO text, serials."""
+    """The rules in order: trailing-zero restore, blank, year only, year-month(-day), ISO text, serials. Without ``numeric`` all values are texts."""
+    only_text = numeric is None
     numeric = F.coalesce(numeric, F.lit(False)) if numeric is not None else F.lit(False)
     fmt = F.coalesce(number_format, F.lit("")) if number_format is not None else F.lit("")
     is_1904 = F.coalesce(is_1904, F.lit(False)) if is_1904 is not None else F.lit(False)
-    restored = F.when(numeric & (fmt == "0.00") & value.rlike(r"\A[^.]{4}\.") & (F.length(value) < 7), F.rpad(value, 7, "0")).otherwise(value)
+    restored = value if only_text else F.when(numeric & (fmt == "0.00") & value.rlike(r"\A[^.]{4}\.") & (F.length(value) < 7), F.rpad(value, 7, "0")).otherwise(value)
     year_only = lambda c: c.rlike(r"\A\d{4}(\.0+)?\z")
 
     def by_number(plain: Column) -> Column:
@@ -69,10 +72,12 @@ def normalize_date(value: Column, numeric: Column | None = None, number_format:
             .when(x < 1, _tag("CLEARED")).otherwise(_found(let(x, lambda y: _serial(y, is_1904))))
         )
 
-    def by_text(text: Column) -> Column:
-        return let(fold_digits(text), lambda t: (
-            F.when(text.isNull() | (t == ""), _tag("BLANK")).when(year_only(t), _tag("YEAR_ONLY"))
-            .when(t.rlike(_YMD), _found(_year_month_day(t))).when(~numeric, _found(_iso(text))).otherwise(let(plain_decimal(t), by_number))
-        ))
+    text = strip(restored)
+    t = fold_digits(text)
+    rules = F.when(text.isNull() | (t == ""), _tag("BLANK")).when(year_only(t), _tag("YEAR_ONLY")).when(t.rlike(_YMD), _found(_year_month_day(t)))
+    return rules.otherwise(_found(_iso(text))) if only_text else rules.when(~numeric, _found(_iso(text))).otherwise(let(plain_decimal(t), by_number))
 
-    return let(strip(restored), by_text)
+
+def normalize_native_date(value: Column) -> Column:
+    """The same struct for a column of dates or timestamps: the day, whatever the time."""
+    return F.when(value.isNull(), _tag("BLANK")).otherwise(_tag("OK", value.cast("date").cast("string")))

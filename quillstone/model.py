@@ -9,6 +9,11 @@ MESSAGES = {
     "FORMULA_RANGE": "目标字段位于公式范围，请先转换为明确值", "FORMULA": "目标字段含公式，请先转换为明确值",
     "NO_NAME": "有编码但缺少设备小类名称，无法匹配", "UNMATCHED": "设备小类名称找不到对应编码", "YEAR_ONLY": "日期只有年份，请补充月份或完整日期",
 }
+MAPPING_MESSAGES = {
+    "UNREADABLE": "无法读取设备小类映射文件", "DUPLICATE": "映射表头重复", "FORMULA": "映射不能使用公式", "BLANK": "名称或编码为空",
+    "MANY_CODES": "对应多个编码", "MANY_NAMES": "对应多个名称", "NONE": "映射文件缺少有效的设备小类名称／设备小类编码表",
+}
+NO_BUSINESS = "没有找到包含目标字段的业务工作表；请确认第 1 行为表头"
 #: Cells in long format; absent cells have no row.
 CELLS = "path string, sheet_idx int, sheet string, part string, is_1904 boolean, row_num int, col_idx int, coordinate string, cell_type string, raw string, formula string, style_idx int, number_format string"
 #: Merged areas and formula ranges.

@@ -18,7 +18,7 @@ def candidates(ledger: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows with a value, and what each would become. Needs sheet, row_num, name, code, d1, d2, d3, device; d2 is numeric."""
     wide = ledger.filter(~(is_blank(F.col("name")) & is_blank(F.col("code")) & is_blank(F.col("d1")) & is_blank(F.col("d2")) & is_blank(F.col("d3")) & is_blank(F.col("device"))))
     wide = lookup(wide, mapping)
-    dates = {f"{c}_new": normalize_date(F.col(c), F.lit(c == "d2")) for c in DATE_COLUMNS}
+    dates = {f"{c}_new": normalize_date(F.col(c), F.lit(True) if c == "d2" else None) for c in DATE_COLUMNS}
     return wide.withColumns(dates | {"device_new": normalize_device_code(F.col("device")), "unmatched": unmatched(wide)})
 
 
@@ -31,6 +31,11 @@ def issues(rows: DataFrame) -> DataFrame:
     return rows.select("sheet", "row_num", F.explode(F.array_compact(F.array(*found))).alias("i")).select("sheet", "row_num", "i.*")
 
 
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """How many issues there are of each kind."""
+    return issues.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def statistics(rows: DataFrame, gated: bool = True) -> DataFrame:
     """One row of counters; with any issue the four conversion counters are 0, rows stays."""
     status = lambda s: sum((F.col(f"{c}_new.status") == s).cast("long") for c in DATE_COLUMNS)
@@ -48,7 +53,10 @@ def statistics(rows: DataFrame, gated: bool = True) -> DataFrame:
 
 def output(rows: DataFrame) -> DataFrame:
     """The converted ledger, empty if anything blocks: a one-row count is joined and decides."""
-    bad = issues(rows).agg(F.count(F.lit(1)).alias("n_issues"))
+    blocks = F.col("unmatched")
+    for c in DATE_COLUMNS:
+        blocks = blocks | (F.col(f"{c}_new.status") == "YEAR_ONLY")
+    bad = rows.agg(F.count_if(blocks).alias("n_issues"))
     out = rows.select("sheet", "row_num", "name", F.coalesce("mapped_code", "code").alias("code"), *(F.col(f"{c}_new.value").alias(c) for c in DATE_COLUMNS), F.col("device_new").alias("device"))
     return out.crossJoin(F.broadcast(bad)).filter("n_issues = 0").drop("n_issues")  # one row
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import MappingError
 from ..functions.text import strip
+from ..model import MAPPING_MESSAGES
 
 
 def problems(mapping: DataFrame) -> DataFrame:
@@ -20,23 +22,41 @@ def problems(mapping: DataFrame) -> DataFrame:
     )
 
 
-def fold(mapping: DataFrame, order: str) -> DataFrame:
-    """One row: the greedy fold over rows in order, with accepted pairs and the messages of rejected ones. The dimension is small by nature."""
-    rows = mapping.filter("name IS NOT NULL AND code IS NOT NULL").groupBy().agg(F.array_sort(F.collect_list(F.struct(order, "name", "code"))).alias("rows"))
-    start = F.struct(F.array().cast("array<struct<name:string,code:string>>").alias("pairs"), F.array().cast("array<string>").alias("said"))
+def fold(mapping: DataFrame, order: list[str] | str, prefix=None) -> DataFrame:
+    """One row: the greedy fold over rows in order, with the number of accepted pairs and messages (sorted structs of the order and a text) of rejected ones.
+
+    Pairs whose name and code are in no other pair are accepted as they are; only the others, which a sound mapping
+    doesn't have, are gathered and folded in order. ``prefix`` is a text column before each message.
+    """
+    order = [order] if isinstance(order, str) else order
+    rows = mapping.filter("name IS NOT NULL AND code IS NOT NULL").select(F.struct(*order).alias("at"), "name", "code", (prefix if prefix is not None else F.lit("")).alias("prefix"))
+    pairs = rows.select("name", "code").distinct()
+    many = lambda key, other: pairs.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col(key).alias(f"many_{key}"))
+    marked = rows.join(many("name", "code"), F.col("name") == F.col("many_name"), "left").join(many("code", "name"), F.col("code") == F.col("many_code"), "left")
+    odd = F.col("many_name").isNotNull() | F.col("many_code").isNotNull()
+    sums = marked.agg(F.count_distinct(F.when(~odd, F.struct("name", "code"))).alias("n_sound"), F.array_sort(F.collect_list(F.when(odd, F.struct("at", "name", "code", "prefix")))).alias("rows"))
+    said_type = "array<struct<at:" + rows.schema["at"].dataType.simpleString() + ",text:string>>"
+    start = F.struct(F.array().cast("array<struct<name:string,code:string>>").alias("pairs"), F.array().cast(said_type).alias("said"))
 
     def step(acc, r):
         by_name = F.filter(acc["pairs"], lambda p: p["name"] == r["name"])
         by_code = F.filter(acc["pairs"], lambda p: p["code"] == r["code"])
         same = F.exists(by_name, lambda p: p["code"] == r["code"])
         pair = F.array(F.struct(r["name"].alias("name"), r["code"].alias("code")))
-        said = lambda text: F.struct(acc["pairs"].alias("pairs"), F.concat(acc["said"], F.array(text)).alias("said"))
+        said = lambda text: F.struct(acc["pairs"].alias("pairs"), F.concat(acc["said"], F.array(F.struct(r["at"].alias("at"), F.concat(r["prefix"], text).alias("text")))).alias("said"))
         return (
-            F.when(same, acc).when(F.size(by_name) > 0, said(F.concat(r["name"], F.lit("对应多个编码")))).when(F.size(by_code) > 0, said(F.concat(r["code"], F.lit("对应多个名称"))))
+            F.when(same, acc).when(F.size(by_name) > 0, said(F.concat(r["name"], F.lit(" " * bool(prefix is not None) + MAPPING_MESSAGES["MANY_CODES"])))).when(F.size(by_code) > 0, said(F.concat(r["code"], F.lit(" " * bool(prefix is not None) + MAPPING_MESSAGES["MANY_NAMES"]))))
             .otherwise(F.struct(F.concat(acc["pairs"], pair).alias("pairs"), acc["said"].alias("said")))
         )
 
-    return rows.select(F.aggregate("rows", start, step).alias("f")).select(F.size("f.pairs").alias("n_pairs"), F.array_join("f.said", "；").alias("message"))
+    return sums.select("n_sound", F.aggregate("rows", start, step).alias("f")).select((F.col("n_sound") + F.size("f.pairs")).cast("int").alias("n_pairs"), F.array_join(F.transform("f.said", lambda x: x["text"]), "；").alias("message"), F.col("f.said").alias("said"))
+
+
+def checked(mapping: DataFrame, most: int = 100) -> DataFrame:
+    """The mapping, or a MappingError that names up to ``most`` of its violations."""
+    if found := problems(mapping).limit(most).collect():
+        raise MappingError("；".join(f"{r.key} {MAPPING_MESSAGES[r.kind]}" for r in found))
+    return mapping
 
 
 def lookup(rows: DataFrame, mapping: DataFrame, name: str = "name") -> DataFrame:
@@ -52,7 +72,3 @@ def is_blank(c):
 def unmatched(mapped: DataFrame, name: str = "name", code: str = "code"):
     """Whether a looked-up row can't be matched: it has a name or a code, and the mapping lacks the name."""
     return ~(is_blank(F.col(name)) & is_blank(F.col(code))) & F.col("mapped_code").isNull()
-
-
-def numbered(mapping: DataFrame) -> DataFrame:
-    return mapping.withColumn("n", F.row_number().over(Window.orderBy("name", "code")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_device_code
-from ..functions.dates import normalize_date
+from ..functions.dates import normalize_date, normalize_native_date
 from ..model import CODE, DATES, DEVICE, MESSAGES, NAME
 from ..operators import convert, mapping, precheck
 
@@ -72,10 +72,10 @@ heads AS (SELECT sheet_idx, raw AS field, max(col_idx) AS col_idx, min(col_idx)
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.filter("l_linenumber = 1").select(F.lit("b").alias("path"), (F.col("l_orderkey") % 5).cast("int").alias("sheet_idx"), F.when(F.col("l_orderkey") % 2 == 0, "merge").otherwise("formula").alias("kind"), F.concat(F.lit("R"), F.col("l_orderkey").cast("string")).alias("ref"), (F.col("l_partkey") % 25).cast("int").alias("c1"), (F.col("l_partkey") % 25 + F.col("l_suppkey") % 4).cast("int").alias("c2"), (F.col("l_suppkey") % 3).cast("int").alias("r1"), (F.col("l_suppkey") % 3 + F.col("l_partkey") % 3).cast("int").alias("r2"), F.lit(None).cast("string").alias("formula"))
+    return l.select(F.lit("b").alias("path"), (F.col("l_orderkey") % 5).cast("int").alias("sheet_idx"), F.when(F.col("l_orderkey") % 2 == 0, "merge").otherwise("formula").alias("kind"), F.concat(F.lit("R"), F.col("l_orderkey").cast("string")).alias("ref"), (F.col("l_partkey") % 25).cast("int").alias("c1"), (F.col("l_partkey") % 25 + F.col("l_suppkey") % 4).cast("int").alias("c2"), (F.col("l_suppkey") % 3).cast("int").alias("r1"), (F.col("l_suppkey") % 3 + F.col("l_partkey") % 3).cast("int").alias("r2"), F.lit(None).cast("string").alias("formula"))
 
 
-DUCK_REGIONS = """, regions AS (SELECT l_orderkey % 5 AS sheet_idx, CASE WHEN l_orderkey % 2 = 0 THEN 'merge' ELSE 'formula' END AS kind, concat('R', CAST(l_orderkey AS VARCHAR)) AS ref, l_partkey % 25 AS c1, l_partkey % 25 + l_suppkey % 4 AS c2, l_suppkey % 3 AS r1, l_suppkey % 3 + l_partkey % 3 AS r2 FROM lineitem WHERE l_linenumber = 1)
+DUCK_REGIONS = """, regions AS (SELECT l_orderkey % 5 AS sheet_idx, CASE WHEN l_orderkey % 2 = 0 THEN 'merge' ELSE 'formula' END AS kind, concat('R', CAST(l_orderkey AS VARCHAR)) AS ref, l_partkey % 25 AS c1, l_partkey % 25 + l_suppkey % 4 AS c2, l_suppkey % 3 AS r1, l_suppkey % 3 + l_partkey % 3 AS r2 FROM lineitem)
 """
 
 
@@ -106,10 +106,10 @@ QUERIES = {
     "date_text_normalize": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d1")),
     "date_year_only_issues": lambda s, d: convert.issues(converted(s, d)).filter("kind = 'YEAR_ONLY'").select("row_num", "field", "value", "message"),
     "date_iso_datetime": lambda s, d: _dated(table(s, d, "events").withColumn("t", F.expr("CASE event_id % 5 WHEN 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm') WHEN 2 THEN date_format(ts, \"yyyy-MM-dd'T24:00:00'\") WHEN 3 THEN date_format(ts, \"yyyyMMdd'x'HHmm\") ELSE date_format(ts, \"yyyy-MM-dd'T'\") END")), "event_id", F.col("t")),
-    "date_serial_1900": lambda s, d: _dated(ledger(s, d).filter("row_num % 6 IN (0, 1, 3, 4)"), "row_num", F.col("d2"), numeric=F.lit(True)),
-    "date_serial_1904": lambda s, d: _dated(ledger(s, d).filter("row_num % 6 IN (0, 1, 3)"), "row_num", F.col("d2"), numeric=F.lit(True), is_1904=F.lit(True)),
+    "date_serial_1900": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d2"), numeric=F.lit(True)),
+    "date_serial_1904": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d2"), numeric=F.lit(True), is_1904=F.lit(True)),
     "date_numeric_year_month": lambda s, d: _dated(table(s, d, "orders").withColumn("v", F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat(year(o_orderdate), '.1') WHEN 1 THEN concat(year(o_orderdate), '.0') ELSE concat(year(o_orderdate) / 1000D, 'E3') END")), "o_orderkey", F.col("v"), numeric=F.lit(True), number_format=F.lit("0.00")),
-    "device_code_wrap": lambda s, d: ledger(s, d).filter("row_num % 8 NOT IN (4, 5)").select("row_num", normalize_device_code(F.col("device")).alias("json")),
+    "device_code_wrap": lambda s, d: ledger(s, d).select("row_num", normalize_device_code(F.col("device")).alias("json")),
     "device_code_idempotent": lambda s, d: ledger(s, d).select("row_num", normalize_device_code(normalize_device_code(F.col("device"))).alias("json")),
     "device_code_numeric_format": lambda s, d: table(s, d, "customer").select("c_custkey", normalize_device_code(F.expr("CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN concat(c_custkey, '.50') ELSE concat(c_custkey, 'E+25') END"), F.lit(True), F.lit("000000")).alias("json")),
     "category_lookup": lambda s, d: mapping.lookup(named_parts(s, d), type_mapping(s, d)),
@@ -125,7 +125,9 @@ QUERIES = {
     "conversion_stats": lambda s, d: convert.statistics(converted(s, d)).unionByName(convert.statistics(convert.candidates(clean_ledger(s, d), dimension(s)))),
     "gated_output": lambda s, d: convert.output(convert.candidates(clean_ledger(s, d), dimension(s))).unionByName(convert.output(converted(s, d))),
     "changes_upsert": lambda s, d: convert.upsert(*changes(s, d)),
-    "mapping_fold_messages": lambda s, d: mapping.fold(fold_rows(s, d), "n_nationkey"),
+    "mapping_fold_messages": lambda s, d: mapping.fold(fold_rows(s, d), "n_nationkey").drop("said"),
+    "issue_counts": lambda s, d: convert.issue_counts(convert.issues(converted(s, d))),
+    "date_native": lambda s, d: table(s, d, "events").select("event_id", normalize_native_date(F.col("ts")).alias("d")).select("event_id", "d.status", "d.value"),
 }
 
 #: Dates of the derived ledger in DuckDB: status and value of d1 and d2 by row.
@@ -159,10 +161,10 @@ ORACLE_SQL = {
     "date_text_normalize": f"{_WITH} SELECT row_num, {_D1} FROM (SELECT *, row_num % 12 AS k12 FROM ledger)",
     "date_year_only_issues": f"{_WIDE} SELECT row_num, 'd1' AS field, d1 AS value, '{MESSAGES['YEAR_ONLY']}' AS message FROM wide WHERE s1 = 'YEAR_ONLY'",
     "date_iso_datetime": "SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 3) THEN 'OK' ELSE 'CLEARED' END AS status, CASE WHEN event_id % 5 IN (0, 1, 3) THEN strftime(ts, '%Y-%m-%d') END AS value FROM events",
-    "date_serial_1900": f"{_WITH} SELECT row_num, CASE WHEN value IS NULL THEN 'CLEARED' ELSE 'OK' END AS status, value FROM ({_d2('1899-12-30')}) WHERE k6 IN (0, 1, 3, 4)",
-    "date_serial_1904": f"{_WITH} SELECT row_num, 'OK' AS status, value FROM ({_d2('1904-01-01')}) WHERE k6 IN (0, 1, 3)",
+    "date_serial_1900": f"{_WITH} SELECT row_num, CASE WHEN d2 IS NULL THEN 'BLANK' WHEN value IS NULL THEN 'CLEARED' ELSE 'OK' END AS status, value FROM ({_d2('1899-12-30')})",
+    "date_serial_1904": f"{_WITH} SELECT row_num, CASE WHEN d2 IS NULL THEN 'BLANK' WHEN value IS NULL THEN 'CLEARED' ELSE 'OK' END AS status, value FROM ({_d2('1904-01-01')})",
     "date_numeric_year_month": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'OK' ELSE 'YEAR_ONLY' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN concat(CAST(year(o_orderdate) AS VARCHAR), '-10-01') END AS value FROM orders",
-    "device_code_wrap": f"{_WITH} SELECT row_num, {_JSON} AS json FROM ledger WHERE row_num % 8 NOT IN (4, 5)",
+    "device_code_wrap": f"{_WITH} SELECT row_num, {_JSON} AS json FROM ledger",
     "device_code_idempotent": f"{_WITH} SELECT row_num, {_JSON} AS json FROM ledger",
     "device_code_numeric_format": "SELECT c_custkey, concat('{\"注册代码\":\"', CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey < 1000000 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END WHEN 1 THEN concat(CAST(c_custkey AS VARCHAR), '.50') ELSE concat(CAST(c_custkey AS VARCHAR), repeat('0', 25)) END, '\"}') AS json FROM customer",
     "category_lookup": f"{_PARTS} SELECT p_partkey, name, code, mapped_code FROM rows LEFT JOIN mapping ON name = n",
@@ -175,6 +177,15 @@ ORACLE_SQL = {
     "pivot_target_fields": f"{DUCK_CELLS} SELECT f.sheet_idx, f.row_num, " + ", ".join(f"max(CASE WHEN h.field = '{h}' THEN c.raw END) AS {h.lower()}" for h in H) + " FROM (SELECT DISTINCT sheet_idx, row_num FROM cells WHERE row_num >= 2 AND (raw IS NOT NULL OR formula IS NOT NULL)) f JOIN heads h ON h.sheet_idx = f.sheet_idx LEFT JOIN cells c ON c.sheet_idx = f.sheet_idx AND c.row_num = f.row_num AND c.col_idx = h.col_idx GROUP BY 1, 2",
     "merged_region_overlap": f"{DUCK_CELLS}{DUCK_REGIONS} SELECT r.sheet_idx, h.field, greatest(2, r.r1) AS row_num, concat(CASE WHEN kind = 'merge' THEN '{MESSAGES['MERGED']}' ELSE '{MESSAGES['FORMULA_RANGE']}' END, '（', ref, '）') AS message FROM regions r JOIN heads h ON h.sheet_idx = r.sheet_idx AND h.col_idx BETWEEN r.c1 AND r.c2 AND r.r2 >= 2",
     "all_issues": f"{_WIDE} {_ISSUES}",
+    "issue_counts": f"{_WIDE} SELECT kind, count(*) AS n FROM ({_ISSUES}) GROUP BY kind",
+    "date_native": "SELECT event_id, 'OK' AS status, strftime(ts, '%Y-%m-%d') AS value FROM events",
+    "mapping_fold_messages": """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, concat('n', CAST(n_nationkey % 5 AS VARCHAR)) AS name, concat('c', CAST(n_nationkey % 10 AS VARCHAR)) AS code FROM nation),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS codes, CAST([] AS VARCHAR[]) AS said UNION ALL
+SELECT r.i, CASE WHEN list_contains(names, name) OR list_contains(codes, code) THEN names ELSE list_append(names, name) END,
+CASE WHEN list_contains(names, name) OR list_contains(codes, code) THEN codes ELSE list_append(codes, code) END,
+CASE WHEN list_contains(names, name) THEN CASE WHEN codes[list_position(names, name)] = code THEN said ELSE list_append(said, concat(name, '对应多个编码')) END
+WHEN list_contains(codes, code) THEN list_append(said, concat(code, '对应多个名称')) ELSE said END FROM f JOIN r ON r.i = f.i + 1)
+SELECT CAST(len(names) AS INTEGER) AS n_pairs, array_to_string(said, '；') AS message FROM f ORDER BY i DESC LIMIT 1""",
     "conversion_stats": f"{_WIDE} SELECT (SELECT count(*) FROM wide) AS rows, count(*) AS issues, 0 AS subcategory_filled, 0 AS dates_converted, 0 AS dates_cleared, 0 AS codes_formatted FROM ({_ISSUES}) UNION ALL SELECT {_COUNTS} FROM wide WHERE {_CLEAN}",
     "gated_output": f"{_WIDE} SELECT sheet, row_num, name, mapped_code AS code, v1 AS d1, v2 AS d2, v3 AS d3, json AS device FROM wide WHERE {_CLEAN}",
     "changes_upsert": "WITH c AS (SELECT o_orderstatus AS part, CAST(o_orderkey AS VARCHAR) AS coordinate, o_orderkey AS k, o_orderpriority AS raw FROM orders) SELECT part, coordinate, CASE WHEN k % 2 = 0 THEN CASE WHEN k % 5 <> 0 THEN 'new' END ELSE raw END AS raw FROM c WHERE k % 3 <> 0 OR (k % 2 = 0 AND k % 5 <> 0)",

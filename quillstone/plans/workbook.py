@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.codes import KEY as JSON_KEY
 from ..functions.codes import normalize_device_code
 from ..functions.dates import normalize_date
-from ..model import CODE, DATES, DEVICE, MESSAGES, NAME, TARGETS
+from ..errors import MappingError
+from ..functions.text import strip
+from ..model import CODE, DATES, DEVICE, MAPPING_MESSAGES, MESSAGES, NAME, NO_BUSINESS, TARGETS
 from ..operators import precheck
-from ..operators.mapping import is_blank
+from ..operators.mapping import checked, fold, is_blank
 from ..sources import workbook as W
 
 KEY = ["path", "sheet_idx"]
@@ -22,21 +25,60 @@ COUNTERS = ("subcategory_filled", "dates_converted", "dates_cleared", "codes_for
 
 @dataclass
 class Conversion:
-    """issues in order (sheet_idx, phase, row_num, field_ord); changes of workbooks without issues; statistics, one row per workbook that has a business sheet. rows, which these three read, are persisted until rows.unpersist()."""
+    """issues in order (sheet_idx, phase, row_num, field_ord); changes of workbooks without issues; statistics, one row per workbook that has a business sheet; errors (path, message) of the others. rows, which these read, are persisted until rows.unpersist()."""
 
     rows: DataFrame
     issues: DataFrame
     changes: DataFrame
     statistics: DataFrame
+    errors: DataFrame
+
+
+def mapping_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (sheet_idx, sheet, row_num, name, code, formula) of sheets with both headers once, and problems (sheet_idx, row_num, text) of those that repeat one."""
+    heads = precheck.headers(cells, (NAME, CODE))
+    both = heads.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most")).filter("k = 2").drop("k")
+    sheets = cells.select(*KEY, "sheet").distinct()
+    twice = both.filter("most > 1").join(sheets, KEY).select("sheet_idx", F.lit(1).alias("row_num"), F.concat("sheet", F.lit("：" + MAPPING_MESSAGES["DUPLICATE"])).alias("text"))
+    wide = precheck.pivoted(cells, heads.join(both.filter("most = 1"), KEY, "left_semi"), (NAME, CODE)).join(sheets, KEY)
+    formula = F.col(f"{NAME}.formula").isNotNull() | F.col(f"{CODE}.formula").isNotNull()
+    rows = wide.select("sheet_idx", "sheet", "row_num", F.col(f"{NAME}.raw").alias("name"), F.col(f"{CODE}.raw").alias("code"), formula.alias("formula"))
+    return rows.filter("name IS NOT NULL OR code IS NOT NULL OR formula"), twice
 
 
 def mapping_of(entries: DataFrame) -> DataFrame:
     """name, code of a configuration workbook's sheets with both headers (read with hidden sheets); rows with neither go."""
-    cells = W.cells(entries)
-    heads = precheck.headers(cells, (NAME, CODE))
-    both = heads.groupBy(*KEY).count().filter("count = 2").select(KEY)
-    wide = precheck.pivoted(cells, heads.join(both, KEY, "left_semi"), (NAME, CODE))
-    return wide.select(F.col(f"{NAME}.raw").alias("name"), F.col(f"{CODE}.raw").alias("code")).filter("name IS NOT NULL OR code IS NOT NULL").distinct()
+    return mapping_rows(W.cells(entries))[0].filter("name IS NOT NULL OR code IS NOT NULL").select("name", "code").distinct()
+
+
+def mapping_messages(cells: DataFrame) -> DataFrame:
+    """One row: n_pairs that the mapping accepts, and its problems in document order as one message, empty if it is sound."""
+    rows, twice = mapping_rows(cells)
+    at = F.concat("sheet", F.lit(" 第 "), F.col("row_num").cast("string"), F.lit(" 行："))
+    blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
+    why = F.when(F.col("formula"), MAPPING_MESSAGES["FORMULA"]).when(blank("name") | blank("code"), MAPPING_MESSAGES["BLANK"])
+    judged = rows.withColumn("why", why)
+    folded = fold(judged.filter("why IS NULL"), ["sheet_idx", "row_num"], at)
+    plain = twice.unionByName(judged.filter("why IS NOT NULL").select("sheet_idx", "row_num", F.concat(at, F.col("why")).alias("text")))
+    said = plain.unionByName(folded.select(F.explode("said").alias("x")).select("x.at.sheet_idx", "x.at.row_num", "x.text"))
+    lines = said.agg(F.array_sort(F.collect_list(F.struct("sheet_idx", "row_num", "text"))).alias("lines"))
+    none = F.when(F.col("n_pairs") == 0, F.array(F.lit(MAPPING_MESSAGES["NONE"]))).otherwise(F.array().cast("array<string>"))
+    both = folded.select("n_pairs").crossJoin(F.broadcast(lines))  # one row each
+    return both.select("n_pairs", F.array_join(F.concat(F.transform("lines", lambda x: x["text"]), none), "；").alias("message"))
+
+
+def load_mapping(spark: SparkSession, source: str) -> DataFrame:
+    """name, code of a configuration workbook, or a MappingError with all that is wrong with it."""
+    entries = W.entries(W.files(spark, source), hidden=True).persist()
+    try:
+        if (bad := W.errors(entries).first()) or entries.isEmpty():
+            raise MappingError(f"{MAPPING_MESSAGES['UNREADABLE']}：{posixpath.basename(bad.path if bad else source)}")
+        if message := mapping_messages(W.cells(entries)).first().message:
+            raise MappingError(message)
+        found = mapping_of(entries)
+        return spark.createDataFrame(found.collect(), found.schema)  # a dimension, of a workbook of 256 MiB at most
+    finally:
+        entries.unpersist()
 
 
 def _rows(cells: DataFrame, heads: DataFrame, sheets: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -98,7 +140,8 @@ def heads_letters(cells: DataFrame) -> DataFrame:
 
 
 def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
-    """Give the entries as a written table: they are read several times. The mapping must have passed mapping.problems()."""
+    """Give the entries as a written table: they are read several times. A mapping that isn't one name to one code is a MappingError."""
+    mapping = checked(mapping)
     cells, sheets, regions = W.cells(entries), W.sheets(entries), W.regions(entries)
     heads = precheck.headers(cells)
     rows = _rows(cells, heads, sheets, mapping).persist()
@@ -120,7 +163,24 @@ def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
     stats = listed.join(sums, "path", "left").join(by_path, "path", "left")
     keep = lambda c: F.when(F.col("blocked").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
     stats = stats.select("path", "sheets", "skipped_sheets", F.coalesce("rows", F.lit(0)).alias("rows"), *map(keep, COUNTERS), F.col("blocked").isNull().alias("success"))
-    return Conversion(rows, issues, changes, stats)
+    lacking = sheets_of(entries).join(listed, "path", "left_anti").select("path", F.lit(NO_BUSINESS).alias("message"))
+    return Conversion(rows, issues, changes, stats, W.errors(entries).unionByName(lacking))
+
+
+def sheets_of(entries: DataFrame) -> DataFrame:
+    """Workbooks that could be read."""
+    return entries.select("path").distinct().join(W.errors(entries), "path", "left_anti").select("path")
+
+
+def json_results(done: Conversion) -> DataFrame:
+    """path and the result as JSON: success, issues in order, sheet lists and rows, and the counters where it succeeded."""
+    item = F.struct("n", "kind", "sheet", F.col("row_num").alias("row"), "field", F.col("coordinate").alias("cell"), "value", "message")
+    said = ordered(done.issues).groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("issues"))
+    issues = F.transform(F.coalesce("issues", F.array()), lambda i: i.dropFields("n"))
+    name = F.concat(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""), F.lit("_处理结果.xlsx"))
+    only = [F.when(F.col("success"), F.col(c)).alias(c) for c in COUNTERS]
+    result = F.struct("success", issues.alias("issues"), "sheets", "skipped_sheets", "rows", F.when(F.col("success"), name).alias("filename"), *only)
+    return done.statistics.join(said, "path", "left").select("path", F.to_json(result).alias("result"))
 
 
 def ordered(issues: DataFrame) -> DataFrame:
@@ -145,7 +205,7 @@ def sample_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the sample workbooks after conversion, read back from the rewritten packages."""
     packages = sample_packages(spark, sf_dir)
-    done = convert(W.entries(packages).persist(), spark.createDataFrame([], "name string, code string"))
+    done = convert(W.entries(packages), spark.createDataFrame([], "name string, code string"))
     return W.cells(W.entries(results(packages, done))).select("path", "coordinate", "raw")
 
 

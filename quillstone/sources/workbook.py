@@ -9,8 +9,10 @@ packages, one package per group: a package is bounded by LARGEST bytes and can't
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import WorkbookError
 from ..model import CELLS, REGIONS, SHEETS, TARGETS
 
 #: Bytes of all parts of a package, uncompressed.
@@ -34,10 +37,6 @@ BUILT_IN = {0: "General", 1: "0", 2: "0.00"}
 LAST_ROW, LAST_COLUMN = 1_048_576, 16_384
 
 
-class WorkbookError(ValueError):
-    """The package can't be read, or its result can't be written."""
-
-
 def column_number(letters: str) -> int:
     n = 0
     for c in letters.upper():
@@ -294,15 +293,32 @@ def rewritten(packages: DataFrame, changes: DataFrame) -> DataFrame:
     return left.cogroup(changes.select("path", "part", "coordinate", "new_value").groupBy("path")).applyInPandas(each, "path string, content binary")
 
 
-def save(results: DataFrame, folder: str) -> int:
-    """Write each result under its source's name with a suffix into a folder that all executors mount; a file that exists is never overwritten. The number of files."""
+def save(results: DataFrame, folder: str, suffix: str = "_处理结果.xlsx") -> int:
+    """Write each result under its source's name with a suffix into a folder that all executors mount; the number of files.
+
+    Results are of workbooks that succeeded. A file of other contents is never overwritten, a source least of all; a
+    file appears whole under its name or not at all, so an attempt that is repeated finds its own and goes on.
+    """
 
     def put(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                to = f"{folder}/{posixpath.basename(path).rpartition('.')[0]}_处理结果.xlsx"
-                with open(to, "xb") as f:
+                to = f"{folder}/{posixpath.basename(path).rpartition('.')[0]}{suffix}"
+                if os.path.realpath(to) == os.path.realpath(path.removeprefix("file:")):
+                    raise WorkbookError("结果文件不能覆盖原始 Excel")
+                if content is None:
+                    raise WorkbookError("预检查未通过，不能生成结果文件")
+                temporary = f"{to}.{uuid.uuid4().hex}"
+                with open(temporary, "xb") as f:
                     f.write(content)
+                try:
+                    os.link(temporary, to)  # fails where the name is taken
+                except FileExistsError:
+                    with open(to, "rb") as f:
+                        if f.read() != content:
+                            raise
+                finally:
+                    os.unlink(temporary)
                 yield pd.DataFrame({"to": [to]})
 
     return results.mapInPandas(put, "to string").count()
