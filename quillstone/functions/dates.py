@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import fold_digits, let, plain_decimal, strip
@@ -28,8 +28,9 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 
 def _year_month_day(t: Column) -> Column:
-    part = lambda n: F.split_part(F.translate(t, "/.", "--"), F.lit("-"), F.lit(n))
-    return _date(part(1), part(2), F.when(part(3) == "", "1").otherwise(part(3)))
+    two = F.substring(t, 7, 1).between("0", "9")  # a month of two digits
+    month, day = F.when(two, F.substring(t, 6, 2)).otherwise(F.substring(t, 6, 1)), F.when(two, F.substring(t, 9, 2)).otherwise(F.substring(t, 8, 2))
+    return _date(F.substring(t, 1, 4), month, F.when(day == "", "1").otherwise(day))
 
 
 def _iso(t: Column) -> Column:
@@ -53,29 +54,61 @@ def _serial(x: Column, is_1904: Column) -> Column:
     return F.when(inside, F.date_format(F.date_add(start, F.when(inside, n).otherwise(0).cast("int")), "yyyy-MM-dd"))
 
 
+def _restored(value: Column, numeric: Column | None, number_format: Column | None) -> Column:
+    """The trailing zero that a number of format 0.00 lost."""
+    if numeric is None or number_format is None:
+        return value
+    lost = F.coalesce(numeric, F.lit(False)) & (number_format == "0.00") & value.rlike(r"\A[^.]{4}\.") & (F.length(value) < 7)
+    return F.when(lost, F.rpad(value, 7, "0")).otherwise(value)
+
+
+def _year_only(c: Column) -> Column:
+    return c.rlike(r"\A\d{4}(\.0+)?\z")
+
+
+def _by_number(plain: Column, is_1904: Column) -> Column:
+    short, x = plain.rlike(r"\A\d{4}\.\d{1,2}\z"), plain.try_cast("double")
+    return (
+        F.when(plain.isNull(), _tag("CLEARED"))
+        .when((x == F.floor(x)) & x.between(1000, 9999), _tag("YEAR_ONLY"))
+        .when(short & _year_only(plain), _tag("YEAR_ONLY")).when(short, _found(_year_month_day(plain)))
+        .when(is_1904 & (x >= 0) & (x < 1), _tag("OK", F.lit("1904-01-01")))
+        .when(x < 1, _tag("CLEARED")).otherwise(_found(_serial(x, is_1904)))
+    )
+
+
+def _rules(text: Column, t: Column, numeric: Column | None, by_number: Column | None) -> Column:
+    """``t`` is the stripped text with digits folded."""
+    rules = F.when(text.isNull() | (t == ""), _tag("BLANK")).when(_year_only(t), _tag("YEAR_ONLY")).when(t.rlike(_YMD), _found(_year_month_day(t)))
+    if numeric is None:
+        return rules.otherwise(_found(_iso(text)))
+    return rules.when(~F.coalesce(numeric, F.lit(False)), _found(_iso(text))).otherwise(by_number)
+
+
+def _epoch(is_1904: Column | None) -> Column:
+    return F.lit(False) if is_1904 is None else F.coalesce(is_1904, F.lit(False))
+
+
 def normalize_date(value: Column, numeric: Column | None = None, number_format: Column | None = None, is_1904: Column | None = None) -> Column:
-    """The rules in order: trailing-zero restore, blank, year only, year-month(-day), ISO text, serials. Without ``numeric`` all values are texts."""
-    only_text = numeric is None
-    numeric = F.coalesce(numeric, F.lit(False)) if numeric is not None else F.lit(False)
-    fmt = F.coalesce(number_format, F.lit("")) if number_format is not None else F.lit("")
-    is_1904 = F.coalesce(is_1904, F.lit(False)) if is_1904 is not None else F.lit(False)
-    restored = value if only_text else F.when(numeric & (fmt == "0.00") & value.rlike(r"\A[^.]{4}\.") & (F.length(value) < 7), F.rpad(value, 7, "0")).otherwise(value)
-    year_only = lambda c: c.rlike(r"\A\d{4}(\.0+)?\z")
-
-    def by_number(plain: Column) -> Column:
-        short, x = plain.rlike(r"\A\d{4}\.\d{1,2}\z"), plain.try_cast("double")
-        return (
-            F.when(plain.isNull(), _tag("CLEARED"))
-            .when((x == F.floor(x)) & x.between(1000, 9999), _tag("YEAR_ONLY"))
-            .when(short & year_only(plain), _tag("YEAR_ONLY")).when(short, _found(_year_month_day(plain)))
-            .when(is_1904 & (x >= 0) & (x < 1), _tag("OK", F.lit("1904-01-01")))
-            .when(x < 1, _tag("CLEARED")).otherwise(_found(let(x, lambda y: _serial(y, is_1904))))
-        )
-
-    text = strip(restored)
-    t = fold_digits(text)
-    rules = F.when(text.isNull() | (t == ""), _tag("BLANK")).when(year_only(t), _tag("YEAR_ONLY")).when(t.rlike(_YMD), _found(_year_month_day(t)))
-    return rules.otherwise(_found(_iso(text))) if only_text else rules.when(~numeric, _found(_iso(text))).otherwise(let(plain_decimal(t), by_number))
+    """The rules in order: trailing-zero restore, blank, year only, year-month(-day), ISO text, serials. Without ``numeric`` all values are texts.
+
+    One expression; with_dates() gives the same by steps, which is faster, as each step is computed once.
+    """
+    text = strip(_restored(value, numeric, number_format))
+    by_number = None if numeric is None else let(plain_decimal(fold_digits(text)), lambda plain: _by_number(plain, _epoch(is_1904)))
+    return _rules(text, fold_digits(text), numeric, by_number)
+
+
+def with_dates(rows: DataFrame, dates: dict[str, dict]) -> DataFrame:
+    """Adds normalised dates: by name, the arguments of normalize_date(). Texts and plain numbers are columns on the way."""
+    step = lambda n, kind: f"__{n}_{kind}"
+    at = lambda n, kind: F.col(f"`{step(n, kind)}`")
+    numbers = [n for n, d in dates.items() if d.get("numeric") is not None]
+    rows = rows.withColumns({step(n, "text"): strip(_restored(d["value"], d.get("numeric"), d.get("number_format"))) for n, d in dates.items()})
+    rows = rows.withColumns({step(n, "t"): fold_digits(at(n, "text")) for n in dates})
+    rows = rows.withColumns({step(n, "plain"): F.when(F.coalesce(dates[n]["numeric"], F.lit(False)), plain_decimal(at(n, "t"))) for n in numbers}) if numbers else rows
+    rows = rows.withColumns({n: _rules(at(n, "text"), at(n, "t"), d.get("numeric"), _by_number(at(n, "plain"), _epoch(d.get("is_1904"))) if n in numbers else None) for n, d in dates.items()})
+    return rows.drop(*(step(n, kind) for n in dates for kind in ("text", "t", "plain")))
 
 
 def normalize_native_date(value: Column) -> Column:

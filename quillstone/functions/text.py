@@ -16,12 +16,12 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.when(c.rlike(rf"\A{SPACE}|{SPACE}\z"), F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")).otherwise(c)
 
 
 def fold_digits(c: Column) -> Column:
     """Full-width digits as ASCII ones."""
-    return F.translate(c, WIDE, "0123456789")
+    return F.when(c.rlike(f"[{WIDE}]"), F.translate(c, WIDE, "0123456789")).otherwise(c)
 
 
 def is_decimal(c: Column) -> Column:
@@ -42,4 +42,5 @@ def plain_decimal(c: Column) -> Column:
         point = let(long, lambda x: F.concat(F.substring(x, F.lit(1), F.length(x) - scale), F.lit("."), F.substring(x, F.length(x) - scale + 1, scale)))
         return F.concat(p["sign"], F.when(scale <= 0, whole).otherwise(point))
 
-    return F.when(is_decimal(c), let(parts, shown))
+    as_it_is = c.rlike(r"\A-?[1-9][0-9]*(\.[0-9]+)?\z")
+    return F.when(as_it_is, c).when(is_decimal(c), let(parts, shown))

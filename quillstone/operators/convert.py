@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_device_code
-from ..functions.dates import normalize_date
+from ..functions.dates import with_dates
 from ..model import MESSAGES
 from .mapping import is_blank, lookup, unmatched
 
@@ -18,8 +18,8 @@ def candidates(ledger: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows with a value, and what each would become. Needs sheet, row_num, name, code, d1, d2, d3, device; d2 is numeric."""
     wide = ledger.filter(~(is_blank(F.col("name")) & is_blank(F.col("code")) & is_blank(F.col("d1")) & is_blank(F.col("d2")) & is_blank(F.col("d3")) & is_blank(F.col("device"))))
     wide = lookup(wide, mapping)
-    dates = {f"{c}_new": normalize_date(F.col(c), F.lit(True) if c == "d2" else None) for c in DATE_COLUMNS}
-    return wide.withColumns(dates | {"device_new": normalize_device_code(F.col("device")), "unmatched": unmatched(wide)})
+    wide = wide.withColumns({"device_new": normalize_device_code(F.col("device")), "unmatched": unmatched(wide)})
+    return with_dates(wide, {f"{c}_new": {"value": F.col(c)} | ({"numeric": F.lit(True)} if c == "d2" else {}) for c in DATE_COLUMNS})
 
 
 def issues(rows: DataFrame) -> DataFrame:

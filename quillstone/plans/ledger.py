@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_device_code
-from ..functions.dates import normalize_date, normalize_native_date
+from ..functions.dates import normalize_native_date, with_dates
 from ..model import CODE, DATES, DEVICE, MESSAGES, NAME
 from ..operators import convert, mapping, precheck
 
@@ -51,7 +51,7 @@ def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dated(df: DataFrame, key: str, value, **more) -> DataFrame:
-    return df.select(key, normalize_date(value, **more).alias("d")).select(key, "d.status", "d.value")
+    return with_dates(df.select(key, value.alias("v")), {"d": {"value": F.col("v")} | more}).select(key, "d.status", "d.value")
 
 
 def header_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

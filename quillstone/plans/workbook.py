@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import KEY as JSON_KEY
 from ..functions.codes import normalize_device_code
-from ..functions.dates import normalize_date
+from ..functions.dates import with_dates
 from ..errors import MappingError
 from ..functions.text import strip
 from ..model import CODE, DATES, DEVICE, MAPPING_MESSAGES, MESSAGES, NAME, NO_BUSINESS, TARGETS
@@ -94,13 +94,14 @@ def _rows(cells: DataFrame, heads: DataFrame, sheets: DataFrame, mapping: DataFr
     looked_up = ~formula(NAME) & ~formula(CODE)
     lost = looked_up & F.col("mapped_code").isNull() & ~(is_blank(name) & is_blank(code))
     out = {"unmatched": lost, "by_name": has_name, "fills": looked_up & F.col("mapped_code").isNotNull() & has_code, "device_new": F.when(~formula(DEVICE), normalize_device_code(F.col(f"{DEVICE}.raw"), F.col(f"{DEVICE}.cell_type") == "n", F.col(f"{DEVICE}.number_format")))}
+    dated = {f"{f}_read": {"value": F.col(f"{f}.raw"), "numeric": F.col(f"{f}.cell_type") == "n", "number_format": F.col(f"{f}.number_format"), "is_1904": F.col("is_1904")} for f in DATES}
+    wide = with_dates(wide, dated)
     for f in DATES:
-        kind = F.col(f"{f}.cell_type")
-        d = normalize_date(F.col(f"{f}.raw"), kind == "n", F.col(f"{f}.number_format"), F.col("is_1904"))
+        kind, d = F.col(f"{f}.cell_type"), F.col(f"{f}_read")
         cleared = F.struct(F.lit("CLEARED").alias("status"), F.lit(None).cast("string").alias("value"))
         d = F.when(kind.isin("b", "e", "str") & ~is_blank(F.trim(f"{f}.raw")), cleared).otherwise(d)
         out[f"{f}_new"] = F.when(F.col("letters")[f].isNotNull() & ~formula(f), d)
-    return wide.withColumns(out)
+    return wide.withColumns(out).drop(*dated)
 
 
 def _at(field):

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from quillstone.functions.codes import normalize_device_code
-from quillstone.functions.dates import normalize_date, normalize_native_date
+from quillstone.functions.dates import normalize_date, normalize_native_date, with_dates
 
 YEAR, BLANK, GONE = ("YEAR_ONLY", None), ("BLANK", None), ("CLEARED", None)
 
@@ -37,9 +37,9 @@ def both(spark, cases, numeric):
     rows = [(i, v, line, want) for i, (line, v, want) in enumerate((line, v, want) for line, some in cases.items() for v, want in some)]
     t = spark.createDataFrame([r[:2] for r in rows], "i int, v string")
     for how in ([None, F.lit(False)] if not numeric else [F.lit(True)]):
-        got = {r.i: tuple(r.d) for r in t.select("i", normalize_date(F.col("v"), how).alias("d")).collect()}
+        got = {r.i: (tuple(r.d), tuple(r.e)) for r in with_dates(t.withColumn("d", normalize_date(F.col("v"), how)), {"e": {"value": F.col("v"), "numeric": how}}).collect()}
         for i, v, line, want in rows:
-            assert got[i] == want, (line, v)
+            assert got[i] == (want, want), (line, v)
 
 
 def test_texts(spark):
