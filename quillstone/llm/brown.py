@@ -217,11 +217,13 @@ def _score(lexicon: dict, own: dict, classes: np.ndarray, step: np.ndarray, low:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Rows whose crc32(id as text) mod 10 is 0 are held out of all counts; a null id counts for training. A null
     text is empty: one end token. Where nothing can be learned all counts are 0 and both scores are 0 apart from
-    rounding: V is 0, and the only class holds the unknown word alone. Repeated ids are rows of their own.
+    rounding: V is 0, and the only class holds the unknown word alone. Repeated ids are rows of their own. A very long
+    text is scored whole in one task. Words of equal counts are ordered by their bytes. perplexity is that of the text's
+    tokens, at least one. One row per distinct count comes to the driver. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     held = F.coalesce(bucket_of(F.col("doc_id")) % 10 == 0, F.lit(False))
@@ -261,4 +263,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum(F.when(mine | F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         F.sum(F.when(mine, F.col("base")).otherwise(log)).alias("base_score"), F.sum(F.when(mine, F.col("score")).otherwise(log)).alias("score"),
     )
-    return out.drop("row")
+    return out.drop("row").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
