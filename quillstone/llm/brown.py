@@ -1,14 +1,16 @@
 """Language-model scoring by Brown class-based n-grams.
 
-Words are counted over all training texts. The most frequent words are units of their own, the others share
-units by their endings. Exchange clustering moves units between classes where that raises the likelihood of the
-class bigrams: each round, tasks count every unit's left and right neighbour classes over the whole corpus and
-the sums (units times classes, whatever the corpus) decide the moves. A word's probability is its class's
-transition probability times its share of the class, mixed with the unigram base.
-
-Both are a factor of (count + 0.1) times something that doesn't depend on the count. So a scoring task needs no
-counts: it sums the other factor, looks up counts of frequent words, and sends the rest, each document's rare
-words, to a join with the counted vocabulary.
+Words are counted over all training texts. Exchange clustering moves words between classes where that raises the
+likelihood of the class bigrams. The most frequent words are clustered first, in sweeps: each round, tasks count every
+such word's left and right neighbour classes over the whole corpus and the sums (words times classes, whatever the
+corpus) decide the moves. Meanwhile all other words stay in the class that a hash of their endings gives them. From
+there each of them, down to those that occur once, then moves by its own contexts in one distributed sweep against the
+class bigrams: up to LEXICON words by sums of fixed size, the rest in a table grouped by word. A word's probability is
+its class's transition probability times its share of the class, mixed with the unigram base.
+
+Both are a factor of (count + 0.1) times something that doesn't depend on the count. So a task that reads texts looks
+up counts and classes of frequent words, and sends the rest, each document's rare words with their places, to a join
+with the counted vocabulary. That fills in the documents' classes; transitions are counted from these, and scored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .common import bucket_of, byte_slices, written
 
 ADD, END = 0.1, b" "  # no word holds a blank
 OWN, ENDINGS, CLASSES = 8192, 1024, 32
-N_UNITS = OWN + ENDINGS  # unit 0 is the end
+N_UNITS = OWN + ENDINGS  # unit 0 is the end; words beyond OWN start in the class of their ending
 LEXICON = 200_000
 MIX, TRANSITION_ADD = 0.9, 0.5
 
@@ -37,17 +39,27 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-3:]) % ENDINGS
+    return zlib.crc32(word[-3:]) % ENDINGS
 
 
-class Units(dict):
-    """Word to unit; words that aren't units of their own are kept up to a bound."""
+def units(lexicon: list[bytes]) -> np.ndarray:
+    """The unit of each id."""
+    own = min(OWN, len(lexicon) + 1)
+    return np.concatenate([np.arange(own), [OWN + ending(w) for w in lexicon[own - 1 :]], OWN + np.arange(ENDINGS)]).astype(np.int64)
+
+
+class Ids(dict):
+    """Word to id: 0 is the end, then the lexicon, then endings. Other words are kept up to a bound."""
+
+    def __init__(self, lexicon: list[bytes]):
+        super().__init__({END: 0} | {w: i + 1 for i, w in enumerate(lexicon)})
+        self.first = len(lexicon) + 1
 
     def __missing__(self, word: bytes) -> int:
-        u = ending(word)
-        if len(self) < 400_000:
-            self[word] = u
-        return u
+        i = self.first + ending(word)
+        if len(self) < self.first + 200_000:
+            self[word] = i
+        return i
 
 
 def _count(batches):
@@ -66,53 +78,150 @@ def _count(batches):
         yield rows(counts)
 
 
-def _encode(own: dict):
+ENCODED = "ids binary, word binary, l int, r int"
+
+
+def _encode(lexicon):
+    """Texts as ids, and a row for each word out of the lexicon with the ids beside it."""
+
     def run(batches):
-        unit = Units(own)
+        ids_of = Ids(lexicon.value)
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).to_pylist()]
             for a, b in byte_slices(texts):
-                ids = [0]
+                flat = [END]
                 for t in texts[a:b]:
-                    ids += map(unit.__getitem__, words(t))
-                    ids.append(0)
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.uint16).tobytes()], pa.binary())], ["ids"])
+                    flat += words(t)
+                    flat.append(END)
+                ids = np.fromiter(map(ids_of.__getitem__, flat), np.int32, len(flat))
+                rare = np.flatnonzero(ids >= ids_of.first)
+                k = len(rare)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([ids.tobytes()] + [None] * k, pa.binary()), pa.array([None] + [flat[i] for i in rare.tolist()], pa.binary()),
+                    pa.array(np.append(-1, ids[rare - 1]), pa.int32()), pa.array(np.append(-1, ids[rare + 1] if k else rare), pa.int32()),
+                ], ["ids", "word", "l", "r"])
 
     return run
 
 
-def _contexts(classes: np.ndarray):
-    """Sums of (left or right, unit, neighbour class), in 64 pieces that are added up apart."""
+def _contexts(row_of: np.ndarray, class_of: np.ndarray, size: int):
+    """Sums of (row, left or right, neighbour class) in 64 pieces of rows that are added up apart. row_of: row of each id, or -1."""
 
     def run(batches):
-        sums = np.zeros((2, N_UNITS * CLASSES), np.int64)
+        sums = np.zeros(size * 2 * CLASSES, np.int32)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                u = np.frombuffer(raw, np.uint16).astype(np.int64)
-                g = classes[u]
-                sums[0] += np.bincount(u[1:] * CLASSES + g[:-1], minlength=N_UNITS * CLASSES)
-                sums[1] += np.bincount(u[:-1] * CLASSES + g[1:], minlength=N_UNITS * CLASSES)
+                ids = np.frombuffer(raw, np.int32)
+                u, g = row_of[ids], class_of[ids]
+                for side, (x, y) in enumerate(((u[1:], g[:-1]), (u[:-1], g[1:]))):
+                    hit = x >= 0
+                    np.add.at(sums, (x[hit] * 2 + side) * CLASSES + y[hit], np.int32(1))
         if sums.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in sums.reshape(64, -1)], pa.binary())], ["piece", "sums"])
+            for i, x in enumerate(sums.reshape(64, -1)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype(np.int64).tobytes()], pa.binary())], ["piece", "sums"])
 
     return run
 
 
+def _sum(table: pa.Table) -> np.ndarray:
+    return sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums"))
+
+
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums"))
-    return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([_sum(table).tobytes()], pa.binary())})
 
 
-def contexts(encoded: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """(2, N_UNITS, CLASSES) over the whole corpus: how often each class is left and right of each unit."""
-    parts = encoded.mapInArrow(_contexts(classes), "piece int, sums binary")
+def contexts(encoded: DataFrame, row_of: np.ndarray, class_of: np.ndarray, size: int, last=_add) -> np.ndarray:
+    """Over the whole corpus how often each class is left and right of each row: (size, 2, CLASSES), or what ``last`` makes of each piece's sums."""
+    parts = encoded.filter("ids IS NOT NULL").select("ids").mapInArrow(_contexts(row_of, class_of, size), "piece int, sums binary")
     # Two rounds: no task reads more than 64 partial sums of a piece.
     parts = parts.groupBy("piece", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).applyInArrow(_add, "piece int, sums binary")
-    done = parts.groupBy("piece").applyInArrow(_add, "piece int, sums binary").collect()
+    return {r.piece: np.frombuffer(r.sums, np.int64) for r in parts.groupBy("piece").applyInArrow(last, "piece int, sums binary").collect()}
+
+
+def unit_contexts(encoded: DataFrame, unit_of: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """(2, N_UNITS, CLASSES)."""
     out = np.zeros((64, 2 * N_UNITS * CLASSES // 64), np.int64)
-    for r in done:
-        out[r.piece] = np.frombuffer(r.sums, np.int64)
-    return out.reshape(2, N_UNITS, CLASSES)
+    for i, x in contexts(encoded, unit_of, classes[unit_of], N_UNITS).items():
+        out[i] = x
+    return out.reshape(N_UNITS, 2, CLASSES).transpose(1, 0, 2)
+
+
+def decide(left: np.ndarray, right: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The exchange step for words (rows) apart from one another: the class that raises the likelihood most against bigrams n, which count the word in its own class. Of equal classes the own, then the first."""
+    at = np.arange(CLASSES)[None] == own[:, None]
+    l, r = left.astype(np.float64), right.astype(np.float64)
+    ls, rs = l.sum(1, keepdims=True), r.sum(1, keepdims=True)
+    grow = lambda base, more: _xlogx(np.maximum(base, 0) + more) - _xlogx(np.maximum(base, 0))
+    gain = -grow(n.sum(1)[None] - at * rs, rs) - grow(n.sum(0)[None] - at * ls, ls)
+    within = n.diagonal()[None] - at * (l + r)  # where a class meets itself, both sides add up
+    gain += grow(within + r, l) - grow(within, l)
+    for g in range(CLASSES):
+        mine = (own == g)[:, None]
+        hit = np.flatnonzero(r[:, g])
+        gain[hit] += grow(n[None, :, g] - at[hit] * r[hit, g, None] - mine[hit] * l[hit], r[hit, g, None])
+        hit = np.flatnonzero(l[:, g])
+        gain[hit] += grow(n[None, g] - at[hit] * l[hit, g, None] - mine[hit] * r[hit], l[hit, g, None])
+    top = gain.max(1)
+    best = (gain >= top[:, None] - 1e-6).argmax(1)
+    return np.where(top > gain[np.arange(len(own)), own] + 1e-6, best, own)
+
+
+def lexicon_classes(encoded: DataFrame, lexicon: list[bytes], unit_of: np.ndarray, classes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each id: words of the lexicon beyond OWN are decided in tasks; one byte for each comes back."""
+    class_of = classes[unit_of]
+    tail = len(lexicon) + 1 - OWN
+    if tail <= 0:
+        return class_of
+    per = -(-tail // 64)
+    row_of = np.full(len(unit_of), -1)
+    row_of[OWN : OWN + tail] = np.arange(tail)
+    own = np.zeros(64 * per, np.int64)
+    own[:tail] = class_of[OWN : OWN + tail]
+
+    def last(table: pa.Table) -> pa.Table:
+        i = table.column("piece")[0].as_py()
+        sums = _sum(table).reshape(per, 2, CLASSES)
+        best = decide(sums[:, 0], sums[:, 1], n, own[i * per : (i + 1) * per])
+        return pa.table({"piece": pa.array([i], pa.int32()), "sums": pa.array([best.astype(np.int64).tobytes()], pa.binary())})
+
+    for i, x in contexts(encoded, row_of, class_of, 64 * per, last).items():
+        own[i * per : (i + 1) * per] = x
+    class_of[OWN : OWN + tail] = own[:tail]
+    return class_of
+
+
+def _sides(class_of: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            l, r = (class_of[batch.column(i).to_numpy()] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((l * CLASSES + r).astype(np.int16))], ["word", "lr"])
+
+    return run
+
+
+def _decide_rare(classes: np.ndarray, n: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                found, (lr, times), k = part.column(0), part.column(1).flatten().flatten(), part.column(1).value_lengths().to_numpy()
+                w = np.repeat(np.arange(part.num_rows), k)
+                lr, times = lr.to_numpy().astype(np.int64), times.to_numpy()
+                left, right = np.zeros((2, part.num_rows, CLASSES), np.int64)
+                np.add.at(left, (w, lr // CLASSES), times)
+                np.add.at(right, (w, lr % CLASSES), times)
+                own = classes[[OWN + ending(x) for x in found.to_pylist()]]
+                yield pa.RecordBatch.from_arrays([found, pa.array(decide(left, right, n, own), pa.int32())], ["word", "g"])
+
+    return run
+
+
+def rare_classes(encoded: DataFrame, class_of: np.ndarray, classes: np.ndarray, n: np.ndarray) -> DataFrame:
+    """(word, g) of all words out of the lexicon. A word has at most CLASSES squared rows of neighbours."""
+    sides = encoded.filter("word IS NOT NULL").select("word", "l", "r").mapInArrow(_sides(class_of), "word binary, lr short")
+    sides = sides.repartition("word").groupBy("word", "lr").agg(F.count(F.lit(1)).alias("n"))
+    return sides.groupBy("word").agg(F.collect_list(F.struct("lr", "n")).alias("sides")).mapInArrow(_decide_rare(classes, n), "word binary, g int")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -154,7 +263,7 @@ def exchange(context: np.ndarray, classes: np.ndarray, part: int, parts: int = 2
     return classes
 
 
-def cluster(encoded: DataFrame, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def cluster(encoded: DataFrame, unit_of: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the units and counts of class bigrams; the best classes seen at any pass are returned.
 
     At first the most frequent words lead a class each, and the others follow in turn.
@@ -162,7 +271,7 @@ def cluster(encoded: DataFrame, rounds: int = 6) -> tuple[np.ndarray, np.ndarray
     classes = np.arange(N_UNITS) % CLASSES
     best = (-math.inf, None, None)
     for i in range(rounds + 1):
-        context = contexts(encoded, classes)
+        context = unit_contexts(encoded, unit_of, classes)
         n = bigrams(context, classes)
         if (now := likelihood(n)) > best[0]:
             best = (now, classes, n)
@@ -171,11 +280,13 @@ def cluster(encoded: DataFrame, rounds: int = 6) -> tuple[np.ndarray, np.ndarray
     return best[1], best[2]
 
 
-def _class_sizes(own: dict, classes: np.ndarray):
+def _class_sizes(lexicon, class_of: np.ndarray):
     def run(batches):
-        unit, sums = Units(own), np.zeros((2, CLASSES), np.int64)
+        ids_of, sums = Ids(lexicon.value), np.zeros((2, CLASSES), np.int64)
         for batch in batches:
-            g = classes[[0 if w == END else unit[w] for w in batch.column(0).to_pylist()]]
+            g = class_of[np.array([ids_of[w] for w in batch.column(0).to_pylist()], np.int64)]
+            rare = batch.column(2)
+            g = np.where(rare.is_valid().to_numpy(zero_copy_only=False), rare.fill_null(0).to_numpy(), g)
             sums[0] += np.bincount(g, minlength=CLASSES)
             sums[1] += np.bincount(g, batch.column(1).to_numpy(), minlength=CLASSES).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], ["g", "types", "tokens"])
@@ -183,35 +294,68 @@ def _class_sizes(own: dict, classes: np.ndarray):
     return run
 
 
-PART = "row long, doc_id long, held_out boolean, n_tokens long, n long, word binary, base double, score double"
+PART = "row long, doc_id long, held_out boolean, n_tokens long, n long, word binary, base double, classes binary, places binary"
+PART_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
 
 
-def _score(lexicon: dict, own: dict, classes: np.ndarray, step: np.ndarray, low: float):
-    """Per document: sums of what doesn't need rare counts, then a row for each rare word. step: log10 of the factor beside (count + 0.1), by class before and class."""
+def _look_up(lexicon, class_of: np.ndarray, log_of: np.ndarray):
+    """Per document: classes of its tokens and the sum of known log counts, then a row for each word whose count isn't known here, with its places."""
 
     def run(batches):
-        unit = Units(own)
+        ids_of = Ids(lexicon.value)
         for batch in batches:
-            ids, texts = batch.column(1).to_pylist(), [t or b"" for t in batch.column(3).to_pylist()]
+            doc_ids, texts = batch.column(1).to_pylist(), [t or b"" for t in batch.column(3).to_pylist()]
             rows, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in byte_slices(texts, 1 << 20):
                 out = []
                 for i in range(a, b):
-                    w = words(texts[i])
-                    g = classes[np.fromiter(map(unit.__getitem__, w), np.int64, len(w))] if w else np.zeros(0, np.int64)
-                    g = np.concatenate([[classes[0]], g, [classes[0]]])
-                    logs = [lexicon.get(x) for x in w] + [lexicon[END]] if END in lexicon else [lexicon.get(x) for x in w]
-                    rare = Counter(x for x, v in zip(w, logs) if v is None)
-                    if END not in lexicon:
-                        rare[END] += 1
-                    seen = [v for v in logs if v is not None]
-                    shared = math.fsum(seen)
-                    tokens = len(w) + 1
+                    w = words(texts[i]) + [END]
+                    ids = np.fromiter(map(ids_of.__getitem__, w), np.int64, len(w))
+                    logs = log_of[ids]
+                    rare = np.flatnonzero(np.isnan(logs))
+                    places: dict[bytes, list[int]] = {}
+                    for at in rare.tolist():
+                        places.setdefault(w[at], []).append(at)
                     # The document's own row has a key that no word has.
-                    out.append((rows[i], ids[i], held[i], tokens, len(seen), b" %d" % rows[i], shared - tokens * low, shared + float(step[g[:-1], g[1:]].sum())))
-                    out += [(rows[i], None, None, None, n, x, None, None) for x, n in rare.items()]
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64()))], [f.split()[0] for f in PART.split(", ")])
+                    out.append((rows[i], doc_ids[i], held[i], len(w), len(w) - len(rare), b" %d" % rows[i], math.fsum(np.delete(logs, rare)), class_of[ids].astype(np.uint8).tobytes(), None))
+                    out += [(rows[i], None, None, None, len(at), x, None, None, np.array(at, np.uint32).tobytes()) for x, at in places.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PART_TYPES)], [f.split()[0] for f in PART.split(", ")])
+
+    return run
+
+
+FILLED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, classes binary"
+
+
+def _fill(batches):
+    """Classes of the end before, and of each token, with those of rare words put in place."""
+    for batch in batches:
+        filled = []
+        for classes, rare in zip(batch.column("classes").to_pylist(), batch.column("rare").to_pylist()):
+            g = np.frombuffer(classes, np.uint8)
+            g = np.concatenate([g[-1:], g])
+            for x in rare:
+                g[np.frombuffer(x["places"], np.uint32).astype(np.int64) + 1] = x["g"]
+            filled.append(g.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs")] + [pa.array(filled, pa.binary())], [f.split()[0] for f in FILLED.split(", ")])
+
+
+def _transitions(batches):
+    sums = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            g = np.frombuffer(raw, np.uint8).astype(np.int64)
+            sums += np.bincount(g[:-1] * CLASSES + g[1:], minlength=len(sums))
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], ["pair", "k"])
+
+
+def _score(step: np.ndarray):
+    """step: log10 of the factor beside (count + 0.1), by class before and class."""
+
+    def run(batches):
+        for batch in batches:
+            total = [float(step[g[:-1], g[1:]].sum()) for g in (np.frombuffer(x, np.uint8) for x in batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:5] + [pa.array(total, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "steps"])
 
     return run
 
@@ -239,28 +383,40 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         least, held_words = c, held_words + k
     frequent = [] if least == math.inf else sorted(((r.c, bytes(r.word)) for r in vocabulary.filter(F.col("c") >= least).collect()), key=lambda x: (-x[0], x[1]))
-    own = {w: i + 1 for i, w in enumerate([w for _, w in frequent if w != END][: OWN - 1])}
-    lexicon = {w: math.log10(c + ADD) for c, w in frequent}
-    encoded = written(train.mapInArrow(_encode(own), "ids binary"), "brown-units")
-    classes, pairs = cluster(encoded, rounds)
+    words_of = [w for _, w in frequent if w != END]
+    lexicon = spark.sparkContext.broadcast(words_of)  # LEXICON words at most
+    unit_of = units(words_of)
+    log_of = np.full(len(unit_of), np.nan)
+    ids_of = Ids(words_of)
+    log_of[np.array([ids_of[w] for _, w in frequent], np.int64)] = [math.log10(c + ADD) for c, _ in frequent]
+    encoded = written(train.mapInArrow(_encode(lexicon), ENCODED), "brown-ids")
+    classes, pairs = cluster(encoded, unit_of, rounds)
+    class_of = lexicon_classes(encoded, words_of, unit_of, classes, pairs)
+    vocabulary = written(vocabulary.join(rare_classes(encoded, classes[unit_of], classes, pairs), "word", "left"), "brown-classes")
+
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(_look_up(lexicon, class_of, log_of), PART)
+    parts = parts.join(vocabulary, "word", "left").repartition("row")
+    mine = F.col("n_tokens").isNotNull()
+    filled = parts.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.when(mine | F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(mine, F.col("base")).otherwise(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD)) * F.col("n"))).alias("logs"),
+        F.first("classes", ignorenulls=True).alias("classes"), F.collect_list(F.when(F.col("g").isNotNull(), F.struct("places", "g"))).alias("rare"),
+    )
+    filled = written(filled.drop("row").mapInArrow(_fill, FILLED), "brown-documents")
+    pairs = np.zeros(CLASSES * CLASSES)
+    for r in filled.filter("NOT held_out").select("classes").mapInArrow(_transitions, "pair int, k long").groupBy("pair").agg(F.sum("k").alias("k")).collect():
+        pairs[r.pair] = r.k
+    pairs = pairs.reshape(CLASSES, CLASSES)
     sizes = np.zeros((2, CLASSES))
-    for r in vocabulary.mapInArrow(_class_sizes(own, classes), "g int, types long, tokens long").groupBy("g").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect():
+    for r in vocabulary.mapInArrow(_class_sizes(lexicon, class_of), "g int, types long, tokens long").groupBy("g").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect():
         sizes[:, r.g] = r.types, r.tokens
     base = n + ADD * (v + 1)
     step = (pairs + TRANSITION_ADD) / (pairs.sum(1, keepdims=True) + TRANSITION_ADD * CLASSES)
     step = np.log10(MIX * step / (sizes[1] + ADD * (sizes[0] + 1)) + (1 - MIX) / base)
-    shipped = spark.sparkContext.broadcast((lexicon, own))  # LEXICON and OWN words at most
-
-    def score(batches):
-        yield from _score(*shipped.value, classes, step, math.log10(base))(batches)
-
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(score, PART)
-    parts = parts.join(vocabulary, "word", "left")
-    log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD)) * F.col("n")
-    mine = F.col("n_tokens").isNotNull()
-    out = parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(mine | F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        F.sum(F.when(mine, F.col("base")).otherwise(log)).alias("base_score"), F.sum(F.when(mine, F.col("score")).otherwise(log)).alias("score"),
+    out = filled.mapInArrow(_score(step), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double")
+    score = F.col("logs") + F.col("steps")
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(math.log10(base))).alias("base_score"),
+        score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
-    return out.drop("row").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
