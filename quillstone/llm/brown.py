@@ -294,12 +294,13 @@ def _class_sizes(lexicon, class_of: np.ndarray):
     return run
 
 
-PART = "row long, doc_id long, held_out boolean, n_tokens long, n long, word binary, base double, classes binary, places binary"
-PART_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
+PART = "row long, place int, word binary, doc_id long, held_out boolean, n_tokens long, n long, base double, classes binary"
+PART_TYPES = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
 
 
 def _look_up(lexicon, class_of: np.ndarray, log_of: np.ndarray):
-    """Per document: classes of its tokens and the sum of known log counts, then a row for each word whose count isn't known here, with its places."""
+    """Per document: classes of its tokens and the sum of known log counts; and a row for each token whose count isn't known here, with its place."""
+    names = [f.split()[0] for f in PART.split(", ")]
 
     def run(batches):
         ids_of = Ids(lexicon.value)
@@ -307,19 +308,22 @@ def _look_up(lexicon, class_of: np.ndarray, log_of: np.ndarray):
             doc_ids, texts = batch.column(1).to_pylist(), [t or b"" for t in batch.column(3).to_pylist()]
             rows, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in byte_slices(texts, 1 << 20):
-                out = []
+                own, of, place, rare_words = [], [], [], []
                 for i in range(a, b):
-                    w = words(texts[i]) + [END]
+                    w = words(texts[i])
+                    w.append(END)
                     ids = np.fromiter(map(ids_of.__getitem__, w), np.int64, len(w))
                     logs = log_of[ids]
                     rare = np.flatnonzero(np.isnan(logs))
-                    places: dict[bytes, list[int]] = {}
-                    for at in rare.tolist():
-                        places.setdefault(w[at], []).append(at)
+                    of.append(np.full(len(rare), rows[i]))
+                    place.append(rare)
+                    rare_words += [w[at] for at in rare.tolist()]
                     # The document's own row has a key that no word has.
-                    out.append((rows[i], doc_ids[i], held[i], len(w), len(w) - len(rare), b" %d" % rows[i], math.fsum(np.delete(logs, rare)), class_of[ids].astype(np.uint8).tobytes(), None))
-                    out += [(rows[i], None, None, None, len(at), x, None, None, np.array(at, np.uint32).tobytes()) for x, at in places.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PART_TYPES)], [f.split()[0] for f in PART.split(", ")])
+                    own.append((rows[i], None, b" %d" % rows[i], doc_ids[i], held[i], len(w), len(w) - len(rare), math.fsum(np.delete(logs, rare)), class_of[ids].astype(np.uint8).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), PART_TYPES)], names)
+                if rare_words:
+                    known = [pa.array(np.concatenate(of)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(rare_words, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(known + [pa.nulls(len(rare_words), t) for t in PART_TYPES[3:]], names)
 
     return run
 
@@ -327,17 +331,43 @@ def _look_up(lexicon, class_of: np.ndarray, log_of: np.ndarray):
 FILLED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, classes binary"
 
 
-def _fill(batches):
-    """Classes of the end before, and of each token, with those of rare words put in place."""
+def _whole_documents(batches):
+    """The same rows, cut where a document ends. Rows come sorted by document."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        filled = []
-        for classes, rare in zip(batch.column("classes").to_pylist(), batch.column("rare").to_pylist()):
-            g = np.frombuffer(classes, np.uint8)
-            g = np.concatenate([g[-1:], g])
-            for x in rare:
-                g[np.frombuffer(x["places"], np.uint32).astype(np.int64) + 1] = x["g"]
-            filled.append(g.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs")] + [pa.array(filled, pa.binary())], [f.split()[0] for f in FILLED.split(", ")])
+        if not batch.num_rows:
+            continue
+        rows = batch.column("row").to_numpy()
+        cut = int(np.searchsorted(rows, rows[-1]))  # the last document may go on
+        if held and held[0].column("row")[0].as_py() != rows[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif not held and cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut) if not held else batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _fill(batches):
+    """Classes of the end before, and of each token, with those of rare words put in place, and sums of log counts."""
+    for table in _whole_documents(batches):
+        table = table.combine_chunks()
+        doc = table.column("n_tokens").is_valid().to_numpy()
+        own, rare = table.filter(pa.array(doc)), table.filter(pa.array(~doc))
+        classes = own.column("classes").to_pylist()
+        flat = np.frombuffer(b"".join(g[-1:] + g for g in classes), np.uint8).copy()
+        starts = np.concatenate([[0], np.cumsum([len(g) + 1 for g in classes])])
+        of = (np.cumsum(doc) - 1)[~doc]  # a document's own row comes first
+        g = rare.column("g")
+        moved = g.is_valid().to_numpy()
+        flat[(starts[of] + rare.column("place").to_numpy() + 1)[moved]] = g.drop_null().to_numpy()
+        c = rare.column("c").fill_null(0).to_numpy()
+        logs = own.column("base").to_numpy() + np.bincount(of, np.log10(c + ADD), minlength=len(classes))
+        known = own.column("n").to_numpy() + np.bincount(of, c > 0, minlength=len(classes)).astype(np.int64)
+        filled = [flat[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        first = [own.column(x).combine_chunks() for x in ("doc_id", "held_out", "n_tokens")]
+        yield pa.RecordBatch.from_arrays(first + [pa.array(known), pa.array(logs, pa.float64()), pa.array(filled, pa.binary())], [f.split()[0] for f in FILLED.split(", ")])
 
 
 def _transitions(batches):
@@ -395,15 +425,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = written(vocabulary.join(rare_classes(encoded, classes[unit_of], classes, pairs), "word", "left"), "brown-classes")
 
     parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(_look_up(lexicon, class_of, log_of), PART)
-    parts = parts.join(vocabulary, "word", "left").repartition("row")
-    mine = F.col("n_tokens").isNotNull()
-    filled = parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(mine | F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(mine, F.col("base")).otherwise(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD)) * F.col("n"))).alias("logs"),
-        F.first("classes", ignorenulls=True).alias("classes"), F.collect_list(F.when(F.col("g").isNotNull(), F.struct("places", "g"))).alias("rare"),
-    )
-    filled = written(filled.drop("row").mapInArrow(_fill, FILLED), "brown-documents")
+    parts = parts.join(vocabulary, "word", "left").drop("word").repartition("row").sortWithinPartitions("row", "place")
+    filled = written(parts.mapInArrow(_fill, FILLED), "brown-documents")
     pairs = np.zeros(CLASSES * CLASSES)
     for r in filled.filter("NOT held_out").select("classes").mapInArrow(_transitions, "pair int, k long").groupBy("pair").agg(F.sum("k").alias("k")).collect():
         pairs[r.pair] = r.k

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstone.llm import brown as B
@@ -135,3 +136,13 @@ def test_edges(spark):
     only_held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = B.score_documents(docs(spark, ["a b"], ids=[only_held])).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and abs(r.base_score) < 1e-9
+
+
+def test_documents_are_whole_however_batches_are_cut():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        rows = np.sort(rng.integers(0, rng.integers(1, 30), rng.integers(0, 60)))
+        cuts = np.sort(rng.integers(0, len(rows) + 1, rng.integers(0, 12)))
+        batches = [pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64))], ["row"]) for x in np.split(rows, cuts)]
+        out = [t.column("row").to_pylist() for t in B._whole_documents(iter(batches))]
+        assert sum(out, []) == rows.tolist() and sum(len(set(x)) for x in out) == len(set(rows.tolist()))
