@@ -18,13 +18,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, byte_slices, written
+from .common import batches_of, bucket_of, byte_slices, written
 
 ADD, END = 0.1, b" "  # no word holds a blank
 OWN, ENDINGS, CLASSES = 8192, 1024, 32
@@ -104,39 +105,61 @@ def _encode(lexicon):
     return run
 
 
+SUMS = "piece int, at binary, sums binary"
+
+
+def _sums(piece: int, x: np.ndarray) -> pa.RecordBatch:
+    """A piece's sums other than 0 and their places: most words meet few classes in one task."""
+    at = np.flatnonzero(x)
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([x[at].astype(np.int64).tobytes()], pa.binary())], [f.split()[0] for f in SUMS.split(", ")])
+
+
 def _contexts(row_of: np.ndarray, class_of: np.ndarray, size: int):
     """Sums of (row, left or right, neighbour class) in 64 pieces of rows that are added up apart. row_of: row of each id, or -1."""
 
     def run(batches):
         sums = np.zeros(size * 2 * CLASSES, np.int32)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, np.int32)
+            for raw in batch.column(0):
+                ids = np.frombuffer(raw.as_buffer(), np.int32)
                 u, g = row_of[ids], class_of[ids]
                 for side, (x, y) in enumerate(((u[1:], g[:-1]), (u[:-1], g[1:]))):
                     hit = x >= 0
                     np.add.at(sums, (x[hit] * 2 + side) * CLASSES + y[hit], np.int32(1))
-        if sums.any():
-            for i, x in enumerate(sums.reshape(64, -1)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype(np.int64).tobytes()], pa.binary())], ["piece", "sums"])
+        for i, x in enumerate(sums.reshape(64, -1)):
+            if x.any():
+                yield _sums(i, x)
 
     return run
 
 
-def _sum(table: pa.Table) -> np.ndarray:
-    return sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums"))
+def _add(width: int, last=None):
+    """Sums of a piece added up as they come; ``last`` makes something else of the whole."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, piece = np.zeros(width, np.int64), None
+        for batch in batches:
+            for piece, at, x in zip(*(batch.column(f.split()[0]) for f in SUMS.split(", "))):
+                total[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(x.as_buffer(), np.int64)
+        i = piece.as_py()
+        yield _sums(i, last(i, total) if last else total)
 
-def _add(table: pa.Table) -> pa.Table:
-    return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([_sum(table).tobytes()], pa.binary())})
+    return run
 
 
-def contexts(encoded: DataFrame, row_of: np.ndarray, class_of: np.ndarray, size: int, last=_add) -> np.ndarray:
-    """Over the whole corpus how often each class is left and right of each row: (size, 2, CLASSES), or what ``last`` makes of each piece's sums."""
-    parts = encoded.filter("ids IS NOT NULL").select("ids").mapInArrow(_contexts(row_of, class_of, size), "piece int, sums binary")
-    # Two rounds: no task reads more than 64 partial sums of a piece.
-    parts = parts.groupBy("piece", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).applyInArrow(_add, "piece int, sums binary")
-    return {r.piece: np.frombuffer(r.sums, np.int64) for r in parts.groupBy("piece").applyInArrow(last, "piece int, sums binary").collect()}
+def contexts(encoded: DataFrame, row_of: np.ndarray, class_of: np.ndarray, size: int, last=None) -> dict[int, np.ndarray]:
+    """Over the whole corpus how often each class is left and right of each row, by piece, or what ``last`` makes of a piece's sums."""
+    width = size * 2 * CLASSES // 64
+    parts = encoded.filter("ids IS NOT NULL").select("ids").mapInArrow(_contexts(row_of, class_of, size), SUMS)
+    # Two rounds: a piece's sums of many tasks are dealt over 64 groups first, and read a few at a time.
+    parts = parts.groupBy("piece", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).applyInArrow(_add(width), SUMS)
+    out = {}
+    with batches_of(encoded.sparkSession, 8):
+        for r in parts.groupBy("piece").applyInArrow(_add(width, last), SUMS).collect():
+            x = np.zeros(width, np.int64)
+            x[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["sums"], np.int64)
+            out[r["piece"]] = x
+    return out
 
 
 def unit_contexts(encoded: DataFrame, unit_of: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -179,14 +202,12 @@ def lexicon_classes(encoded: DataFrame, lexicon: list[bytes], unit_of: np.ndarra
     own = np.zeros(64 * per, np.int64)
     own[:tail] = class_of[OWN : OWN + tail]
 
-    def last(table: pa.Table) -> pa.Table:
-        i = table.column("piece")[0].as_py()
-        sums = _sum(table).reshape(per, 2, CLASSES)
-        best = decide(sums[:, 0], sums[:, 1], n, own[i * per : (i + 1) * per])
-        return pa.table({"piece": pa.array([i], pa.int32()), "sums": pa.array([best.astype(np.int64).tobytes()], pa.binary())})
+    def last(i: int, total: np.ndarray) -> np.ndarray:
+        sums = total.reshape(per, 2, CLASSES)
+        return decide(sums[:, 0], sums[:, 1], n, own[i * per : (i + 1) * per])
 
     for i, x in contexts(encoded, row_of, class_of, 64 * per, last).items():
-        own[i * per : (i + 1) * per] = x
+        own[i * per : (i + 1) * per] = x[:per]
     class_of[OWN : OWN + tail] = own[:tail]
     return class_of
 
