@@ -151,8 +151,9 @@ def contexts(encoded: DataFrame, row_of: np.ndarray, class_of: np.ndarray, size:
     """Over the whole corpus how often each class is left and right of each row, by piece, or what ``last`` makes of a piece's sums."""
     width = size * 2 * CLASSES // 64
     parts = encoded.filter("ids IS NOT NULL").select("ids").mapInArrow(_contexts(row_of, class_of, size), SUMS)
-    # Two rounds: a piece's sums of many tasks are dealt over 64 groups first, and read a few at a time.
-    parts = parts.groupBy("piece", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).applyInArrow(_add(width), SUMS)
+    # Two rounds: the sums of 32 tasks are added up first, in 64 groups a piece at most, and read a few at a time.
+    salt = F.pmod(F.shiftright(F.spark_partition_id(), 5), F.lit(64)).alias("salt")
+    parts = parts.groupBy("piece", salt).applyInArrow(_add(width), SUMS)
     out = {}
     with batches_of(encoded.sparkSession, 8):
         for r in parts.groupBy("piece").applyInArrow(_add(width, last), SUMS).collect():
