@@ -14,6 +14,7 @@ from .jaccard import jaccard_components
 from .language_id import identify
 from .media import media_columns
 from .mixing import mix
+from .pii import find_personal_data, spans_text
 from .pieces import encode, ids_digest
 from .suffixes import remove_repeats
 from .warc import read_warc, write_warc
@@ -71,7 +72,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_pieces": op6_pieces, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op9_html_extraction": op9_html_extraction, "op10_mixing": op10_mixing, "op11_cross_tokenizer": op11_cross_tokenizer, "op12_fill_in_middle": op12_fill_in_middle}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_brown_scoring": op3_brown_scoring, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_pieces": op6_pieces, "op7_media_columns": op7_media_columns, "op8_exact_dedup": op8_exact_dedup, "op9_html_extraction": op9_html_extraction, "op10_mixing": op10_mixing, "op11_cross_tokenizer": op11_cross_tokenizer, "op12_fill_in_middle": op12_fill_in_middle, "op13_personal_data": op13_personal_data}
 
 ORACLE_SQL = {
     "op2_warc": r"""
