@@ -9,12 +9,18 @@ packages, one package per group: a package is bounded by LARGEST bytes and can't
 from __future__ import annotations
 
 import io
+import marshal
 import os
 import posixpath
 import re
+import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
+from itertools import islice
+from typing import NamedTuple
 from xml.etree import ElementTree
 from xml.parsers import expat
 from xml.sax.saxutils import escape
@@ -58,18 +64,61 @@ def shown(e) -> str:
     return "".join(t.text or "" for path in (f"{MAIN}t", f"{MAIN}r/{MAIN}t") for t in e.iterfind(path))
 
 
+class Strings:
+    """Shared strings by place, in compressed pages of PAGE strings each; the pages used last are kept open."""
+
+    PAGE, OPEN = 512, 128
+
+    def __init__(self, found: Iterator[str]):
+        self.pages, page = [], []
+        for text in found:
+            page.append(text)
+            if len(page) == self.PAGE:
+                self.pages.append(zlib.compress(marshal.dumps(page), 1))
+                page = []
+        self.size = len(self.pages) * self.PAGE + len(page)
+        self.pages.append(zlib.compress(marshal.dumps(page), 1))
+        self.page = lru_cache(self.OPEN)(lambda i: marshal.loads(zlib.decompress(self.pages[i])))
+
+    def __getitem__(self, i: int) -> str:
+        if not -self.size <= i < self.size:
+            raise IndexError(f"no shared string {i}")
+        return self.page(i % self.size // self.PAGE)[i % self.size % self.PAGE]
+
+
+def elements(stream, tag: str) -> Iterator:
+    """Elements of a name as they end. Those seen are forgotten, so that memory doesn't grow with the part."""
+    stack = []
+    for event, e in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            stack.append(e)
+            continue
+        stack.pop()
+        if e.tag == tag:
+            yield e
+            stack[-1].clear()
+
+
 class Package:
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
+    """A package in a file of bytes that can be sought in; parts are read when they are asked for."""
+
+    def __init__(self, file):
+        self.zip = zipfile.ZipFile(file)
         if sum(i.file_size for i in self.zip.infolist()) > LARGEST:
             raise WorkbookError(f"the parts hold over {LARGEST} bytes")
         self.names = set(self.zip.namelist())
         self.book = self._xml("xl/workbook.xml")
-        self.strings = [shown(e) for e in self._xml("xl/sharedStrings.xml").iterfind(f"{MAIN}si")] if "xl/sharedStrings.xml" in self.names else []
         self.formats = self._formats() if "xl/styles.xml" in self.names else []
         about = self.book.find(f"{MAIN}workbookPr")
         self.is_1904 = about is not None and about.get("date1904") in ("1", "true")
 
+    @cached_property
+    def strings(self) -> Strings:
+        if "xl/sharedStrings.xml" not in self.names:
+            return Strings(iter(()))
+        with self.zip.open("xl/sharedStrings.xml") as f:
+            return Strings(shown(e) for e in elements(f, f"{MAIN}si"))
+
     def _xml(self, name: str):
         return ElementTree.fromstring(self.zip.read(name))
 
@@ -107,37 +156,62 @@ class Package:
             "formula": None if formula is None else formula.text or "", "number_format": self.formats[style] if 0 <= style < len(self.formats) else "",
         }
 
-    def content(self, sheet: dict) -> Iterator[dict]:
-        """Cells and areas of a sheet, row by row; the sheet's own row goes last, when has_data is known."""
+    def content(self, sheet: dict, rows: tuple[int, int] = (1, LAST_ROW)) -> Iterator[dict]:
+        """Cells and areas of a sheet, row by row; the sheet's own row goes last, when has_data is known. Only rows from the first to the second number are decoded."""
         base, has_data = {k: sheet[k] for k in ("sheet_idx", "sheet", "part", "is_1904")}, False
 
         def area(kind, ref, formula=None):
             c1, r1, c2, r2 = bounds(ref)
             return base | {"kind": kind, "ref": ref, "c1": c1, "r1": r1, "c2": c2, "r2": r2, "formula": formula}
 
+        stack = []
         with self.zip.open(sheet["part"]) as f:
-            for _, e in ElementTree.iterparse(f):
-                if e.tag == f"{MAIN}row":
+            for event, e in ElementTree.iterparse(f, ("start", "end")):
+                if event == "start":
+                    stack.append(e)
+                    continue
+                stack.pop()
+                has_data |= e.tag == f"{MAIN}sheetData"
+                if e.tag == f"{MAIN}mergeCell":
+                    yield area("merge", e.get("ref", ""))
+                elif e.tag == f"{MAIN}row":
                     if e.get("r") is None:
                         raise WorkbookError(f"sheet {sheet['sheet']}: a row has no number")
+                    number = int(e.get("r"))
                     for c in e.iterfind(f"{MAIN}c"):
-                        yield base | self._cell(c, int(e.get("r")))
+                        if rows[0] <= number <= rows[1]:
+                            yield base | self._cell(c, number)
                         formula = c.find(f"{MAIN}f")
                         if formula is not None and formula.get("ref"):
                             yield area("formula", formula.get("ref"), formula.text or "")
-                    e.clear()
-                elif e.tag == f"{MAIN}mergeCell":
-                    yield area("merge", e.get("ref", ""))
-                has_data |= e.tag == f"{MAIN}sheetData"
+                    stack[-1].clear()  # what has been read is forgotten, so that memory doesn't grow with the sheet
         yield sheet | {"has_data": has_data}
 
 
-def _entries(path: str, content: bytes, hidden: bool) -> Iterator[dict]:
-    package = Package(content)
+def _entries(content: bytes, hidden: bool) -> Iterator[dict]:
+    package = Package(io.BytesIO(content))
     for sheet in package.sheets(hidden):
         yield from package.content(sheet) if sheet["part"] else [sheet]
 
 
+#: What reading a package that isn't sound can raise.
+UNREADABLE = (ValueError, KeyError, IndexError, TypeError, ElementTree.ParseError, zipfile.BadZipFile, zlib.error, EOFError)
+
+
+def arrow_schema() -> pa.Schema:
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(name, types[kind]) for name, kind in map(str.split, ENTRIES.split(", "))])
+
+
+def record_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_pylist(some, schema=schema)
+
+
+def said(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
 def files(spark: SparkSession, source: str) -> DataFrame:
     """path and content of each .xlsx file, upper case included, of a folder, file or pattern."""
     return spark.read.format("binaryFile").load(source).select("path", "content").filter(F.lower("path").endswith(".xlsx"))
@@ -145,18 +219,16 @@ def files(spark: SparkSession, source: str) -> DataFrame:
 
 def entries(packages: DataFrame, hidden: bool = False) -> DataFrame:
     """Rows of packages (path, content); a package that can't be read gives one row of kind error alone. Hidden sheets are read only if wanted; a null content is an error, no files give no rows."""
-    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-    schema = pa.schema([(name, types[kind]) for name, kind in map(str.split, ENTRIES.split(", "))])
+    schema = arrow_schema()
 
     def parse(batches):
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 try:
-                    found = [{"path": path, **e} for e in _entries(path, content.as_py() or b"", hidden)]
-                except (ValueError, KeyError, IndexError, TypeError, ElementTree.ParseError, zipfile.BadZipFile) as error:
-                    found = [{"path": path, "kind": "error", "raw": f"{type(error).__name__}: {error}"}]
-                for i in range(0, len(found), 10_000):
-                    yield pa.RecordBatch.from_pylist(found[i : i + 10_000], schema=schema)
+                    found = list(record_batches(({"path": path, **e} for e in _entries(content.as_py() or b"", hidden)), schema))
+                except UNREADABLE as error:
+                    found = record_batches(iter([{"path": path, "kind": "error", "raw": said(error)}]), schema)
+                yield from found
 
     return packages.select("path", "content").mapInArrow(parse, ENTRIES)
 
@@ -185,58 +257,72 @@ _TAG = re.compile(rb"<([^\s/>]+)((?:\s+[^\s=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s
 _ATTRIBUTE = re.compile(rb"\s+([^\s=]+)\s*=\s*(\"[^\"]*\"|'[^']*')")
 
 
-class _Layout:
-    """Where a sheet's rows, cells and their children stand in its bytes."""
+class _Rows:
+    """Calls ``use`` with each row of a sheet as it ends: where it, its cells and their children stand in the bytes."""
 
-    def __init__(self, xml: bytes):
-        self.xml, self.rows, self.stack = xml, {}, []
+    def __init__(self, xml: bytes, use):
+        self.xml, self.use, self.stack = xml, use, []
         p = expat.ParserCreate()
         p.StartElementHandler = lambda name, attrs: self._start(name, attrs, p.CurrentByteIndex)
         p.EndElementHandler = lambda name: self._end(p.CurrentByteIndex)
         p.Parse(xml, True)
 
     def _start(self, name, attrs, at):
-        local = name.rpartition(":")[2]
-        node = {"local": local, "at": at, "r": attrs.get("r"), "children": []}
-        if local == "row" and self.stack and self.stack[-1]["local"] == "sheetData":
-            self.rows[int(attrs["r"])] = node
+        node = {"local": name.rpartition(":")[2], "at": at, "r": attrs.get("r"), "children": []}
         if self.stack and self.stack[-1]["local"] in ("row", "c"):
             self.stack[-1]["children"].append(node)
         self.stack.append(node)
 
     def _end(self, at):
         node = self.stack.pop()
-        node["tag"] = _TAG.match(self.xml, node["at"])
-        node["inner_end"] = at
-        node["end"] = node["tag"].end() if node["tag"][3] else self.xml.index(b">", at) + 1
-
-
-def rewrite_cells(xml: bytes, changes: dict[str, str | None]) -> bytes:
-    """The sheet with inline text in the changed cells; all other bytes stay. None empties a cell, and does nothing where there is none."""
-    layout, cuts = _Layout(xml), []
+        if node["local"] == "row" or len(self.stack) > 2:  # rows and what is in them
+            node["tag"] = _TAG.match(self.xml, node["at"])
+            node["inner_end"] = at
+            node["end"] = node["tag"].end() if node["tag"][3] else self.xml.index(b">", at) + 1
+        if node["local"] == "row" and self.stack[-1]["local"] == "sheetData":
+            self.use(node)
+
+
+def _row_cuts(xml: bytes, row: dict, changes: dict[str, str | None]) -> Iterator[tuple]:
+    """(start, column, end, new bytes) of a row's changes."""
+    row_cells = [c for c in row["children"] if c["local"] == "c" and c["r"]]
+    prefix = row["tag"][1].rpartition(b"row")[0]
     for at, value in changes.items():
-        letters = at.rstrip("0123456789")
-        row, column = layout.rows.get(int(at[len(letters) :])), column_number(letters)
-        if row is None:
-            raise WorkbookError(f"no row for {at}")
-        row_cells = [c for c in row["children"] if c["local"] == "c" and c["r"]]
+        column = column_number(at.rstrip("0123456789"))
         cell = next((c for c in row_cells if c["r"] == at), None)
-        prefix = row["tag"][1].rpartition(b"row")[0]
         text = b""
         if value is not None:
-            said = escape(value, {"\r": "&#13;"}).encode()
-            text = b'<%bis><%bt xml:space="preserve">%b</%bt></%bis>' % (prefix, prefix, said, prefix, prefix)
+            plain = escape(value, {"\r": "&#13;"}).encode()
+            text = b'<%bis><%bt xml:space="preserve">%b</%bt></%bis>' % (prefix, prefix, plain, prefix, prefix)
         if cell is None:
             if value is not None:
                 after = next((c["at"] for c in row_cells if column_number(c["r"].rstrip("0123456789")) > column), row["inner_end"])
-                cuts.append((after, column, after, b'<%bc r="%b" t="inlineStr">%b</%bc>' % (prefix, at.encode(), text, prefix)))
+                yield after, column, after, b'<%bc r="%b" t="inlineStr">%b</%bc>' % (prefix, at.encode(), text, prefix)
             continue
         attributes = b"".join(m[0] for m in _ATTRIBUTE.finditer(cell["tag"][2]) if m[1] != b"t")
         kept = [c for c in cell["children"] if c["local"] not in ("v", "is", "f")]
         before = b"".join(xml[c["at"] : c["end"]] for c in kept if c["local"] != "extLst")
         behind = b"".join(xml[c["at"] : c["end"]] for c in kept if c["local"] == "extLst")
         kind = b' t="inlineStr"' if value is not None else b""
-        cuts.append((cell["at"], column, cell["end"], b"<%bc%b%b>%b%b%b</%bc>" % (prefix, attributes, kind, before, text, behind, prefix)))
+        yield cell["at"], column, cell["end"], b"<%bc%b%b>%b%b%b</%bc>" % (prefix, attributes, kind, before, text, behind, prefix)
+
+
+def rewrite_cells(xml: bytes, changes: dict[str, str | None]) -> bytes:
+    """The sheet with inline text in the changed cells; all other bytes stay. None empties a cell, and does nothing where there is none. A row is forgotten once it is done."""
+    by_row: dict[int, dict] = {}
+    for at, value in changes.items():
+        by_row.setdefault(int(at[len(at.rstrip("0123456789")) :]), {})[at] = value
+    cuts: list[tuple] = []
+
+    def use(row):
+        if row["r"] is None:
+            raise WorkbookError("a row has no number")
+        if wanted := by_row.pop(int(row["r"]), None):
+            cuts.extend(_row_cuts(xml, row, wanted))
+
+    _Rows(xml, use)
+    if by_row:
+        raise WorkbookError(f"no row for {next(iter(next(iter(by_row.values()))))}")
     out, done = [], 0
     for start, _, end, new in sorted(cuts):
         out += [xml[done:start], new]
@@ -244,15 +330,78 @@ def rewrite_cells(xml: bytes, changes: dict[str, str | None]) -> bytes:
     return b"".join([*out, xml[done:]])
 
 
+class Part(NamedTuple):
+    """A rewritten part as it stands in the archive."""
+
+    method: int
+    crc: int
+    size: int
+    data: bytes
+
+
+def packed(xml: bytes, method: int = zipfile.ZIP_DEFLATED) -> Part:
+    """A part to be put into an archive: stored if it was, else deflated."""
+    if method == zipfile.ZIP_STORED:
+        return Part(method, zlib.crc32(xml), len(xml), xml)
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return Part(zipfile.ZIP_DEFLATED, zlib.crc32(xml), len(xml), deflate.compress(xml) + deflate.flush())
+
+
+def assembled(old, parts: dict[str, Part]) -> Iterator[bytes]:
+    """The package in the file ``old`` with parts replaced, in pieces. All other members, their order, the directory's records and the comment are copied as they are, none of them inflated."""
+    archive = zipfile.ZipFile(old)
+    members = sorted(archive.infolist(), key=lambda i: i.header_offset)
+    ends = [*(i.header_offset for i in members[1:]), archive.start_dir]
+    if missing := parts.keys() - {i.filename for i in members}:
+        raise WorkbookError(f"no part {min(missing)}")
+    if any(i.header_offset > 0xFFFFFFFE or i.file_size > 0xFFFFFFFE for i in members):
+        raise WorkbookError("the archive is too large")
+    at, moved = 0, {}
+    for info, end in zip(members, ends):
+        old.seek(info.header_offset)
+        moved[info.header_offset] = at
+        if part := parts.get(info.filename):
+            head = bytearray(old.read(30))
+            head += old.read(sum(struct.unpack_from("<HH", head, 26)))
+            _describe(head, 6, part)
+            pieces = [bytes(head), part.data]
+        else:
+            pieces = iter(lambda n=[end - info.header_offset]: _some(old, n), b"")
+        for piece in pieces:
+            at += len(piece)
+            yield piece
+    old.seek(archive.start_dir)
+    tail = bytearray(old.read())  # the directory, its end record, and the comment
+    place, start = 0, at
+    for info in archive.infolist():
+        if part := parts.get(info.filename):
+            _describe(tail, place + 8, part)
+        struct.pack_into("<I", tail, place + 42, moved[info.header_offset])
+        place += 46 + sum(struct.unpack_from("<HHH", tail, place + 28))
+    end = tail.index(b"PK\x05\x06", place)
+    struct.pack_into("<I", tail, end + 16, start)
+    yield bytes(tail)
+
+
+def _some(file, left: list[int]) -> bytes:
+    """The next bytes of so many that are left, at most a MiB."""
+    data = file.read(min(left[0], 1 << 20))
+    left[0] -= len(data)
+    return data
+
+
+def _describe(record: bytearray, flags_at: int, part: Part) -> None:
+    """Sizes of a rewritten part in a member's header or a directory's record, which differ in where they begin; no descriptor follows the data."""
+    flags = struct.unpack_from("<H", record, flags_at)[0]
+    struct.pack_into("<HH", record, flags_at, flags & ~8, part.method)
+    struct.pack_into("<III", record, flags_at + 8, part.crc, len(part.data), part.size)
+
+
 def rewrite_package(content: bytes, changes: dict[str, dict[str, str | None]]) -> bytes:
-    """The package with changes by part; parts without changes, their order, and the comment stay."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w") as new:
-        new.comment = old.comment
-        for info in old.infolist():
-            data = old.read(info)
-            new.writestr(info, rewrite_cells(data, changes[info.filename]) if changes.get(info.filename) else data, info.compress_type)
-    return out.getvalue()
+    """The package with changes by part; all else stays, compressed bytes included."""
+    with zipfile.ZipFile(io.BytesIO(content)) as old:
+        parts = {name: packed(rewrite_cells(old.read(name), new), old.getinfo(name).compress_type) for name, new in changes.items() if new}
+    return b"".join(assembled(io.BytesIO(content), parts))
 
 
 def new_package(rows: list[tuple]) -> bytes:
