@@ -17,7 +17,9 @@ from ..functions.text import strip
 from ..model import CODE, DATES, DEVICE, MAPPING_MESSAGES, MESSAGES, NAME, NO_BUSINESS, TARGETS
 from ..operators import precheck
 from ..operators.mapping import checked, fold, is_blank
+from ..sources import datasource as D
 from ..sources import workbook as W
+from ..sources.shared import stored
 
 KEY = ["path", "sheet_idx"]
 COUNTERS = ("subcategory_filled", "dates_converted", "dates_cleared", "codes_formatted")
@@ -159,7 +161,7 @@ def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
     business = heads.select(KEY).distinct().withColumn("business", F.lit(True))
     listed = sheets.join(business, KEY, "left").groupBy("path").agg(*(
         F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("business", F.lit(False)) == b, F.struct("sheet_idx", "sheet")))), lambda s: s["sheet"]).alias(c) for c, b in (("sheets", True), ("skipped_sheets", False))
-    )).filter(F.size("sheets") > 0)
+    )).filter(F.size("sheets") > 0).join(W.errors(entries).select("path"), "path", "left_anti")
     by_path = blocked.withColumn("blocked", F.lit(True))
     stats = listed.join(sums, "path", "left").join(by_path, "path", "left")
     keep = lambda c: F.when(F.col("blocked").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
@@ -168,6 +170,23 @@ def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
     return Conversion(rows, issues, changes, stats, W.errors(entries).unionByName(lacking))
 
 
+def convert_files(spark: SparkSession, source: str, mapping: str | DataFrame) -> Conversion:
+    """convert() of the workbooks at a path, each sheet read by its own task and kept as a table in the shared folder.
+
+    A mapping given as a path is loaded only if some business sheet has a name or code column.
+    """
+    entries = stored(D.scan(spark, source), "entries")
+    if isinstance(mapping, str):
+        asked = not precheck.headers(W.cells(entries), (NAME, CODE)).isEmpty()
+        mapping = load_mapping(spark, mapping) if asked else spark.createDataFrame([], "name string, code string")
+    return convert(entries, mapping)
+
+
+def save_results(done: Conversion, folder: str, suffix: str = "_处理结果.xlsx") -> None:
+    """Commit the results of workbooks that succeed, read from files, to a folder: all of them, or none."""
+    D.commit_changes(done.statistics.filter("success").select("path"), done.changes, folder, suffix)
+
+
 def sheets_of(entries: DataFrame) -> DataFrame:
     """Workbooks that could be read."""
     return entries.select("path").distinct().join(W.errors(entries), "path", "left_anti").select("path")

@@ -404,29 +404,36 @@ def rewrite_package(content: bytes, changes: dict[str, dict[str, str | None]]) -
     return b"".join(assembled(io.BytesIO(content), parts))
 
 
-def new_package(rows: list[tuple]) -> bytes:
-    """A workbook of one sheet of texts, for tables that are to go out as a workbook; empty texts have no cell."""
-    space = MAIN[1:-1]
-    name = lambda j: (name(j // 26 - 1) if j >= 26 else "") + chr(65 + j % 26)
-    line = lambda i, row: "".join(f'<c r="{name(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(row) if v)
-    body = "".join(f'<row r="{i}">{line(i, row)}</row>' for i, row in enumerate(rows, 1))
-    package = "http://schemas.openxmlformats.org/package/2006"
+def package_of(sheets: list[tuple[str, str]], more: dict[str, str] | None = None, is_1904: bool = False) -> bytes:
+    """A workbook of sheets (name, XML) and further parts."""
+    space, package = MAIN[1:-1], "http://schemas.openxmlformats.org/package/2006"
     office, kind = RELATION[1:].partition("}")[0], "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    link = lambda to, target: f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/{to}" Target="{target}"/></Relationships>'
+    links = lambda found: f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/{to}" Target="{target}"/>' for i, (to, target) in enumerate(found, 1)) + "</Relationships>"
+    kinds = {"xl/workbook.xml": "sheet.main", "xl/sharedStrings.xml": "sharedStrings", "xl/styles.xml": "styles"} | {f"xl/worksheets/sheet{i}.xml": "worksheet" for i in range(1, len(sheets) + 1)}
+    own = {"sharedStrings": "xl/sharedStrings.xml", "styles": "xl/styles.xml"}
+    listed = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, (n, _) in enumerate(sheets, 1))
     parts = {
         "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
-        "_rels/.rels": link("officeDocument", "xl/workbook.xml"), "xl/_rels/workbook.xml.rels": link("worksheet", "worksheets/sheet1.xml"),
-        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{body}</sheetData></worksheet>',
-    }
+        + "".join(f'<Override PartName="/{part}" ContentType="{kind}.{k}+xml"/>' for part, k in kinds.items() if part not in own.values() or part in (more or {})) + "</Types>",
+        "_rels/.rels": links([("officeDocument", "xl/workbook.xml")]),
+        "xl/_rels/workbook.xml.rels": links([*(("worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(sheets) + 1)), *((k, p.removeprefix("xl/")) for k, p in own.items() if p in (more or {}))]),
+        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{office}"><workbookPr date1904="{int(is_1904)}"/><sheets>{listed}</sheets></workbook>',
+    } | {f"xl/worksheets/sheet{i}.xml": xml for i, (_, xml) in enumerate(sheets, 1)} | (more or {})
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for part, xml in parts.items():
-            z.writestr(part, xml)
+            z.writestr(zipfile.ZipInfo(part), xml, zipfile.ZIP_DEFLATED)  # of a fixed date, so that equal contents are equal files
     return out.getvalue()
 
 
+def new_package(rows: list[tuple]) -> bytes:
+    """A workbook of one sheet of texts, for tables that are to go out as a workbook; empty texts have no cell."""
+    name = lambda j: (name(j // 26 - 1) if j >= 26 else "") + chr(65 + j % 26)
+    line = lambda i, row: "".join(f'<c r="{name(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(row) if v)
+    body = "".join(f'<row r="{i}">{line(i, row)}</row>' for i, row in enumerate(rows, 1))
+    return package_of([("Sheet1", f'<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>')])
+
+
 def rewritten(packages: DataFrame, changes: DataFrame) -> DataFrame:
     """path, content of the packages that pass: changes are (path, part, coordinate, new_value). A package without changes comes back as it is."""
 

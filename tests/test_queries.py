@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 from quillstone.operators import convert, mapping
-from quillstone.plans import ledger, workbook
+from quillstone.plans import ledger, samples, workbook
 
-QUERIES = ledger.QUERIES | {"xlsx_roundtrip": workbook.roundtrip}
-ORACLE_SQL = ledger.ORACLE_SQL | {"xlsx_roundtrip": workbook.ROUNDTRIP_SQL}
+QUERIES = ledger.QUERIES | {"xlsx_roundtrip": workbook.roundtrip} | samples.QUERIES
+ORACLE_SQL = ledger.ORACLE_SQL | {"xlsx_roundtrip": workbook.ROUNDTRIP_SQL} | samples.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
