@@ -12,9 +12,12 @@ packages, workbook.entries() over Spark's binaryFile source plans by file alone.
 
 from __future__ import annotations
 
+import io
+import json
 import posixpath
 import re
 import uuid
+import zipfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -45,6 +48,43 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), posixpath.abspath(path))
 
 
+class _Raw(io.RawIOBase):
+    """A file of a store as Python's own files behave: a place before the beginning is an OSError."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        at = to + (0, self.file.tell(), self.file.size())[whence]
+        if at < 0:
+            raise OSError("a place before the beginning")
+        self.file.seek(at)
+        return at
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def opened(path: str) -> io.BufferedReader:
+    files, inner = store(path)
+    return io.BufferedReader(_Raw(files.open_input_file(inner)), 1 << 16)
+
+
 def listed(path: str) -> list[str]:
     """The .xlsx files, upper case included, of a folder and its subfolders, or the file itself, in order. Names that begin with . or _ are left out."""
     files, inner = store(path)
@@ -73,7 +113,7 @@ class Reader(DataSourceReader):
 
     def _planned(self, path: str) -> list[tuple]:
         try:
-            with store(path)[0].open_input_file(store(path)[1]) as f:
+            with opened(path) as f:
                 return [(path, s["sheet_idx"], None) for s in Package(f).sheets(self.hidden) if self._is_wanted(s)]
         except (*UNREADABLE, OSError) as error:
             return [(path, None, said(error))]
@@ -99,8 +139,7 @@ class Reader(DataSourceReader):
             if error := sheets[0][2]:
                 yield {"path": path, "kind": "error", "raw": error}
                 return
-            files, inner = store(path)
-            with files.open_input_file(inner) as f:
+            with opened(path) as f:
                 package, wanted = Package(f), {i for _, i, _ in sheets}
                 for sheet in package.sheets(self.hidden):
                     if sheet["sheet_idx"] in wanted:
@@ -171,11 +210,11 @@ class Writer(DataSourceArrowWriter):
         if posixpath.realpath(posixpath.join(store(self.folder)[1], target)) == posixpath.realpath(inner) and isinstance(files, fs.LocalFileSystem):
             raise WorkbookError("结果文件不能覆盖原始 Excel")
         parts = {r["part"]: Part(r["method"], r["crc"], r["size"], r["data"]) for r in rows if r["part"] is not None}
-        return self._copied(files, inner, parts)
+        return self._copied(source, parts)
 
     @staticmethod
-    def _copied(files: fs.FileSystem, inner: str, parts: dict[str, Part]) -> Iterator[bytes]:
-        with files.open_input_file(inner) as old:
+    def _copied(source: str, parts: dict[str, Part]) -> Iterator[bytes]:
+        with opened(source) as old:
             yield from assembled(old, parts)
 
     def commit(self, messages: list) -> None:
@@ -220,8 +259,6 @@ class Workbooks(DataSource):
         return str(self.options.get(name, "")).lower() == "true"
 
     def reader(self, schema: StructType) -> Reader:
-        import json
-
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
         return (FilteringReader if self._flag("pushdown") else Reader)(paths, self._flag("hidden"))
 
@@ -266,11 +303,8 @@ def commit_changes(paths: DataFrame, changes: DataFrame, folder: str, suffix: st
     """
 
     def rewrite(key: tuple, new: pd.DataFrame) -> pd.DataFrame:
-        import zipfile
-
         path, name = key
-        files, inner = store(path)
-        with files.open_input_file(inner) as f, zipfile.ZipFile(f) as archive:
+        with opened(path) as f, zipfile.ZipFile(f) as archive:
             info = archive.getinfo(name)
             values = [v if isinstance(v, str) else None for v in new["new_value"]]
             part = packed(rewrite_cells(archive.read(info), dict(zip(new["coordinate"], values))), info.compress_type)
