@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_device_code
 from ..functions.dates import with_dates
 from ..model import MESSAGES
+from ..sources.shared import move, remove, shared_folder
 from .mapping import is_blank, lookup, unmatched
 
 DATE_COLUMNS = ("d1", "d2", "d3")
@@ -36,29 +39,54 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sums() -> list[Column]:
+    status = lambda s: sum((F.col(f"{c}_new.status") == s).cast("long") for c in DATE_COLUMNS)
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return [
+        F.count(F.lit(1)).alias("rows"), none(F.col("unmatched").cast("long") + status("YEAR_ONLY")).alias("issues"), F.count("mapped_code").alias("subcategory_filled"),
+        none(status("OK")).alias("dates_converted"), none(status("CLEARED")).alias("dates_cleared"), F.count("device_new").alias("codes_formatted"),
+    ]
+
+
 def statistics(rows: DataFrame, gated: bool = True) -> DataFrame:
     """One row of counters; with any issue the four conversion counters are 0, rows stays."""
-    status = lambda s: sum((F.col(f"{c}_new.status") == s).cast("long") for c in DATE_COLUMNS)
-    year_only = status("YEAR_ONLY")
-    sums = rows.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("unmatched").cast("long") + year_only), F.lit(0)).alias("issues"),
-        F.count("mapped_code").alias("subcategory_filled"), F.coalesce(F.sum(status("OK")), F.lit(0)).alias("dates_converted"),
-        F.coalesce(F.sum(status("CLEARED")), F.lit(0)).alias("dates_cleared"), F.count("device_new").alias("codes_formatted"),
-    )
+    sums = rows.agg(*_sums())
     if not gated:
         return sums
     keep = lambda c: F.when(F.col("issues") == 0, F.col(c)).otherwise(0).alias(c)
     return sums.select("rows", "issues", *map(keep, ("subcategory_filled", "dates_converted", "dates_cleared", "codes_formatted")))
 
 
+def converted(rows: DataFrame) -> DataFrame:
+    """The rows as they are to go out."""
+    return rows.select("sheet", "row_num", "name", F.coalesce("mapped_code", "code").alias("code"), *(F.col(f"{c}_new.value").alias(c) for c in DATE_COLUMNS), F.col("device_new").alias("device"))
+
+
+def publish(rows: DataFrame, path: str) -> dict[str, int]:
+    """Write the converted ledger to a new folder, in one pass: rows are staged beside it while their issues and counters are observed, and the stage gets the folder's name only if nothing blocks. The counters, as statistics() gives them; with issues, nothing is left.
+
+    Counters are those of the write that succeeded: lost tasks that run again count once.
+    """
+    spark, seen = rows.sparkSession, Observation()
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex[:12]}"
+    converted(rows.observe(seen, *_sums())).write.parquet(staged)
+    found = seen.get
+    if found["issues"]:
+        remove(spark, staged)
+        return found | dict.fromkeys(("subcategory_filled", "dates_converted", "dates_cleared", "codes_formatted"), 0)
+    try:
+        move(spark, staged, path)
+    except FileExistsError:
+        remove(spark, staged)
+        raise
+    return found
+
+
 def output(rows: DataFrame) -> DataFrame:
-    """The converted ledger, empty if anything blocks: a one-row count is joined and decides."""
-    blocks = F.col("unmatched")
-    for c in DATE_COLUMNS:
-        blocks = blocks | (F.col(f"{c}_new.status") == "YEAR_ONLY")
-    bad = rows.agg(F.count_if(blocks).alias("n_issues"))
-    out = rows.select("sheet", "row_num", "name", F.coalesce("mapped_code", "code").alias("code"), *(F.col(f"{c}_new.value").alias(c) for c in DATE_COLUMNS), F.col("device_new").alias("device"))
-    return out.crossJoin(F.broadcast(bad)).filter("n_issues = 0").drop("n_issues")  # one row
+    """The converted ledger as publish() writes it into the shared folder, empty if anything blocks."""
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "ledger")
+    out = converted(rows)
+    return spark.createDataFrame([], out.schema) if publish(rows, path)["issues"] else spark.read.schema(out.schema).parquet(path)
 
 
 def upsert(cells: DataFrame, changes: DataFrame) -> DataFrame:

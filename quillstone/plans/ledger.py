@@ -102,6 +102,11 @@ def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("n"), (F.col("n_nationkey") % 5).cast("string")).alias("name"), F.concat(F.lit("c"), (F.col("n_nationkey") % 10).cast("string")).alias("code"))
 
 
+def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping of parts in which every pair conflicts with others: 211 names and 173 codes, dealt by the key's square and cube."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr("concat('n', (p_partkey * p_partkey + 3 * p_partkey) % 211) AS name"), F.expr("concat('c', (p_partkey * p_partkey * p_partkey + p_partkey) % 173) AS code"))
+
+
 QUERIES = {
     "date_text_normalize": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d1")),
     "date_year_only_issues": lambda s, d: convert.issues(converted(s, d)).filter("kind = 'YEAR_ONLY'").select("row_num", "field", "value", "message"),
@@ -126,6 +131,8 @@ QUERIES = {
     "gated_output": lambda s, d: convert.output(convert.candidates(clean_ledger(s, d), dimension(s))).unionByName(convert.output(converted(s, d))),
     "changes_upsert": lambda s, d: convert.upsert(*changes(s, d)),
     "mapping_fold_messages": lambda s, d: mapping.fold(fold_rows(s, d), "n_nationkey").drop("said"),
+    "mapping_fold_parts": lambda s, d: mapping.fold(part_rows(s, d), "p_partkey").drop("said"),
+    "mapping_rejections": lambda s, d: mapping.rejections(part_rows(s, d), "p_partkey")[1].select("at.p_partkey", "name", "code", "kind"),
     "issue_counts": lambda s, d: convert.issue_counts(convert.issues(converted(s, d))),
     "date_native": lambda s, d: table(s, d, "events").select("event_id", normalize_native_date(F.col("ts")).alias("d")).select("event_id", "d.status", "d.value"),
 }
@@ -157,6 +164,15 @@ mapping AS (SELECT DISTINCT p_type AS n, concat('C-', upper(p_type)) AS mapped_c
 _CLEAN = "mapped_code IS NOT NULL AND row_num % 12 NOT IN (4, 5)"
 _COUNTS = "count(*) AS rows, CAST(0 AS BIGINT) AS issues, count(mapped_code) AS subcategory_filled, sum(CASE WHEN s1 = 'OK' THEN 1 ELSE 0 END + CASE WHEN s2 = 'OK' THEN 1 ELSE 0 END + CASE WHEN v3 IS NOT NULL THEN 1 ELSE 0 END) AS dates_converted, sum(CASE WHEN s1 = 'CLEARED' THEN 1 ELSE 0 END + CASE WHEN s2 = 'CLEARED' THEN 1 ELSE 0 END) AS dates_cleared, count(json) AS codes_formatted"
 
+#: The greedy fold, row by row: names and codes taken so far, and what each row says.
+_FOLD = """WITH RECURSIVE r AS (:rows:),
+f AS (SELECT CAST(0 AS BIGINT) AS i, MAP([]::VARCHAR[], []::VARCHAR[]) AS names, MAP([]::VARCHAR[], []::VARCHAR[]) AS codes, '' AS said UNION ALL
+SELECT r.i, CASE WHEN names[name] IS NULL AND codes[code] IS NULL THEN map_concat(names, MAP([name], [code])) ELSE names END,
+CASE WHEN names[name] IS NULL AND codes[code] IS NULL THEN map_concat(codes, MAP([code], [name])) ELSE codes END,
+CASE WHEN names[name] IS NOT NULL THEN CASE WHEN names[name] = code THEN '' ELSE 'MANY_CODES' END WHEN codes[code] IS NOT NULL THEN 'MANY_NAMES' ELSE '' END FROM f JOIN r ON r.i = f.i + 1)"""
+_FOLDED = """ SELECT CAST(max(cardinality(names)) AS INTEGER) AS n_pairs, coalesce(string_agg(CASE said WHEN 'MANY_CODES' THEN concat(name, '对应多个编码') WHEN 'MANY_NAMES' THEN concat(code, '对应多个名称') END, '；' ORDER BY i), '') AS message FROM f LEFT JOIN r USING (i)"""
+_PART_ROWS = "SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS k, concat('n', CAST((p_partkey * p_partkey + 3 * p_partkey) % 211 AS VARCHAR)) AS name, concat('c', CAST((p_partkey * p_partkey * p_partkey + p_partkey) % 173 AS VARCHAR)) AS code FROM part"
+
 ORACLE_SQL = {
     "date_text_normalize": f"{_WITH} SELECT row_num, {_D1} FROM (SELECT *, row_num % 12 AS k12 FROM ledger)",
     "date_year_only_issues": f"{_WIDE} SELECT row_num, 'd1' AS field, d1 AS value, '{MESSAGES['YEAR_ONLY']}' AS message FROM wide WHERE s1 = 'YEAR_ONLY'",
@@ -179,13 +195,9 @@ ORACLE_SQL = {
     "all_issues": f"{_WIDE} {_ISSUES}",
     "issue_counts": f"{_WIDE} SELECT kind, count(*) AS n FROM ({_ISSUES}) GROUP BY kind",
     "date_native": "SELECT event_id, 'OK' AS status, strftime(ts, '%Y-%m-%d') AS value FROM events",
-    "mapping_fold_messages": """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, concat('n', CAST(n_nationkey % 5 AS VARCHAR)) AS name, concat('c', CAST(n_nationkey % 10 AS VARCHAR)) AS code FROM nation),
-f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS codes, CAST([] AS VARCHAR[]) AS said UNION ALL
-SELECT r.i, CASE WHEN list_contains(names, name) OR list_contains(codes, code) THEN names ELSE list_append(names, name) END,
-CASE WHEN list_contains(names, name) OR list_contains(codes, code) THEN codes ELSE list_append(codes, code) END,
-CASE WHEN list_contains(names, name) THEN CASE WHEN codes[list_position(names, name)] = code THEN said ELSE list_append(said, concat(name, '对应多个编码')) END
-WHEN list_contains(codes, code) THEN list_append(said, concat(code, '对应多个名称')) ELSE said END FROM f JOIN r ON r.i = f.i + 1)
-SELECT CAST(len(names) AS INTEGER) AS n_pairs, array_to_string(said, '；') AS message FROM f ORDER BY i DESC LIMIT 1""",
+    "mapping_fold_messages": _FOLD.replace(":rows:", "SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_nationkey AS k, concat('n', CAST(n_nationkey % 5 AS VARCHAR)) AS name, concat('c', CAST(n_nationkey % 10 AS VARCHAR)) AS code FROM nation") + _FOLDED,
+    "mapping_fold_parts": _FOLD.replace(":rows:", _PART_ROWS) + _FOLDED,
+    "mapping_rejections": _FOLD.replace(":rows:", _PART_ROWS) + " SELECT k AS p_partkey, r.name, r.code, said AS kind FROM f JOIN r USING (i) WHERE said <> ''",
     "conversion_stats": f"{_WIDE} SELECT (SELECT count(*) FROM wide) AS rows, count(*) AS issues, 0 AS subcategory_filled, 0 AS dates_converted, 0 AS dates_cleared, 0 AS codes_formatted FROM ({_ISSUES}) UNION ALL SELECT {_COUNTS} FROM wide WHERE {_CLEAN}",
     "gated_output": f"{_WIDE} SELECT sheet, row_num, name, mapped_code AS code, v1 AS d1, v2 AS d2, v3 AS d3, json AS device FROM wide WHERE {_CLEAN}",
     "changes_upsert": "WITH c AS (SELECT o_orderstatus AS part, CAST(o_orderkey AS VARCHAR) AS coordinate, o_orderkey AS k, o_orderpriority AS raw FROM orders) SELECT part, coordinate, CASE WHEN k % 2 = 0 THEN CASE WHEN k % 5 <> 0 THEN 'new' END ELSE raw END AS raw FROM c WHERE k % 3 <> 0 OR (k % 2 = 0 AND k % 5 <> 0)",

@@ -60,7 +60,7 @@ def mapping_messages(cells: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
     why = F.when(F.col("formula"), MAPPING_MESSAGES["FORMULA"]).when(blank("name") | blank("code"), MAPPING_MESSAGES["BLANK"])
     judged = rows.withColumn("why", why)
-    folded = fold(judged.filter("why IS NULL"), ["sheet_idx", "row_num"], at)
+    folded = fold(judged.filter("why IS NULL"), ["sheet_idx", "row_num", "sheet"], at)
     plain = twice.unionByName(judged.filter("why IS NOT NULL").select("sheet_idx", "row_num", F.concat(at, F.col("why")).alias("text")))
     said = plain.unionByName(folded.select(F.explode("said").alias("x")).select("x.at.sheet_idx", "x.at.row_num", "x.text"))
     lines = said.agg(F.array_sort(F.collect_list(F.struct("sheet_idx", "row_num", "text"))).alias("lines"))
