@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, plain_decimal, strip
+from .text import fold_digits, let, plain_decimal, strip
 
 KEY = "注册代码"
-#: A JSON object with that key alone and a string for value.
-_WRAPPED = r"\A[ \t\n\r]*\{[ \t\n\r]*" + f'"{KEY}"' + r'[ \t\n\r]*:[ \t\n\r]*"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"[ \t\n\r]*\}[ \t\n\r]*\z'
+# A JSON object of strings and other scalars whose last value is a string; possessive, so that long texts don't nest.
+_S, _W = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"', r"[ \t\n\r]*+"
+_SCALAR = rf"(?:{_S}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)"
+_OBJECT = rf"\A{_W}\{{{_W}(?:{_S}{_W}:{_W}{_SCALAR}{_W},{_W})*+{_S}{_W}:{_W}{_S}{_W}\}}{_W}\z"
+
+
+def unwrapped(text: Column) -> Column:
+    """The string that an object of the key alone holds, the last where the key is repeated, whatever the escapes; else the text itself."""
+    found = F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"})
+    only = lambda m: F.when(F.forall(F.map_keys(m), lambda k: k == KEY), F.element_at(F.map_values(m), -1))
+    return F.when(text.contains("{") & text.rlike(_OBJECT), F.coalesce(let(found, only), text)).otherwise(text)
 
 
 def json_escape(text: Column) -> Column:
@@ -37,9 +46,8 @@ def normalize_device_code(value: Column, numeric: Column | None = None, number_f
         width = F.length(fmt) - F.length(sign)
         return F.when(whole & fmt.rlike(r"\A0+\z") & (F.length(digits) < width), F.concat(sign, F.repeat(F.lit("0"), width - F.length(digits)), digits)).otherwise(shown)
 
-    unwrapped = F.when(value.rlike(_WRAPPED), F.get_json_object(value, f"$.{KEY}")).otherwise(value)
     wrapped = lambda t: F.when(~is_empty(t), F.concat(F.lit('{"' + KEY + '":"'), json_escape(t), F.lit('"}')))
     if only_text:
-        return F.when(~is_empty(value), wrapped(unwrapped))
-    text = F.when(numeric, let(plain_decimal(strip(value)), as_text)).otherwise(unwrapped)
+        return F.when(~is_empty(value), let(unwrapped(value), wrapped))
+    text = F.when(numeric, let(plain_decimal(fold_digits(strip(value))), as_text)).otherwise(unwrapped(value))
     return F.when(~is_empty(value), let(text, wrapped))

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold_digits, let, plain_decimal, strip
-
-_CLOCK = r"(?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:[.,]\d+)?)?)?"
-_TIME = rf"(?:(?s:.){_CLOCK}(?:Z|[+-]{_CLOCK})?)?\z"
-_DAY = rf"\A(\d{{4}})(-?)(\d{{2}})\2(\d{{2}}){_TIME}"
-_WEEK = rf"\A(\d{{4}})(-?)W(\d{{2}})(?:\2([1-7]))?{_TIME}"
+from .text import ANY_DIGIT, fold_digits, let, plain_decimal, strip
+
+# Clock times of ISO texts as Python 3.13 reads them: separators are all there or all missing, a fraction may follow any
+# part, and digits alone may follow six of them. Before a zone, one more character, or anything behind six digits of a
+# fraction, is passed over.
+_H, _M, _ONE, _REST = r"(?:[01]\d|2[0-3])", r"[0-5]\d", r"[\x00-\x7F&&[^+\-Z]]", r"[^+\-Z]*"
+_HMS = rf"{_H}(?::{_M}(?::{_M})?|{_M}(?:{_M})?)?"
+_PLAIN = rf"(?:{_HMS}(?:[.,]\d+)?|{_H}{_M}{_M}\d\d+|{_H}:{_M}:{_M}:\d+)"
+_BEFORE = rf"(?:{_HMS}(?:{_ONE}|[.,](?:\d{{1,5}}|\d{{6}}{_REST}))?|{_H}{_M}{_M}(?:\d{{2,5}}|\d{{6}}{_REST})|{_H}:{_M}:{_M}:(?:\d{{1,5}}|\d{{6}}{_REST}))"
+#: Less than 24 hours, whatever the minutes and seconds.
+_H22, _M58 = r"(?:[01]\d|2[0-2])", r"(?:[0-4]\d|5[0-8])"
+_FULL, _FULL_DASHED = rf"(?:{_H22}\d{{4}}|23{_M58}\d\d|2359[0-5]\d)", rf"(?:{_H22}:\d\d:\d\d|23:{_M58}:\d\d|23:59:[0-5]\d)"
+_OFFSET = rf"(?:{_H22}(?::\d\d(?::\d\d)?|\d\d(?:\d\d)?)?|23(?::{_M58}(?::\d\d)?|{_M58}(?:\d\d)?|:59(?::[0-5]\d)?|59(?:[0-5]\d)?)?)"
+_TIME = rf"(?:{_PLAIN}|{_BEFORE}(?:Z|[+-](?:{_OFFSET}(?:[.,]\d+)?|{_FULL}\d\d+|{_FULL_DASHED}:\d+)))"
+_DAY = rf"\A\d{{4}}(-?)\d{{2}}\1\d{{2}}(?:(?s:.){_TIME})?\z"
+#: Groups: year; week and day with separators; week, and day where one digit or an even number of digits follows it.
+_WEEK = rf"\A(\d{{4}})(?:-W(\d\d)(?:-(\d)(?:\z|(?!\d)(?s:.){_TIME})|(?:(?!-)(?s:.)|-(?=.\d)){_TIME})?|W(\d\d)(?:(\d)?(?:(?!\d)(?s:.){_TIME})?|(?=\d(?:\d\d)+(?!\d))\d{_TIME}|(?=(?:\d\d)+(?!\d))(\d)\d{_TIME}))\z"
 _YMD = r"\A(\d{4})([-/.])(\d{1,2})(?:\2(\d{1,2}))?\z"
 
 
@@ -33,15 +44,23 @@ def _year_month_day(t: Column) -> Column:
     return _date(F.substring(t, 1, 4), month, F.when(day == "", "1").otherwise(day))
 
 
+def _by_week(t: Column) -> Column:
+    found = F.regexp_extract(t, _WEEK, 1), F.concat(F.regexp_extract(t, _WEEK, 2), F.regexp_extract(t, _WEEK, 4)), F.concat(F.regexp_extract(t, _WEEK, 3), F.regexp_extract(t, _WEEK, 5), F.regexp_extract(t, _WEEK, 6))
+
+    def day(p: Column) -> Column:
+        week, nth = p["week"].try_cast("int"), F.when(p["day"] == "", 1).otherwise(p["day"].try_cast("int"))
+        fourth = F.concat(p["year"], F.lit("-01-04")).try_cast("date")
+        d = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7 + nth - 1)
+        inside = (p["year"] >= "0001") & week.between(1, 53) & nth.between(1, 7)
+        return F.when(inside, F.when((F.extract(F.lit("YEAROFWEEK"), d) == p["year"].cast("int")) & d.between("0001-01-01", "9999-12-31"), F.date_format(d, "yyyy-MM-dd")))
+
+    return let(F.struct(*(c.alias(n) for c, n in zip(found, ("year", "week", "day")))), day)
+
+
 def _iso(t: Column) -> Column:
-    g = lambda p, n: F.regexp_extract(t, p, n)
-    year, week, day = g(_WEEK, 1).try_cast("int"), g(_WEEK, 3).try_cast("int"), F.when(g(_WEEK, 4) == "", 1).otherwise(g(_WEEK, 4).try_cast("int"))
-    fourth = F.to_date(F.concat(F.when(g(_WEEK, 1).isin("", "0000"), "0001").otherwise(g(_WEEK, 1)), F.lit("-01-04")))
-    d = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7 + day - 1)
-    by_week = F.when((year >= 1) & week.between(1, 53) & (F.extract(F.lit("YEAROFWEEK"), d) == year) & d.between("0001-01-01", "9999-12-31"), F.date_format(d, "yyyy-MM-dd"))
     dashed = F.substring(t, 5, 1) == "-"
     at = lambda with_dash, without: F.when(dashed, F.substring(t, with_dash, 2)).otherwise(F.substring(t, without, 2))
-    return F.when(t.rlike(_DAY), _date(F.substring(t, 1, 4), at(6, 5), at(9, 7))).when(t.contains("W") & t.rlike(_WEEK), by_week)
+    return F.when(t.rlike(_DAY), _date(F.substring(t, 1, 4), at(6, 5), at(9, 7))).when(t.rlike(_WEEK), _by_week(t))
 
 
 def _serial(x: Column, is_1904: Column) -> Column:
@@ -63,7 +82,8 @@ def _restored(value: Column, numeric: Column | None, number_format: Column | Non
 
 
 def _year_only(c: Column) -> Column:
-    return c.rlike(r"\A\d{4}(\.0+)?\z")
+    """A year of any digits; zeros behind it are ASCII ones."""
+    return c.rlike(rf"\A{ANY_DIGIT}{{4}}(\.0+)?\z")
 
 
 def _by_number(plain: Column, is_1904: Column) -> Column:
@@ -73,13 +93,13 @@ def _by_number(plain: Column, is_1904: Column) -> Column:
         .when((x == F.floor(x)) & x.between(1000, 9999), _tag("YEAR_ONLY"))
         .when(short & _year_only(plain), _tag("YEAR_ONLY")).when(short, _found(_year_month_day(plain)))
         .when(is_1904 & (x >= 0) & (x < 1), _tag("OK", F.lit("1904-01-01")))
-        .when(x < 1, _tag("CLEARED")).otherwise(_found(_serial(x, is_1904)))
+        .when((x < 1) | (x > 100_000_000), _tag("CLEARED")).otherwise(_found(_serial(x, is_1904)))
     )
 
 
 def _rules(text: Column, t: Column, numeric: Column | None, by_number: Column | None) -> Column:
     """``t`` is the stripped text with digits folded."""
-    rules = F.when(text.isNull() | (t == ""), _tag("BLANK")).when(_year_only(t), _tag("YEAR_ONLY")).when(t.rlike(_YMD), _found(_year_month_day(t)))
+    rules = F.when(text.isNull() | (t == ""), _tag("BLANK")).when(_year_only(text), _tag("YEAR_ONLY")).when(t.rlike(_YMD), _found(_year_month_day(t)))
     if numeric is None:
         return rules.otherwise(_found(_iso(text)))
     return rules.when(~F.coalesce(numeric, F.lit(False)), _found(_iso(text))).otherwise(by_number)

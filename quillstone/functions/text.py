@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space at the ends of a cell (a Java character class).
 SPACE = r"[\x{1c}-\x{1f}\x{85}\p{IsWhite_Space}]"
-WIDE = "０１２３４５６７８９"
+#: Decimal digits of all scripts but ASCII, with the ASCII digit of each.
+DIGITS = {c: str(unicodedata.decimal(c)) for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"}
+
+
+def _ranges(chars) -> str:
+    """A Java character class of the characters, by the runs of their codes."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+_OTHER_DIGIT = _ranges(DIGITS)
+ANY_DIGIT = _OTHER_DIGIT[:-1] + "0-9]"
 
 
 def let(value: Column, use) -> Column:
@@ -20,18 +39,20 @@ def strip(c: Column) -> Column:
 
 
 def fold_digits(c: Column) -> Column:
-    """Full-width digits as ASCII ones."""
-    return F.when(c.rlike(f"[{WIDE}]"), F.translate(c, WIDE, "0123456789")).otherwise(c)
+    """Decimal digits of any script as ASCII ones."""
+    return F.when(c.rlike(_OTHER_DIGIT), F.translate(c, "".join(DIGITS), "".join(DIGITS.values()))).otherwise(c)
 
 
 def is_decimal(c: Column) -> Column:
-    return c.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?\z")
+    return c.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?(0*[0-9]{1,5}|[0-9]+))?\z")
 
 
 def plain_decimal(c: Column) -> Column:
-    """A decimal without exponent, digit by digit; trailing zeros stay. Null where the text is no decimal."""
-    part = lambda n: F.regexp_extract(c, r"\A([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?\z", n)
-    exponent = F.when(part(4) == "", 0).otherwise(F.regexp_replace(part(4), r"^\+", "").try_cast("int"))
+    """A decimal without exponent, digit by digit; trailing zeros stay. Null where the text is no decimal. Underscores count for nothing. An exponent of over five digits is 0 on zeros, and no decimal else."""
+    c = F.when(c.contains("_"), F.replace(c, F.lit("_"), F.lit(""))).otherwise(c)
+    part = lambda n: F.regexp_extract(c, r"\A([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\z", n)
+    nothing = F.concat(part(2), part(3)).rlike(r"\A0*\z")
+    exponent = F.when((part(4) == "") | (nothing & part(4).rlike("[1-9][0-9]{5}")), 0).otherwise(F.regexp_replace(part(4), r"^\+", "").try_cast("int"))
     sign = F.when(part(1) == "-", "-").otherwise("")
     parts = F.struct(sign.alias("sign"), F.regexp_replace(F.concat(part(2), part(3)), "^0+", "").alias("digits"), (F.length(part(3)) - exponent).alias("scale"))
 
@@ -43,4 +64,4 @@ def plain_decimal(c: Column) -> Column:
         return F.concat(p["sign"], F.when(scale <= 0, whole).otherwise(point))
 
     as_it_is = c.rlike(r"\A-?[1-9][0-9]*(\.[0-9]+)?\z")
-    return F.when(as_it_is, c).when(is_decimal(c), let(parts, shown))
+    return F.when(as_it_is, c).when(is_decimal(c), let(parts, lambda p: F.when(p["scale"].between(-99_999, 200_000), shown(p))))

@@ -107,15 +107,24 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.expr("concat('n', (p_partkey * p_partkey + 3 * p_partkey) % 211) AS name"), F.expr("concat('c', (p_partkey * p_partkey * p_partkey + p_partkey) % 173) AS code"))
 
 
+#: Forms of a time by event; the last three: a character before the zone, a separator that stops, digits of another script.
+ISO_FORMS = """CASE event_id % 8 WHEN 0 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm') WHEN 2 THEN date_format(ts, "yyyy-MM-dd'T24:00:00'") WHEN 3 THEN date_format(ts, "yyyyMMdd'x'HHmm") WHEN 4 THEN date_format(ts, "yyyy-MM-dd'T'")
+ WHEN 5 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm' Z'") WHEN 6 THEN date_format(ts, "yyyy-MM-dd'T'HH:mmss") ELSE translate(date_format(ts, 'yyyy/MM/dd'), '0123456789', '٠١٢٣٤٥٦٧٨٩') END"""
+#: JSON texts by customer: an escaped key, a repeated key, another key beside it, a value that is no string, an inner sentinel, digits of another script as a number.
+JSON_FORMS = """CASE c_custkey % 6 WHEN 0 THEN concat('{"', chr(92), 'u6ce8册代码" : "', c_name, '"}') WHEN 1 THEN concat('{"注册代码":"x","注册代码":"', c_name, '"}') WHEN 2 THEN concat('{"注册代码":"x","b":"', c_name, '"}') WHEN 3 THEN concat('{"注册代码":', CAST(c_custkey AS STRING), '}')
+ WHEN 4 THEN '{"注册代码":" NULL "}' ELSE translate(CAST(c_custkey AS STRING), '0123456789', '０１２３４５６７８９') END"""
+
+
 QUERIES = {
     "date_text_normalize": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d1")),
     "date_year_only_issues": lambda s, d: convert.issues(converted(s, d)).filter("kind = 'YEAR_ONLY'").select("row_num", "field", "value", "message"),
-    "date_iso_datetime": lambda s, d: _dated(table(s, d, "events").withColumn("t", F.expr("CASE event_id % 5 WHEN 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm') WHEN 2 THEN date_format(ts, \"yyyy-MM-dd'T24:00:00'\") WHEN 3 THEN date_format(ts, \"yyyyMMdd'x'HHmm\") ELSE date_format(ts, \"yyyy-MM-dd'T'\") END")), "event_id", F.col("t")),
+    "date_iso_datetime": lambda s, d: _dated(table(s, d, "events").withColumn("t", F.expr(ISO_FORMS)), "event_id", F.col("t")),
     "date_serial_1900": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d2"), numeric=F.lit(True)),
     "date_serial_1904": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d2"), numeric=F.lit(True), is_1904=F.lit(True)),
     "date_numeric_year_month": lambda s, d: _dated(table(s, d, "orders").withColumn("v", F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat(year(o_orderdate), '.1') WHEN 1 THEN concat(year(o_orderdate), '.0') ELSE concat(year(o_orderdate) / 1000D, 'E3') END")), "o_orderkey", F.col("v"), numeric=F.lit(True), number_format=F.lit("0.00")),
     "device_code_wrap": lambda s, d: ledger(s, d).select("row_num", normalize_device_code(F.col("device")).alias("json")),
     "device_code_idempotent": lambda s, d: ledger(s, d).select("row_num", normalize_device_code(normalize_device_code(F.col("device"))).alias("json")),
+    "device_code_json_forms": lambda s, d: table(s, d, "customer").withColumn("v", F.expr(JSON_FORMS)).select("c_custkey", normalize_device_code(F.col("v"), F.col("c_custkey") % 6 == 5).alias("json")),
     "device_code_numeric_format": lambda s, d: table(s, d, "customer").select("c_custkey", normalize_device_code(F.expr("CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN concat(c_custkey, '.50') ELSE concat(c_custkey, 'E+25') END"), F.lit(True), F.lit("000000")).alias("json")),
     "category_lookup": lambda s, d: mapping.lookup(named_parts(s, d), type_mapping(s, d)),
     "category_unmatched": lambda s, d: (lambda m: m.filter(mapping.unmatched(m)).select("p_partkey", F.coalesce("name", F.lit("")).alias("value"), F.when(mapping.is_blank(F.col("name")), MESSAGES["NO_NAME"]).otherwise(MESSAGES["UNMATCHED"]).alias("message")))(mapping.lookup(named_parts(s, d), type_mapping(s, d))),
@@ -176,12 +185,14 @@ _PART_ROWS = "SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS k
 ORACLE_SQL = {
     "date_text_normalize": f"{_WITH} SELECT row_num, {_D1} FROM (SELECT *, row_num % 12 AS k12 FROM ledger)",
     "date_year_only_issues": f"{_WIDE} SELECT row_num, 'd1' AS field, d1 AS value, '{MESSAGES['YEAR_ONLY']}' AS message FROM wide WHERE s1 = 'YEAR_ONLY'",
-    "date_iso_datetime": "SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 3) THEN 'OK' ELSE 'CLEARED' END AS status, CASE WHEN event_id % 5 IN (0, 1, 3) THEN strftime(ts, '%Y-%m-%d') END AS value FROM events",
+    "date_iso_datetime": "SELECT event_id, CASE WHEN event_id % 8 IN (2, 4, 6) THEN 'CLEARED' ELSE 'OK' END AS status, CASE WHEN event_id % 8 NOT IN (2, 4, 6) THEN strftime(ts, '%Y-%m-%d') END AS value FROM events",
     "date_serial_1900": f"{_WITH} SELECT row_num, CASE WHEN d2 IS NULL THEN 'BLANK' WHEN value IS NULL THEN 'CLEARED' ELSE 'OK' END AS status, value FROM ({_d2('1899-12-30')})",
     "date_serial_1904": f"{_WITH} SELECT row_num, CASE WHEN d2 IS NULL THEN 'BLANK' WHEN value IS NULL THEN 'CLEARED' ELSE 'OK' END AS status, value FROM ({_d2('1904-01-01')})",
     "date_numeric_year_month": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'OK' ELSE 'YEAR_ONLY' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN concat(CAST(year(o_orderdate) AS VARCHAR), '-10-01') END AS value FROM orders",
     "device_code_wrap": f"{_WITH} SELECT row_num, {_JSON} AS json FROM ledger",
     "device_code_idempotent": f"{_WITH} SELECT row_num, {_JSON} AS json FROM ledger",
+    "device_code_json_forms": """SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN CAST(json_object('注册代码', concat('{"注册代码":"x","b":"', c_name, '"}')) AS VARCHAR) WHEN 3 THEN CAST(json_object('注册代码', concat('{"注册代码":', CAST(c_custkey AS VARCHAR), '}')) AS VARCHAR)
+WHEN 4 THEN NULL WHEN 5 THEN CAST(json_object('注册代码', CAST(c_custkey AS VARCHAR)) AS VARCHAR) ELSE CAST(json_object('注册代码', c_name) AS VARCHAR) END AS json FROM customer""",
     "device_code_numeric_format": "SELECT c_custkey, concat('{\"注册代码\":\"', CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey < 1000000 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END WHEN 1 THEN concat(CAST(c_custkey AS VARCHAR), '.50') ELSE concat(CAST(c_custkey AS VARCHAR), repeat('0', 25)) END, '\"}') AS json FROM customer",
     "category_lookup": f"{_PARTS} SELECT p_partkey, name, code, mapped_code FROM rows LEFT JOIN mapping ON name = n",
     "category_unmatched": f"{_PARTS} SELECT p_partkey, coalesce(name, '') AS value, CASE WHEN coalesce(name, '') = '' THEN '{MESSAGES['NO_NAME']}' ELSE '{MESSAGES['UNMATCHED']}' END AS message FROM rows LEFT JOIN mapping ON name = n WHERE {_UNMATCHED}",
