@@ -110,13 +110,14 @@ def _epoch(is_1904: Column | None) -> Column:
 
 
 def normalize_date(value: Column, numeric: Column | None = None, number_format: Column | None = None, is_1904: Column | None = None) -> Column:
-    """The rules in order: trailing-zero restore, blank, year only, year-month(-day), ISO text, serials. Without ``numeric`` all values are texts.
+    """The rules in order: trailing-zero restore, blank, year only, year-month(-day), ISO text, serials. Without ``numeric`` all values are texts; a value of type boolean is cleared.
 
     One expression; with_dates() gives the same by steps, which is faster, as each step is computed once.
     """
+    truth, value = (F.typeof(value) == "boolean") & value.isNotNull(), value.cast("string")
     text = strip(_restored(value, numeric, number_format))
     by_number = None if numeric is None else let(plain_decimal(fold_digits(text)), lambda plain: _by_number(plain, _epoch(is_1904)))
-    return _rules(text, fold_digits(text), numeric, by_number)
+    return F.when(truth, _tag("CLEARED")).otherwise(_rules(text, fold_digits(text), numeric, by_number))
 
 
 def with_dates(rows: DataFrame, dates: dict[str, dict]) -> DataFrame:

@@ -57,6 +57,11 @@ def test_restored_zeros_and_the_later_epoch(spark):
     assert [got[i] for i in range(len(cases))] == [c[3] for c in cases]
 
 
+def test_booleans_are_cleared(spark):
+    t = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    assert [tuple(r.d) for r in t.select(normalize_date(F.col("b")).alias("d")).collect()] == [GONE, GONE, BLANK]
+
+
 def test_native_dates(spark):
     t = spark.createDataFrame([(datetime.datetime(1987, 6, 5, 23, 59),), (None,)], "t timestamp")
     assert [tuple(r.d) for r in t.select(normalize_native_date(F.col("t")).alias("d")).collect()] == [ok("1987-06-05"), BLANK]
