@@ -11,7 +11,7 @@ A page is then matched with its host's wrapper, and what its leaves are decides
 itself sets apart (navigation, footers, forms and so on) go. Of the rest, leaves inside an article element are kept, or,
 where the page has none, inside a main element, or else those of the region that holds most of the varying, unlinked
 text of the leaves that the page has: from the root, the element that holds two thirds of it is entered again and again.
-Template texts of kept leaves go. Class names decide only what alignment can't know: lists of comments and the like are
+Template texts of such a region go, those of an article or main element stay. Class names decide only what alignment can't know: lists of comments and the like are
 never kept, and an element named as an advert, notice and so on isn't, unless it holds most of the page's text itself.
 """
 
@@ -42,8 +42,10 @@ NOISE_TAGS = set("head nav footer aside form menu dialog".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored banner breadcrumb breadcrumbs comment comments respond replies disqus cookie cookies consent gdpr notice notices alert footer masthead menu menus modal popup nav navbar navigation newsletter pagination promo related recommended share sharing sidebar sidebars social subscribe toolbar widget widgets contentinfo complementary search".split())
 #: Those of them that name lists of items.
 ITEM_WORDS = set("comment comments respond replies related recommended".split())
-#: Different pages that must have a slot before what they all have in it counts as template.
-DISTINCT = 5
+#: Different pages that have a slot, before what they all have in it counts as template: one page can't be compared.
+DISTINCT = 2
+#: Lists that differ over more than LONG by LONG places are matched WINDOW by WINDOW places at a time.
+LONG, WINDOW = 400, 100
 SALTS = 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -51,18 +53,62 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]).*?>|</{t}>|\Z", re.S | re.I) for t i
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
-def blocks(source: str) -> list[tuple[str, str, int]]:
+class Slots:
+    """Slots of a host as numbers: each is a block element, with its classes, inside another slot. 0 is the page itself."""
+
+    def __init__(self, parents=(), names=()):
+        self.parents, self.names, self.of, self.natures = [0], [""], {}, [("open", False)]
+        for parent, name in zip(parents, names):
+            self.inside(parent, name)
+
+    def inside(self, parent: int, name: str) -> int:
+        slot = self.of.get((parent, name))
+        if slot is None:
+            slot = self.of[parent, name] = len(self.names)
+            self.parents.append(parent)
+            self.names.append(name)
+            self.natures.append(_nature(*self.natures[parent], *name.split(".")))
+        return slot
+
+    def path(self, slot: int) -> str:
+        parts = []
+        while slot:
+            parts.append(self.names[slot])
+            slot = self.parents[slot]
+        return "/".join(reversed(parts))
+
+    def nature(self, slot: int) -> str:
+        """`out`: elements that HTML sets apart, and named lists of other items. `named`: has a name of noise, with no article or main element below. Otherwise the container: `article`, `main` or `open`."""
+        inside, named = self.natures[slot]
+        return "named" if named and inside != "out" else inside
+
+
+def _nature(inside: str, named: bool, tag: str, *names: str) -> tuple[str, bool]:
+    """The container of an element in one of ``inside``, and whether it or one around it has a name of noise."""
+    if inside == "out" or tag in NOISE_TAGS or (tag == "header" and inside == "open"):
+        return "out", False
+    if tag in ("article", "main"):
+        named = False
+    if tag not in ("body", "html") and is_named(names, NOISE_WORDS):
+        if is_named(names, ITEM_WORDS):
+            return "out", False
+        named = True
+    return (tag if tag == "article" or (tag == "main" and inside == "open") else inside), named
+
+
+def blocks(source: str, slots: Slots) -> list[tuple[int, str, int]]:
     """(slot, text, linked characters) of each block with text, in page order. Open and unclosed elements end with their parents."""
-    stack: list[str] = []
+    stack: list[int] = [0]
     names: list[str] = []
-    out: list[tuple[str, str, int]] = []
+    opened: dict[str, int] = {}
+    out: list[tuple[int, str, int]] = []
     text: list[str] = []
     linked, links = [0], [0]
 
     def flush():
         words = " ".join("".join(text).split())
         if words:
-            out.append(("/".join(s for s, n in zip(stack, names) if n in BLOCK), words, min(linked[0], len(words))))
+            out.append((stack[-1], words, min(linked[0], len(words))))
         text.clear()
         linked[0] = 0
 
@@ -76,8 +122,13 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
     def close(to: int):
         if any(n in BLOCK for n in names[to:]):
             flush()
-        links[0] -= names[to:].count("a")
-        del stack[to:], names[to:]
+        for n in names[to:]:
+            opened[n] -= 1
+        links[0] = opened.get("a", 0)
+        del stack[to + 1 :], names[to:]
+
+    def last(tag: str) -> int:
+        return next(i for i in range(len(names) - 1, -1, -1) if names[i] == tag)
 
     at = 0
     while (m := TOKEN.search(source, at)) is not None:
@@ -89,8 +140,8 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in names:
-                i = len(names) - 1 - names[::-1].index(tag)
+            if opened.get(tag):
+                i = last(tag)
                 if tag in BLOCK or not any(n in SCOPE for n in names[i:]):
                     close(i)
             continue
@@ -101,10 +152,12 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
             text.append(" " if tag == "br" else "")
         if tag in BLOCK:
             flush()
-            if "p" in names and not any(n in SCOPE for n in names[len(names) - names[::-1].index("p") :]):
-                close(len(names) - 1 - names[::-1].index("p"))
-        for i in range(len(names) - 1, -1, -1):
-            if names[i] in CLOSES.get(tag, ()):
+            if opened.get("p"):
+                nearest = next((i for i in range(len(names) - 1, -1, -1) if names[i] == "p" or names[i] in SCOPE), 0)
+                if names[nearest] == "p":
+                    close(nearest)
+        for i in range(len(names) - 1, -1, -1) if tag in CLOSES else ():
+            if names[i] in CLOSES[tag]:
                 close(i)
                 break
             if names[i] in ("ul", "ol", "dl", "table", "article", "section", "div", "body"):
@@ -114,7 +167,8 @@ def blocks(source: str) -> list[tuple[str, str, int]]:
         # Without digits: numbered names must not part the slots of a host's pages.
         marks = sorted({w for a in ATTRIBUTE.findall(m[3]) for w in re.sub(r"[./0-9]+", "_", "".join(a[1:]) if a[0].lower() != "itemprop" else "".join(a[1:]).lower()).split()}) if m[3] else []
         names.append(tag)
-        stack.append(".".join([tag, *marks]))
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(slots.inside(stack[-1], ".".join([tag, *marks])) if tag in BLOCK else stack[-1])
         links[0] += tag == "a"
     put(source[at:])
     flush()
@@ -150,13 +204,13 @@ class Leaf:
         """Whether the template has a text of its own here."""
         return bool(self.sums[3]) and len(self.sums[4]) >= DISTINCT
 
-    def plain(self) -> int:
-        """Characters of varying text, if most of it isn't linked."""
+    def plain(self, fixed: bool = False) -> int:
+        """Characters of text, if most of it isn't linked: of varying text, or ``fixed``, of the template's own."""
         chars, linked = self.sums[:2]
-        return 0 if 2 * linked >= chars or (self.is_fixed() and len(self.sums[3]) == 1 and not self.repeated) else chars
+        return 0 if 2 * linked >= chars or (self.is_fixed() and len(self.sums[3]) == 1 and not self.repeated) != fixed else chars
 
 
-def fold(stream: list[str], longest: int = 8) -> list[tuple[str, bool, list[int]]]:
+def fold(stream: list[int], longest: int = 8) -> list[tuple[int, bool, list[int]]]:
     """(slot, repeated, numbers of its blocks) of a page's leaves: adjacent repeats of up to ``longest`` units become one."""
     units = [[(s, False, [i])] for i, s in enumerate(stream)]
     name = lambda unit: tuple(x[0] for x in unit)
@@ -177,8 +231,30 @@ def fold(stream: list[str], longest: int = 8) -> list[tuple[str, bool, list[int]
     return [x for u in units for x in u]
 
 
-def matching(a: list[str], b: list[str]) -> list[tuple]:
-    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+def matching(a: list[int], b: list[int]) -> list[tuple]:
+    """Opcodes from one list of slots to the other, in time that doesn't grow with the square of long lists: what they begin and end with alike is cut off, and long rests are matched window by window."""
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    found, i, k, size = [], 0, 0, WINDOW if len(x) * len(y) > LONG * LONG else max(len(x), len(y))
+    while i < len(x) and k < len(y):
+        last = i + size >= len(x) and k + size >= len(y)
+        some = [m for m in SequenceMatcher(None, x[i : i + size], y[k : k + size], autojunk=False).get_matching_blocks() if m[2]]
+        some = [(i + m[0], k + m[1], m[2]) for m in some if last or 2 * max(m[0], m[1]) < size]  # the second half is seen again
+        found += some
+        if last:
+            break
+        i, k = (some[-1][0] + some[-1][2], some[-1][1] + some[-1][2]) if some else (i + size // 2, k + size // 2)
+    pairs = [(0, 0, head)] * bool(head) + [(i + head, k + head, m) for i, k, m in found] + [(len(a) - tail, len(b) - tail, tail)]
+    out, i, k = [], 0, 0
+    for to, at, size in pairs:
+        if to > i or at > k:
+            out.append(("other", i, to, k, at))
+        if size:
+            out.append(("equal", to, to + size, at, at + size))
+        i, k = to + size, at + size
+    return out
 
 
 def align(a: list[Leaf], b: list[Leaf]) -> list[Leaf]:
@@ -209,7 +285,7 @@ def places(wrapper: list[Leaf], page: list[tuple]) -> list[Leaf]:
     for kind, i, j, k, _ in matching([x.slot for x in wrapper], [x[0] for x in page]):
         if kind == "equal":
             found[k : k + j - i] = wrapper[i:j]
-    most: dict[str, Leaf] = {}
+    most: dict[int, Leaf] = {}
     for x in wrapper:
         if x.slot not in most or x.sums[0] > most[x.slot].sums[0]:
             most[x.slot] = x
@@ -227,54 +303,60 @@ def is_named(names: list[str], listed: set) -> bool:
     return any((w := words_of(n)) and listed.issuperset(w) for n in names)
 
 
-def nature(slot: str) -> str:
-    """`out`: elements that HTML sets apart, and named lists of other items. `named`: has a name of noise, with no article or main element below. Otherwise the container: `article`, `main` or `open`."""
-    inside, found, parts = "open", "", [part.split(".") for part in slot.split("/")]
-    for i, (tag, *names) in enumerate(parts):
-        if tag in NOISE_TAGS or (tag == "header" and inside == "open"):
-            return "out"
-        if tag not in ("body", "html") and is_named(names, NOISE_WORDS):
-            if is_named(names, ITEM_WORDS):
-                return "out"
-            if not any(p[0] in ("article", "main") for p in parts[i + 1 :]):
-                found = "named"
-        if tag == "article" or (tag == "main" and inside == "open"):
-            inside = tag
-    return found or inside
-
-
-def region(leaves: list[Leaf]) -> list[Leaf]:
-    """The leaves of the smallest element that holds two thirds of the varying plain text at each step from the root."""
-    some, depth = [x for x in leaves if x.plain()], 0
-    while some:
-        by: dict = {}
-        for x in some:
-            parts = x.slot.split("/")
-            if len(parts) > depth + 1:  # the last part is the block itself
-                by[parts[depth]] = by.get(parts[depth], 0) + x.plain()
-        best = max(by, key=by.get, default=None)
-        if best is None or 3 * by[best] < 2 * sum(x.plain() for x in some):
-            return some
-        some, depth = [x for x in some if len(p := x.slot.split("/")) > depth + 1 and p[depth] == best], depth + 1
-    return some
-
-
-def chosen(leaves: list[Leaf]) -> set[int]:
-    """Numbers of a page's leaves that hold its main text."""
-    of = [nature(x.slot) for x in leaves]
+def region(leaves: list[Leaf], slots: Slots, plain) -> list[Leaf]:
+    """The leaves of the smallest element that holds two thirds of the plain text at each step from the root."""
+    some = [x for x in leaves if plain(x)]
+    below, order = {0: sum(map(plain, some))}, sorted({x.slot for x in some})
+    own: dict[int, int] = {}
+    for x in some:
+        own[x.slot] = own.get(x.slot, 0) + plain(x)
+    around, todo = set(), order
+    while todo:  # all elements around the leaves, each once
+        todo = [p for p in {slots.parents[s] for s in todo} if p and p not in around]
+        around.update(todo)
+    for slot in sorted(around | set(order), reverse=True):  # elements have greater numbers than those around them
+        if (parent := slots.parents[slot]) and slot:
+            below[parent] = below.get(parent, 0) + below.get(slot, 0) + own.get(slot, 0)
+    inner: dict[int, list[int]] = {}
+    for slot in sorted(around):
+        inner.setdefault(slots.parents[slot], []).append(slot)
+    at = 0
+    while best := max(inner.get(at, ()), key=lambda s: below.get(s, 0), default=None):
+        if 3 * below.get(best, 0) < 2 * below[at]:
+            break
+        at = best
+    if not at:
+        return some
+    inside = {at}
+    for slot in sorted(around | set(order)):
+        if slots.parents[slot] in inside:
+            inside.add(slot)
+    return [x for x in some if x.slot in inside and x.slot != at]
+
+
+def chosen(leaves: list[Leaf], slots: Slots) -> tuple[set[int], bool]:
+    """Numbers of a page's leaves that hold its main text, and whether the template's own texts among them go.
+
+    An article or main element is kept with all that it holds. Outside of them, what all pages of the host have at a
+    place is template, unless such text outweighs what differs: then the pages are much alike, and nothing of it goes.
+    """
+    of = [slots.nature(x.slot) for x in leaves]
     for container in ("article", "main"):
         if container in of:
-            return {i for i, n in enumerate(of) if n == container}
-    mass = lambda kind: sum(x.plain() for x, n in zip(leaves, of) if n in kind)
+            return {i for i, n in enumerate(of) if n == container}, False
+    mass = lambda kind, **fixed: sum(x.plain(**fixed) for x, n in zip(leaves, of) if n in kind)
     kinds = ("open", "named") if mass(("named",)) > mass(("open",)) else ("open",)
-    kept = {id(x) for x in region([x for x, n in zip(leaves, of) if n in kinds])}
-    return {i for i, (x, n) in enumerate(zip(leaves, of)) if id(x) in kept and n in kinds}
+    mean = lambda **fixed: sum(x.plain(**fixed) / x.sums[2] for x, n in zip(leaves, of) if n in kinds and x.sums[2])
+    alike = mean(fixed=True) > mean()
+    plain = (lambda x: x.plain() or x.plain(fixed=True)) if alike else Leaf.plain
+    kept = {id(x) for x in region([x for x, n in zip(leaves, of) if n in kinds], slots, plain)}
+    return {i for i, (x, n) in enumerate(zip(leaves, of)) if id(x) in kept and n in kinds}, not alike
 
 
-def main_blocks(found: list[tuple], page: list[tuple], leaves: list[Leaf], kept: set[int]) -> list[int]:
-    """Numbers of one page's main blocks. Template texts are left out, unless the page would have no other text."""
+def main_blocks(found: list[tuple], page: list[tuple], leaves: list[Leaf], kept: set[int], strict: bool) -> list[int]:
+    """Numbers of one page's main blocks. If ``strict``, template texts are left out, unless the page would have no other text."""
     mine = sorted((n, i) for i in kept for n in page[i][2])
-    own = [n for n, i in mine if not (leaves[i].is_fixed() and mark(found[n][1]) in leaves[i].sums[3])]
+    own = [n for n, i in mine if not (strict and leaves[i].is_fixed() and mark(found[n][1]) in leaves[i].sums[3])]
     return own or [n for n, _ in mine]
 
 
@@ -286,7 +368,7 @@ class Host:
     """A wrapper as it grows. Pages of a shape that was seen add to the leaves that the first of them was aligned with."""
 
     def __init__(self):
-        self.wrapper, self.known = [], {}
+        self.wrapper, self.known, self.slots = [], {}, Slots()
 
     def page(self, found: list[tuple]) -> None:
         page = fold([s for s, _, _ in found])
@@ -314,22 +396,35 @@ class Host:
                         s[4].append(whole)
 
 
-def dump(wrapper: list[Leaf]) -> str:
-    return json.dumps([[x.slot, x.optional, x.repeated, x.sums] for x in wrapper])
+def dump(wrapper: list[Leaf], slots: Slots) -> str:
+    """The leaves, and the slots that they are in or below, each once."""
+    used, todo = set(), {x.slot for x in wrapper}
+    while todo:
+        used |= todo
+        todo = {slots.parents[s] for s in todo} - used
+    new = {s: i for i, s in enumerate(sorted(used | {0}))}
+    kept = [s for s in sorted(used) if s]
+    return json.dumps([[new[slots.parents[s]] for s in kept], [slots.names[s] for s in kept], [[new[x.slot], x.optional, x.repeated, x.sums] for x in wrapper]])
 
 
-def load(raw: str) -> list[Leaf]:
-    return [Leaf(*x) for x in json.loads(raw)]
+def load(raw: str, slots: Slots) -> list[Leaf]:
+    """Leaves whose slots are put among those given."""
+    parents, names, leaves = json.loads(raw)
+    to = [0]
+    for parent, name in zip(parents, names):
+        to.append(slots.inside(to[parent], name))
+    return [Leaf(to[slot], *more) for slot, *more in leaves]
 
 
 def _infer(batches):
     def rows(hosts):
-        return pa.RecordBatch.from_arrays([pa.array(list(hosts)), pa.array([dump(h.wrapper) for h in hosts.values()])], ["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(hosts)), pa.array([dump(h.wrapper, h.slots) for h in hosts.values()])], ["host", "wrapper"])
 
     hosts: dict[str, Host] = {}
     for batch in batches:
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hosts.setdefault(host, Host()).page(blocks(source or ""))
+            of = hosts.setdefault(host, Host())
+            of.page(blocks(source or "", of.slots))
             if len(hosts) >= 2000:
                 yield rows(hosts)
                 hosts = {}
@@ -338,14 +433,15 @@ def _infer(batches):
 
 
 def _merge(table: pa.Table, last: bool = False) -> pa.Table:
-    first, *rest = map(load, sorted(table.column("wrapper").to_pylist(), key=lambda w: (-len(w), w)))
+    slots = Slots()
+    first, *rest = [load(w, slots) for w in sorted(table.column("wrapper").to_pylist(), key=lambda w: (-len(w), w))]
     for other in rest:
         first = align(first, other)
     if last:  # marks that no page will be matched with
         for x in first:
             if not x.is_fixed():
                 x.sums[3:] = [[], []]
-    return pa.table({"host": table.column("host")[:1], "wrapper": [dump(first)]})
+    return pa.table({"host": table.column("host")[:1], "wrapper": [dump(first, slots)]})
 
 
 WRAPPERS = "host string, wrapper string"
@@ -372,19 +468,20 @@ def _extract(wrappers):
             out = []
             own = batch.column(4).to_pylist() if wrappers is None else None
             for i, (source, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if host not in parsed:
+                if host not in parsed or len(parsed[host][2].names) > 1_000_000:
                     if len(parsed) >= 2000:
                         parsed.clear()
-                    parsed[host] = load((own[i] if wrappers is None else wrappers.value.get(host)) or "[]"), {}
-                wrapper, known = parsed[host]
-                found = blocks(source or "")
+                    slots = Slots()
+                    parsed[host] = load((own[i] if wrappers is None else wrappers.value.get(host)) or "[[], [], []]", slots), {}, slots
+                wrapper, known, slots = parsed[host]
+                found = blocks(source or "", slots)
                 page = fold([s for s, _, _ in found])
                 shape = tuple(x[:2] for x in page)
                 if shape not in known:
                     if len(known) >= 1000:
                         known.clear()
                     leaves = places(wrapper, page)
-                    known[shape] = leaves, chosen(leaves)
+                    known[shape] = leaves, *chosen(leaves, slots)
                 out.append("\n".join(found[n][1] for n in main_blocks(found, page, *known[shape])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -1,7 +1,8 @@
 import random
 import re
+import time
 
-from quillstone.llm.wrappers import Leaf, align, blocks, extract, fold, nature, places
+from quillstone.llm.wrappers import Leaf, Slots, align, blocks, dump, extract, fold, load, matching, places
 
 from .data import SF, by_id
 
@@ -41,9 +42,13 @@ def test_wrapper_inference():
     assert shown(align(w, leaf("xa"))) == "x? a b? c+? d?"
     assert shown(align(leaf("ahphpf"), leaf("ahpf"))) == "a h+ p+ f"
     assert [x.slot for x in places(align(leaf("aba"), leaf("aca")), fold(list("aba")))] == ["a", "b", "a"]
-    found = blocks("<body><nav><a>m</a></nav><article><p>x</p></article></body>")
-    assert [s for s, _, _ in found] == ["body/nav", "body/article/p"] and found[0][2] == 1
-    assert [nature(s) for s, _, _ in found] == ["out", "article"]
+    slots = Slots()
+    found = blocks("<body><nav><a>m</a></nav><article><p>x</p></article></body>", slots)
+    assert [slots.path(s) for s, _, _ in found] == ["body/nav", "body/article/p"] and found[0][2] == 1
+    assert [slots.nature(s) for s, _, _ in found] == ["out", "article"]
+    wrapper, other = [Leaf(s) for s, _, _ in found], Slots()
+    other.inside(0, "div")
+    assert [other.path(x.slot) for x in load(dump(wrapper, slots), other)] == ["body/nav", "body/article/p"]
 
 
 def test_the_place_in_the_wrapper_decides(spark):
@@ -105,16 +110,44 @@ def test_a_host_with_mixed_templates(spark):
     assert {k: r.text for k, r in run(spark, rows).items()} == want
 
 
-def test_text_that_all_pages_repeat_is_template(spark):
-    rows = [(i, f"http://t.com/{i}", page(f"<p>By our staff</p><p>story {i}</p><p>only {i}</p>" + "<p>Tell your friends</p>")) for i in range(12)]
-    rows += [(20 + i, f"http://few.com/{i}", page(f"<p>Same</p><p>{i}</p>")) for i in range(4)]  # too few to tell
-    rows += [(30 + i, "http://copies.com/", page("<p>A copy</p>")) for i in range(12)]  # copies are one page
-    rows += [(50 + i, f"http://mirror.com/{i}", page("<p>All the text</p>") + f"<p>{i}</p>") for i in range(6)]
-    want = {i: f"story {i}\nonly {i}" for i in range(12)} | {20 + i: f"Same\n{i}" for i in range(4)}
-    want |= {30 + i: "A copy" for i in range(12)} | {50 + i: "All the text" for i in range(6)}
+def test_template_text_goes_outside_of_articles_alone(spark):
+    """However many pages a host has: what all of them repeat stays in an article, and goes from a region of varying text."""
+    rows, want = [], {}
+    for n in (2, 4, 12):
+        for i in range(n):
+            rows.append((100 * n + i, f"http://t{n}.com/{i}", page(f"<p>By our staff</p><p>story {i}</p><p>Tell your friends</p>")))
+            want[100 * n + i] = f"By our staff\nstory {i}\nTell your friends"
+            rows.append((100 * n + 50 + i, f"http://r{n}.com/{i}", f"<body><div><p>By our staff</p></div><div><h2>Title {i}</h2><p>A story of {i} and more</p></div></body>"))
+            want[100 * n + 50 + i] = f"Title {i}\nA story of {i} and more"
+    rows += [(30 + i, "http://copies.com/", "<body><div><p>A copy of one page</p></div></body>") for i in range(12)]  # copies are one page
+    rows += [(50 + i, f"http://alike.com/{i}", f"<body><div><p>All the text that these pages share</p><h2>No. {i}</h2></div></body>") for i in range(6)]  # much alike
+    want |= {30 + i: "A copy of one page" for i in range(12)} | {50 + i: f"All the text that these pages share\nNo. {i}" for i in range(6)}
     assert {k: r.text for k, r in run(spark, rows).items()} == want
 
 
+def test_very_deep_and_very_long_pages(spark):
+    rng = random.Random(8)
+    kinds = ["p", "li", "h2", "td", "dd", "pre", "blockquote"]
+    mixed = lambda: "".join(f"<{k}>w{i}</{k}>" for i, k in enumerate(rng.choices(kinds, k=30_000)))
+    rows = [(1, "http://deep.com/", "<div>x" * 50_000), (2, "http://deep.com/2", "<p>" + "<b>" * 50_000 + "y"), *((10 + i, f"http://long.com/{i}", f"<article>{mixed()}</article>") for i in range(2))]
+    began = time.time()
+    got = run(spark, rows)
+    assert time.time() - began < 120
+    assert set(got[1].text.split()) == {"x"} and got[2].text == "y" and all(got[10 + i].text.split("\n") == [f"w{n}" for n in range(30_000)] for i in range(2))
+
+
+def test_matching_gives_opcodes():
+    rng = random.Random(9)
+    for n, m in ((0, 3), (3, 0), (5, 5), (900, 1000), (1000, 900)):
+        a, b = rng.choices(range(9), k=n), rng.choices(range(9), k=m)
+        built, i, k = [], 0, 0
+        for kind, i1, i2, k1, k2 in matching(a, b):
+            assert (i1, k1) == (i, k) and (kind != "equal" or a[i1:i2] == b[k1:k2])
+            built += [kind] * (kind == "equal") * (i2 - i1)
+            i, k = i2, k2
+        assert (i, k) == (n, m) and (n < 900 or len(built) > 150)
+
+
 def test_names_that_contain_a_noise_word(spark):
     rows = [
         (1, "http://n1.com/", "<div class='container has-sidebar'><article><p>one</p></article></div>"),
@@ -127,5 +160,6 @@ def test_names_that_contain_a_noise_word(spark):
         (7, "http://n7.com/", "<article class='md:w-1/2 p-1.5'><p>seven</p></article><div class=Sidebar><p>no</p></div>"),
     ]
     want = {1: "one", 2: "two", 3: "three", 4: "four", 5: "five\nbar", 6: "six", 7: "seven", 8: "eight"}
-    assert blocks(rows[6][2])[0][0] == "div.articlebody.post-_/p"
+    slots = Slots()
+    assert slots.path(blocks(rows[6][2], slots)[0][0]) == "div.articlebody.post-_/p"
     assert {k: r.text for k, r in run(spark, rows).items()} == want
