@@ -17,8 +17,10 @@ from .common import WORD, no_null, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Beyond so many blocks a source, blocks hold more rows; draws of all sources must stay under 10^9 for numpy's sampler.
+#: Beyond so many blocks a source, blocks hold more rows.
 MOST_BLOCKS = 1 << 22
+#: numpy's samplers draw from fewer than so many.
+LARGE = 10**9
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -41,6 +43,36 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws are good. Of LARGE counts, by inversion over twelve standard deviations around the mode, beyond which lies less than 10^-30."""
+    if good + bad < LARGE:
+        return int(rng.hypergeometric(good, bad, n))
+    if not good or not bad or not n:
+        return 0 if bad else n
+    total = good + bad
+    spread = 50 + int(12 * np.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1))))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    low, high = max(0, n - bad, mode - spread), min(n, good, mode + spread)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
+
+
+def draw_of_each(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` draws are of each kind, source after source if there are LARGE counts."""
+    left = int(counts.sum())
+    if left < LARGE:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out = np.zeros_like(counts)
+    for i, c in enumerate(counts.tolist()):
+        left -= c
+        out[i] = hypergeometric(rng, c, left, n) if left else n
+        n -= int(out[i])
+    return out
+
+
 def split_quotas(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
     """(shards, sources) block draws: a multivariate-hypergeometric splitting tree with even leaves."""
     total = int(quotas.sum())
@@ -53,7 +85,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
             return
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(q, ends[mid] - ends[lo], method="marginals")
+        left = draw_of_each(rng, q, ends[mid] - ends[lo])
         split(lo, mid, left)
         split(mid, hi, q - left)
 

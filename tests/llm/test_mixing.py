@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillstone.llm import mixing
 from quillstone.llm.mixing import local_order, mix, split_quotas
 
 from .data import docs
@@ -57,6 +58,28 @@ def test_tree_is_exact_and_spread():
     assert abs(table[:, 0] - 62.5).max() < 25 and (split_quotas(q, 16, seed=3) == table).all()
 
 
+def test_draws_of_over_a_billion():
+    q = np.array([3_000_000_000, 0, 7, 1_500_000_000, 1])
+    table = split_quotas(q, 8, seed=1)
+    assert (table.sum(axis=0) == q).all() and table.min() >= 0 and table.sum(axis=1).max() - table.sum(axis=1).min() <= 1
+    assert abs(table[:, 0] / (q[0] / 8) - 1).max() < 1e-3
+
+
+def test_large_draws_are_hypergeometric(monkeypatch):
+    """Inversion has the mean and the variance of numpy's sampler, and stays within its bounds."""
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((60, 40, 30), (5, 1000, 900), (1, 0, 1), (0, 9, 4), (7, 3, 10), (3, 7, 0)):
+        want = rng.hypergeometric(good, bad, n, 4000)
+        monkeypatch.setattr(mixing, "LARGE", 0)
+        got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        monkeypatch.undo()
+        assert max(0, n - bad) <= got.min() and got.max() <= min(n, good)
+        assert abs(got.mean() - want.mean()) < 0.2 and abs(got.var() - want.var()) < 0.1 * want.var() + 0.05
+    monkeypatch.setattr(mixing, "LARGE", 0)
+    parts = mixing.draw_of_each(rng, np.array([4, 0, 9, 2]), 7)
+    assert parts.sum() == 7 and (parts <= [4, 0, 9, 2]).all() and (mixing.draw_of_each(rng, np.array([4, 1]), 5) == [4, 1]).all()
+
+
 def test_draws_follow_the_tree(spark, monkeypatch):
     """Blocks drawn by each shard are what the tree dealt; another tree gives other draws."""
     texts, sources = ["w " * 10] * 300, ["a", "b", "c"] * 100
