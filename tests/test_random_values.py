@@ -137,7 +137,7 @@ def test_random_dates(spark):
     got = {r.i: tuple(r.d) for r in with_dates(t, {"d": {"value": F.col("v"), "numeric": F.col("numeric"), "is_1904": F.col("late")}}).select("i", "d").collect()}
     bad = [(v, got[i], date_of(*v)) for i, v in enumerate(values) if got[i] != date_of(*v)]
     assert not bad, (len(bad), bad[:10])
-    assert sum(s == "OK" for s, _ in got.values()) > 10_000
+    assert sum(s == "OK" for s, _ in got.values()) > 5_000
 
 
 def test_random_codes(spark):
