@@ -145,7 +145,7 @@ ORACLE_SQL = {
     "workbook_scan": f"""{_CUSTOMERS}, cells AS ({_ROWS(lambda at: f", late AS is_1904, {_KIND[at]} AS cell_type, " + ("CASE WHEN k % 700 = 13 THEN concat('A', CAST(i AS VARCHAR)) END" if at == "G" else "CAST(NULL AS VARCHAR)") + f" AS formula, {_FORMAT.get(at, "'General'")} AS number_format", _RAW)}
 UNION ALL SELECT book, sheet, coordinate, raw, late, 's', NULL, 'General' FROM books, s, heads UNION ALL SELECT book, '封面', 'A1', '备注', late, 's', NULL, 'General' FROM books)
 SELECT book, 'cell' AS kind, sheet, is_1904, coordinate, cell_type, raw, formula, number_format FROM cells UNION ALL SELECT 'cover', 'cell', 'Sheet1', FALSE, 'A1', 'inlineStr', '说明', NULL, '' UNION ALL SELECT 'junk', 'error', NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
-    "workbook_issues": f"""{_CUSTOMERS} SELECT c.book, row_number() OVER (PARTITION BY c.book ORDER BY s.rest, i) AS n, s.sheet, i AS row_num, '设备制造日期' AS field, concat('G', CAST(i AS VARCHAR)) AS coordinate,
+    "workbook_issues": f"""{_CUSTOMERS} SELECT c.book, CAST(row_number() OVER (PARTITION BY c.book ORDER BY s.rest, i) AS INTEGER) AS n, s.sheet, CAST(i AS INTEGER) AS row_num, '设备制造日期' AS field, concat('G', CAST(i AS VARCHAR)) AS coordinate,
 CASE WHEN k % 700 = 13 THEN 'STRUCTURE' ELSE 'YEAR_ONLY' END AS kind, CASE WHEN k % 700 = 13 THEN concat('=A', CAST(i AS VARCHAR)) ELSE '1999' END AS value, CASE WHEN k % 700 = 13 THEN '{MESSAGES['FORMULA']}' ELSE '{MESSAGES['YEAR_ONLY']}' END AS message {_EACH} WHERE k % 700 = 13 OR k % 900 = 6""",
     "workbook_statistics": f"""{_CUSTOMERS}, n AS (SELECT w, count(*) AS k FROM c WHERE k % 4 <> 3 GROUP BY w) SELECT book, '清单0,清单1,清单2' AS sheets, '封面,Hidden@草稿' AS skipped_sheets, n.k AS rows, CASE WHEN bad.w IS NULL THEN n.k ELSE 0 END AS subcategory_filled, CASE WHEN bad.w IS NULL THEN 3 * n.k ELSE 0 END AS dates_converted,
 CAST(0 AS BIGINT) AS dates_cleared, CASE WHEN bad.w IS NULL THEN n.k ELSE 0 END AS codes_formatted, bad.w IS NULL AS success, '' AS wrong FROM books JOIN n USING (w) LEFT JOIN bad USING (w) UNION ALL SELECT 'junk', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'unreadable' UNION ALL SELECT 'cover', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{NO_BUSINESS}'""",

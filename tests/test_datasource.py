@@ -76,6 +76,22 @@ def test_results_are_committed_as_a_whole(spark, tmp_path):
     done.rows.unpersist()
 
 
+def test_the_mapping_is_loaded_only_if_asked_for(spark, tmp_path):
+    at = folder(tmp_path, dates=book([("s", "visible", sheet([["启用日期"], ["2020/5"]]))]))
+    done = P.convert_files(spark, at, f"{tmp_path}/none.xlsx")
+    assert [r.new_value for r in done.changes.collect()] == ["2020-05-01"]
+    done.rows.unpersist()
+    folder(tmp_path, named=book([("s", "visible", sheet([["设备小类名称", "设备小类编码"], ["阀门", None]]))]))
+    with pytest.raises(Exception, match="none.xlsx|PATH_NOT_FOUND"):
+        P.convert_files(spark, at, f"{tmp_path}/none.xlsx")
+    folder(tmp_path, m=book([("m", "visible", sheet([["设备小类名称", "设备小类编码"], ["阀门", "FM-1"]]))]))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "named.xlsx").rename(tmp_path / "in" / "named.xlsx")
+    done = P.convert_files(spark, f"{tmp_path}/in", f"{tmp_path}/m.xlsx")
+    assert [r.new_value for r in done.changes.collect()] == ["FM-1"]
+    done.rows.unpersist()
+
+
 def test_nothing_is_left_of_an_aborted_write(spark, tmp_path):
     kind = "path string, content binary"
     D.commit_packages(spark.createDataFrame([("x/a.xlsx", b"one")], kind), str(tmp_path))
