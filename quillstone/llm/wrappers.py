@@ -8,11 +8,13 @@ A leaf so has its place in the order of the wrapper, and adds up its text, linke
 tasks fold their own pages, and the wrappers of a host, at most one from each task, are aligned in two rounds.
 
 A page is then matched with its host's wrapper, and what its leaves are decides about its blocks. Elements that HTML
-itself sets apart (navigation, footers, forms and so on) go. Of the rest, leaves inside an article element are kept, or,
-where the page has none, inside a main element, or else those of the region that holds most of the varying, unlinked
-text of the leaves that the page has: from the root, the element that holds two thirds of it is entered again and again.
-Template texts of such a region go, those of an article or main element stay. Class names decide only what alignment can't know: lists of comments and the like are
-never kept, and an element named as an advert, notice and so on isn't, unless it holds most of the page's text itself.
+itself sets apart (navigation, footers, forms and so on) go. Of the rest, leaves inside an article element are kept, but
+for article elements that hold links in the main over all pages of the host; or, where the page has none, inside a main
+element, or else those of the region that holds most of the varying, unlinked text of the leaves that the page has: from
+the root, the element that holds two thirds of it is entered again and again. Template texts of such a region go, those
+of an article or main element stay. Class names decide only what alignment can't know: lists of comments and the like
+are never kept, and an element named as an advert, notice and so on isn't, unless it holds most of the page's text
+itself.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ class Slots:
     """Slots of a host as numbers: each is a block element, with its classes, inside another slot. 0 is the page itself."""
 
     def __init__(self, parents=(), names=()):
-        self.parents, self.names, self.of, self.natures = [0], [""], {}, [("open", False)]
+        self.parents, self.names, self.of, self.natures, self.articles = [0], [""], {}, [("open", False)], [0]
         for parent, name in zip(parents, names):
             self.inside(parent, name)
 
@@ -68,6 +70,7 @@ class Slots:
             self.parents.append(parent)
             self.names.append(name)
             self.natures.append(_nature(*self.natures[parent], *name.split(".")))
+            self.articles.append(self.articles[parent] or (slot if self.natures[slot][0] == "article" else 0))
         return slot
 
     def path(self, slot: int) -> str:
@@ -334,16 +337,31 @@ def region(leaves: list[Leaf], slots: Slots, plain) -> list[Leaf]:
     return [x for x in some if x.slot in inside and x.slot != at]
 
 
+def _is_unlinked(leaves) -> bool:
+    """Whether most of the text of some leaves isn't linked."""
+    chars, linked = map(sum, zip(*(x.sums[:2] for x in leaves)))
+    return 2 * linked < chars
+
+
 def chosen(leaves: list[Leaf], slots: Slots) -> tuple[set[int], bool]:
     """Numbers of a page's leaves that hold its main text, and whether the template's own texts among them go.
 
-    An article or main element is kept with all that it holds. Outside of them, what all pages of the host have at a
-    place is template, unless such text outweighs what differs: then the pages are much alike, and nothing of it goes.
+    An article or main element is kept with all that it holds. Of article elements of different slots, those that over
+    all pages of the host hold links in the main are teasers of other pages, and go: if any other is there, or if the
+    region outside of them holds more varying text than they hold text. Outside of articles, what all pages of the host
+    have at a place is template, unless such text outweighs what differs: then the pages are much alike, and nothing of
+    it goes.
     """
     of = [slots.nature(x.slot) for x in leaves]
-    for container in ("article", "main"):
-        if container in of:
-            return {i for i, n in enumerate(of) if n == container}, False
+    if "article" in of:
+        inside = [slots.articles[x.slot] if n == "article" else 0 for x, n in zip(leaves, of)]
+        plain = {a for a in set(inside) if a and _is_unlinked(x for x, b in zip(leaves, inside) if a == b)}
+        outer = [x for x, n in zip(leaves, of) if n in ("main", "open")]
+        if plain or sum(map(Leaf.plain, outer)) <= sum(x.sums[0] for x, a in zip(leaves, inside) if a):
+            return {i for i, a in enumerate(inside) if a and (a in plain or not plain)}, False
+        of = ["out" if n == "article" else n for n in of]
+    if "main" in of:
+        return {i for i, n in enumerate(of) if n == "main"}, False
     mass = lambda kind, **fixed: sum(x.plain(**fixed) for x, n in zip(leaves, of) if n in kind)
     kinds = ("open", "named") if mass(("named",)) > mass(("open",)) else ("open",)
     mean = lambda **fixed: sum(x.plain(**fixed) / x.sums[2] for x, n in zip(leaves, of) if n in kinds and x.sums[2])

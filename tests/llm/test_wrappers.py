@@ -2,7 +2,10 @@ import random
 import re
 import time
 
-from quillstone.llm.wrappers import Leaf, Slots, align, blocks, dump, extract, fold, load, matching, places
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillstone.llm.wrappers import Leaf, Slots, align, blocks, chosen, dump, extract, fold, host_of, load, main_blocks, matching, places
 
 from .data import SF, by_id
 
@@ -95,6 +98,32 @@ def test_given_pages_equal_their_article(spark):
         assert got[r.page_id].text == "\n".join(html.unescape(p) for p in parts if p)
 
 
+def test_given_pages_without_their_article_tags_and_names(spark):
+    """Nothing but the wrapper tells the article from the advert before it, if the host has two pages; without what the wrapper knows, nothing does."""
+    t = spark.read.parquet(f"{SF}/pages.parquet")
+    bare = t.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"(</?)article\b", "$1div"), ' class="[^"]*"', ""))
+    assert t.filter("html LIKE '%class=%'").count() == t.count()
+    several = {r.page_id for r in t.withColumn("host", host_of("url")).withColumn("n", F.count("*").over(Window.partitionBy("host"))).filter("n > 1").collect()}
+    want = {k: r.text for k, r in by_id(extract(t), "page_id").items()}
+    assert {k for k, r in by_id(extract(bare), "page_id").items() if r.text != want[k]}.isdisjoint(several) and len(several) > 25
+    for r in bare.limit(50).collect():
+        slots = Slots()
+        found = blocks(r.html, slots)
+        leaves = [Leaf(s, repeated=many) for s, many, _ in fold([s for s, _, _ in found])]
+        kept, strict = chosen(leaves, slots)
+        assert "\n".join(found[n][1] for n in main_blocks(found, fold([s for s, _, _ in found]), leaves, kept, strict)) != want[r.page_id]
+
+
+def test_teasers_in_article_elements(spark):
+    """Article elements that hold links in the main are teasers, if the host's leaves show an article elsewhere."""
+    teasers = lambda i: "".join(f"<article class=card><h3><a href=/{n}>Story number {n}</a></h3></article>" for n in range(i + 2))
+    rows = [(i, f"http://v.com/{i}", f"<body><article class=post><h1>T{i}</h1><p>Words of {i}</p></article><div>{teasers(i)}</div></body>") for i in range(4)]
+    rows += [(10 + i, f"http://w.com/{i}", f"<body><div><h1>T{i}</h1><p>{f'Words of number {i} ' * 40}</p></div><div>{teasers(2)}</div></body>") for i in range(4)]
+    rows += [(20 + i, f"http://x.com/{i}", f"<body><article><p><a href=/>All of it {i} is one link</a></p></article></body>") for i in range(4)]
+    want = {i: f"T{i}\nWords of {i}" for i in range(4)} | {10 + i: f"T{i}\n{(f'Words of number {i} ' * 40).strip()}" for i in range(4)} | {20 + i: f"All of it {i} is one link" for i in range(4)}
+    assert {k: r.text for k, r in run(spark, rows).items()} == want
+
+
 def test_empty_table_and_repeats(spark):
     t = spark.createDataFrame([(1, "u", "<p>a</p>", "h", "t")] * 2, PAGES)
     assert [r.text for r in extract(t).collect()] == ["a", "a"] and extract(t.limit(0)).count() == 0
