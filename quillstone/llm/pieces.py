@@ -1,7 +1,10 @@
 """Encoding to pieces and decoding, with exact N-best segmentations.
 
-The pieces and scores come from a SentencePiece model file; a segmentation's score is the sum of its pieces'. A
-character without a piece is written as its bytes and scores ten below the lowest piece. Forward Viterbi scores
+The pieces come from a SentencePiece model file; a segmentation's score is the sum of its pieces' log probabilities. A
+merge model's file holds ranks, whose sum says nothing: its pieces are put in order by them, and the piece at place r
+has a probability in proportion to 1 / (r + SHIFT), as Zipf's and Mandelbrot's law gives it, so that nothing is trained. A
+character without a piece is written as its bytes and scores ten below the lowest piece. The merge model's own encoding
+is found beside the N best, by merging neighbours in the order of ranks; it is one path of the same lattice. Forward Viterbi scores
 are the exact best scores of all prefixes; A* searches backwards from the end of the piece lattice with them as its
 heuristic, so that each complete path it takes from its queue is the next best.
 
@@ -27,12 +30,21 @@ from pyspark.sql import functions as F
 from .common import byte_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SCHEMA = "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, second_ids_sha256 string, decoded_sha256 string, round_trip boolean"
+SCHEMA = "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, second_ids_sha256 string, decoded_sha256 string, round_trip boolean, n_merged long, merged_score double, merged_ids_sha256 string"
+#: Of 1, 2, 11, 101 and 1,001, the one whose best segmentations have most nearly as many pieces as the merges give.
+SHIFT = 11
 KEPT = 700_000
 
 
-def load(path: str = MODEL) -> tuple[list, list, list]:
-    """Normal pieces as (text, score, id), ids of the 256 bytes, and what each id decodes to."""
+def by_rank(normal: list, shift: int = SHIFT) -> list:
+    """Pieces with log probabilities in place of scores that give no more than their order; they add up to one."""
+    ranked = sorted(normal, key=lambda x: (-x[1], x[2]))
+    total = math.log(math.fsum(1 / (r + shift) for r in range(len(ranked))))
+    return [(p, -math.log(r + shift) - total, i) for r, (p, _, i) in enumerate(ranked)]
+
+
+def load(path: str = MODEL, ranks: bool = True) -> tuple[list, list, list]:
+    """Normal pieces as (text, log probability, id), ids of the 256 bytes, and what each id decodes to. ``ranks``: the file's scores are ranks of merges."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,7 +60,7 @@ def load(path: str = MODEL) -> tuple[list, list, list]:
             piece = piece.replace("▁", " ")
             normal.append((piece, sp.get_score(i), i))
             shown.append(piece.encode())
-    return normal, of_byte, shown
+    return by_rank(normal) if ranks else normal, of_byte, shown
 
 
 class Kept(dict):
@@ -122,7 +134,7 @@ class Segmenter:
         return [k] if k is not None else [self.of_byte[b] for b in text[start:end].encode()]
 
     def one_best(self, text: str) -> tuple:
-        """(ids, score, loss of the second best, text)."""
+        """(ids, score, loss of the second best, text, ids by merges, their score)."""
         # Forward Viterbi with the two best scores of each prefix, edge by edge as the lattice unfolds.
         n, low, trie, piece = len(text), -math.inf, self.trie, self.piece
         best, next_, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
@@ -153,7 +165,36 @@ class Segmenter:
             path.append(self.ids_of(text, i, j, k))
             j = i
         total = best[n]
-        return tuple(k for p in reversed(path) for k in p), total, total - next_[n], text
+        return tuple(k for p in reversed(path) for k in p), total, total - next_[n], text, *self.merged(text)
+
+    def merged(self, text: str) -> tuple[tuple, float]:
+        """Ids and score by merges: of all neighbours that make a piece the likeliest become one, the first of equals, until none are left."""
+        piece, n, low = self.piece, len(text), (-math.inf, None)
+        ends, before, queue = list(range(1, n + 1)), list(range(-1, n)), []  # of the symbol that starts at a place; 0: none does
+
+        def offer(i: int, j: int, k: int) -> None:
+            if (hit := piece.get(text[i:k])) is not None:
+                heapq.heappush(queue, (-hit[0], i, j, k))
+
+        for i in range(n - 1):
+            offer(i, i + 1, i + 2)
+        while queue:
+            _, i, j, k = heapq.heappop(queue)
+            if ends[i] != j or ends[j] != k:
+                continue
+            ends[i], ends[j] = k, 0
+            before[k] = i
+            if k < n:
+                offer(i, k, ends[k])
+            if i:
+                offer(before[i], i, k)
+        ids, score, i = [], 0.0, 0
+        while i < n:
+            s, k = piece.get(text[i : ends[i]], low)
+            ids += self.ids_of(text, i, ends[i], k)
+            score += self.unknown if k is None else s
+            i = ends[i]
+        return tuple(ids), score
 
     @staticmethod
     def _two(best, next_, back, v, w, edge):
@@ -176,8 +217,8 @@ class Segmenter:
                 heapq.heappush(queue, (-round(best[i] + s + behind, 6), i, order, s + behind, (self.ids_of(text, i, j, k), tail)))
         return out
 
-    def encode(self, text: str) -> tuple[list[int], float, list[float], list[int]]:
-        """Ids and score of the best segmentation, scores of the N best, ids of the second best (none: empty)."""
+    def encode(self, text: str) -> tuple[list[int], float, list[float], list[int], list[int], float]:
+        """Ids and score of the best segmentation, scores of the N best, ids of the second best (none: empty), ids and score by merges."""
         parts = list(map(self.kept.__getitem__, self.cut(" " + text))) if text else []
         ids = list(chain.from_iterable([p[0] for p in parts]))
         score = math.fsum([p[1] for p in parts])
@@ -201,7 +242,7 @@ class Segmenter:
                 if (nth := picks[1][1][n]):
                     at = sum([len(p[0]) for p in parts[: places[n]]])
                     second = second[:at] + list(lists[n][nth][1]) + second[at + len(parts[places[n]][0]) :]
-        return ids, score, [score - c for c, _ in picks], second
+        return ids, score, [score - c for c, _ in picks], second, list(chain.from_iterable([p[4] for p in parts])), math.fsum([p[5] for p in parts])
 
     def _nearest(self, loss: np.ndarray) -> np.ndarray:
         """Places of the N - 1 smallest, the first of equals."""
@@ -220,34 +261,42 @@ def _unrolled(tail):
         tail = tail[1]
 
 
-def _runner(shipped, nbest: int):
+def _digest(ids: list[int]) -> str:
+    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+
+
+def _runner(shipped, nbest: int, own: bool):
     def run(batches):
         seg = Segmenter(*shipped.value, nbest)
-        kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.bool_())
+        kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.string())
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in byte_slices(texts, 1 << 20):
                 out = []
                 for raw in texts[a:b]:
-                    ids, score, scores, second = seg.encode(raw.decode())
+                    ids, score, scores, second, merged, by_merges = seg.encode(raw.decode())
+                    ids = merged if own else ids
                     back = seg.decode(ids).encode()
-                    digest = hashlib.sha256(np.array(second, "<i4").tobytes()).hexdigest() if second else None
-                    out.append((np.array(ids, np.int32), len(ids), score, scores, digest, hashlib.sha256(back).hexdigest(), back == raw))
+                    out.append((np.array(ids, np.int32), len(ids), score, scores, _digest(second) if second else None, hashlib.sha256(back).hexdigest(), back == raw, len(merged), by_merges, _digest(merged)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, nbest: int = 4) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, nbest: int = 4, ranks: bool = True, own: bool = False) -> DataFrame:
     """One row per row of ``docs``, in the columns of SCHEMA: the best ids, the scores of the N best segmentations,
-    a digest of the second best ids (null if there is none), and whether decoding gives the text back.
+    a digest of the second best ids (null if there is none), whether decoding gives the text back, and number, score
+    and a digest of the ids that merges give. With ``own``, ids are these instead of the best. ``ranks``: the file's
+    scores are ranks; else they are log probabilities. Of segmentations that tie the one whose last piece is longest
+    comes first. A U+2581 of the text's own is written as its bytes, so that it comes back; the file's library reads it as
+    a blank. Other columns, whatever their names, are not read; an empty table gives an empty table.
 
     A null text is empty; an empty text has no ids, score 0 and itself as its only segmentation. Null and repeated
     ids pass through; equal texts get equal values. Texts are encoded whole, a text at a time.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(load(model))  # the model's pieces, whatever the corpus
+    shipped = docs.sparkSession.sparkContext.broadcast(load(model, ranks))  # the model's pieces, whatever the corpus
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_runner(shipped, nbest), SCHEMA)
+    return rows.mapInArrow(_runner(shipped, nbest, own), SCHEMA)
 
 
 def ids_digest(ids: str = "ids"):

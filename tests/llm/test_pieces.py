@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -36,6 +37,18 @@ def all_segmentations(text):
     return list(go(" " + text)) if text else [(0.0, ())]
 
 
+def merges(text):
+    """Ids by merges, one pass over all neighbours for each."""
+    of = {p: (s, i) for p, s, i in NORMAL}
+    parts = list(" " + text) if text else []
+    while True:
+        able = [(-of[a + b][0], n) for n, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in of]
+        if not able:
+            return [k for p in parts for k in ([of[p][1]] if p in of else [BYTES[x] for x in p.encode()])]
+        n = min(able)[1]
+        parts[n : n + 2] = [parts[n] + parts[n + 1]]
+
+
 @pytest.mark.parametrize("nbest", [1, 2, 5, 9])
 def test_n_best_equals_enumeration(nbest):
     seg = P.Segmenter(NORMAL, BYTES, SHOWN, nbest)
@@ -43,9 +56,10 @@ def test_n_best_equals_enumeration(nbest):
     for t in texts:
         every = all_segmentations(t)
         want = sorted((s for s, _ in every), reverse=True)[:nbest]
-        ids, score, scores, second = seg.encode(t)
+        ids, score, scores, second, merged, by_merges = seg.encode(t)
         assert scores == pytest.approx(want) and score == pytest.approx(want[0])
         as_scores = {i: s for s, i in every}
+        assert as_scores[tuple(merged)] == pytest.approx(by_merges) and merged == merges(t)
         assert as_scores[tuple(ids)] == pytest.approx(want[0]) and seg.decode(ids) == t
         if len(want) > 1:
             assert as_scores[tuple(second)] == pytest.approx(want[1]) and tuple(second) != tuple(ids) and seg.decode(second) == t
@@ -67,6 +81,26 @@ def test_documents_round_trip_with_the_public_model(spark):
     assert got.filter("nbest_scores[0] <> score OR nbest_scores[1] > score").count() == 0
 
 
+def test_probabilities_by_rank_and_the_models_own_encoding(spark):
+    import sentencepiece
+
+    normal, of_byte, shown = P.load()
+    assert sum(math.exp(s) for _, s, _ in normal) == pytest.approx(1) and len({s for _, s, _ in normal}) == len(normal)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    seg = P.Segmenter(normal, of_byte, shown)
+    texts = ["Hello world again", "", "  a  b", "<s> </s>", "漢字 é\n\n\tx", "日本語 123,456.78 (x)", "z" * 300, "\U0001f600 ok"]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text NOT LIKE '%▁%'").select("text").collect() if r.text]
+    best = own = 0
+    for t in texts:
+        ids, score, _, _, merged, by_merges = seg.encode(t)
+        assert merged == sp.encode(t) and by_merges <= score + 1e-6
+        best, own = best + len(ids), own + len(merged)
+    assert abs(best - own) < 0.02 * own
+    assert [sp.id_to_piece(i) for i in seg.encode("Hello world again")[0]] == sp.encode("Hello world again", out_type=str)
+    got = by_id(P.encode(docs(spark, ["Hello world again", None]), own=True))
+    assert got[0].ids == sp.encode("Hello world again") and (got[1].ids, got[1].n_merged) == ([], 0)
+
+
 def test_edges(spark):
     texts = [None, "", " ", "\n\n", "漢字 ▁ \x00", "a" * 50_000, "ab " * 30_000, "same", "same"]
     got = by_id(P.encode(docs(spark, texts)))
