@@ -294,15 +294,18 @@ def _block_join(blocks: DataFrame, key: str, rule: str) -> DataFrame:
     """Pairs of blocks of a key that may hold a link, as (a, b, same).
 
     ``rule`` is a condition on the ranges of two blocks x and y. A key of one block needs no join; the others are
-    joined by their ranges, and the entries of the pairs that are left are fetched by block.
+    joined by their ranges, and the entries of the pairs that are left are fetched by block. The parts of a key make a
+    grid: ranges meet by key and pair of parts, so that no group of the join holds more than two parts of a long list.
     """
     different = "NOT (x.lo_comp = x.hi_comp AND y.lo_comp = y.hi_comp AND x.lo_comp = y.lo_comp)"
     alone = blocks.filter("lo_comp < hi_comp").select(F.col("entries").alias("a"), F.col("entries").alias("b"), F.lit(True).alias("same"))
-    several = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(key)
-    ends = blocks.drop("entries").join(several, key, "left_semi")
-    before = "(x.part < y.part OR (x.part = y.part AND x.block < y.block))"
-    pairs = ends.alias("x").join(ends.alias("y"), F.expr(f"x.{key} = y.{key} AND {before} AND {different} AND {rule}"))
-    pairs = pairs.select(F.col(f"x.{key}").alias("key"), F.col("x.part").alias("xp"), F.col("x.block").alias("xb"), F.col("y.part").alias("yp"), F.col("y.block").alias("yb"))
+    several = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.max("part").alias("top")).filter("k > 1").select(key, "top")
+    ends = blocks.drop("entries").join(several, key)
+    first = ends.withColumn("xp", F.col("part")).withColumn("yp", F.explode(F.sequence("part", "top")))
+    second = ends.withColumn("yp", F.col("part")).withColumn("xp", F.explode(F.sequence(F.lit(0).cast(ends.schema["part"].dataType), "part")))
+    cell = f"x.{key} = y.{key} AND x.xp = y.xp AND x.yp = y.yp AND (x.xp < y.yp OR x.block < y.block)"
+    pairs = first.alias("x").join(second.alias("y"), F.expr(f"{cell} AND {different} AND {rule}"))
+    pairs = pairs.select(F.col(f"x.{key}").alias("key"), "x.xp", F.col("x.block").alias("xb"), "x.yp", F.col("y.block").alias("yb"))
     side = lambda p, b, name: blocks.select(F.col(key).alias("key"), F.col("part").alias(p), F.col("block").alias(b), F.col("entries").alias(name))
     pairs = pairs.join(side("xp", "xb", "a"), ["key", "xp", "xb"]).join(side("yp", "yb", "b"), ["key", "yp", "yb"])
     return alone.unionByName(pairs.select("a", "b", F.lit(False).alias("same")))
