@@ -4,7 +4,7 @@ The pieces come from a SentencePiece model file; a segmentation's score is the s
 merge model's file holds ranks, whose sum says nothing: its pieces are put in order by them, and the piece at place r
 has a probability in proportion to 1 / (r + SHIFT), as Zipf's and Mandelbrot's law gives it, so that nothing is trained. A
 character without a piece is written as its bytes and scores ten below the lowest piece. The merge model's own encoding
-is found beside the N best, by merging neighbours in the order of ranks; it is one path of the same lattice. Forward Viterbi scores
+is found beside the N best, a stretch at a time, by the file's library where a stretch begins with a blank; it is one path of the same lattice. Forward Viterbi scores
 are the exact best scores of all prefixes; A* searches backwards from the end of the piece lattice with them as its
 heuristic, so that each complete path it takes from its queue is the next best.
 
@@ -21,6 +21,7 @@ import math
 import re
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, second_ids_sha256 string, decoded_sha256 string, round_trip boolean, n_merged long, merged_score double, merged_ids_sha256 string"
 #: Of 1, 2, 11, 101 and 1,001, the one whose best segmentations have most nearly as many pieces as the merges give.
 SHIFT = 11
-KEPT = 700_000
+KEPT = 500_000
 
 
 def by_rank(normal: list, shift: int = SHIFT) -> list:
@@ -43,11 +44,9 @@ def by_rank(normal: list, shift: int = SHIFT) -> list:
     return [(p, -math.log(r + shift) - total, i) for r, (p, _, i) in enumerate(ranked)]
 
 
-def load(path: str = MODEL, ranks: bool = True) -> tuple[list, list, list]:
-    """Normal pieces as (text, log probability, id), ids of the 256 bytes, and what each id decodes to. ``ranks``: the file's scores are ranks of merges."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+def load(model: str | bytes = MODEL, ranks: bool = True) -> tuple[list, list, list]:
+    """Normal pieces as (text, log probability, id), ids of the 256 bytes, and what each id decodes to, from a model's file or its bytes. ``ranks``: the file's scores are ranks of merges."""
+    sp = _library(model if isinstance(model, bytes) else Path(model).read_bytes())
     normal, of_byte, shown = [], [0] * 256, []
     for i in range(sp.vocab_size()):
         piece = sp.id_to_piece(i)
@@ -63,6 +62,12 @@ def load(path: str = MODEL, ranks: bool = True) -> tuple[list, list, list]:
     return by_rank(normal) if ranks else normal, of_byte, shown
 
 
+def _library(proto: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=proto)
+
+
 class Kept(dict):
     """What ``make`` gives for a key; forgotten once there are too many."""
 
@@ -79,7 +84,8 @@ class Kept(dict):
 class Segmenter:
     """Segmentations of stretches; the best ones are kept, up to a bound."""
 
-    def __init__(self, normal: list, of_byte: list, shown: list, nbest: int = 4):
+    def __init__(self, normal: list, of_byte: list, shown: list, nbest: int = 4, proto: bytes | None = None):
+        self.library = _library(proto) if proto else None
         self.piece = {p: (s, i) for p, s, i in normal}
         if any(" " in p.lstrip(" ") for p in self.piece):
             raise ValueError("a piece holds a blank behind another character")
@@ -91,6 +97,11 @@ class Segmenter:
             node.setdefault(p[-1], [{}, None, None])[1:] = score, i
         self.of_byte, self.shown, self.nbest = of_byte, shown, nbest
         self.unknown = min((s for _, s, _ in normal), default=0.0) - 10
+        self.value = np.zeros(1 + max([*of_byte, *(i for _, _, i in normal)]))  # by id; a character's first byte has that of the character
+        for b, i in enumerate(of_byte):
+            self.value[i] = 0 if 0x80 <= b < 0xC0 else self.unknown
+        for _, s, i in normal:
+            self.value[i] = s
         self.cut = re.compile(self._stretches()).findall
         self.kept = Kept(self.one_best)
         self.lists = lru_cache(20_000)(self.best_of)
@@ -134,7 +145,7 @@ class Segmenter:
         return [k] if k is not None else [self.of_byte[b] for b in text[start:end].encode()]
 
     def one_best(self, text: str) -> tuple:
-        """(ids, score, loss of the second best, text, ids by merges, their score)."""
+        """(ids, score, loss of the second best, text, ids by merges)."""
         # Forward Viterbi with the two best scores of each prefix, edge by edge as the lattice unfolds.
         n, low, trie, piece = len(text), -math.inf, self.trie, self.piece
         best, next_, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
@@ -165,11 +176,15 @@ class Segmenter:
             path.append(self.ids_of(text, i, j, k))
             j = i
         total = best[n]
-        return tuple(k for p in reversed(path) for k in p), total, total - next_[n], text, *self.merged(text)
+        return tuple(k for p in reversed(path) for k in p), total, total - next_[n], text, self._own(text)
+
+    def _own(self, text: str) -> list[int]:
+        """Ids by merges. The library sets a blank before a text and reads a U+2581 as one, so it gets stretches that begin with a blank and hold no U+2581."""
+        return self.library.encode(text[1:]) if self.library is not None and len(text) > 1 and text[0] == " " and "▁" not in text else self.merged(text)
 
-    def merged(self, text: str) -> tuple[tuple, float]:
-        """Ids and score by merges: of all neighbours that make a piece the likeliest become one, the first of equals, until none are left."""
-        piece, n, low = self.piece, len(text), (-math.inf, None)
+    def merged(self, text: str) -> list[int]:
+        """Ids by merges, without the library: of all neighbours that make a piece the likeliest become one, the first of equals, until none are left."""
+        piece, n = self.piece, len(text)
         ends, before, queue = list(range(1, n + 1)), list(range(-1, n)), []  # of the symbol that starts at a place; 0: none does
 
         def offer(i: int, j: int, k: int) -> None:
@@ -188,13 +203,11 @@ class Segmenter:
                 offer(i, k, ends[k])
             if i:
                 offer(before[i], i, k)
-        ids, score, i = [], 0.0, 0
+        ids, i = [], 0
         while i < n:
-            s, k = piece.get(text[i : ends[i]], low)
-            ids += self.ids_of(text, i, ends[i], k)
-            score += self.unknown if k is None else s
+            ids += self.ids_of(text, i, ends[i], piece.get(text[i : ends[i]], (0, None))[1])
             i = ends[i]
-        return tuple(ids), score
+        return ids
 
     @staticmethod
     def _two(best, next_, back, v, w, edge):
@@ -220,9 +233,10 @@ class Segmenter:
     def encode(self, text: str) -> tuple[list[int], float, list[float], list[int], list[int], float]:
         """Ids and score of the best segmentation, scores of the N best, ids of the second best (none: empty), ids and score by merges."""
         parts = list(map(self.kept.__getitem__, self.cut(" " + text))) if text else []
-        ids = list(chain.from_iterable([p[0] for p in parts]))
-        score = math.fsum([p[1] for p in parts])
-        loss = np.array([p[2] for p in parts])
+        pieces, scores, losses, _, own = zip(*parts) if parts else ((),) * 5
+        ids, merged = list(chain.from_iterable(pieces)), list(chain.from_iterable(own))
+        score = math.fsum(scores)
+        loss = np.array(losses)
         near = np.argsort(loss, kind="stable")[: self.nbest - 1] if len(loss) < 64 else self._nearest(loss)
         lists = [self.lists(parts[i][3]) for i in near if loss[i] < math.inf]
         # Best first over the places in the lists; a place is reached from the one with its last step undone.
@@ -242,7 +256,7 @@ class Segmenter:
                 if (nth := picks[1][1][n]):
                     at = sum([len(p[0]) for p in parts[: places[n]]])
                     second = second[:at] + list(lists[n][nth][1]) + second[at + len(parts[places[n]][0]) :]
-        return ids, score, [score - c for c, _ in picks], second, list(chain.from_iterable([p[4] for p in parts])), math.fsum([p[5] for p in parts])
+        return ids, score, [score - c for c, _ in picks], second, merged, float(self.value[merged].sum()) if merged else 0.0
 
     def _nearest(self, loss: np.ndarray) -> np.ndarray:
         """Places of the N - 1 smallest, the first of equals."""
@@ -265,9 +279,15 @@ def _digest(ids: list[int]) -> str:
     return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
 
 
-def _runner(shipped, nbest: int, own: bool):
+@lru_cache(1)
+def _segmenter(proto: bytes, ranks: bool, nbest: int) -> Segmenter:
+    """One for all tasks of a worker, so that what it keeps serves the next task too."""
+    return Segmenter(*load(proto, ranks), nbest, proto)
+
+
+def _runner(shipped, ranks: bool, nbest: int, own: bool):
     def run(batches):
-        seg = Segmenter(*shipped.value, nbest)
+        seg = _segmenter(shipped.value, ranks, nbest)
         kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.string())
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
@@ -294,9 +314,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     A null text is empty; an empty text has no ids, score 0 and itself as its only segmentation. Null and repeated
     ids pass through; equal texts get equal values. Texts are encoded whole, a text at a time.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(load(model, ranks))  # the model's pieces, whatever the corpus
+    shipped = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())  # half a megabyte, whatever the corpus
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_runner(shipped, nbest, own), SCHEMA)
+    return rows.mapInArrow(_runner(shipped, ranks, nbest, own), SCHEMA)
 
 
 def ids_digest(ids: str = "ids"):

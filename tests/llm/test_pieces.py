@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from pathlib import Path
 
 import pytest
 
@@ -87,13 +88,14 @@ def test_probabilities_by_rank_and_the_models_own_encoding(spark):
     normal, of_byte, shown = P.load()
     assert sum(math.exp(s) for _, s, _ in normal) == pytest.approx(1) and len({s for _, s, _ in normal}) == len(normal)
     sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
-    seg = P.Segmenter(normal, of_byte, shown)
+    seg, alone = P.Segmenter(normal, of_byte, shown, proto=Path(P.MODEL).read_bytes()), P.Segmenter(normal, of_byte, shown)
     texts = ["Hello world again", "", "  a  b", "<s> </s>", "漢字 é\n\n\tx", "日本語 123,456.78 (x)", "z" * 300, "\U0001f600 ok"]
     texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text NOT LIKE '%▁%'").select("text").collect() if r.text]
     best = own = 0
     for t in texts:
         ids, score, _, _, merged, by_merges = seg.encode(t)
         assert merged == sp.encode(t) and by_merges <= score + 1e-6
+        assert len(t) > 5000 or alone.encode(t)[4] == merged
         best, own = best + len(ids), own + len(merged)
     assert abs(best - own) < 0.02 * own
     assert [sp.id_to_piece(i) for i in seg.encode("Hello world again")[0]] == sp.encode("Hello world again", out_type=str)
