@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SCHEMA = "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, second_ids_sha256 string, decoded_sha256 string, round_trip boolean, n_merged long, merged_score double, merged_ids_sha256 string"
+SCHEMA = "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, second_ids_sha256 string, decoded_sha256 string, round_trip boolean"
+MERGED = "n_merged long, merged_score double, merged_ids_sha256 string"
 #: Of 1, 2, 11, 101 and 1,001, the one whose best segmentations have most nearly as many pieces as the merges give.
 SHIFT = 11
 KEPT = 500_000
@@ -84,7 +85,8 @@ class Kept(dict):
 class Segmenter:
     """Segmentations of stretches; the best ones are kept, up to a bound."""
 
-    def __init__(self, normal: list, of_byte: list, shown: list, nbest: int = 4, proto: bytes | None = None):
+    def __init__(self, normal: list, of_byte: list, shown: list, nbest: int = 4, proto: bytes | None = None, merges: bool = True):
+        self.merges = merges
         self.library = _library(proto) if proto else None
         self.piece = {p: (s, i) for p, s, i in normal}
         if any(" " in p.lstrip(" ") for p in self.piece):
@@ -176,7 +178,7 @@ class Segmenter:
             path.append(self.ids_of(text, i, j, k))
             j = i
         total = best[n]
-        return tuple(k for p in reversed(path) for k in p), total, total - next_[n], text, self._own(text)
+        return tuple(k for p in reversed(path) for k in p), total, total - next_[n], text, self._own(text) if self.merges else ()
 
     def _own(self, text: str) -> list[int]:
         """Ids by merges. The library sets a blank before a text and reads a U+2581 as one, so it gets stretches that begin with a blank and hold no U+2581."""
@@ -280,14 +282,14 @@ def _digest(ids: list[int]) -> str:
 
 
 @lru_cache(1)
-def _segmenter(proto: bytes, ranks: bool, nbest: int) -> Segmenter:
+def _segmenter(proto: bytes, ranks: bool, nbest: int, merges: bool) -> Segmenter:
     """One for all tasks of a worker, so that what it keeps serves the next task too."""
-    return Segmenter(*load(proto, ranks), nbest, proto)
+    return Segmenter(*load(proto, ranks), nbest, proto, merges)
 
 
-def _runner(shipped, ranks: bool, nbest: int, own: bool):
+def _runner(shipped, ranks: bool, nbest: int, merges: bool, own: bool, schema: str):
     def run(batches):
-        seg = _segmenter(shipped.value, ranks, nbest)
+        seg = _segmenter(shipped.value, ranks, nbest, merges)
         kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.string())
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
@@ -297,16 +299,17 @@ def _runner(shipped, ranks: bool, nbest: int, own: bool):
                     ids, score, scores, second, merged, by_merges = seg.encode(raw.decode())
                     ids = merged if own else ids
                     back = seg.decode(ids).encode()
-                    out.append((np.array(ids, np.int32), len(ids), score, scores, _digest(second) if second else None, hashlib.sha256(back).hexdigest(), back == raw, len(merged), by_merges, _digest(merged)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], [f.split()[0] for f in SCHEMA.split(", ")])
+                    out.append((np.array(ids, np.int32), len(ids), score, scores, _digest(second) if second else None, hashlib.sha256(back).hexdigest(), back == raw, *((len(merged), by_merges, _digest(merged)) if merges else ())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], [f.split()[0] for f in schema.split(", ")])
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, nbest: int = 4, ranks: bool = True, own: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, nbest: int = 4, ranks: bool = True, merges: bool = False, own: bool = False) -> DataFrame:
     """One row per row of ``docs``, in the columns of SCHEMA: the best ids, the scores of the N best segmentations,
-    a digest of the second best ids (null if there is none), whether decoding gives the text back, and number, score
-    and a digest of the ids that merges give. With ``own``, ids are these instead of the best. ``ranks``: the file's
+    a digest of the second best ids (null if there is none), and whether decoding gives the text back. With ``merges``, the
+    columns of MERGED follow: number, score and a digest of the ids that merges give. With ``own``, they do too, and ids
+    are these instead of the best. ``ranks``: the file's
     scores are ranks; else they are log probabilities. Of segmentations that tie the one whose last piece is longest
     comes first. A U+2581 of the text's own is written as its bytes, so that it comes back; the file's library reads it as
     a blank. Other columns, whatever their names, are not read; an empty table gives an empty table.
@@ -315,8 +318,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     ids pass through; equal texts get equal values. Texts are encoded whole, a text at a time.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())  # half a megabyte, whatever the corpus
+    merges, schema = merges or own, f"{SCHEMA}, {MERGED}" if merges or own else SCHEMA
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_runner(shipped, ranks, nbest, own), SCHEMA)
+    return rows.mapInArrow(_runner(shipped, ranks, nbest, merges, own, schema), schema)
 
 
 def ids_digest(ids: str = "ids"):

@@ -44,7 +44,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("ids_sha256", ids_digest()).drop("ids")
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), merges=True).withColumn("ids_sha256", ids_digest()).drop("ids")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

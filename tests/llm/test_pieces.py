@@ -77,7 +77,9 @@ def test_a_star_alone_equals_enumeration():
 
 def test_documents_round_trip_with_the_public_model(spark):
     t = spark.read.parquet(f"{SF}/documents.parquet")
-    got = P.encode(t)
+    got = P.encode(t, merges=True)
+    plain = P.encode(t)
+    assert got.select(plain.columns).exceptAll(plain).count() == 0 and len(got.columns) == len(plain.columns) + 3
     assert got.count() == t.count() and got.filter("NOT round_trip OR n_pieces <> size(ids)").count() == 0
     assert got.filter("nbest_scores[0] <> score OR nbest_scores[1] > score").count() == 0
 
