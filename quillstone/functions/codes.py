@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ _S, _W = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"', r"[ \t\
 _SCALAR = rf"(?:{_S}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)"
 _OBJECT = rf"\A{_W}\{{{_W}(?:{_S}{_W}:{_W}{_SCALAR}{_W},{_W})*+{_S}{_W}:{_W}{_S}{_W}\}}{_W}\z"
 
+#: The word in capitals and small letters; no other characters become these in lower case.
+_NULLS = ["".join(letters) for letters in product(*zip("null", "NULL"))]
+
 
 def unwrapped(text: Column) -> Column:
     """The string that an object of the key alone holds, the last where the key is repeated, whatever the escapes; else the text itself."""
@@ -31,7 +36,7 @@ def json_escape(text: Column) -> Column:
 
 
 def is_empty(c: Column) -> Column:
-    return c.isNull() | F.lower(strip(c)).isin("", "null", "/")
+    return c.isNull() | strip(c).isin("", "/", *_NULLS)
 
 
 def normalize_device_code(value: Column, numeric: Column | None = None, number_format: Column | None = None) -> Column:
@@ -47,7 +52,6 @@ def normalize_device_code(value: Column, numeric: Column | None = None, number_f
         return F.when(whole & fmt.rlike(r"\A0+\z") & (F.length(digits) < width), F.concat(sign, F.repeat(F.lit("0"), width - F.length(digits)), digits)).otherwise(shown)
 
     wrapped = lambda t: F.when(~is_empty(t), F.concat(F.lit('{"' + KEY + '":"'), json_escape(t), F.lit('"}')))
-    if only_text:
-        return F.when(~is_empty(value), let(unwrapped(value), wrapped))
-    text = F.when(numeric, let(plain_decimal(fold_digits(strip(value))), as_text)).otherwise(unwrapped(value))
-    return F.when(~is_empty(value), let(text, wrapped))
+    number = lambda v: let(let(let(strip(v), fold_digits), plain_decimal), as_text)
+    text = unwrapped if only_text else lambda v: F.when(numeric, number(v)).otherwise(unwrapped(v))
+    return let(value, lambda v: F.when(~is_empty(v), let(text(v), wrapped)))  # the value may be a long expression itself

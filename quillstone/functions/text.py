@@ -35,12 +35,13 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.when(c.rlike(rf"\A{SPACE}|{SPACE}\z"), F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")).otherwise(c)
+    plain = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")  # most texts: no pattern is tried
+    return F.when(plain, c).when(c.rlike(rf"\A{SPACE}|{SPACE}\z"), F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")).otherwise(c)
 
 
 def fold_digits(c: Column) -> Column:
     """Decimal digits of any script as ASCII ones."""
-    return F.when(c.rlike(_OTHER_DIGIT), F.translate(c, "".join(DIGITS), "".join(DIGITS.values()))).otherwise(c)
+    return F.when((F.octet_length(c) > F.length(c)) & c.rlike(_OTHER_DIGIT), F.translate(c, "".join(DIGITS), "".join(DIGITS.values()))).otherwise(c)
 
 
 def is_decimal(c: Column) -> Column:
@@ -49,12 +50,18 @@ def is_decimal(c: Column) -> Column:
 
 def plain_decimal(c: Column) -> Column:
     """A decimal without exponent, digit by digit; trailing zeros stay. Null where the text is no decimal. Underscores count for nothing. An exponent of over five digits is 0 on zeros, and no decimal else."""
-    c = F.when(c.contains("_"), F.replace(c, F.lit("_"), F.lit(""))).otherwise(c)
-    part = lambda n: F.regexp_extract(c, r"\A([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\z", n)
-    nothing = F.concat(part(2), part(3)).rlike(r"\A0*\z")
-    exponent = F.when((part(4) == "") | (nothing & part(4).rlike("[1-9][0-9]{5}")), 0).otherwise(F.regexp_replace(part(4), r"^\+", "").try_cast("int"))
-    sign = F.when(part(1) == "-", "-").otherwise("")
-    parts = F.struct(sign.alias("sign"), F.regexp_replace(F.concat(part(2), part(3)), "^0+", "").alias("digits"), (F.length(part(3)) - exponent).alias("scale"))
+    return let(F.when(c.contains("_"), F.replace(c, F.lit("_"), F.lit(""))).otherwise(c), _plain_decimal)
+
+
+def _plain_decimal(c: Column) -> Column:
+    """``c`` is used several times, so give it as a value that is computed."""
+    matched = F.struct(*(F.regexp_extract(c, r"\A([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\z", n).alias(f"p{n}") for n in (1, 2, 3, 4)))
+
+    def parts(m: Column) -> Column:
+        nothing = F.concat(m["p2"], m["p3"]).rlike(r"\A0*\z")
+        exponent = F.when((m["p4"] == "") | (nothing & m["p4"].rlike("[1-9][0-9]{5}")), 0).otherwise(F.regexp_replace(m["p4"], r"^\+", "").try_cast("int"))
+        sign = F.when(m["p1"] == "-", "-").otherwise("")
+        return F.struct(sign.alias("sign"), F.regexp_replace(F.concat(m["p2"], m["p3"]), "^0+", "").alias("digits"), (F.length(m["p3"]) - exponent).alias("scale"))
 
     def shown(p: Column) -> Column:
         digits, scale = p["digits"], p["scale"]
@@ -64,4 +71,4 @@ def plain_decimal(c: Column) -> Column:
         return F.concat(p["sign"], F.when(scale <= 0, whole).otherwise(point))
 
     as_it_is = c.rlike(r"\A-?[1-9][0-9]*(\.[0-9]+)?\z")
-    return F.when(as_it_is, c).when(is_decimal(c), let(parts, lambda p: F.when(p["scale"].between(-99_999, 200_000), shown(p))))
+    return F.when(as_it_is, c).when(is_decimal(c), let(let(matched, parts), lambda p: F.when(p["scale"].between(-99_999, 200_000), shown(p))))

@@ -31,8 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by their key: a file's row groups can't be split, and a large table in a few of them would keep as many cores busy, whatever is done to each row. The number is given, as else small shuffles are put together again."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, F.col(key))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("ledger_orders")
+    spread(table(spark, sf_dir, "orders"), "o_orderkey").createOrReplaceTempView("ledger_orders")
     sql = LEDGER.replace(":day:", "date_format(o_orderdate, 'yyyy-MM-dd')").replace(":days:", "datediff(o_orderdate, DATE '1899-12-30')")
     return spark.sql(sql.replace("FROM orders", "FROM ledger_orders"))
 
@@ -118,14 +123,14 @@ JSON_FORMS = """CASE c_custkey % 6 WHEN 0 THEN concat('{"', chr(92), 'u6ce8册
 QUERIES = {
     "date_text_normalize": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d1")),
     "date_year_only_issues": lambda s, d: convert.issues(converted(s, d)).filter("kind = 'YEAR_ONLY'").select("row_num", "field", "value", "message"),
-    "date_iso_datetime": lambda s, d: _dated(table(s, d, "events").withColumn("t", F.expr(ISO_FORMS)), "event_id", F.col("t")),
+    "date_iso_datetime": lambda s, d: _dated(spread(table(s, d, "events"), "event_id").withColumn("t", F.expr(ISO_FORMS)), "event_id", F.col("t")),
     "date_serial_1900": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d2"), numeric=F.lit(True)),
     "date_serial_1904": lambda s, d: _dated(ledger(s, d), "row_num", F.col("d2"), numeric=F.lit(True), is_1904=F.lit(True)),
-    "date_numeric_year_month": lambda s, d: _dated(table(s, d, "orders").withColumn("v", F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat(year(o_orderdate), '.1') WHEN 1 THEN concat(year(o_orderdate), '.0') ELSE concat(year(o_orderdate) / 1000D, 'E3') END")), "o_orderkey", F.col("v"), numeric=F.lit(True), number_format=F.lit("0.00")),
+    "date_numeric_year_month": lambda s, d: _dated(spread(table(s, d, "orders"), "o_orderkey").withColumn("v", F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat(year(o_orderdate), '.1') WHEN 1 THEN concat(year(o_orderdate), '.0') ELSE concat(year(o_orderdate) / 1000D, 'E3') END")), "o_orderkey", F.col("v"), numeric=F.lit(True), number_format=F.lit("0.00")),
     "device_code_wrap": lambda s, d: ledger(s, d).select("row_num", normalize_device_code(F.col("device")).alias("json")),
     "device_code_idempotent": lambda s, d: ledger(s, d).select("row_num", normalize_device_code(normalize_device_code(F.col("device"))).alias("json")),
-    "device_code_json_forms": lambda s, d: table(s, d, "customer").withColumn("v", F.expr(JSON_FORMS)).select("c_custkey", normalize_device_code(F.col("v"), F.col("c_custkey") % 6 == 5).alias("json")),
-    "device_code_numeric_format": lambda s, d: table(s, d, "customer").select("c_custkey", normalize_device_code(F.expr("CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN concat(c_custkey, '.50') ELSE concat(c_custkey, 'E+25') END"), F.lit(True), F.lit("000000")).alias("json")),
+    "device_code_json_forms": lambda s, d: spread(table(s, d, "customer"), "c_custkey").withColumn("v", F.expr(JSON_FORMS)).select("c_custkey", normalize_device_code(F.col("v"), F.col("c_custkey") % 6 == 5).alias("json")),
+    "device_code_numeric_format": lambda s, d: spread(table(s, d, "customer"), "c_custkey").select("c_custkey", normalize_device_code(F.expr("CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN concat(c_custkey, '.50') ELSE concat(c_custkey, 'E+25') END"), F.lit(True), F.lit("000000")).alias("json")),
     "category_lookup": lambda s, d: mapping.lookup(named_parts(s, d), type_mapping(s, d)),
     "category_unmatched": lambda s, d: (lambda m: m.filter(mapping.unmatched(m)).select("p_partkey", F.coalesce("name", F.lit("")).alias("value"), F.when(mapping.is_blank(F.col("name")), MESSAGES["NO_NAME"]).otherwise(MESSAGES["UNMATCHED"]).alias("message")))(mapping.lookup(named_parts(s, d), type_mapping(s, d))),
     "mapping_validation": lambda s, d: mapping.problems(bad_mapping(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key")),
