@@ -34,8 +34,9 @@ def _found(value: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    """ISO text of a calendar date, null if there is none or the year is 0."""
-    return F.when(y != "0000", F.concat_ws("-", y, m, d).try_cast("date").cast("string"))
+    """ISO text of a calendar date, null if there is none or the year is 0. The months and days that can't be are told first, as a cast that fails is slow."""
+    can_be = lambda n: [f"{i:0{width}}" for width in (1, 2) for i in range(1, n + 1)]
+    return F.when((y != "0000") & m.isin(can_be(12)) & d.isin(can_be(31)), F.concat_ws("-", y, m, d).try_cast("date").cast("string"))
 
 
 def _year_month_day(t: Column) -> Column:
@@ -52,7 +53,7 @@ def _by_week(t: Column) -> Column:
         fourth = F.concat(p["year"], F.lit("-01-04")).try_cast("date")
         d = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7 + nth - 1)
         inside = (p["year"] >= "0001") & week.between(1, 53) & nth.between(1, 7)
-        return F.when(inside, F.when((F.extract(F.lit("YEAROFWEEK"), d) == p["year"].cast("int")) & d.between("0001-01-01", "9999-12-31"), F.date_format(d, "yyyy-MM-dd")))
+        return F.when(inside, F.when((F.extract(F.lit("YEAROFWEEK"), d) == p["year"].cast("int")) & d.between("0001-01-01", "9999-12-31"), d.cast("string")))
 
     return let(F.struct(*(c.alias(n) for c, n in zip(found, ("year", "week", "day")))), day)
 
@@ -70,7 +71,7 @@ def _serial(x: Column, is_1904: Column) -> Column:
     start = F.when(is_1904, F.lit("1904-01-01")).otherwise("1899-12-30").cast("date")
     n = day + carry + F.when(~is_1904 & (x > 0) & (x < 60), 1).otherwise(0)
     inside = n <= F.when(is_1904, 2_957_003).otherwise(2_958_465)
-    return F.when(inside, F.date_format(F.date_add(start, F.when(inside, n).otherwise(0).cast("int")), "yyyy-MM-dd"))
+    return F.when(inside, F.date_add(start, F.when(inside, n).otherwise(0).cast("int")).cast("string"))
 
 
 def _restored(value: Column, numeric: Column | None, number_format: Column | None) -> Column:
