@@ -45,6 +45,22 @@ def test_a_partition_for_each_sheet(spark, tmp_path):
     assert len(cells) == 20 and {(r.n, r.k) for r in cells} == {(1, 6)}
 
 
+def test_many_small_packages_come_together(spark, tmp_path):
+    contents = {f"p{i:03}": pump_house(blocked=i % 7 == 0) for i in range(2 * D.TOGETHER + 3)}
+    at = folder(tmp_path, **contents, junk=b"none", cut=pump_house()[:-40])
+    found = D.scan(spark, at)
+    assert found.rdd.getNumPartitions() == 3
+    for hidden in (False, True):
+        assert rows(D.scan(spark, at, hidden)) == rows(W.entries(W.files(spark, at), hidden))
+    spark.conf.set(D.PUSHDOWN, "true")
+    try:
+        whole = W.entries(W.files(spark, at)).withColumn("path", F.regexp_replace("path", "^file:", ""))
+        for condition in ("sheet_idx = 0 AND row_num = 1", "sheet = '备用'", "kind = 'error'", f"path = '{at}/p003.xlsx'", "sheet = 'none'"):
+            assert rows(D.scan(spark, at).filter(condition)) == rows(whole.filter(condition)), condition
+    finally:
+        spark.conf.unset(D.PUSHDOWN)
+
+
 def test_filters_go_to_the_source(spark, tmp_path):
     at = folder(tmp_path, a=pump_house(), c=many_sheets())
     spark.conf.set(D.PUSHDOWN, "true")
