@@ -224,8 +224,8 @@ def sample_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the sample workbooks after conversion, read back from the rewritten packages."""
-    packages = sample_packages(spark, sf_dir)
-    done = convert(W.entries(packages), spark.createDataFrame([], "name string, code string"))
+    packages = stored(sample_packages(spark, sf_dir), "packages")  # each read would build and parse all of them anew
+    done = convert(stored(W.entries(packages), "entries"), spark.createDataFrame([], "name string, code string"))
     return W.cells(W.entries(results(packages, done))).select("path", "coordinate", "raw")
 
 

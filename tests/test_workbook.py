@@ -180,3 +180,11 @@ def test_the_later_epoch(spark):
     _, done = converted(spark, p=book([("s", "visible", sheet([["出厂日期"], [("n", 0, 0)], [("n", 366, 0)]]))], epoch="1"))
     assert sorted(r.new_value for r in done.changes.collect()) == ["1904-01-01", "1905-01-01"]
     assert converted(spark, p=book([]))[1].statistics.count() == 0
+
+
+def test_roundtrip_parses_the_samples_once(spark, tmp_path):
+    spark.range(2500).selectExpr("id AS c_custkey", "concat('n', id) AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    found = P.roundtrip(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1 and "customer.parquet" not in str(found.inputFiles())
+    assert found.count() == 2 * (2500 + 3)
