@@ -42,8 +42,8 @@ GENERATORS = (
 #: Characters of context on each side, and words in it that speak for a kind.
 AROUND = 40
 SPEAKS = {"email": "mail|contact|kontakt|correo|courriel", "ip": r"\bip\b|server|host|addr|adress", "card": "card|visa|master|karte|tarjeta|carte|pay", "phone": "tel|phone|call|fax|mobil|ruf|llam|appel"}
-#: Distinct labelled proposals to learn from at most, and as many to calibrate on; precision that thresholds keep.
-SAMPLE, PRECISION = 20_000, 0.95
+#: Precision that thresholds keep.
+PRECISION = 0.95
 
 
 def luhn(digits: Column) -> Column:
@@ -118,14 +118,13 @@ def labelled(spans: DataFrame) -> DataFrame:
 class Judge:
     """Boosted trees with a threshold for each kind; without labels of both values in each of two folds, nothing is judged."""
 
-    def __init__(self, spans: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, trees: int = 12, depth: int = 4, seed: int = 7):
+    def __init__(self, spans: DataFrame, precision: float = PRECISION, trees: int = 12, depth: int = 4, seed: int = 7):
         names = list(features())
         self.assembler = VectorAssembler(inputCols=names, outputCol="features")
         fold = F.pmod(F.xxhash64("found"), F.lit(4)) == 0  # by content, so that copies are on one side
         known = spans.filter("label IS NOT NULL").groupBy("kind", "label", fold.alias("held"), *names).agg(F.count(F.lit(1)).alias("n"))
-        pick = lambda held: known.filter(F.col("held") == held).orderBy(F.xxhash64(*names, "label")).limit(sample)
         path = work_path(spans.sparkSession, "labelled")
-        pick(False).unionByName(pick(True)).coalesce(1).write.parquet(path)
+        known.sortWithinPartitions("kind", "label", *names).write.parquet(path)  # all of them, equal ones as one row of weight n
         known = spans.sparkSession.read.schema(known.schema).parquet(path)
         kinds = {(r.held, r.label) for r in known.select("held", "label").distinct().collect()}  # four rows at most
         self.model, self.least = None, {}
@@ -155,13 +154,13 @@ class Judge:
         return runs.groupBy("row", "run").agg(best.alias("x")).select("row", "x.kind", "x.start", "x.end")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans: arrays of (start, nth, kind, end) by start, then kind.
 
     Places are code points, the end exclusive. A null text is empty and has no spans. Each row is judged by its own text:
     null and repeated ids, and rows that repeat, come back as they are, and equal texts have equal spans, of whatever
     place in the table. Proposals that tie in score go to the longer one, then to the first. Texts are read whole, however
-    long. Training is bounded by ``sample`` distinct proposals; all proposals are judged. Where there is too little to
+    long. All labelled proposals train or calibrate, and all proposals are judged. Where there is too little to
     learn from, spans are the base ones; an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -172,7 +171,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = labelled(placed(found))
     spans.write.parquet(table)
     spans = spark.read.schema(spans.schema).parquet(table)
-    judge = Judge(spans, sample, precision)
+    judge = Judge(spans, precision)
     base = spans.filter("base").select("row", "kind", "start", "end", F.lit(True).alias("base"))
     both = base.unionByName(judge.added(spans).withColumn("base", F.lit(False)))
     nth = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), -1))

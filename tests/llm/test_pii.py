@@ -106,3 +106,16 @@ def test_nulls_repeats_and_empty_table(spark):
 def test_no_python_in_plans(spark):
     plan = P.find_personal_data(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_all_labelled_proposals_are_learned_from(spark, monkeypatch):
+    """Every proposal of either fold counts: the weights of the rows written for training sum to the labelled spans."""
+    rng = random.Random(8)
+    spans = P.labelled(P.placed(P.proposals(docs(spark, planted(rng, 300))))).filter("label IS NOT NULL").cache()
+    many = spans.crossJoin(spark.range(250).withColumnRenamed("id", "k")).withColumn("digits_around", F.col("k").cast("int")).withColumn("chars", (F.col("chars") + F.col("row") % 20).cast("int")).drop("k")
+    paths, real = [], P.work_path
+    monkeypatch.setattr(P, "work_path", lambda s, name: paths.append(real(s, name)) or paths[-1])
+    P.Judge(many, trees=1)
+    kept = spark.read.parquet(paths[0])
+    assert kept.filter("NOT held").count() > 20_000  # distinct ones
+    assert kept.agg(F.sum("n")).first()[0] == many.count()
