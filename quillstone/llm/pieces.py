@@ -11,6 +11,9 @@ heuristic, so that each complete path it takes from its queue is the next best.
 No piece holds a blank behind another character, so a lattice falls apart at the blanks, and between letters and other
 characters where no piece mixes them. A text's N best differ from its best one only in stretches whose
 second best is among the N - 1 nearest to their best; A* runs on these, and their lists are merged best first.
+
+Texts come many at a time. Their stretches that aren't known yet go through the forward search together, all lattices
+edge by edge in numpy; what is found is kept in arrays under the stretch's number until the task ends.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ MERGED = "n_merged long, merged_score double, merged_ids_sha256 string"
 #: Of 1, 2, 11, 101 and 1,001, the one whose best segmentations have most nearly as many pieces as the merges give.
 SHIFT = 11
 KEPT = 500_000
+#: Longer stretches have the forward search to themselves.
+SHORT = 48
 
 
 def by_rank(normal: list, shift: int = SHIFT) -> list:
@@ -69,21 +75,94 @@ def _library(proto: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=proto)
 
 
-class Kept(dict):
-    """What ``make`` gives for a key; forgotten once there are too many."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= KEPT:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Lattices:
+    """The forward search over many stretches at once; the trie of the pieces is a table of (node, character) to node."""
+
+    def __init__(self, piece: dict):
+        chars = sorted({c for p in piece for c in p})
+        self.of_char = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.of_char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        nodes: dict[str, int] = {"": 0}
+        for p in piece:
+            for i in range(1, len(p) + 1):
+                nodes.setdefault(p[:i], len(nodes))
+        self.width = len(chars) + 1
+        keys = np.array([nodes[x[:-1]] * self.width + int(self.of_char[ord(x[-1])]) for x in nodes if x], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.arange(1, len(nodes))[order]
+        self.root = np.zeros(self.width, np.int64)
+        self.root[self.keys[self.keys < self.width]] = self.to[self.keys < self.width]
+        self.score, self.id = np.full(len(nodes), -np.inf), np.full(len(nodes), -1)
+        for p, (v, i) in piece.items():
+            self.score[nodes[p]], self.id[nodes[p]] = v, i
+
+    def whole(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which stretches have a piece for each of their characters."""
+        return np.logical_and.reduceat(self.id[self.root[self.of_char[code]]] >= 0, first)
+
+    def edges(self, code: np.ndarray, end: np.ndarray):
+        """(places where pieces begin, nodes they lead to) for each length of a piece. ``end``: of the stretch, by place."""
+        char = self.of_char[code]
+        at, node, n = np.arange(len(code)), self.root[char], 1
+        while len(at):
+            at, node = at[node > 0], node[node > 0]
+            is_piece = self.id[node] >= 0
+            yield at[is_piece], node[is_piece]
+            more = at + n < end[at]
+            at = at[more]
+            key = node[more] * self.width + char[at + n]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            node = np.where(self.keys[found] == key, self.to[found], 0)
+            n += 1
+
+    def search(self, code: np.ndarray, size: np.ndarray) -> tuple:
+        """(ids one after the other, numbers of ids, scores, losses of the second best) of stretches of up to SHORT characters that all are pieces, as Segmenter.one_best finds them."""
+        first = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(size)), size)
+        at, node, length = [], [], []
+        for n, (a, b) in enumerate(self.edges(code, (first + size)[of]), 1):
+            at.append(a)
+            node.append(b)
+            length.append(np.full(len(a), n))
+        at, node, length = map(np.concatenate, (at, node, length))
+        # Edges by the place in the stretch where they end, long ones first; none of a group ends where another does.
+        group = ((at - first[of[at]] + length) * (SHORT + 1) + SHORT - length).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        at, node, length, group = at[order], node[order], length[order], group[order]
+        start, score, ids = at + of[at], self.score[node], self.id[node]  # a stretch has a place more than characters
+        best, second = np.full((2, len(code) + len(size)), -np.inf)
+        back = np.zeros(len(best), np.int64)
+        best[first + np.arange(len(size))] = 0
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+        for a, b in zip(cuts, cuts[1:]):
+            x, y = start[a:b], start[a:b] + length[a]
+            v, was = best[x] + score[a:b], best[y]
+            second[y] = np.maximum(np.maximum(second[y], second[x] + score[a:b]), np.minimum(v, was))
+            best[y] = np.maximum(v, was)
+            back[y[v > was]] = np.flatnonzero(v > was) + a
+        last = first + size + np.arange(len(size))
+        which, place, path = np.arange(len(size)), last.copy(), []
+        while len(which):
+            edge = back[place]
+            path.append((which, ids[edge]))
+            place = start[edge]
+            more = place > (first + np.arange(len(size)))[which]
+            which, place = which[more], place[more]
+        counts = np.bincount(np.concatenate([w for w, _ in path]), minlength=len(size))
+        out, ends = np.zeros(counts.sum(), np.int32), np.cumsum(counts)
+        for step, (which, found) in enumerate(path):
+            out[ends[which] - 1 - step] = found
+        return out, counts, best[last], best[last] - second[last]
 
 
 class Segmenter:
-    """Segmentations of stretches; the best ones are kept, up to a bound."""
+    """Segmentations of texts; the best ones of their stretches are kept, up to a bound, until forget()."""
 
     def __init__(self, normal: list, of_byte: list, shown: list, nbest: int = 4, proto: bytes | None = None, merges: bool = True):
         self.merges = merges
@@ -105,8 +184,51 @@ class Segmenter:
         for _, s, i in normal:
             self.value[i] = s
         self.cut = re.compile(self._stretches()).findall
-        self.kept = Kept(self.one_best)
+        self.lattices = Lattices(self.piece)
         self.lists = lru_cache(20_000)(self.best_of)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is kept: an idle worker, of which an executor can have many, holds no more than the pieces."""
+        self.number: dict[str, int] = {}  # of a stretch
+        self.score, self.loss = np.zeros((2, 0))
+        self.ids, self.own = (np.zeros(0, np.int32), np.zeros(1, np.int64)), (np.zeros(0, np.int32), np.zeros(1, np.int64))  # one after the other, and ends
+        self.lists.cache_clear()
+
+    def learn(self, new: list[str]) -> None:
+        """Number stretches, and keep their best ids, score, loss of the second best, and ids by merges."""
+        short = [t for t in new if len(t) <= SHORT]
+        found = []
+        if short:
+            code = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = np.fromiter(map(len, short), np.int64, len(short))
+            whole = self.lattices.whole(code, np.cumsum(size) - size)
+            if whole.any():
+                found.append(self.lattices.search(code[np.repeat(whole, size)], size[whole]))
+            rest = [t for t, w in zip(short, whole.tolist()) if not w] + [t for t in new if len(t) > SHORT]
+            new = [t for t, w in zip(short, whole.tolist()) if w] + rest
+        else:
+            rest = new
+        if rest:
+            ids, score, loss = zip(*map(self.one_best, rest))
+            found.append((np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64), np.array(score), np.array(loss)))
+        ids, counts, score, loss = (np.concatenate(x) for x in zip(*found))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        self.ids = self._longer(self.ids, ids, counts)
+        if self.merges:
+            own = self._own(new)
+            self.own = self._longer(self.own, np.fromiter(chain.from_iterable(own), np.int32), np.fromiter(map(len, own), np.int64))
+
+    @staticmethod
+    def _longer(kept: tuple, ids: np.ndarray, counts: np.ndarray) -> tuple:
+        return np.concatenate([kept[0], ids.astype(np.int32)]), np.concatenate([kept[1], kept[1][-1] + np.cumsum(counts)])
+
+    @staticmethod
+    def _of(kept: tuple, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered stretches one after the other, and where each begins, with the end of all."""
+        first, count = kept[1][numbers], kept[1][numbers + 1] - kept[1][numbers]
+        return kept[0][ranges(first, count)], np.concatenate([[0], np.cumsum(count)])
 
     def _stretches(self) -> str:
         """A pattern of stretches that no piece crosses: at blanks, and where Latin letters meet ASCII marks and digits if no piece mixes them."""
@@ -147,7 +269,7 @@ class Segmenter:
         return [k] if k is not None else [self.of_byte[b] for b in text[start:end].encode()]
 
     def one_best(self, text: str) -> tuple:
-        """(ids, score, loss of the second best, text, ids by merges)."""
+        """(ids, score, loss of the second best) of a stretch that is long or has characters without a piece."""
         # Forward Viterbi with the two best scores of each prefix, edge by edge as the lattice unfolds.
         n, low, trie, piece = len(text), -math.inf, self.trie, self.piece
         best, next_, back = [0.0] + [low] * n, [low] * (n + 1), [None] * (n + 1)
@@ -178,11 +300,14 @@ class Segmenter:
             path.append(self.ids_of(text, i, j, k))
             j = i
         total = best[n]
-        return tuple(k for p in reversed(path) for k in p), total, total - next_[n], text, self._own(text) if self.merges else ()
+        return [k for p in reversed(path) for k in p], total, total - next_[n]
 
-    def _own(self, text: str) -> list[int]:
+    def _own(self, texts: list[str]) -> list[list[int]]:
         """Ids by merges. The library sets a blank before a text and reads a U+2581 as one, so it gets stretches that begin with a blank and hold no U+2581."""
-        return self.library.encode(text[1:]) if self.library is not None and len(text) > 1 and text[0] == " " and "▁" not in text else self.merged(text)
+        foreign = "▁" in "".join(texts)
+        fit = [self.library is not None and t[0] == " " and len(t) > 1 and not (foreign and "▁" in t) for t in texts]
+        some = iter(self.library.encode([t[1:] for t, f in zip(texts, fit) if f], num_threads=1) if any(fit) else ())
+        return [next(some) if f else self.merged(t) for t, f in zip(texts, fit)]
 
     def merged(self, text: str) -> list[int]:
         """Ids by merges, without the library: of all neighbours that make a piece the likeliest become one, the first of equals, until none are left."""
@@ -234,13 +359,32 @@ class Segmenter:
 
     def encode(self, text: str) -> tuple[list[int], float, list[float], list[int], list[int], float]:
         """Ids and score of the best segmentation, scores of the N best, ids of the second best (none: empty), ids and score by merges."""
-        parts = list(map(self.kept.__getitem__, self.cut(" " + text))) if text else []
-        pieces, scores, losses, _, own = zip(*parts) if parts else ((),) * 5
-        ids, merged = list(chain.from_iterable(pieces)), list(chain.from_iterable(own))
-        score = math.fsum(scores)
-        loss = np.array(losses)
+        ids, score, scores, second, merged, by_merges = next(self.encode_all([text]))
+        return ids.tolist(), score, scores, second.tolist(), merged.tolist(), by_merges
+
+    def encode_all(self, texts: list[str]):
+        """The same for each of many texts, ids as arrays."""
+        parts = [self.cut(" " + t) if t else [] for t in texts]
+        coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        new = [t for t in known if t not in self.number]
+        if self.number and len(self.number) + len(new) > KEPT:
+            self.forget()
+            new = known
+        if new:
+            self.learn(new)
+        numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        ids, begin = self._of(self.ids, numbers)
+        own, own_begin = self._of(self.own, numbers) if self.merges else (ids[:0], np.zeros_like(begin))
+        scores, losses, b = self.score[numbers].tolist(), self.loss[numbers], 0
+        for some in parts:
+            a, b = b, b + len(some)
+            yield self._encode(some, ids[begin[a] : begin[b]], begin[a : b + 1] - begin[a], math.fsum(scores[a:b]), losses[a:b], own[own_begin[a] : own_begin[b]])
+
+    def _encode(self, parts: list[str], ids: np.ndarray, begin: np.ndarray, score: float, loss: np.ndarray, merged: np.ndarray) -> tuple:
         near = np.argsort(loss, kind="stable")[: self.nbest - 1] if len(loss) < 64 else self._nearest(loss)
-        lists = [self.lists(parts[i][3]) for i in near if loss[i] < math.inf]
+        near = [i for i in near.tolist() if loss[i] < math.inf]
+        lists = [self.lists(parts[i]) for i in near]
         # Best first over the places in the lists; a place is reached from the one with its last step undone.
         queue, picks = [(0.0, (0,) * len(lists))], []
         while queue and len(picks) < self.nbest:
@@ -251,14 +395,15 @@ class Segmenter:
                 if at[i] + 1 < len(lists[i]):
                     step = lists[i][at[i]][0] - lists[i][at[i] + 1][0]
                     heapq.heappush(queue, (cost + step, (*at[:i], at[i] + 1, *at[i + 1 :])))
-        second: list[int] = []
+        second = ids[:0]
         if len(picks) > 1:
-            second, places = ids, [int(i) for i in near if loss[i] < math.inf]
-            for n in sorted(range(len(places)), key=lambda n: -places[n]):  # from the end, so that offsets stay
-                if (nth := picks[1][1][n]):
-                    at = sum([len(p[0]) for p in parts[: places[n]]])
-                    second = second[:at] + list(lists[n][nth][1]) + second[at + len(parts[places[n]][0]) :]
-        return ids, score, [score - c for c, _ in picks], second, merged, float(self.value[merged].sum()) if merged else 0.0
+            put, at = [], 0
+            for i, nth, own in sorted(zip(near, picks[1][1], lists)):
+                if nth:
+                    put += [ids[at : begin[i]], np.array(own[nth][1], np.int32)]
+                    at = begin[i + 1]
+            second = np.concatenate([*put, ids[at:]])
+        return ids, score, [score - c for c, _ in picks], second, merged, float(self.value[merged].sum()) if len(merged) else 0.0
 
     def _nearest(self, loss: np.ndarray) -> np.ndarray:
         """Places of the N - 1 smallest, the first of equals."""
@@ -268,7 +413,10 @@ class Segmenter:
 
     def decode(self, ids) -> str:
         """The text: pieces and bytes put together, without the blank that encoding sets before it."""
-        return b"".join(map(self.shown.__getitem__, ids)).decode()[1:]
+        return self.raw(ids).decode()
+
+    def raw(self, ids) -> bytes:
+        return b"".join(map(self.shown.__getitem__, ids))[1:]
 
 
 def _unrolled(tail):
@@ -277,13 +425,13 @@ def _unrolled(tail):
         tail = tail[1]
 
 
-def _digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+def _digest(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
 
 
 @lru_cache(1)
 def _segmenter(proto: bytes, ranks: bool, nbest: int, merges: bool) -> Segmenter:
-    """One for all tasks of a worker, so that what it keeps serves the next task too."""
+    """One for all tasks of a worker, which forget what they have kept."""
     return Segmenter(*load(proto, ranks), nbest, proto, merges)
 
 
@@ -291,16 +439,19 @@ def _runner(shipped, ranks: bool, nbest: int, merges: bool, own: bool, schema: s
     def run(batches):
         seg = _segmenter(shipped.value, ranks, nbest, merges)
         kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.string())
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for a, b in byte_slices(texts, 1 << 20):
-                out = []
-                for raw in texts[a:b]:
-                    ids, score, scores, second, merged, by_merges = seg.encode(raw.decode())
-                    ids = merged if own else ids
-                    back = seg.decode(ids).encode()
-                    out.append((np.array(ids, np.int32), len(ids), score, scores, _digest(second) if second else None, hashlib.sha256(back).hexdigest(), back == raw, *((len(merged), by_merges, _digest(merged)) if merges else ())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], [f.split()[0] for f in schema.split(", ")])
+        try:
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+                for a, b in byte_slices([range(n) for n in sizes], 1 << 20):
+                    out, texts = [], [t or b"" for t in batch.column(1).slice(a, b - a).to_pylist()]
+                    for raw, (ids, score, scores, second, merged, by_merges) in zip(texts, seg.encode_all([t.decode() for t in texts])):
+                        ids = merged if own else ids
+                        back = seg.raw(ids.tolist())
+                        out.append((ids, len(ids), score, scores, _digest(second) if len(second) else None, hashlib.sha256(back).hexdigest(), back == raw, *((len(merged), by_merges, _digest(merged)) if merges else ())))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], [f.split()[0] for f in schema.split(", ")])
+        finally:
+            seg.forget()
+            pa.default_memory_pool().release_unused()
 
     return run
 

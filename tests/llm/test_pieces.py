@@ -113,3 +113,28 @@ def test_edges(spark):
     assert P.encode(docs(spark, ["a"]).limit(0)).count() == 0
     assert len(P.encode(docs(spark, ["a", "b"], ids=[None, None])).collect()) == 2
     assert list(itertools.islice(got[4].nbest_scores, 1)) == [got[4].score]
+
+
+def test_stretches_searched_together_equal_each_alone():
+    seg = P.Segmenter(NORMAL, BYTES, SHOWN, 3)
+    every = {"".join(rng.choice("abcé\nz" if n % 5 else "abc") for _ in range(rng.randint(1, 2 * P.SHORT))) for n in range(300)} | {" a", "  ", " ", "a" * P.SHORT}
+    some = sorted(every)
+    seg.learn(some)
+    ids, begin = seg._of(seg.ids, P.np.array([seg.number[t] for t in some]))
+    for n, t in enumerate(some):
+        k = seg.number[t]
+        assert (ids[begin[n] : begin[n + 1]].tolist(), seg.score[k], seg.loss[k]) == seg.one_best(t)
+    texts = ["", "ab ab", " ".join(some), "", "é\nz"]
+    assert [r[0].tolist() for r in seg.encode_all(texts)] == [seg.encode(t)[0] for t in texts]
+
+
+def test_a_worker_keeps_no_segmentations_between_tasks():
+    import pyarrow as pa
+
+    proto = Path(P.MODEL).read_bytes()
+    shipped = type("Shipped", (), {"value": proto})
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([b"Hello world again", None])], ["doc_id", "text"])
+    out = list(P._runner(shipped, True, 4, True, False, f"{P.SCHEMA}, {P.MERGED}")([batch]))
+    seg = P._segmenter(proto, True, 4, True)
+    assert [x["n_pieces"] > 0 for x in out[0].to_pylist()] == [True, False]
+    assert not seg.number and not len(seg.score) and not seg.lists.cache_info().currsize
