@@ -130,11 +130,14 @@ def _post(level, k: int, per: int):
 
 
 def _bitmap(batches):
-    bits = np.zeros(BITS, bool)
-    for batch in batches:
-        bits[batch.column(0).to_numpy() & (BITS - 1)] = True
-    packed = np.packbits(bits).reshape(PIECES, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], ["piece", "counts"])
+    """Pieces of the bitmap in which the task has bits, one at a time."""
+    size = BITS // PIECES
+    at = np.unique(np.concatenate([np.zeros(0, np.int64), *(batch.column(0).to_numpy() & (BITS - 1) for batch in batches)]))
+    cuts = np.searchsorted(at, np.arange(PIECES + 1) * size)
+    for piece in np.flatnonzero(np.diff(cuts)).tolist():
+        bits = np.zeros(size, bool)
+        bits[at[cuts[piece] : cuts[piece + 1]] - piece * size] = True
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["piece", "counts"])
 
 
 def _sets(bitmap, k: int):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillstone.llm import jaccard as J
@@ -92,3 +93,23 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 540)] + [(7, 7), (3, 2), (900, 901)]
     got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
     assert got == {**{i: 0 for i in range(101)}, **{i: 500 for i in range(500, 540)}, 900: 900, 901: 900}
+
+
+def test_a_task_holds_no_whole_bitmap():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    h = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 1000)
+    tracemalloc.start()
+    got = np.zeros((J.PIECES, J.BITS // J.PIECES // 8), np.uint8)
+    base = tracemalloc.get_traced_memory()[0]
+    for b in J._bitmap([pa.RecordBatch.from_arrays([pa.array(x)], ["h"]) for x in (h[:500], h[400:])]):
+        for r in b.to_pylist():
+            got[r["piece"]] |= np.frombuffer(r["counts"], np.uint8)
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    want = np.zeros(J.BITS, bool)
+    want[h & (J.BITS - 1)] = True
+    assert (got.reshape(-1) == np.packbits(want)).all() and peak < 16e6
+    assert list(J._bitmap([])) == []
