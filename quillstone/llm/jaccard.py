@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, byte_slices, written
-from .components import components
+from .components import brought_together, components
 from .shingles import shingle_sets
 
 SLOTS, PIECES, BLOCK, PART = 1 << 22, 64, 256, 1 << 16
@@ -48,10 +48,10 @@ def bits_of(s: np.ndarray) -> bytes:
 
 
 def _each(batches, k: int):
-    """(row values, sets, vertices) of slices of the batches, whose last column is the text."""
+    """(row values, sets, vertices) of slices of the batches, whose last column is the text. Cutting takes some 40 bytes for each byte of a slice."""
     for batch in batches:
         texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        for a, b in byte_slices(texts, 1 << 20):
+        for a, b in byte_slices(texts, 1 << 18):
             sets = shingle_sets(texts[a:b], k)
             yield batch.slice(a, b - a), sets, [vertex_of(s) if len(s) else None for s in sets]
 
@@ -68,32 +68,35 @@ def _describe(k: int):
             np.add.at(sketch, (np.concatenate(sets) >> np.uint64(42)).astype(np.int64), 1)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vertices, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(map(bits_of, sets), pa.binary())], DESCRIBED)
-        if sketch.any():
-            raw = [x.tobytes() for x in sketch.reshape(PIECES, -1)]
-            none = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PIECES), pa.int32()), pa.array(raw, pa.binary()), pa.nulls(PIECES, pa.binary())], DESCRIBED)
+        none = pa.nulls(1, pa.int64())
+        for piece, counts in enumerate(sketch.reshape(PIECES, -1)):
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([piece], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], DESCRIBED)
 
     return run
 
 
-def _merge(kind, how):
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts as eighths of powers of two, a byte each."""
+    return np.minimum(255, np.rint(8 * np.log2(np.maximum(1, counts)))).astype(np.uint8)
+
+
+def _merge(kind, how, last=None):
     def run(table: pa.Table) -> pa.Table:
         total = None
         for x in table.column("counts"):
             x = np.frombuffer(x.as_py(), kind)
             total = x.copy() if total is None else how(total, x, out=total)
-        return pa.table({"piece": table.column("piece")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"piece": table.column("piece")[:1], "counts": pa.array([(last(total) if last else total).tobytes()], pa.binary())})
 
     return run
 
 
-def merged(pieces: DataFrame, kind, how, size: int) -> np.ndarray:
-    """Pieces (piece, counts) of many tasks put together, in two rounds; of fixed size in the end."""
+def merged(pieces: DataFrame, kind, how, size: int, last=None) -> bytes:
+    """Pieces (piece, counts) of many tasks put together, in two rounds; ``size`` bytes in the end. ``last`` is done to each piece by the tasks that end it; zeros stay zeros."""
     parts = pieces.groupBy("piece", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).applyInArrow(_merge(kind, how), "piece int, counts binary")
-    out = np.zeros((PIECES, size // PIECES), kind)
-    for r in parts.groupBy("piece").applyInArrow(_merge(kind, how), "piece int, counts binary").collect():
-        out[r.piece] = np.frombuffer(r.counts, kind)
-    return out.reshape(-1)
+    found = {r.piece: r.counts for r in parts.groupBy("piece").applyInArrow(_merge(kind, how, last), "piece int, counts binary").collect()}
+    return b"".join(found.get(i) or bytes(size // PIECES) for i in range(PIECES))
 
 
 POSTED = "token long, part long, parts long, vertex long, n int, pos int"
@@ -200,11 +203,13 @@ def compared(pairs: DataFrame, docs: DataFrame, hashes: DataFrame, k: int, per:
         return spark.createDataFrame([], PAIR)
     ends = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).distinct()
     texts = ends.join(hashes, "vertex").select("text_hash")
-    bitmap = spark.sparkContext.broadcast(merged(texts.mapInArrow(_bitmap, "piece int, counts binary"), np.uint8, np.bitwise_or, BITS // 8).tobytes())
+    bitmap = spark.sparkContext.broadcast(merged(texts.mapInArrow(_bitmap, "piece int, counts binary"), np.uint8, np.bitwise_or, BITS // 8))
     sets = docs.mapInArrow(_sets(bitmap, k), "vertex long, shingles binary").join(ends, "vertex", "left_semi").dropDuplicates(["vertex"])
     both = pairs.join(sets.select(F.col("vertex").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("a")), "u")
     with batches_of(spark, 500):  # full texts and pairs of full sets
-        return written(both.select("u", "v", "a", "b").mapInArrow(_compare(per), PAIR), "jaccard-compared")
+        found = written(both.select("u", "v", "a", "b").mapInArrow(_compare(per), PAIR), "jaccard-compared")
+    bitmap.destroy()
+    return found
 
 
 def _incidence(rows: list, columns: np.ndarray) -> np.ndarray:
@@ -226,22 +231,21 @@ def _shared(xs: list, ys: list, step: int = 4096) -> np.ndarray:
 
 
 def _family_links(per: int):
-    """Links between two blocks of sets with one pivot p, from their differences to it: |x and y| = |p| - |p-x| - |p-y| + |(p-x) and (p-y)| + |(x-p) and (y-p)|. One link for each set and answer is enough."""
+    """Answers that sets of two blocks with one pivot p link, from the sets' differences to it: |x and y| = |p| - |p-x| - |p-y| + |(p-x) and (p-y)| + |(x-p) and (y-p)|."""
 
     def run(batches):
         for batch in batches:
             us, vs = [], []
             for left, right in zip(batch.column(0), batch.column(1)):
-                x, y = _columns(left, "vertex", "n", "comp", "pivot_n"), _columns(right, "vertex", "n", "comp", "pivot_n")
+                x, y = _columns(left, "n", "comp", "pivot_n"), _columns(right, "n", "comp", "pivot_n")
                 less = [[np.frombuffer(r.as_buffer(), np.uint64) for r in side.values.field("gone")] for side in (left, right)]
                 more = [[np.frombuffer(r.as_buffer(), np.uint64) for r in side.values.field("own")] for side in (left, right)]
                 both = x["pivot_n"][:, None] - np.array([len(r) for r in less[0]])[:, None] - np.array([len(r) for r in less[1]])[None] + _shared(*less) + _shared(*more)
                 ok = (x["comp"][:, None] != y["comp"][None]) & (100 * both >= per * (x["n"][:, None] + y["n"][None] - both))
                 a, b = np.nonzero(ok)
-                for i, q in ((a, y["comp"][b]), (b, x["comp"][a])):
-                    _, keep = np.unique(np.stack([i, q]), axis=1, return_index=True)
-                    us.append(x["vertex"][a[keep]])
-                    vs.append(y["vertex"][b[keep]])
+                u, v = np.unique(np.stack([x["comp"][a], y["comp"][b]]), axis=1)
+                us.append(u)
+                vs.append(v)
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
@@ -338,8 +342,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     with batches_of(spark, 1000):
         described = written(rows.mapInArrow(_describe(k), "doc_id long, text_hash long, vertex long, n_shingles long, piece int, counts binary, bits binary"), "jaccard-documents")
-    sketch = merged(described.filter("piece IS NOT NULL").select("piece", "counts"), np.uint32, np.add, SLOTS)
-    level = spark.sparkContext.broadcast(np.minimum(255, np.rint(8 * np.log2(np.maximum(1, sketch)))).astype(np.uint8).tobytes())
+    level = spark.sparkContext.broadcast(merged(described.filter("piece IS NOT NULL").select("piece", "counts"), np.uint32, np.add, SLOTS, _level))
     described = described.filter("piece IS NULL")
     of_set = described.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"))
     hashes, texts = of_set.select("vertex", "text_hash"), rows.select("text_hash", "text")
@@ -351,6 +354,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = lists.filter("parts > 1 OR last.vertex <> vertex OR next <> vertex").drop("next", "parts")
     with batches_of(spark, 1000):
         lists = written(lists.withColumn("pivot", F.first(F.struct("vertex", "n", "pos")).over(early)), "jaccard-postings")
+    level.destroy()
     # Of lists of the same sets, told by 62 bits and their length, that of the smallest shingle.
     h = F.xxhash64("vertex")
     kinds = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum(h.bitwiseAND((1 << 31) - 1)).alias("a"), F.sum(F.shiftrightunsigned(h, 33)).alias("b"))
@@ -359,8 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need = f"CEIL({per} * (m + n) / {100 + per}D - 1e-9)"
     near = near.filter(f"u <> vertex AND LEAST(m, n) >= {need} AND LEAST(pos, i) + 1 + LEAST(n - pos - 1, m - i - 1) >= {need}")
     known = compared(near.select(F.least("u", "vertex").alias("u"), F.greatest("u", "vertex").alias("v")).distinct(), texts, hashes, k, per)
-    links = known.filter("links").select("u", "v")
-    answers = written(components(links).select(F.col("u").alias("vertex"), F.col("v").alias("comp")), "jaccard-answers")
+    answers = written(components(known.filter("links").select("u", "v")).select(F.col("u").alias("vertex"), F.col("v").alias("comp")), "jaccard-answers")
     # Of each set's pivots that with most similar sets, and the differences to it.
     pivots = lists.select(F.col("pivot.vertex").alias("p"), F.col("pivot.n").alias("pivot_n")).distinct()
     ways = known.filter("u_less IS NOT NULL")
@@ -371,11 +374,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part = F.pmod(F.xxhash64("vertex"), F.ceil(F.col("w.around") / PART)).alias("part")  # a large family is dealt over parts
     family = best.select("vertex", part, F.col("w.p").alias("pivot"), F.col("w.pivot_n").alias("pivot_n"), (F.col("w.both") + F.octet_length("w.own") / 8).cast("int").alias("n"), "w.gone", "w.own")
     family = written(family.join(answers, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex")), "jaccard-families")
-    blocks = _blocks(family, "pivot", ["comp", "n", "vertex"], ["vertex", "n", "comp", "pivot_n", "gone", "own"], ["n", "comp"])
+    blocks = _blocks(family, "pivot", ["comp", "n", "vertex"], ["n", "comp", "pivot_n", "gone", "own"], ["n", "comp"])
     with batches_of(spark, 32):
         kin = written(_block_join(blocks, "pivot", size_rule(per)).drop("same").mapInArrow(_family_links(per), "u long, v long").distinct(), "jaccard-kin")
-    links = links.unionByName(kin)
-    answers = written(components(links).select(F.col("u").alias("vertex"), F.col("v").alias("comp")), "jaccard-answers")
+    answers = written(brought_together(answers, kin), "jaccard-answers")
     # Pairs without a common pivot, by the lists.
     lists = lists.select("token", "part", "vertex", "n", "pos", (F.col("n") - F.col("pos") - 1).alias("rest")).join(answers, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
     lists = lists.join(family.select("vertex", "pivot"), "vertex", "left").withColumn("pivot", F.coalesce("pivot", "vertex")).dropDuplicates(["token", "vertex"])
@@ -385,7 +387,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = written(_block_join(blocks, "token", size_rule(per) + " AND " + place_rule(per) + other).mapInArrow(_block_pairs(per), "u long, v long").distinct(), "jaccard-open")
     pairs = pairs.join(known.select("u", "v"), ["u", "v"], "left_anti")
     more = compared(pairs, texts, hashes, k, per).filter("links").select("u", "v")
-    answers = components(links.unionByName(more)).select(F.col("u").alias("vertex"), F.col("v").alias("comp"))
+    if not more.isEmpty():
+        for end in ("u", "v"):
+            more = more.join(answers.select(F.col("vertex").alias(end), "comp"), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+        answers = brought_together(answers, written(more.distinct(), "jaccard-more"))
     found = described.select("doc_id", "vertex", "n_shingles")
     with_set = found.filter("vertex IS NOT NULL").join(answers, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
     first = with_set.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

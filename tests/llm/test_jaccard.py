@@ -113,3 +113,52 @@ def test_a_task_holds_no_whole_bitmap():
     want[h & (J.BITS - 1)] = True
     assert (got.reshape(-1) == np.packbits(want)).all() and peak < 16e6
     assert list(J._bitmap([])) == []
+
+
+def test_stars_are_done_without_a_round(spark, monkeypatch):
+    """A round costs eight exchanges; its end is seen without another one."""
+    from quillstone.llm import components as C
+
+    made, plain = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, name: made.append(name) or plain(df, name))
+    stars = spark.createDataFrame([(9, 1), (1, 8), (5, 2), (5, 5)], "u long, v long")
+    assert {r.u: r.v for r in C.components(stars).collect()} == {1: 1, 8: 1, 9: 1, 2: 2, 5: 2} and len(made) == 1
+    made.clear()
+    assert {r.u: r.v for r in C.components(spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")).collect()} == {1: 1, 2: 1, 3: 1} and len(made) == 2
+
+
+def test_answers_are_brought_together(spark):
+    from quillstone.llm.components import brought_together
+
+    answers = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (3, 3), (6, 3)], "vertex long, comp long")
+    of = lambda links: {r.vertex: r.comp for r in brought_together(answers, spark.createDataFrame(links, "u long, v long")).collect()}
+    assert of([]) == {1: 1, 4: 1, 2: 2, 5: 2, 3: 3, 6: 3}
+    assert of([(3, 2), (7, 3), (9, 8)]) == {1: 1, 4: 1, 2: 2, 5: 2, 3: 2, 6: 2, 7: 2, 8: 8, 9: 8}
+
+
+def test_a_task_sends_its_sketch_by_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 5000, 600)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(range(1500)), pa.array([t.encode() for t in texts])], ["doc_id", "text_hash", "text"])
+    tracemalloc.start()
+    rows = got = 0
+    for b in J._describe(4)([batch]):
+        rows += b.num_rows if b.column("counts").null_count else 0
+        got += sum(int(np.frombuffer(x, np.uint32).sum()) for x in b.column("counts").to_pylist() if x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 and got == sum(len(s) for s in J.shingle_sets([t.encode() for t in texts]))
+    assert peak < 45e6
+
+
+def test_levels_come_to_the_driver_as_bytes(spark):
+    counts = np.zeros((J.PIECES, J.SLOTS // J.PIECES), np.uint32)
+    counts[3, :4] = 1, 2, 9, 1 << 31
+    pieces = spark.createDataFrame([(3, counts[3].tobytes()), (3, counts[3].tobytes())], "piece int, counts binary")
+    got = np.frombuffer(J.merged(pieces, np.uint32, lambda a, b, out: np.minimum(a.astype(np.uint64) + b, (1 << 32) - 1, out=out, casting="unsafe"), J.SLOTS, J._level), np.uint8)
+    assert len(got) == J.SLOTS and got.reshape(J.PIECES, -1)[3, :5].tolist() == [8, 16, 33, 255, 0] and np.count_nonzero(got) == 4
