@@ -17,7 +17,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import drop_owned, drop_path, free_name, owned, work_path
+from quillstone.llm.common import batches_of, drop_owned, drop_path, free_name, owned, work_path, written
 from quillstone.llm.exact_dedup import content_sort_dedup
 from quillstone.llm.jaccard import jaccard_components
 from quillstone.llm.language_id import identify
@@ -50,8 +50,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters, or without a likely language, go."""
     with owned(_fresh(spark, sf_dir)):
         rows, row = _numbered(docs)
-        found = identify(rows, row_col=row)
-        return _only(rows, row, found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row"))
+        found = identify(rows, row_col=row).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row")
+        with batches_of(spark, 1000):  # full texts
+            found = written(found, "languages")
+        return _only(rows, row, found)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

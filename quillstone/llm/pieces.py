@@ -442,7 +442,7 @@ def _runner(shipped, ranks: bool, nbest: int, merges: bool, own: bool, schema: s
         try:
             for batch in batches:
                 sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-                for a, b in byte_slices([range(n) for n in sizes], 1 << 20):
+                for a, b in byte_slices([range(n) for n in sizes], 1 << 18):  # the search takes some 200 bytes for each byte of new stretches
                     out, texts = [], [t or b"" for t in batch.column(1).slice(a, b - a).to_pylist()]
                     for raw, (ids, score, scores, second, merged, by_merges) in zip(texts, seg.encode_all([t.decode() for t in texts])):
                         ids = merged if own else ids

@@ -138,3 +138,20 @@ def test_a_worker_keeps_no_segmentations_between_tasks():
     seg = P._segmenter(proto, True, 4, True)
     assert [x["n_pieces"] > 0 for x in out[0].to_pylist()] == [True, False]
     assert not seg.number and not len(seg.score) and not seg.lists.cache_info().currsize
+
+
+def test_texts_are_searched_a_small_slice_at_a_time(monkeypatch):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quillstone.llm import pieces
+
+    seen, plain = [], pieces.Segmenter.encode_all
+    monkeypatch.setattr(pieces.Segmenter, "encode_all", lambda self, texts: seen.append(sum(map(len, texts))) or plain(self, texts))
+    texts = [f"word{i} and another " * 100 for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    run = pieces._runner(SimpleNamespace(value=Path(pieces.MODEL).read_bytes()), True, 4, False, False, pieces.SCHEMA)
+    assert sum(b.num_rows for b in run([batch])) == 400
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= 1 << 18

@@ -71,3 +71,11 @@ def test_results_of_others_keep_their_tables(spark):
     other = pipeline.mixing(spark, docs(spark, ["a b", "c"], ["s", "s"]), "another folder")
     pipeline.sentencepiece(spark, docs(spark, ["x"]), SF)
     assert mine.count() == 2 and other.count() > 0
+
+
+def test_languages_are_found_in_small_batches(spark, monkeypatch):
+    seen, plain = [], pipeline.written
+    monkeypatch.setattr(pipeline, "written", lambda df, name: seen.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or plain(df, name))
+    texts = ["the cat sat on the mat and then it ran away", "der Hund lief durch den Wald und kam nicht heim", None, "12 34"] * 5
+    assert pipeline.language_id(spark, docs(spark, texts, langs=["en", "de", None, None] * 5), "x").count() == 10
+    assert seen == [("languages", "1000")]
