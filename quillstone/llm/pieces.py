@@ -4,7 +4,7 @@ The pieces come from a SentencePiece model file; a segmentation's score is the s
 merge model's file holds ranks, whose sum says nothing: its pieces are put in order by them, and the piece at place r
 has a probability in proportion to 1 / (r + SHIFT), as Zipf's and Mandelbrot's law gives it, so that nothing is trained. A
 character without a piece is written as its bytes and scores ten below the lowest piece. The merge model's own encoding
-is found beside the N best, a stretch at a time, by the file's library where a stretch begins with a blank; it is one path of the same lattice. Forward Viterbi scores
+is found beside the N best, a stretch at a time, by the file's library; it is one path of the same lattice. Forward Viterbi scores
 are the exact best scores of all prefixes; A* searches backwards from the end of the piece lattice with them as its
 heuristic, so that each complete path it takes from its queue is the next best.
 
@@ -12,8 +12,9 @@ No piece holds a blank behind another character, so a lattice falls apart at the
 characters where no piece mixes them. A text's N best differ from its best one only in stretches whose
 second best is among the N - 1 nearest to their best; A* runs on these, and their lists are merged best first.
 
-Texts come many at a time. Their stretches that aren't known yet go through the forward search together, all lattices
-edge by edge in numpy; what is found is kept in arrays under the stretch's number until the task ends.
+Texts come many at a time. They are cut in numpy, each different stretch is looked up once, and those that aren't known
+yet go through the forward search together, all lattices edge by edge in numpy; what is found is kept in arrays under the
+stretch's number until the task ends.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise, repeat
 from pathlib import Path
 
 import numpy as np
@@ -75,6 +75,43 @@ def _library(proto: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=proto)
 
 
+#: Behind a model's file: its normalizer_spec.add_dummy_prefix is false, as a later value counts.
+NO_PREFIX = b"\x1a\x02\x18\x00"
+BLANK, LETTER, MARK, OTHER = range(4)
+
+
+def kinds(pieces) -> np.ndarray:
+    """By code point: blank, Latin letter, ASCII mark or digit, other. All but the blank are others if a piece mixes letters and marks."""
+    kind = np.full(0x110000, OTHER, np.uint8)
+    for a, b in ("AZ", "az", "ÀÖ", "Øö", "øɏ"):
+        kind[ord(a) : ord(b) + 1] = LETTER
+    kind[:128][kind[:128] == OTHER] = MARK
+    kind[32] = BLANK
+    if any({kind[ord(a)], kind[ord(b)]} == {LETTER, MARK} for p in pieces for a, b in pairwise(p)):
+        kind[kind != BLANK] = OTHER
+    return kind
+
+
+def cut(kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where stretches that no piece crosses begin, in texts put together that begin at ``first``, by the kinds of their characters.
+
+    A word is its blanks and what follows up to the next. It is cut where letters meet marks, but not behind its first
+    run of either that others follow.
+    """
+    begins = np.ones(len(kind), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    opens = np.zeros(len(kind), bool)
+    begins[first] = opens[first] = True
+    run = np.flatnonzero(begins)
+    kind = kind[run]
+    word = (kind == BLANK) | opens[run]
+    others = np.cumsum(kind == OTHER)
+    before = (others - (kind == OTHER))[word]
+    plain = others == before[np.cumsum(word) - 1]
+    plain[1:] &= kind[:-1] != BLANK
+    return run[word | plain]
+
+
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of each range, one range after the other."""
     ends = np.cumsum(count)
@@ -166,7 +203,7 @@ class Segmenter:
 
     def __init__(self, normal: list, of_byte: list, shown: list, nbest: int = 4, proto: bytes | None = None, merges: bool = True):
         self.merges = merges
-        self.library = _library(proto) if proto else None
+        self.library = _library(proto + NO_PREFIX) if proto else None
         self.piece = {p: (s, i) for p, s, i in normal}
         if any(" " in p.lstrip(" ") for p in self.piece):
             raise ValueError("a piece holds a blank behind another character")
@@ -176,14 +213,16 @@ class Segmenter:
             for c in p[:-1]:
                 node = node.setdefault(c, [{}, None, None])[0]
             node.setdefault(p[-1], [{}, None, None])[1:] = score, i
-        self.of_byte, self.shown, self.nbest = of_byte, shown, nbest
+        self.of_byte, self.nbest = of_byte, nbest
+        self.shown, self.sizes = np.frombuffer(b"".join(shown), np.uint8), np.fromiter(map(len, shown), np.int64, len(shown))  # what ids decode to, one after the other
+        self.places = np.cumsum(self.sizes) - self.sizes
         self.unknown = min((s for _, s, _ in normal), default=0.0) - 10
         self.value = np.zeros(1 + max([*of_byte, *(i for _, _, i in normal)]))  # by id; a character's first byte has that of the character
         for b, i in enumerate(of_byte):
             self.value[i] = 0 if 0x80 <= b < 0xC0 else self.unknown
         for _, s, i in normal:
             self.value[i] = s
-        self.cut = re.compile(self._stretches()).findall
+        self.kind = kinds(self.piece)
         self.lattices = Lattices(self.piece)
         self.lists = lru_cache(20_000)(self.best_of)
         self.forget()
@@ -230,13 +269,6 @@ class Segmenter:
         first, count = kept[1][numbers], kept[1][numbers + 1] - kept[1][numbers]
         return kept[0][ranges(first, count)], np.concatenate([[0], np.cumsum(count)])
 
-    def _stretches(self) -> str:
-        """A pattern of stretches that no piece crosses: at blanks, and where Latin letters meet ASCII marks and digits if no piece mixes them."""
-        letters, marks = "A-Za-zÀ-ÖØ-öø-ɏ", re.escape("".join(chr(i) for i in range(128) if i != 32 and not chr(i).isalpha()))
-        mixed = re.compile(f"[{letters}][{marks}]|[{marks}][{letters}]").search
-        whole = " +[^ ]*|[^ ]+"
-        return whole if any(map(mixed, self.piece)) else f" *[{letters}]+(?=[ {marks}]|\\Z)| *[{marks}]+(?=[ {letters}]|\\Z)|{whole}"
-
     def lattice(self, text: str) -> list[list[tuple]]:
         """Edges (start, score, id or None for bytes) by end."""
         ends: list[list[tuple]] = [[] for _ in range(len(text) + 1)]
@@ -303,11 +335,13 @@ class Segmenter:
         return [k for p in reversed(path) for k in p], total, total - next_[n]
 
     def _own(self, texts: list[str]) -> list[list[int]]:
-        """Ids by merges. The library sets a blank before a text and reads a U+2581 as one, so it gets stretches that begin with a blank and hold no U+2581."""
-        foreign = "▁" in "".join(texts)
-        fit = [self.library is not None and t[0] == " " and len(t) > 1 and not (foreign and "▁" in t) for t in texts]
-        some = iter(self.library.encode([t[1:] for t, f in zip(texts, fit) if f], num_threads=1) if any(fit) else ())
-        return [next(some) if f else self.merged(t) for t, f in zip(texts, fit)]
+        """Ids by merges. The library reads a U+2581 as a blank, so it gets stretches that hold none."""
+        if self.library is None:
+            return list(map(self.merged, texts))
+        if "▁" not in "".join(texts):
+            return self.library.encode(texts, num_threads=1)
+        some = iter(self.library.encode([t for t in texts if "▁" not in t], num_threads=1))
+        return [self.merged(t) if "▁" in t else next(some) for t in texts]
 
     def merged(self, text: str) -> list[int]:
         """Ids by merges, without the library: of all neighbours that make a piece the likeliest become one, the first of equals, until none are left."""
@@ -364,27 +398,38 @@ class Segmenter:
 
     def encode_all(self, texts: list[str]):
         """The same for each of many texts, ids as arrays."""
-        parts = [self.cut(" " + t) if t else [] for t in texts]
-        coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        new = [t for t in known if t not in self.number]
-        if self.number and len(self.number) + len(new) > KEPT:
-            self.forget()
-            new = known
-        if new:
-            self.learn(new)
-        numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        texts = [" " + t if t else "" for t in texts]
+        joined = "".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        starts = cut(self.kind[np.frombuffer(joined.encode("utf-32-le"), np.uint32)], (ends - sizes)[sizes > 0])
+        raw = joined.encode()
+        place = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)  # of each character
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(place[starts], len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        known, of = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        numbers = self._numbers(known)
+        if (new := numbers < 0).any():
+            if len(self.number) + np.count_nonzero(new) > KEPT:
+                self.forget()
+                new[:] = True
+            self.learn(some := known[new].tolist())
+            numbers[new] = self._numbers(some)
+        numbers = numbers[of]
         ids, begin = self._of(self.ids, numbers)
         own, own_begin = self._of(self.own, numbers) if self.merges else (ids[:0], np.zeros_like(begin))
         scores, losses, b = self.score[numbers].tolist(), self.loss[numbers], 0
-        for some in parts:
-            a, b = b, b + len(some)
-            yield self._encode(some, ids[begin[a] : begin[b]], begin[a : b + 1] - begin[a], math.fsum(scores[a:b]), losses[a:b], own[own_begin[a] : own_begin[b]])
+        for end in np.searchsorted(starts, ends).tolist():
+            a, b = b, end
+            yield self._encode(known, of[a:b], ids[begin[a] : begin[b]], begin[a : b + 1] - begin[a], math.fsum(scores[a:b]), losses[a:b], own[own_begin[a] : own_begin[b]])
+
+    def _numbers(self, stretches) -> np.ndarray:
+        """-1: not known."""
+        return np.fromiter(map(self.number.get, stretches, repeat(-1)), np.int64, len(stretches))
 
-    def _encode(self, parts: list[str], ids: np.ndarray, begin: np.ndarray, score: float, loss: np.ndarray, merged: np.ndarray) -> tuple:
+    def _encode(self, known: np.ndarray, of: np.ndarray, ids: np.ndarray, begin: np.ndarray, score: float, loss: np.ndarray, merged: np.ndarray) -> tuple:
         near = np.argsort(loss, kind="stable")[: self.nbest - 1] if len(loss) < 64 else self._nearest(loss)
         near = [i for i in near.tolist() if loss[i] < math.inf]
-        lists = [self.lists(parts[i]) for i in near]
+        lists = [self.lists(known[of[i]]) for i in near]
         # Best first over the places in the lists; a place is reached from the one with its last step undone.
         queue, picks = [(0.0, (0,) * len(lists))], []
         while queue and len(picks) < self.nbest:
@@ -416,7 +461,9 @@ class Segmenter:
         return self.raw(ids).decode()
 
     def raw(self, ids) -> bytes:
-        return b"".join(map(self.shown.__getitem__, ids))[1:]
+        ids = np.asarray(ids, np.int64)
+        some = (ids[a : a + (1 << 16)] for a in range(0, len(ids), 1 << 16))
+        return b"".join(self.shown[ranges(self.places[x], self.sizes[x])].tobytes() for x in some)[1:]
 
 
 def _unrolled(tail):
@@ -446,7 +493,7 @@ def _runner(shipped, ranks: bool, nbest: int, merges: bool, own: bool, schema: s
                     out, texts = [], [t or b"" for t in batch.column(1).slice(a, b - a).to_pylist()]
                     for raw, (ids, score, scores, second, merged, by_merges) in zip(texts, seg.encode_all([t.decode() for t in texts])):
                         ids = merged if own else ids
-                        back = seg.raw(ids.tolist())
+                        back = seg.raw(ids)
                         out.append((ids, len(ids), score, scores, _digest(second) if len(second) else None, hashlib.sha256(back).hexdigest(), back == raw, *((len(merged), by_merges, _digest(merged)) if merges else ())))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], [f.split()[0] for f in schema.split(", ")])
         finally:

@@ -155,3 +155,40 @@ def test_texts_are_searched_a_small_slice_at_a_time(monkeypatch):
     run = pieces._runner(SimpleNamespace(value=Path(pieces.MODEL).read_bytes()), True, 4, False, False, pieces.SCHEMA)
     assert sum(b.num_rows for b in run([batch])) == 400
     assert sum(seen) == sum(map(len, texts)) and max(seen) <= 1 << 18
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_cuts_equal_a_pattern(mixed):
+    import re
+
+    letters, marks = "A-Za-zÀ-ÖØ-öø-ɏ", re.escape("".join(chr(i) for i in range(128) if i != 32 and not chr(i).isalpha()))
+    whole = " +[^ ]*|[^ ]+"
+    find = re.compile(whole if mixed else f" *[{letters}]+(?=[ {marks}]|\\Z)| *[{marks}]+(?=[ {letters}]|\\Z)|{whole}").findall
+    kind = P.kinds(["ab", " a", "."] + ["b."] * mixed)
+    texts = ["x"] + ["".join(rng.choice("ab,.1\n ÷Zéɏɐ漢ª\x00") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    joined = "".join(texts)
+    first = P.np.cumsum([0, *map(len, texts)])
+    starts = P.cut(kind[[ord(c) for c in joined]], first[:-1]).tolist()
+    assert [joined[a:b] for a, b in itertools.pairwise([*starts, len(joined)])] == [w for t in texts for w in find(t)]
+
+
+def test_each_different_stretch_is_looked_up_once_and_merged_by_the_library(monkeypatch):
+    import sentencepiece
+
+    seg = P.Segmenter(*P.load(), proto=Path(P.MODEL).read_bytes())
+    asked = []
+
+    class Counted(dict):
+        def get(self, *x):
+            asked.append(x[0])
+            return super().get(*x)
+
+    texts = ["ab, ab, ab 12.5 漢字 é (x)", "", "ab, 12.5"] * 50
+    want = list(map(sentencepiece.SentencePieceProcessor(model_file=P.MODEL).encode, texts))
+    monkeypatch.setattr(seg, "merged", None)
+    list(seg.encode_all(texts))
+    seg.number = Counted(seg.number)
+    assert [r[4].tolist() for r in seg.encode_all(texts)] == want
+    assert sorted(asked) == sorted({" ab", ",", " 12.5", " 漢字", " é", " (", "x", ")"})
+    ids = [r[0] for r in seg.encode_all(texts)]
+    assert [seg.raw(i) for i in ids] == [t.encode() for t in texts]
