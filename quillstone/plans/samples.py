@@ -98,7 +98,7 @@ def sample_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, folder = sample_conversion(spark, sf_dir), shared_folder(spark, "results")
     save_results(done, folder)
     done.rows.unpersist()
-    return D.scan(spark, folder).filter("kind = 'cell'").select(_book(), "sheet", "coordinate", "raw")
+    return D.planned(spark, folder).filter("kind = 'cell'").select(_book(), "sheet", "coordinate", "raw")
 
 
 def sample_json(spark: SparkSession, sf_dir: str) -> DataFrame:

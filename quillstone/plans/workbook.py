@@ -175,7 +175,7 @@ def convert_files(spark: SparkSession, source: str, mapping: str | DataFrame) ->
 
     A mapping given as a path is loaded only if some business sheet has a name or code column.
     """
-    entries = stored(D.scan(spark, source), "entries")
+    entries = stored(D.planned(spark, source), "entries")
     if isinstance(mapping, str):
         asked = not precheck.headers(W.cells(entries), (NAME, CODE)).isEmpty()
         mapping = load_mapping(spark, mapping) if asked else spark.createDataFrame([], "name string, code string")
@@ -184,7 +184,7 @@ def convert_files(spark: SparkSession, source: str, mapping: str | DataFrame) ->
 
 def save_results(done: Conversion, folder: str, suffix: str = "_处理结果.xlsx") -> None:
     """Commit the results of workbooks that succeed, read from files, to a folder: all of them, or none."""
-    D.commit_changes(done.statistics.filter("success").select("path"), done.changes, folder, suffix)
+    D.commit_changes(stored(done.statistics.filter("success").select("path"), "paths"), done.changes, folder, suffix)
 
 
 def sheets_of(entries: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceRegistration
 
+from quillstone.plans import samples
 from quillstone.plans import workbook as P
 from quillstone.sources import datasource as D
 from quillstone.sources import workbook as W
@@ -124,6 +126,26 @@ def test_nothing_is_left_of_an_aborted_write(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["a.xlsx"]
 
 
+def test_planned_equals_scan(spark, tmp_path):
+    assert D.planned(spark, str(tmp_path)).count() == 0
+    few = folder(tmp_path, a=pump_house(), c=many_sheets(), junk=b"none")
+    assert D.planned(spark, few).rdd.getNumPartitions() == D.scan(spark, few).rdd.getNumPartitions()
+    for hidden in (False, True):
+        assert rows(D.planned(spark, few, hidden)) == rows(D.scan(spark, few, hidden))
+    many = folder(tmp_path, **{f"p{i:03}": pump_house(blocked=i % 7 == 0) for i in range(D.TOGETHER + 3)})
+    assert D.planned(spark, many).rdd.getNumPartitions() == 2 and rows(D.planned(spark, many)) == rows(D.scan(spark, many))
+
+
+def test_results_need_no_workers_of_the_driver(spark, tmp_path, monkeypatch):
+    """A data source in Python is looked up, planned and committed by Python workers that stay on the driver."""
+    spark.range(800).selectExpr("id AS c_custkey", "concat('n', id) AS c_name", "'阀门' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(DataSourceRegistration, "register", None)
+    done = samples.sample_results(spark, str(tmp_path))
+    assert "BatchScan" not in done._jdf.queryExecution().toString()
+    # Of 8 books two are blocked, by keys 6, 13 and 713. Each other has 75 visible rows on three sheets, each with a code.
+    assert done.select("book").distinct().count() == 6 and done.filter("coordinate LIKE 'E%'").count() == 6 * (75 + 3)
+
+
 def members(content):
     """Compressed bytes of each member, with what the directory says of it."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
