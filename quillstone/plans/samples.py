@@ -77,9 +77,7 @@ def sample_conversion(spark: SparkSession, sf_dir: str) -> Conversion:
 def sample_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of the sample workbooks, numbered in document order."""
     done = sample_conversion(spark, sf_dir)
-    found = stored(ordered(done.issues).select(_book(), "n", "sheet", "row_num", "field", "coordinate", "kind", "value", "message"), "issues")
-    done.rows.unpersist()
-    return found
+    return stored(ordered(done.issues).select(_book(), "n", "sheet", "row_num", "field", "coordinate", "kind", "value", "message"), "issues")
 
 
 def sample_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +95,6 @@ def sample_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the results of the sample workbooks, committed to a folder and read back."""
     done, folder = sample_conversion(spark, sf_dir), shared_folder(spark, "results")
     save_results(done, folder)
-    done.rows.unpersist()
     return D.planned(spark, folder).filter("kind = 'cell'").select(_book(), "sheet", "coordinate", "raw")
 
 

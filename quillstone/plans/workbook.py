@@ -27,7 +27,7 @@ COUNTERS = ("subcategory_filled", "dates_converted", "dates_cleared", "codes_for
 
 @dataclass
 class Conversion:
-    """issues in order (sheet_idx, phase, row_num, field_ord); changes of workbooks without issues; statistics, one row per workbook that has a business sheet; errors (path, message) of the others. rows, which these read, are persisted until rows.unpersist()."""
+    """issues in order (sheet_idx, phase, row_num, field_ord); changes of workbooks without issues; statistics, one row per workbook that has a business sheet; errors (path, message) of the others. rows and issues are tables, so that what is derived from them has a short plan."""
 
     rows: DataFrame
     issues: DataFrame
@@ -83,13 +83,12 @@ def load_mapping(spark: SparkSession, source: str) -> DataFrame:
         entries.unpersist()
 
 
-def _rows(cells: DataFrame, heads: DataFrame, sheets: DataFrame, mapping: DataFrame) -> DataFrame:
-    """A row for each filled row of a business sheet, with what each target would become."""
-    letters = F.regexp_replace("coordinate", "[0-9]+$", "")
-    spots = cells.filter((F.col("row_num") == 1) & F.col("raw").isin(*TARGETS)).groupBy(*KEY, F.col("raw").alias("field")).agg(F.max_by(letters, "col_idx").alias("at"))
-    spots = spots.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("field", "at"))).alias("letters"))  # six at most
+def _rows(cells: DataFrame, top: DataFrame, heads: DataFrame, sheets: DataFrame, mapping: DataFrame) -> DataFrame:
+    """A table of a row for each filled row of a business sheet, with what each target would become. ``top``: the cells of row 1. The rules, whose plan is long, are applied to a table, without an exchange."""
+    spots = heads_letters(top).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("field", "at"))).alias("letters"))  # six at most
     wide = precheck.pivoted(cells, heads).join(sheets.select(*KEY, "sheet", "part", "is_1904"), KEY).join(spots, KEY)
     wide = wide.join(mapping.select(F.col("name").alias("__name"), F.col("code").alias("mapped_code")), F.col(f"{NAME}.raw") == F.col("__name"), "left").drop("__name")
+    wide = stored(wide, "wide")
     formula = lambda f: F.col(f"{f}.formula").isNotNull()
     name, code = F.col(f"{NAME}.raw"), F.col(f"{CODE}.raw")
     has_name, has_code = (F.col("letters")[f].isNotNull() for f in (NAME, CODE))
@@ -103,7 +102,7 @@ def _rows(cells: DataFrame, heads: DataFrame, sheets: DataFrame, mapping: DataFr
         cleared = F.struct(F.lit("CLEARED").alias("status"), F.lit(None).cast("string").alias("value"))
         d = F.when(kind.isin("b", "e", "str") & ~is_blank(F.trim(f"{f}.raw")), cleared).otherwise(d)
         out[f"{f}_new"] = F.when(F.col("letters")[f].isNotNull() & ~formula(f), d)
-    return wide.withColumns(out).drop(*dated)
+    return stored(wide.withColumns(out).drop(*dated), "rows")
 
 
 def _at(field):
@@ -125,13 +124,13 @@ def _row_issues(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, "row_num", F.explode(F.array_compact(F.array(*found))).alias("i")).select(*KEY, "row_num", "i.*")
 
 
-def _structure_issues(cells: DataFrame, heads: DataFrame, regions: DataFrame) -> DataFrame:
-    place = cells.select(*KEY, "row_num", "col_idx", "coordinate", "raw", F.col("formula").alias("cell_formula"))
-    first = precheck.header_issues(cells, NAME, CODE).withColumn("row_num", F.lit(1)).join(place, [*KEY, "row_num", "col_idx"], "left")
+def _structure_issues(cells: DataFrame, top: DataFrame, heads: DataFrame, regions: DataFrame) -> DataFrame:
+    place = lambda some: some.select(*KEY, "row_num", "col_idx", "coordinate", "raw", F.col("formula").alias("cell_formula"))
+    first = precheck.header_issues(top, NAME, CODE).withColumn("row_num", F.lit(1)).join(place(top), [*KEY, "row_num", "col_idx"], "left")
     phase = F.when(F.col("message") == MESSAGES["NO_CODE"], 2).otherwise(1)
     head = first.select(*KEY, "row_num", phase.alias("phase"), F.col("col_idx").alias("field_ord"), "field", "coordinate", F.lit("STRUCTURE").alias("kind"), F.when(phase == 1, F.col("raw")).otherwise("").alias("value"), "message")
-    over = precheck.overlaps(regions, heads).join(place, [*KEY, "row_num", "col_idx"], "left").filter("kind = 'merge' OR cell_formula IS NULL")
-    letters = heads_letters(cells)
+    over = precheck.overlaps(regions, heads).join(place(cells), [*KEY, "row_num", "col_idx"], "left").filter("kind = 'merge' OR cell_formula IS NULL")
+    letters = heads_letters(top)
     over = over.join(letters, [*KEY, "field"])
     area = over.select(*KEY, "row_num", F.when(F.col("kind") == "merge", 3).otherwise(4).alias("phase"), F.col("col_idx").alias("field_ord"), "field", F.concat("at", F.col("row_num").cast("string")).alias("coordinate"),
                        F.lit("STRUCTURE").alias("kind"), F.when(F.col("kind") == "merge", F.coalesce("raw", F.lit(""))).otherwise(F.concat(F.lit("="), F.col("formula"))).alias("value"), "message")
@@ -145,11 +144,12 @@ def heads_letters(cells: DataFrame) -> DataFrame:
 def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
     """Give the entries as a written table: they are read several times. A mapping that isn't one name to one code is a MappingError."""
     mapping = checked(mapping)
-    cells, sheets, regions = W.cells(entries), W.sheets(entries), W.regions(entries)
-    heads = precheck.headers(cells)
-    rows = _rows(cells, heads, sheets, mapping).persist()
-    issues = _structure_issues(cells, heads, regions).unionByName(_row_issues(rows)).join(sheets.select(*KEY, "sheet"), KEY)
-    blocked = issues.select("path").unionByName(W.errors(entries).select("path")).distinct()
+    few = stored(entries.filter("kind <> 'cell' OR row_num = 1"), "few")  # all but the rows below the headers
+    cells, top, sheets, regions, errors = W.cells(entries), W.cells(few), W.sheets(few), W.regions(few), W.errors(few)
+    heads = stored(precheck.headers(top), "heads")
+    rows = _rows(cells, top, heads, sheets, mapping)
+    issues = stored(_structure_issues(cells, top, heads, regions).unionByName(_row_issues(rows)).join(sheets.select(*KEY, "sheet"), KEY), "issues")
+    blocked = issues.select("path").unionByName(errors.select("path")).distinct()
     change = lambda at, value: F.struct(at.alias("coordinate"), value.alias("new_value"))
     new = [F.when(F.col("fills"), change(_at(F.lit(CODE)), F.col("mapped_code")))]
     new += [F.when(F.col(f"{f}_new").isNotNull(), change(_at(F.lit(f)), F.col(f"{f}_new.value"))) for f in DATES]
@@ -161,13 +161,13 @@ def convert(entries: DataFrame, mapping: DataFrame) -> Conversion:
     business = heads.select(KEY).distinct().withColumn("business", F.lit(True))
     listed = sheets.join(business, KEY, "left").groupBy("path").agg(*(
         F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("business", F.lit(False)) == b, F.struct("sheet_idx", "sheet")))), lambda s: s["sheet"]).alias(c) for c, b in (("sheets", True), ("skipped_sheets", False))
-    )).filter(F.size("sheets") > 0).join(W.errors(entries).select("path"), "path", "left_anti")
+    )).filter(F.size("sheets") > 0).join(errors.select("path"), "path", "left_anti")
     by_path = blocked.withColumn("blocked", F.lit(True))
     stats = listed.join(sums, "path", "left").join(by_path, "path", "left")
     keep = lambda c: F.when(F.col("blocked").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
     stats = stats.select("path", "sheets", "skipped_sheets", F.coalesce("rows", F.lit(0)).alias("rows"), *map(keep, COUNTERS), F.col("blocked").isNull().alias("success"))
-    lacking = sheets_of(entries).join(listed, "path", "left_anti").select("path", F.lit(NO_BUSINESS).alias("message"))
-    return Conversion(rows, issues, changes, stats, W.errors(entries).unionByName(lacking))
+    lacking = sheets_of(few).join(listed, "path", "left_anti").select("path", F.lit(NO_BUSINESS).alias("message"))
+    return Conversion(rows, issues, changes, stats, errors.unionByName(lacking))
 
 
 def convert_files(spark: SparkSession, source: str, mapping: str | DataFrame) -> Conversion:
