@@ -101,9 +101,7 @@ def sample_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of the sample workbooks as JSON."""
     done = sample_conversion(spark, sf_dir)
-    found = stored(json_results(done).select(_book(), "result"), "json")
-    done.rows.unpersist()
-    return found
+    return stored(json_results(done).select(_book(), "result"), "json")
 
 
 def mapping_book(spark: SparkSession, sf_dir: str) -> DataFrame:
