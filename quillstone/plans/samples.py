@@ -86,9 +86,7 @@ def sample_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = [F.array_join(c, ",").alias(c) for c in ("sheets", "skipped_sheets")]
     wrong = F.when(F.col("message") == NO_BUSINESS, F.col("message")).otherwise("unreadable").alias("wrong")
     stats = done.statistics.select(_book(), *lists, "rows", *COUNTERS, "success", F.lit("").alias("wrong"))
-    found = stored(stats.unionByName(done.errors.select(_book(), wrong), allowMissingColumns=True), "statistics")
-    done.rows.unpersist()
-    return found
+    return stored(stats.unionByName(done.errors.select(_book(), wrong), allowMissingColumns=True), "statistics")
 
 
 def sample_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,6 @@ def test_roundtrip_parses_the_samples_once(spark, tmp_path):
 
 def test_what_is_derived_has_a_short_plan(spark):
     _, done = converted(spark, p=pump_house(), bad=pump_house(blocked=True), junk=b"none")
-    for derived in (done.rows, done.issues, done.changes, P.ordered(done.issues), P.json_results(done)):
+    for derived in (done.rows, done.issues, done.changes, done.statistics, done.errors, P.ordered(done.issues), P.json_results(done)):
         plan = derived._jdf.queryExecution().toString()
         assert len(plan) < 100_000 and "٠١٢" not in plan and "InMemoryRelation" not in plan  # neither the rules nor the cells again
